@@ -61,3 +61,11 @@ def cut_lineage(df: DataFrame, tag: str = "step") -> DataFrame:
     path = f"{root.rstrip('/')}/lacuna-{tag}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path under the shared checkpoint folder (for file round trips)."""
+    root = _checkpoint_root(spark)
+    if root is None:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for file outputs")
+    return f"{root.rstrip('/')}/lacuna-{tag}-{uuid.uuid4().hex}"
