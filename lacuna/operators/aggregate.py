@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.missing import MISSING, is_complete
-from lacuna.functions.setstats import STATS, fingerprint, object_stats
+from lacuna.functions.setstats import STATS, fingerprint, merge_stats, object_stats
 from lacuna.operators.sets import distinct_family, refine
-from lacuna.plans.tuning import broadcast_if_small, cut_lineage
+from lacuna.plans.tuning import BROADCAST_ROWS, cut_lineage
 
 
 def patterns(pdf: DataFrame, attrs: list[str]) -> DataFrame:
@@ -37,7 +37,13 @@ def pattern_units(pdf: DataFrame, attrs: list[str]) -> DataFrame:
     return pdf.select(F.struct(*attrs).alias("u"), "obj")
 
 
-def value_membership(pats: DataFrame, attr: str, kind: str) -> DataFrame:
+def domain_sizes(pats: DataFrame, attrs: list[str]) -> dict[str, int]:
+    """Distinct values (``'*'`` included) per attribute: one job over the patterns."""
+    row = pats.agg(*[F.countDistinct(a).alias(a) for a in attrs]).collect()[0]
+    return {a: int(row[a]) for a in attrs}
+
+
+def value_membership(pats: DataFrame, attr: str, kind: str, dom_size: int | None = None) -> DataFrame:
     """Family of one attribute over pattern units: ``(cid, u, stats)``.
 
     certain: a pattern joins the class of its value, missing patterns none.
@@ -50,7 +56,9 @@ def value_membership(pats: DataFrame, attr: str, kind: str) -> DataFrame:
     values = pats.select(F.col(attr).alias("value")).distinct()
     vmap = values.where(F.col("value") != F.lit(MISSING)).select(F.col("value").alias("key"), "value") \
         .unionByName(values.select(F.lit(MISSING).alias("key"), "value"))
-    vmap = broadcast_if_small(vmap)
+    # the map has at most 2 * |dom| rows; broadcast only under the measured bound
+    if dom_size is not None and 2 * dom_size <= BROADCAST_ROWS:
+        vmap = F.broadcast(vmap)
     return base.join(vmap, "key").select(F.col("value").alias("cid"), "u", *STATS)
 
 
@@ -60,20 +68,82 @@ def aggregate_certain(pats: DataFrame, attrs: list[str]) -> DataFrame:
     return comp.select(fingerprint().alias("cid"), F.col("pid").alias("u"), *STATS)
 
 
-def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True) -> DataFrame:
+# Fold steps between two lineage cuts.
+CUT_EVERY = 3
+# The expansion is used while its rows stay under
+# EXPAND_FACTOR * patterns + EXPAND_MIN; above, the fold (dedupe per step).
+EXPAND_FACTOR = 16
+EXPAND_MIN = 1_000_000
+
+
+def expansion_estimate(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dict[str, int]]:
+    """(rows of the one-pass expansion, number of patterns, domain sizes).
+
+    A pattern missing on a joins every value of a and the missing block:
+    ``|dom(a)| + 1`` = distinct values of the column, ``'*'`` included.  Two
+    small jobs over the (materialised) patterns.
+    """
+    dom = domain_sizes(pats, attrs)
+    factor = F.lit(1.0)
+    for a in attrs:
+        factor = factor * F.when(F.col(a) == F.lit(MISSING), F.lit(float(dom[a]))).otherwise(F.lit(1.0))
+    row = pats.agg(F.sum(factor).alias("rows"), F.count(F.lit(1)).alias("n")).collect()[0]
+    return int(row["rows"] or 0), int(row["n"]), dom
+
+
+def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str, int] | None = None) -> DataFrame:
+    """maxA in one pass: each pattern is expanded to every value tuple whose
+    possible block holds it (equi-joins with the per-attribute value maps),
+    tuples are grouped once, and equal blocks are merged by fingerprint."""
+    dom = dom or {}
+    rows = pats.select("pid", *attrs, *STATS)
+    for a in attrs:
+        vm = value_membership(pats, a, "possible", dom.get(a)).select(F.col("cid").alias(f"_t_{a}"), "u")
+        rows = rows.join(vm.withColumnRenamed("u", "pid"), "pid")
+    tup = F.struct(*[F.col(f"_t_{a}") for a in attrs]).alias("tup")
+    rows = rows.select(tup, F.col("pid").alias("u"), *STATS)
+    fp = rows.groupBy("tup").agg(*merge_stats()).select(F.col("tup").alias("t"), fingerprint().alias("cid"))
+    return rows.join(fp, rows["tup"] == fp["t"]).select("cid", "u", *STATS).distinct()
+
+
+def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
+                       method: str = "auto", broadcast_domains: bool = True) -> DataFrame:
     """maxA: distinct non-empty intersections of one possible class per attribute.
 
     Left fold of ``refine`` with dedupe per step.  The possible classes of a
     single attribute are already distinct (each P(v) holds its own C(v)).
+    ``pats`` should be materialised (it is read once per attribute).  Every
+    ``CUT_EVERY`` steps the family is written to the checkpoint folder, so
+    a long fold neither grows its plan nor recomputes from the start.
+
+    ``method='auto'`` first estimates the one-pass expansion
+    (``expansion_estimate``) and uses it when bounded, else folds.
+
+    The value maps joined per attribute hold at most ``2 * |dom|`` rows; the
+    domains are measured in one job and a map is broadcast only below
+    ``BROADCAST_ROWS``.  Otherwise (or with ``broadcast_domains=False``) the
+    strategy is AQE's: it broadcasts after measuring the map at runtime, or
+    keeps the shuffle join and splits the hot ``'*'`` key.
     """
     if not attrs:
         raise ValueError("need at least one attribute")
-    fam = value_membership(pats, attrs[0], "possible")
+    if method not in ("auto", "fold", "expand"):
+        raise ValueError(f"method must be auto, fold or expand, got {method!r}")
+    dom = {a: None for a in attrs}
+    if len(attrs) > 1 and method in ("auto", "expand"):
+        est, n_pats, dom = expansion_estimate(pats, attrs)
+        if method == "expand" or est <= EXPAND_FACTOR * n_pats + EXPAND_MIN:
+            return aggregate_possible_expand(pats, attrs, dom if broadcast_domains else None)
+    elif broadcast_domains:
+        dom = domain_sizes(pats, attrs)
+    if not broadcast_domains:
+        dom = {a: None for a in attrs}
+    fam = value_membership(pats, attrs[0], "possible", dom[attrs[0]])
     if len(attrs) == 1:
         return distinct_family(fam)
     for i, a in enumerate(attrs[1:], start=2):
-        fam = refine(fam, value_membership(pats, a, "possible"))
-        if cut:
+        fam = refine(fam, value_membership(pats, a, "possible", dom[a]))
+        if cut and i < len(attrs) and (i - 1) % CUT_EVERY == 0:
             fam = cut_lineage(fam, tag=f"fold{i}")
     return fam
 

@@ -36,6 +36,7 @@ from lacuna.functions.missing import is_complete
 from lacuna.functions.setstats import FINGERPRINT, STATS, fingerprint, merge_stats, object_stats
 from lacuna.operators.aggregate import aggregate_possible, pattern_units, patterns
 from lacuna.operators.sets import as_family, containment_join, distinct_family, family_stats
+from lacuna.plans.tuning import cut_lineage
 
 KINDS = ("CL", "CU", "PL", "PU", "PUr")
 
@@ -58,21 +59,38 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
     """Shared intermediate frames of the fast path.
 
     ``pdf`` is prepared (``obj`` + normalized attributes).  ``targets`` is
-    either the name of a decision column of ``pdf`` (no join needed) or a
-    ``(d, obj)`` DataFrame of possibly overlapping targets.
+    either the name of a decision column of ``pdf`` or a ``(d, obj)``
+    DataFrame of possibly overlapping targets.
+
+    Object-level work is one aggregation: per (target, pattern) stats,
+    written once to the checkpoint folder.  With a decision column the
+    pattern stats are merged from it (the targets partition the objects), so
+    the table is scanned once; everything after runs on patterns.
     """
     units = pattern_units(pdf, attrs)
     if isinstance(targets, str):
         xo = pdf.select(F.col(targets).cast("string").alias("d"), F.struct(*attrs).alias("u"), "obj")
+        by_dt = xo.groupBy("d", "u").agg(*object_stats("obj"))
+        by_dt = cut_lineage(by_dt, tag="xp") if cut else by_dt
+        xp = by_dt.where(F.col("d").isNotNull())
+        pstats = by_dt.groupBy("u").agg(*merge_stats())
     else:
         x = targets.select(F.col("d").cast("string").alias("d"), F.col("obj").cast("bigint").alias("obj")).distinct()
         xo = x.join(units, "obj").select("d", "u", "obj")
-    xp = xo.groupBy("d", "u").agg(*object_stats("obj"))
-    pats = patterns(pdf, attrs).withColumnRenamed("pid", "u")
+        xp = xo.groupBy("d", "u").agg(*object_stats("obj"))
+        pstats = units.groupBy("u").agg(*object_stats("obj"))
+        if cut:
+            xp = cut_lineage(xp, tag="xp")
+            pstats = cut_lineage(pstats, tag="pats")
+    pats = pstats.select("u", *[F.col("u")[a].alias(a) for a in attrs], *STATS)
     comp = pats.where(is_complete(attrs)).select("u", *STATS)
     fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut)
-    maxst = family_stats(fam)
+    if cut:  # read by every kind: write it once (pattern-level)
+        fam = cut_lineage(fam, tag="maxa")
     mx = fam.select("cid", "u").join(xp, "u").groupBy("cid", "d").agg(*merge_stats())
+    if cut:
+        mx = cut_lineage(mx, tag="mx")
+    maxst = family_stats(fam)
     xpc = xp.join(comp.select("u", F.col("n").alias("cn")), "u")
     inside = xpc.where(F.col("n") == F.col("cn")).select("d", "u")
     link = fam.select("cid", "u").join(comp.select("u"), "u")
@@ -145,8 +163,9 @@ def general_sets(min_long: DataFrame, max_long: DataFrame, targets: DataFrame) -
     candidates + counts).  Input duplicates are removed by content; empty
     sets cannot occur in long form.
     """
-    mn = distinct_family(as_family(min_long))
-    mx = distinct_family(as_family(max_long))
+    # each family is read by several joins below: dedupe and write it once
+    mn = cut_lineage(distinct_family(as_family(min_long)), tag="minf")
+    mx = cut_lineage(distinct_family(as_family(max_long)), tag="maxf")
     xf = targets.select(F.col("d").cast("string").alias("d"), F.col("obj").cast("bigint").alias("u")).distinct()
     minst = family_stats(mn)
     maxst = family_stats(mx)

@@ -18,6 +18,7 @@ from lacuna.operators import classes as _classes
 from lacuna.operators.aggregate import aggregate as _aggregate
 from lacuna.operators.aggregate import aggregate_status, pattern_units, patterns
 from lacuna.operators.sets import family_members, family_stats
+from lacuna.plans.tuning import cut_lineage
 
 
 def classes(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
@@ -34,6 +35,8 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
     """
     pdf = _classes.prepare(df, obj, attrs)
     pats = patterns(pdf, attrs)
+    if kind == "possible":
+        pats = cut_lineage(pats, tag="pats")  # read once per attribute by the fold
     fam = _aggregate(pats, attrs, kind)
     if members:
         return family_members(fam, pattern_units(pdf, attrs)).withColumnRenamed("cid", "class_id")

@@ -26,6 +26,13 @@ F3 = """t3 AS (SELECT p_partkey AS obj,
   CASE WHEN p_partkey % 2 = 1 THEN '*' ELSE p_brand END AS a2
 FROM part)"""
 
+F4 = """t AS (SELECT o_orderkey AS obj,
+  CASE WHEN o_orderkey % 7 = 3 THEN '*' ELSE o_orderstatus END AS a1,
+  CASE WHEN o_orderkey % 11 = 5 THEN '*' ELSE o_orderpriority END AS a2,
+  CASE WHEN o_orderkey % 13 = 7 THEN '*' ELSE CAST(o_custkey % 4 AS VARCHAR) END AS a3,
+  CASE WHEN o_totalprice >= 250000 THEN 'big' ELSE 'small' END AS d
+FROM orders)"""
+
 CELLS = """cells AS (
   SELECT 1 AS attr, a1 AS value, obj FROM t UNION ALL
   SELECT 2, a2, obj FROM t UNION ALL
@@ -147,6 +154,8 @@ FROM allk g GROUP BY d, kind"""
   CAST(SUM(obj % {M1}) AS BIGINT) AS s1, CAST(SUM((obj % {M2}) * (obj % {M2})) AS BIGINT) AS s2
 FROM cells GROUP BY attr, value"""
     q["read_targets"] = with_(F2) + "SELECT d, obj FROM t"
+    q["orders_aggregate_possible"] = with_(F4, MAXA) + digest("maxa", [])
+    q["orders_summary"] = q["approximation_summary"].replace(F2, F4)
     q["read_numbered"] = with_(F2) + "SELECT ROW_NUMBER() OVER (ORDER BY obj) AS obj, a1, a2, a3, d FROM t"
     q["compact"] = q["unpivot"]
     q["sequencefile_roundtrip"] = q["equivalence_classes"]

@@ -16,7 +16,7 @@ from lacuna.operators.sets import (as_family, containment_join, family_stats, in
                                    set_membership)
 from lacuna.plans import end_to_end as E
 from lacuna.plans import fixtures as fx
-from lacuna.plans.tuning import scratch_path
+from lacuna.plans.tuning import cut_lineage, scratch_path
 from lacuna.sources import pairs as P
 from lacuna.sources import sinks as S
 from lacuna.sources import text as T
@@ -76,7 +76,7 @@ def q_aggregate_possible(spark, sf):
 
 def q_merge_partials(spark, sf):
     """fold({a1, a2}) merged with fold({a3}) over the same pattern units."""
-    pats = patterns(C.prepare(fx.f2(spark, sf), "obj", A), A)
+    pats = cut_lineage(patterns(C.prepare(fx.f2(spark, sf), "obj", A), A), tag="pats")
     f12 = aggregate_possible(pats, ["a1", "a2"])
     f3 = aggregate_possible(pats, ["a3"])
     return family_stats(refine(f12, f3)).select(*DIGEST)
@@ -169,6 +169,15 @@ def q_read_targets(spark, sf):
     return P.read_targets(spark, path)
 
 
+def q_orders_aggregate_possible(spark, sf):
+    """F4 (orders): few, large classes."""
+    return E.aggregate(fx.f4(spark, sf), "obj", fx.F4_ATTRS, "possible", members=False).select(*DIGEST)
+
+
+def q_orders_summary(spark, sf):
+    return E.summary(fx.f4(spark, sf), "obj", fx.F4_ATTRS, "d")
+
+
 # --- file round trips -------------------------------------------------------
 
 def q_read_numbered(spark, sf):
@@ -237,6 +246,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nway_intersection": q_nway_intersection,
     "codec_roundtrip": q_codec_roundtrip,
     "read_targets": q_read_targets,
+    "orders_aggregate_possible": q_orders_aggregate_possible,
+    "orders_summary": q_orders_summary,
     "read_numbered": q_read_numbered,
     "compact": q_compact,
     "sequencefile_roundtrip": q_sequencefile_roundtrip,
