@@ -55,6 +55,48 @@ class FastParts:
     units: DataFrame    # u, obj
 
 
+@dataclass
+class TableParts:
+    """Target-independent frames: computed once per (table, attributes)."""
+    pats: DataFrame     # u, attrs, stats
+    comp: DataFrame     # complete patterns: u, stats
+    fam: DataFrame      # maxA over pattern units
+    maxst: DataFrame    # cid, stats
+    link: DataFrame     # u, cid for complete patterns
+    units: DataFrame    # u, obj
+
+
+def table_parts(pats: DataFrame, attrs: list[str], units: DataFrame, cut: bool = True) -> TableParts:
+    comp = pats.where(is_complete(attrs)).select("u", *STATS)
+    fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut)
+    if cut:  # read by every kind: write it once (pattern-level)
+        fam = cut_lineage(fam, tag="maxa")
+    maxst = family_stats(fam)
+    link = fam.select("cid", "u").join(comp.select("u"), "u")
+    return TableParts(pats, comp, fam, maxst, link, units)
+
+
+def target_parts(tp: TableParts, xo: DataFrame, xp: DataFrame, cut: bool = True) -> FastParts:
+    """Frames that depend on the targets (``xo``: d, u, obj; ``xp``: per (d, u) stats)."""
+    mx = tp.fam.select("cid", "u").join(xp, "u").groupBy("cid", "d").agg(*merge_stats())
+    if cut:
+        mx = cut_lineage(mx, tag="mx")
+    xpc = xp.join(tp.comp.select("u", F.col("n").alias("cn")), "u")
+    inside = xpc.where(F.col("n") == F.col("cn")).select("d", "u")
+    return FastParts(tp.pats, tp.comp, xo, xp, tp.fam, tp.maxst, mx, inside, tp.link, tp.units)
+
+
+def external_targets(units: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(xo, xp)`` for a ``(d, obj)`` target DataFrame (equi-join on obj)."""
+    x = targets.select(F.col("d").cast("string").alias("d"), F.col("obj").cast("bigint").alias("obj")).distinct()
+    xo = x.join(units, "obj").select("d", "u", "obj")
+    return xo, xo.groupBy("d", "u").agg(*object_stats("obj"))
+
+
+def with_attrs(pstats: DataFrame, attrs: list[str]) -> DataFrame:
+    return pstats.select("u", *[F.col("u")[a].alias(a) for a in attrs], *STATS)
+
+
 def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut: bool = True) -> FastParts:
     """Shared intermediate frames of the fast path.
 
@@ -75,26 +117,13 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
         xp = by_dt.where(F.col("d").isNotNull())
         pstats = by_dt.groupBy("u").agg(*merge_stats())
     else:
-        x = targets.select(F.col("d").cast("string").alias("d"), F.col("obj").cast("bigint").alias("obj")).distinct()
-        xo = x.join(units, "obj").select("d", "u", "obj")
-        xp = xo.groupBy("d", "u").agg(*object_stats("obj"))
+        xo, xp = external_targets(units, targets)
         pstats = units.groupBy("u").agg(*object_stats("obj"))
         if cut:
             xp = cut_lineage(xp, tag="xp")
             pstats = cut_lineage(pstats, tag="pats")
-    pats = pstats.select("u", *[F.col("u")[a].alias(a) for a in attrs], *STATS)
-    comp = pats.where(is_complete(attrs)).select("u", *STATS)
-    fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut)
-    if cut:  # read by every kind: write it once (pattern-level)
-        fam = cut_lineage(fam, tag="maxa")
-    mx = fam.select("cid", "u").join(xp, "u").groupBy("cid", "d").agg(*merge_stats())
-    if cut:
-        mx = cut_lineage(mx, tag="mx")
-    maxst = family_stats(fam)
-    xpc = xp.join(comp.select("u", F.col("n").alias("cn")), "u")
-    inside = xpc.where(F.col("n") == F.col("cn")).select("d", "u")
-    link = fam.select("cid", "u").join(comp.select("u"), "u")
-    return FastParts(pats, comp, xo, xp, fam, maxst, mx, inside, link, units)
+    tp = table_parts(with_attrs(pstats, attrs), attrs, units, cut=cut)
+    return target_parts(tp, xo, xp, cut=cut)
 
 
 def _dedupe(sets: DataFrame, keys: list[str], loc: str) -> DataFrame:

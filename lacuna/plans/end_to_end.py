@@ -44,9 +44,17 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
 
 
 def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") -> DataFrame:
+    """``(attrs, status)``: ``not_exist`` when the aggregated family is empty.
+
+    maxA is empty only for an empty table (every object lies in the block of
+    its own pattern), so the possible status needs no aggregation.
+    """
     pdf = _classes.prepare(df, obj, attrs)
+    label = ",".join(str(i + 1) for i in range(len(attrs)))
+    if kind == "possible":
+        return aggregate_status(pdf.select(F.col("obj").alias("u")), label)
     fam = _aggregate(patterns(pdf, attrs), attrs, kind)
-    return aggregate_status(fam, ",".join(str(i + 1) for i in range(len(attrs))))
+    return aggregate_status(fam, label)
 
 
 def _parts(df, obj, attrs, targets):

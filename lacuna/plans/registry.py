@@ -110,11 +110,14 @@ def _families(spark, sf):
     t = fx.f2(spark, sf)
     mn = E.aggregate(t, "obj", A, "certain", members=True)
     mx = E.aggregate(t, "obj", A, "possible", members=True)
-    return t, mn, mx
+    # read by several joins each: write both families once
+    return t, cut_lineage(mn, tag="minf"), cut_lineage(mx, tag="maxf")
 
 
 def q_approximate_families(spark, sf):
-    t, mn, mx = _families(spark, sf)
+    t = fx.f2(spark, sf)
+    mn = E.aggregate(t, "obj", A, "certain", members=True)
+    mx = E.aggregate(t, "obj", A, "possible", members=True)
     return E.approximate_families(mn, mx, C.decision_classes(t, "obj", "d"))
 
 
