@@ -73,3 +73,8 @@ def explode_family(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """Rows holding a family string -> ``(keep..., set_no, obj)``; blank sets vanish."""
     sets = df.select(*keep, F.posexplode(F.split(F.col(col), _regex(SET_SEP), -1)).alias("set_no", "s"))
     return sets.select(*keep, "set_no", F.explode(decode_ids("s")).alias("obj"))
+
+
+def parse_attribute_list(spec: str) -> list[int]:
+    """SCL-5: ``'1,10,12'`` -> ``[1, 10, 12]`` (1-based attribute ordinals)."""
+    return [int(x) for x in spec.replace(" ", "").split(ID_SEP) if x]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.setstats import STATS, fingerprint, merge_stats, stat_cols, unit_stats
+from lacuna.functions.setstats import FINGERPRINT, STATS, fingerprint, merge_stats, stat_cols, unit_stats
 
 
 def as_family(long_df: DataFrame, class_col: str = "class_id", obj_col: str = "obj") -> DataFrame:
@@ -93,6 +93,28 @@ def intersect_sets(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return hits.join(k, "group_id").where(F.col("m") == F.col("k")).select("group_id", "obj")
 
 
+def union_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """SET-1 in long form: ``(set_id, obj)`` rows of two sets with one id."""
+    return a.select("set_id", "obj").unionByName(b.select("set_id", "obj")).distinct()
+
+
+def intersect_two(a: DataFrame, b: DataFrame) -> DataFrame:
+    """SET-2 in long form: objects of set ``a`` also in ``b`` (semi-join on obj)."""
+    return a.select("set_id", "obj").join(b.select("obj").distinct(), "obj", "left_semi")
+
+
+def distinct_sets(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-5 on set rows ``(keys..., stats)``: one row per distinct set per key."""
+    return sets.groupBy(*keys, *FINGERPRINT).agg(
+        F.first("hi").alias("hi"), F.first("s1").alias("s1"), F.first("s2").alias("s2")
+    ).select(*keys, *STATS)
+
+
+def order_by_size(sets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """SRT-2: sets by size ascending; smallest member breaks ties (deterministic)."""
+    return sets.orderBy(*(keys or []), "n", "lo")
+
+
 def family_members(fam: DataFrame, units: DataFrame) -> DataFrame:
     """Expand a unit-level family to objects through ``units (u, obj)``."""
     return fam.select("cid", "u").join(units.select("u", "obj"), "u").select("cid", "obj")

@@ -82,3 +82,16 @@ def test_sequencefile_and_compact(spark):
     spark.range(0, 5000).repartition(10).write.parquet(os.path.join(d, "parts"))
     out = S.compact(spark, os.path.join(d, "parts"), os.path.join(d, "one"), target_bytes=1 << 30)
     assert out.count() == 5000 and out.rdd.getNumPartitions() == 1
+
+
+def test_array_set_functions(spark):
+    from lacuna.functions import setops as so
+
+    df = spark.createDataFrame([([3, 1, 2], [2, 4], [[2, 1], [4]])], "a array<bigint>, b array<bigint>, f array<array<bigint>>")
+    r = df.select(so.set_union("a", "b").alias("u"), so.set_intersect("a", "b").alias("i"),
+                  so.set_contains("a", F.array(F.lit(1).cast("bigint"))).alias("c"),
+                  so.set_contains("b", "a").alias("nc"),
+                  so.set_in_family(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")), "f").alias("m"),
+                  so.set_intersect_all(F.array("a", "b")).alias("all")).collect()[0]
+    assert r["u"] == [1, 2, 3, 4] and r["i"] == [2] and r["c"] and not r["nc"] and r["m"] and r["all"] == [2]
+    assert codec.parse_attribute_list("1,10,12") == [1, 10, 12]
