@@ -36,7 +36,7 @@ from lacuna.functions.missing import is_complete
 from lacuna.functions.setstats import FINGERPRINT, STATS, fingerprint, merge_stats, object_stats
 from lacuna.operators.aggregate import aggregate_possible, pattern_units, patterns
 from lacuna.operators.sets import as_family, containment_join, distinct_family, family_stats
-from lacuna.plans.tuning import cut_lineage
+from lacuna.plans.tuning import cut_lineage, split_hot_join
 
 KINDS = ("CL", "CU", "PL", "PU", "PUr")
 
@@ -157,9 +157,10 @@ def fast_members(p: FastParts, sets: dict[str, DataFrame]) -> DataFrame:
         else:
             locs = s.select("d", "class_id", "cid").join(p.fam.select("cid", "u"), "cid").select("d", "class_id", "u")
         if kind in ("CU", "PL", "PUr"):
-            m = locs.join(p.xo, ["d", "u"]).select("d", "class_id", "obj")
+            m = split_hot_join(locs, p.xo, ["d", "u"], p.xp.select("d", "u", "n"))
         else:
-            m = locs.join(p.units, "u").select("d", "class_id", "obj")
+            m = split_hot_join(locs, p.units, ["u"], p.pats.select("u", "n"))
+        m = m.select("d", "class_id", "obj")
         out.append(m.select(F.lit(kind).alias("kind"), "d", "class_id", "obj"))
     res = out[0]
     for m in out[1:]:

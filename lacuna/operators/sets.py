@@ -116,8 +116,16 @@ def order_by_size(sets: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def family_members(fam: DataFrame, units: DataFrame) -> DataFrame:
-    """Expand a unit-level family to objects through ``units (u, obj)``."""
-    return fam.select("cid", "u").join(units.select("u", "obj"), "u").select("cid", "obj")
+    """Expand a unit-level family to objects through ``units (u, obj)``.
+
+    Object-level join on the unit key; a unit holding very many objects is
+    split over several tasks (``split_hot_join``, sizes from the family's
+    own unit stats).
+    """
+    from lacuna.plans.tuning import split_hot_join
+
+    sizes = fam.select("u", "n").distinct()
+    return split_hot_join(fam.select("cid", "u"), units.select("u", "obj"), ["u"], sizes).select("cid", "obj")
 
 
 def set_rows(fam: DataFrame) -> DataFrame:

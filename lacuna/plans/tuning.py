@@ -29,6 +29,36 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+# Objects per task for one hot key, and the most hot keys ever broadcast.
+SPLIT_ROWS = 2_000_000
+HOT_KEYS = 200_000
+
+
+def split_hot_join(small: DataFrame, big: DataFrame, keys: list[str], sizes: DataFrame,
+                   rows_per_split: int = SPLIT_ROWS, max_hot: int = HOT_KEYS) -> DataFrame:
+    """Inner equi-join of a key-level ``small`` side with an object-level
+    ``big`` side (column ``obj``) whose keys may be hot.
+
+    ``sizes`` gives the exact number of ``big`` rows per key (``keys..., n``).
+    A key with more than ``t`` rows is split into ``ceil(n / t)`` parts: its
+    big rows get the salt ``pmod(xxhash64(obj), k)`` and its small rows are
+    repeated once per salt, so one key's rows spread over ``k`` tasks.  The
+    threshold is ``t = max(rows_per_split, total / max_hot)``, so at most
+    ``max_hot`` keys are hot: that bounded list is what gets broadcast.
+    """
+    total = sizes.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
+    t = max(rows_per_split, -(-int(total) // max_hot))
+    hot = sizes.where(F.col("n") > t).select(*keys, F.ceil(F.col("n") / t).cast("int").alias("_k"))
+    hot = F.broadcast(hot)
+    b = big.join(hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("obj"), F.col("_k")))
+    ).drop("_k")
+    s = small.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_k"), F.lit(1)) - 1))
+    ).drop("_k")
+    return s.join(b, [*keys, "_salt"]).drop("_salt")
+
+
 def _checkpoint_root(spark: SparkSession) -> str | None:
     sc = spark.sparkContext
     root = sc.getCheckpointDir()

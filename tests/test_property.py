@@ -88,3 +88,23 @@ def test_attribute_order_does_not_matter(spark):
     a = approximate(df, "obj", ["a1", "a2", "a3"], x).collect()
     b = approximate(df, "obj", ["a3", "a1", "a2"], x).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_hot_key_split_keeps_every_row(spark, monkeypatch):
+    """Force every pattern to be 'hot' and check members are unchanged."""
+    from lacuna.plans import tuning
+
+    rng = random.Random(11)
+    rows, targets = random_table(rng, 12, 2, 0.3)
+    df, x = to_frames(spark, rows, 2, targets)
+    want = _sets(approximate(df, "obj", ["a1", "a2"], x, members=True))
+    orig = tuning.split_hot_join
+
+    def tiny(small, big, keys, sizes, rows_per_split=1, max_hot=10**9):
+        return orig(small, big, keys, sizes, rows_per_split=1, max_hot=max_hot)
+
+    monkeypatch.setattr(tuning, "split_hot_join", tiny)
+    import lacuna.operators.approx as ap
+    monkeypatch.setattr(ap, "split_hot_join", tiny)
+    got = _sets(approximate(df, "obj", ["a1", "a2"], x, members=True))
+    assert got == want == approximations(rows, 2, targets)
