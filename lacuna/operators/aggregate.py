@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.missing import MISSING, is_complete
 from lacuna.functions.setstats import STATS, fingerprint, merge_stats, object_stats
 from lacuna.operators.sets import distinct_family, refine
-from lacuna.plans.tuning import BROADCAST_ROWS, cut_lineage
+from lacuna.plans.tuning import BROADCAST_ROWS, cut_lineage, split_hot_join
 
 
 def patterns(pdf: DataFrame, attrs: list[str]) -> DataFrame:
@@ -58,8 +58,15 @@ def value_membership(pats: DataFrame, attr: str, kind: str, dom_size: int | None
         .unionByName(values.select(F.lit(MISSING).alias("key"), "value"))
     # the map has at most 2 * |dom| rows; broadcast only under the measured bound
     if dom_size is not None and 2 * dom_size <= BROADCAST_ROWS:
-        vmap = F.broadcast(vmap)
-    return base.join(vmap, "key").select(F.col("value").alias("cid"), "u", *STATS)
+        j = base.join(F.broadcast(vmap), "key")
+    elif dom_size is not None:
+        # large domain: patterns missing on attr all share the '*' key; split it
+        sizes = base.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        j = split_hot_join(vmap.withColumnRenamed("key", "_key"), base, ["key"], sizes,
+                           small_keys=["_key"], salt="u")
+    else:
+        j = base.join(vmap, "key")  # AQE: runtime broadcast or skew split
+    return j.select(F.col("value").alias("cid"), "u", *STATS)
 
 
 def aggregate_certain(pats: DataFrame, attrs: list[str]) -> DataFrame:

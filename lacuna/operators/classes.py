@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.missing import MISSING, normalize
 from lacuna.functions.setstats import object_stats
-from lacuna.plans.tuning import broadcast_if_small
+from lacuna.plans.tuning import BROADCAST_ROWS, split_hot_join
 
 
 def prepare(df: DataFrame, obj: str, attrs: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -52,15 +52,15 @@ def certain_classes(cells: DataFrame) -> DataFrame:
 
 
 def _possible_value_map(cells: DataFrame) -> DataFrame:
-    """(attr, key, value): which possible classes a cell with ``key`` joins.
+    """(attr_m, key, value): which possible classes a cell with ``key`` joins.
 
     A regular value v joins only P(v); the missing marker joins every P(v) of
     its attribute and the missing block itself (value ``'*'``).
     """
     values = cells.select("attr", "value").distinct()
     regular = values.where(F.col("value") != F.lit(MISSING)) \
-        .select("attr", F.col("value").alias("key"), "value")
-    from_missing = values.select("attr", F.lit(MISSING).alias("key"), "value")
+        .select(F.col("attr").alias("attr_m"), F.col("value").alias("key"), "value")
+    from_missing = values.select(F.col("attr").alias("attr_m"), F.lit(MISSING).alias("key"), "value")
     return regular.unionByName(from_missing)
 
 
@@ -72,12 +72,16 @@ def possible_classes(cells: DataFrame) -> DataFrame:
     joined by shuffle where AQE splits the hot ``'*'`` key.  An attribute
     without missing cells gets no ``'*'`` class (empty sets have no rows).
     """
-    vmap = broadcast_if_small(_possible_value_map(cells))
-    j = cells.alias("c").join(
-        vmap.alias("m"),
-        (F.col("c.attr") == F.col("m.attr")) & (F.col("c.value") == F.col("m.key")),
-    )
-    return j.select(F.col("c.attr").alias("attr"), F.col("m.value").alias("value"), F.col("c.obj").alias("obj"))
+    vmap = _possible_value_map(cells)
+    if vmap.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        j = cells.join(F.broadcast(vmap.withColumnRenamed("value", "v")),
+                       (cells["attr"] == F.col("attr_m")) & (cells["value"] == F.col("key")))
+        return j.select("attr", F.col("v").alias("value"), "obj")
+    # large domains: the ('*') key of an attribute may hold most rows; split it
+    sizes = cells.groupBy("attr", "value").agg(F.count(F.lit(1)).alias("n"))
+    j = split_hot_join(vmap.withColumnRenamed("value", "v"), cells, ["attr", "value"], sizes,
+                       small_keys=["attr_m", "key"])
+    return j.select("attr", F.col("v").alias("value"), "obj")
 
 
 def classes(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:

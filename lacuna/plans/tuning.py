@@ -35,9 +35,12 @@ HOT_KEYS = 200_000
 
 
 def split_hot_join(small: DataFrame, big: DataFrame, keys: list[str], sizes: DataFrame,
-                   rows_per_split: int = SPLIT_ROWS, max_hot: int = HOT_KEYS) -> DataFrame:
-    """Inner equi-join of a key-level ``small`` side with an object-level
-    ``big`` side (column ``obj``) whose keys may be hot.
+                   rows_per_split: int = SPLIT_ROWS, max_hot: int = HOT_KEYS,
+                   small_keys: list[str] | None = None, salt: str = "obj") -> DataFrame:
+    """Inner equi-join of a key-level ``small`` side with a ``big`` side
+    whose keys may be hot (``salt`` is a big-side column that varies within
+    a key, e.g. the object id).  ``small_keys`` names the small side's key
+    columns when they differ from ``keys``; the result keeps big's names.
 
     ``sizes`` gives the exact number of ``big`` rows per key (``keys..., n``).
     A key with more than ``t`` rows is split into ``ceil(n / t)`` parts: its
@@ -51,8 +54,11 @@ def split_hot_join(small: DataFrame, big: DataFrame, keys: list[str], sizes: Dat
     hot = sizes.where(F.col("n") > t).select(*keys, F.ceil(F.col("n") / t).cast("int").alias("_k"))
     hot = F.broadcast(hot)
     b = big.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("obj"), F.col("_k")))
+        "_salt", F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(salt), F.col("_k")))
     ).drop("_k")
+    if small_keys is not None:
+        small = small.select(*[F.col(sk).alias(k) for sk, k in zip(small_keys, keys)],
+                             *[c for c in small.columns if c not in small_keys])
     s = small.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_k"), F.lit(1)) - 1))
     ).drop("_k")

@@ -108,3 +108,29 @@ def test_hot_key_split_keeps_every_row(spark, monkeypatch):
     monkeypatch.setattr(ap, "split_hot_join", tiny)
     got = _sets(approximate(df, "obj", ["a1", "a2"], x, members=True))
     assert got == want == approximations(rows, 2, targets)
+
+
+def test_large_domain_paths_split_the_missing_key(spark, monkeypatch):
+    """Force the non-broadcast value-map joins and tiny splits: same sets."""
+    from lacuna.plans import tuning
+    import lacuna.operators.aggregate as ag
+    import lacuna.operators.classes as cl
+
+    rng = random.Random(5)
+    rows, targets = random_table(rng, 12, 3, 0.4)
+    df, x = to_frames(spark, rows, 3, targets)
+    cells = C.unpivot(df, "obj", ["a1", "a2", "a3"])
+    want_pos = sorted(map(tuple, C.possible_classes(cells).collect()))
+    orig = tuning.split_hot_join
+
+    def tiny(*a, **k):
+        k["rows_per_split"] = 1
+        return orig(*a, **k)
+
+    monkeypatch.setattr(ag, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(cl, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ag, "split_hot_join", tiny)
+    monkeypatch.setattr(cl, "split_hot_join", tiny)
+    assert sorted(map(tuple, C.possible_classes(cells).collect())) == want_pos
+    got = _sets(approximate(df, "obj", ["a1", "a2", "a3"], x, members=True))
+    assert got == approximations(rows, 3, targets)
