@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.missing import is_complete
 from lacuna.functions.setstats import FINGERPRINT, STATS, fingerprint, merge_stats, object_stats
 from lacuna.operators.aggregate import aggregate_possible, pattern_units, patterns
-from lacuna.operators.sets import as_family, containment_join, distinct_family, family_stats
+from lacuna.operators.sets import as_family, containment_join, family_stats
 from lacuna.plans.tuning import cut_lineage, split_hot_join
 
 KINDS = ("CL", "CU", "PL", "PU", "PUr")
@@ -190,12 +190,13 @@ def general_sets(min_long: DataFrame, max_long: DataFrame, targets: DataFrame) -
     """Approximations from caller-supplied families ``(class_id, obj)``.
 
     No lemma applies, so containment is tested explicitly (anchored
-    candidates + counts).  Input duplicates are removed by content; empty
-    sets cannot occur in long form.
+    candidates + counts).  Empty sets cannot occur in long form.
     """
-    # each family is read by several joins below: dedupe and write it once
-    mn = cut_lineage(distinct_family(as_family(min_long)), tag="minf")
-    mx = cut_lineage(distinct_family(as_family(max_long)), tag="maxf")
+    # Duplicate input sets need no dedupe here: every kind is deduped by
+    # content at the end and duplicates change no existence test.  Each
+    # family is read by several joins below, so it is written once.
+    mn = cut_lineage(as_family(min_long), tag="minf")
+    mx = cut_lineage(as_family(max_long), tag="maxf")
     xf = targets.select(F.col("d").cast("string").alias("d"), F.col("obj").cast("bigint").alias("u")).distinct()
     minst = family_stats(mn)
     maxst = family_stats(mx)

@@ -134,3 +134,20 @@ def test_large_domain_paths_split_the_missing_key(spark, monkeypatch):
     assert sorted(map(tuple, C.possible_classes(cells).collect())) == want_pos
     got = _sets(approximate(df, "obj", ["a1", "a2", "a3"], x, members=True))
     assert got == approximations(rows, 3, targets)
+
+
+def test_general_path_ignores_duplicate_input_sets(spark):
+    rng = random.Random(3)
+    rows, targets = random_table(rng, 9, 2, 0.3)
+    mn, mx = brute_aggregate(rows, 2, "certain"), brute_aggregate(rows, 2, "possible")
+    if not mn:
+        pytest.skip("no complete object")
+
+    def fam(fs, copies):
+        sets = [s for s in sorted(fs, key=sorted) for _ in range(copies)]
+        return spark.createDataFrame([(i, o) for i, s in enumerate(sets) for o in s], "class_id int, obj bigint")
+
+    x = spark.createDataFrame([(d, o) for d, s in targets.items() for o in s], "d string, obj bigint")
+    once = sorted(map(tuple, approximate_families(fam(mn, 1), fam(mx, 1), x).collect()))
+    twice = sorted(map(tuple, approximate_families(fam(mn, 2), fam(mx, 3), x).collect()))
+    assert once == twice
