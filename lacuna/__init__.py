@@ -5,6 +5,7 @@ from lacuna.plans.end_to_end import (  # noqa: F401
     approximate,
     approximate_families,
     classes,
+    estimate_possible,
     status,
     summary,
 )

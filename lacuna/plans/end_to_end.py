@@ -43,6 +43,18 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
     return family_stats(fam).select(F.col("cid").alias("class_id"), *DIGEST)
 
 
+def estimate_possible(df: DataFrame, obj: str, attrs: list[str]) -> dict:
+    """Cost of maxA before running it: rows of the one-pass expansion
+    (``Σ_p ∏ (|dom(a)|+1)`` over patterns missing on a), number of patterns,
+    distinct values per attribute, and the method ``aggregate`` would pick."""
+    from lacuna.operators.aggregate import EXPAND_FACTOR, EXPAND_MIN, expansion_estimate
+
+    pats = patterns(_classes.prepare(df, obj, attrs), attrs)
+    rows, n, dom = expansion_estimate(pats, attrs)
+    method = "expand" if len(attrs) > 1 and rows <= EXPAND_FACTOR * n + EXPAND_MIN else "fold"
+    return {"expansion_rows": rows, "patterns": n, "domains": dom, "method": method}
+
+
 def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") -> DataFrame:
     """``(attrs, status)``: ``not_exist`` when the aggregated family is empty.
 

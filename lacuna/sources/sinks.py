@@ -29,14 +29,22 @@ def write_sequencefile(df: DataFrame, path: str, key: str, value: str, codec: st
 
 
 def write_sets_text(members: DataFrame, path: str, keys: list[str], set_key: str,
-                    partition_by: str | None = "kind", width: int = DEFAULT_WIDTH) -> None:
+                    partition_by: str | None = "kind", width: int = DEFAULT_WIDTH,
+                    order_by_size: bool = False) -> None:
     """One text line per (set, block of ``width`` ids): ``keys.. <tab> set <tab> ids``.
 
     With ``partition_by`` each value of that column gets its own directory
     (``kind=CL`` ...), as one output per kind.  Large sets span several lines
     with the same set key; readers take the union.
     """
-    enc = encode_sets(members, [*keys, set_key] + ([partition_by] if partition_by else []), width=width)
+    group = [*keys, set_key] + ([partition_by] if partition_by else [])
+    enc = encode_sets(members, group, width=width)
+    if order_by_size:
+        # SRT-2: sets by size ascending, ties by set key, blocks in id order;
+        # a global sort (range partitioning), no single-task gather
+        sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+        enc = enc.join(sizes, group).orderBy(*([partition_by] if partition_by else []), *keys, "_n",
+                                             set_key, "part")
     line_cols = [F.col(k).cast("string") for k in keys] + [F.col(set_key).cast("string"), F.col("ids")]
     out = enc.select(F.concat_ws(FIELD_SEP, *line_cols).alias("value"),
                      *([partition_by] if partition_by else []))

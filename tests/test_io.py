@@ -95,3 +95,12 @@ def test_array_set_functions(spark):
                   so.set_intersect_all(F.array("a", "b")).alias("all")).collect()[0]
     assert r["u"] == [1, 2, 3, 4] and r["i"] == [2] and r["c"] and not r["nc"] and r["m"] and r["all"] == [2]
     assert codec.parse_attribute_list("1,10,12") == [1, 10, 12]
+
+
+def test_write_sets_text_ordered_by_size(spark):
+    d = tempfile.mkdtemp(prefix="lacuna-io-")
+    m = spark.createDataFrame([("A", "s1", 5), ("A", "s1", 6), ("A", "s1", 7), ("A", "s2", 1), ("B", "s3", 2),
+                               ("B", "s3", 3)], "kind string, set string, obj bigint")
+    S.write_sets_text(m, os.path.join(d, "out"), keys=[], set_key="set", partition_by="kind", order_by_size=True)
+    a = [r["value"] for r in spark.read.text(os.path.join(d, "out", "kind=A")).collect()]
+    assert a == ["s2\t1", "s1\t5,6,7"]

@@ -151,3 +151,27 @@ def test_general_path_ignores_duplicate_input_sets(spark):
     once = sorted(map(tuple, approximate_families(fam(mn, 1), fam(mx, 1), x).collect()))
     twice = sorted(map(tuple, approximate_families(fam(mn, 2), fam(mx, 3), x).collect()))
     assert once == twice
+
+
+def test_renaming_ids_and_adding_all_missing_object(spark):
+    """Metamorphic: ids renamed by a monotone map keep every set size; an
+    object missing everywhere joins every max block (and adds {z} when some
+    value tuple had no object) but no min block."""
+    rng = random.Random(21)
+    rows, targets = random_table(rng, 10, 2, 0.25)
+    base = approximations(rows, 2, targets)
+    renamed = {o * 7 + 3: v for o, v in rows.items()}
+    rtargets = {d: {o * 7 + 3 for o in s} for d, s in targets.items()}
+    df, x = to_frames(spark, renamed, 2, rtargets)
+    got = _sets(approximate(df, "obj", ["a1", "a2"], x, members=True))
+    assert {k: sorted(len(s) for s in v) for k, v in got.items()} == \
+           {k: sorted(len(s) for s in v) for k, v in base.items()}
+    z = max(rows) + 1
+    rows2 = dict(rows)
+    rows2[z] = ("*", "*")
+    mx1, mx2 = brute_aggregate(rows, 2, "possible"), brute_aggregate(rows2, 2, "possible")
+    assert {m | {z} for m in mx1} <= mx2 and all(z in m for m in mx2)
+    df2, _ = to_frames(spark, rows2, 2, targets)
+    from lacuna import aggregate as agg
+    got_mx = collect_sets(agg(df2, "obj", ["a1", "a2"], "possible").withColumn("k", F.lit(0)), ["k"])[(0,)]
+    assert got_mx == mx2
