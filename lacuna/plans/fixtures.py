@@ -73,6 +73,21 @@ def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+F5_ATTRS = ["a1", "a2", "a3"]
+
+
+def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events``: a high-cardinality attribute (user) next to small ones."""
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        k.alias("obj"),
+        _star_if(k % 17 == 4, F.col("event_type")).alias("a1"),
+        _star_if(k % 19 == 6, F.col("user_id").cast("string")).alias("a2"),
+        _star_if(k % 23 == 8, F.dayofmonth("ts").cast("string")).alias("a3"),
+        F.when(F.col("value") >= 50, F.lit("high")).otherwise(F.lit("low")).alias("d"),
+    )
+
+
 def f1(spark: SparkSession) -> DataFrame:
     """Golden micro table (tests only)."""
     rows = [(1, "a", "x", "yes"), (2, "a", "x", "yes"), (3, "a", "y", "no"), (4, "b", "y", "yes"),

@@ -33,6 +33,13 @@ F4 = """t AS (SELECT o_orderkey AS obj,
   CASE WHEN o_totalprice >= 250000 THEN 'big' ELSE 'small' END AS d
 FROM orders)"""
 
+F5 = """t AS (SELECT event_id AS obj,
+  CASE WHEN event_id % 17 = 4 THEN '*' ELSE event_type END AS a1,
+  CASE WHEN event_id % 19 = 6 THEN '*' ELSE CAST(user_id AS VARCHAR) END AS a2,
+  CASE WHEN event_id % 23 = 8 THEN '*' ELSE CAST(day(ts) AS VARCHAR) END AS a3,
+  CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS d
+FROM events)"""
+
 CELLS = """cells AS (
   SELECT 1 AS attr, a1 AS value, obj FROM t UNION ALL
   SELECT 2, a2, obj FROM t UNION ALL
@@ -156,6 +163,8 @@ FROM cells GROUP BY attr, value"""
     q["read_targets"] = with_(F2) + "SELECT d, obj FROM t"
     q["orders_aggregate_possible"] = with_(F4, MAXA) + digest("maxa", [])
     q["orders_summary"] = q["approximation_summary"].replace(F2, F4)
+    q["events_aggregate_possible"] = with_(F5, MAXA) + digest("maxa", [])
+    q["events_summary"] = q["approximation_summary"].replace(F2, F5)
     q["read_numbered"] = with_(F2) + "SELECT ROW_NUMBER() OVER (ORDER BY obj) AS obj, a1, a2, a3, d FROM t"
     q["compact"] = q["unpivot"]
     q["sequencefile_roundtrip"] = q["equivalence_classes"]

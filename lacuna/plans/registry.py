@@ -181,6 +181,15 @@ def q_orders_summary(spark, sf):
     return E.summary(fx.f4(spark, sf), "obj", fx.F4_ATTRS, "d")
 
 
+def q_events_aggregate_possible(spark, sf):
+    """F5 (events): high-cardinality attribute; maxA has many overlapping blocks."""
+    return E.aggregate(fx.f5(spark, sf), "obj", fx.F5_ATTRS, "possible", members=False).select(*DIGEST)
+
+
+def q_events_summary(spark, sf):
+    return E.summary(fx.f5(spark, sf), "obj", fx.F5_ATTRS, "d")
+
+
 # --- file round trips -------------------------------------------------------
 
 def q_read_numbered(spark, sf):
@@ -251,6 +260,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_targets": q_read_targets,
     "orders_aggregate_possible": q_orders_aggregate_possible,
     "orders_summary": q_orders_summary,
+    "events_aggregate_possible": q_events_aggregate_possible,
+    "events_summary": q_events_summary,
     "read_numbered": q_read_numbered,
     "compact": q_compact,
     "sequencefile_roundtrip": q_sequencefile_roundtrip,
