@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.missing import normalize
 from lacuna.functions.setstats import DIGEST, fingerprint
 from lacuna.operators import approx as _approx
 from lacuna.operators import classes as _classes
@@ -21,6 +22,17 @@ from lacuna.operators.sets import family_members, family_stats
 from lacuna.plans.tuning import cut_lineage
 
 
+def _internal(df: DataFrame, obj: str, attrs: list[str], target: str | None = None):
+    """Prepared table with private column names (``_a1``..., ``_target``), so
+    user attribute names never collide with the stats / pattern columns."""
+    names = [f"_a{i + 1}" for i in range(len(attrs))]
+    cols = [F.col(obj).cast("bigint").alias("obj")]
+    cols += [normalize(a).alias(n) for a, n in zip(attrs, names)]
+    if target is not None:
+        cols.append(F.col(target).alias("_target"))
+    return df.select(*cols), names
+
+
 def classes(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
     """``(kind, attr, value, obj)`` for kind in certain / possible."""
     return _classes.classes(df, obj, attrs)
@@ -33,7 +45,7 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
     ``members=True``: ``(class_id, obj)``; otherwise one row per class with
     its size and digest.
     """
-    pdf = _classes.prepare(df, obj, attrs)
+    pdf, attrs = _internal(df, obj, attrs)
     pats = patterns(pdf, attrs)
     if kind == "possible":
         pats = cut_lineage(pats, tag="pats")  # read once per attribute by the fold
@@ -49,8 +61,9 @@ def estimate_possible(df: DataFrame, obj: str, attrs: list[str]) -> dict:
     distinct values per attribute, and the method ``aggregate`` would pick."""
     from lacuna.operators.aggregate import EXPAND_FACTOR, EXPAND_MIN, expansion_estimate
 
-    pats = patterns(_classes.prepare(df, obj, attrs), attrs)
-    rows, n, dom = expansion_estimate(pats, attrs)
+    pdf, names = _internal(df, obj, attrs)
+    rows, n, dom = expansion_estimate(patterns(pdf, names), names)
+    dom = {a: dom[nm] for a, nm in zip(attrs, names)}
     method = "expand" if len(attrs) > 1 and rows <= EXPAND_FACTOR * n + EXPAND_MIN else "fold"
     return {"expansion_rows": rows, "patterns": n, "domains": dom, "method": method}
 
@@ -61,8 +74,8 @@ def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") ->
     maxA is empty only for an empty table (every object lies in the block of
     its own pattern), so the possible status needs no aggregation.
     """
-    pdf = _classes.prepare(df, obj, attrs)
     label = ",".join(str(i + 1) for i in range(len(attrs)))
+    pdf, attrs = _internal(df, obj, attrs)
     if kind == "possible":
         return aggregate_status(pdf.select(F.col("obj").alias("u")), label)
     fam = _aggregate(patterns(pdf, attrs), attrs, kind)
@@ -70,9 +83,11 @@ def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") ->
 
 
 def _parts(df, obj, attrs, targets):
-    keep = (targets,) if isinstance(targets, str) else ()
-    pdf = _classes.prepare(df, obj, attrs, keep=keep)
-    return _approx.fast_parts(pdf, attrs, targets)
+    if isinstance(targets, str):
+        pdf, names = _internal(df, obj, attrs, targets)
+        return _approx.fast_parts(pdf, names, "_target")
+    pdf, names = _internal(df, obj, attrs)
+    return _approx.fast_parts(pdf, names, targets)
 
 
 def approximate(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame,

@@ -77,3 +77,15 @@ def test_null_is_missing_and_star_substring_is_not(spark):
     assert cer[1] == S({2, 3})
     pos = _by_attr(C.possible_classes(cells))
     assert pos[1] == S({1, 2, 3}, {1})
+
+
+def test_user_column_names_do_not_collide(spark):
+    """Attributes named like internal columns give the same sets as F1."""
+    df = fx.f1(spark).select(F.col("obj").alias("u"), F.col("a1").alias("n"), F.col("a2").alias("lo"),
+                             F.col("target").alias("d"))
+    m = approximate(df, "u", ["n", "lo"], "d", members=True)
+    got = collect_sets(m, ["kind", "d"])
+    assert got[("PU", "no")] == S({3}, {6}, {7}, {6, 7}, {7, 8}, {1, 2, 6})
+    assert got[("CL", "yes")] == S({4, 5})
+    mx = collect_sets(aggregate(df, "u", ["n", "lo"], "possible").withColumn("k", F.lit(0)), ["k"])[(0,)]
+    assert mx == S({3}, {6}, {7}, {4, 5}, {6, 7}, {7, 8}, {1, 2, 6})
