@@ -98,10 +98,16 @@ def expansion_estimate(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dic
     return int(row["rows"] or 0), int(row["n"]), dom
 
 
-def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str, int] | None = None) -> DataFrame:
+def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str, int] | None = None,
+                              distinct: bool = True) -> DataFrame:
     """maxA in one pass: each pattern is expanded to every value tuple whose
     possible block holds it (equi-joins with the per-attribute value maps),
-    tuples are grouped once, and equal blocks are merged by fingerprint."""
+    tuples are grouped once, and equal blocks are merged by fingerprint.
+
+    ``distinct=False`` skips the merge and keys blocks by their value tuple:
+    two tuples may then hold the same set, which callers that only need
+    distinct sets at set level remove with a cheap aggregate on the stats
+    (``sets.distinct_sets``) instead of a join over all memberships."""
     dom = dom or {}
     rows = pats.select("pid", *attrs, *STATS)
     for a in attrs:
@@ -109,12 +115,15 @@ def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str,
         rows = rows.join(vm.withColumnRenamed("u", "pid"), "pid")
     tup = F.struct(*[F.col(f"_t_{a}") for a in attrs]).alias("tup")
     rows = rows.select(tup, F.col("pid").alias("u"), *STATS)
+    if not distinct:
+        return rows.select(F.col("tup").alias("cid"), "u", *STATS)
     fp = rows.groupBy("tup").agg(*merge_stats()).select(F.col("tup").alias("t"), fingerprint().alias("cid"))
     return rows.join(fp, rows["tup"] == fp["t"]).select("cid", "u", *STATS).distinct()
 
 
 def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
-                       method: str = "auto", broadcast_domains: bool = True) -> DataFrame:
+                       method: str = "auto", broadcast_domains: bool = True,
+                       distinct: bool = True) -> DataFrame:
     """maxA: distinct non-empty intersections of one possible class per attribute.
 
     Left fold of ``refine`` with dedupe per step.  The possible classes of a
@@ -123,6 +132,9 @@ def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
     ``CUT_EVERY`` steps the family is written to the checkpoint folder, so
     a long fold neither grows its plan nor recomputes from the start.
 
+    ``distinct=False`` allows a class to repeat another's set (see
+    ``aggregate_possible_expand``); the fold always returns distinct sets.
+
     ``method='auto'`` first estimates the one-pass expansion
     (``expansion_estimate``) and uses it when bounded, else folds.
 
@@ -140,7 +152,7 @@ def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
     if len(attrs) > 1 and method in ("auto", "expand"):
         est, n_pats, dom = expansion_estimate(pats, attrs)
         if method == "expand" or est <= EXPAND_FACTOR * n_pats + EXPAND_MIN:
-            return aggregate_possible_expand(pats, attrs, dom if broadcast_domains else None)
+            return aggregate_possible_expand(pats, attrs, dom if broadcast_domains else None, distinct=distinct)
     elif broadcast_domains:
         dom = domain_sizes(pats, attrs)
     if not broadcast_domains:
@@ -155,11 +167,11 @@ def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
     return fam
 
 
-def aggregate(pats: DataFrame, attrs: list[str], kind: str, cut: bool = True) -> DataFrame:
+def aggregate(pats: DataFrame, attrs: list[str], kind: str, cut: bool = True, distinct: bool = True) -> DataFrame:
     if kind == "certain":
         return aggregate_certain(pats, attrs)
     if kind == "possible":
-        return aggregate_possible(pats, attrs, cut=cut)
+        return aggregate_possible(pats, attrs, cut=cut, distinct=distinct)
     raise ValueError(f"kind must be 'certain' or 'possible', got {kind!r}")
 
 

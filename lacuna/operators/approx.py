@@ -68,7 +68,9 @@ class TableParts:
 
 def table_parts(pats: DataFrame, attrs: list[str], units: DataFrame, cut: bool = True) -> TableParts:
     comp = pats.where(is_complete(attrs)).select("u", *STATS)
-    fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut)
+    # blocks may repeat a set under another value tuple: kinds that report
+    # whole blocks (PU) dedupe by fingerprint, the others are distinct anyway
+    fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut, distinct=False)
     if cut:  # read by every kind: write it once (pattern-level)
         fam = cut_lineage(fam, tag="maxa")
     maxst = family_stats(fam)
@@ -142,7 +144,7 @@ def fast_sets(p: FastParts) -> dict[str, DataFrame]:
           .where(F.col("mn") == F.col("n"))
           .select("d", *STATS, "u"))
     pl = p.inside.join(p.link, "u").select("d", "cid").join(p.mx, ["cid", "d"]).select("d", *STATS, "cid")
-    pu = p.mx.select("cid", "d").join(p.maxst, "cid").select("d", *STATS, "cid")
+    pu = _dedupe(p.mx.select("cid", "d").join(p.maxst, "cid").select("d", *STATS, "cid"), ["d"], "cid")
     pur = _dedupe(p.mx.select("d", *STATS, "cid"), ["d"], "cid")
     return {"CL": cl, "CU": cu, "PL": pl, "PU": pu, "PUr": pur}
 

@@ -18,7 +18,7 @@ from lacuna.operators import approx as _approx
 from lacuna.operators import classes as _classes
 from lacuna.operators.aggregate import aggregate as _aggregate
 from lacuna.operators.aggregate import aggregate_status, pattern_units, patterns
-from lacuna.operators.sets import family_members, family_stats
+from lacuna.operators.sets import distinct_sets, family_members, family_stats
 from lacuna.plans.tuning import cut_lineage
 
 
@@ -49,10 +49,12 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
     pats = patterns(pdf, attrs)
     if kind == "possible":
         pats = cut_lineage(pats, tag="pats")  # read once per attribute by the fold
-    fam = _aggregate(pats, attrs, kind)
     if members:
+        fam = _aggregate(pats, attrs, kind)
         return family_members(fam, pattern_units(pdf, attrs)).withColumnRenamed("cid", "class_id")
-    return family_stats(fam).select(F.col("cid").alias("class_id"), *DIGEST)
+    # set rows only: duplicates are removed on the stats, not on memberships
+    sets = distinct_sets(family_stats(_aggregate(pats, attrs, kind, distinct=False)), [])
+    return sets.select(fingerprint().alias("class_id"), *DIGEST)
 
 
 def estimate_possible(df: DataFrame, obj: str, attrs: list[str]) -> dict:
