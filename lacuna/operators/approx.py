@@ -176,7 +176,10 @@ def fast_coverage(p: FastParts, sets: dict[str, DataFrame]) -> dict[str, DataFra
         "CL": sets["CL"].groupBy("d").agg(F.sum("n").alias("n_objects")),  # disjoint blocks
         "CU": sets["CU"].groupBy("d").agg(F.sum("n").alias("n_objects")),  # disjoint blocks
     }
-    chosen = {"PL": (sets["PL"], p.xp), "PU": (sets["PU"], None), "PUr": (p.mx, p.xp)}
+    # PUr: every object lies in the block of its own pattern, so the union of
+    # all max ∩ X_d is X_d itself - no join with the blocks is needed
+    cov["PUr"] = p.xp.groupBy("d").agg(F.sum("n").alias("n_objects"))
+    chosen = {"PL": (sets["PL"], p.xp), "PU": (sets["PU"], None)}
     whole = p.pats.select("u", "n")
     for kind, (s, restrict) in chosen.items():
         du = s.select("d", "cid").join(p.fam.select("cid", "u"), "cid").select("d", "u").distinct()
