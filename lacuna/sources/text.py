@@ -9,6 +9,7 @@ Lines are trimmed of outer whitespace.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.codec import _regex, split_cells
@@ -31,13 +32,26 @@ def ordered_files(spark: SparkSession, path: str) -> str:
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(obj, line)`` with 1-based consecutive ids in file and line order.
 
-    DataFrame file scans bin-pack files by size, so line order is taken from
-    ``textFile`` partitions (files in name order) with ``zipWithIndex``,
-    which needs one extra job to count partition sizes but no shuffle.
+    JVM-side and distributed.  Every line gets its split (file path, block
+    start) from the text source's ``_metadata`` and an id that grows within
+    its task (``monotonically_increasing_id``; a split's lines are contiguous
+    within one task).  One aggregate counts the lines of each split; the
+    running offset of each split in (path, block start) order is taken over
+    that small table (one row per split), broadcast, and added back.  Ids
+    are deterministic, so a recomputed task yields the same numbers.
     Tables with a natural key should skip this and use the key.
     """
-    rdd = spark.sparkContext.textFile(ordered_files(spark, path)).zipWithIndex().map(lambda p: (p[1] + 1, p[0]))
-    return spark.createDataFrame(rdd, "obj bigint, line string")
+    files = ordered_files(spark, path).split(",")
+    lines = (spark.read.text(files)
+             .select(F.col("value").alias("line"),
+                     F.col("_metadata.file_path").alias("_f"),
+                     F.col("_metadata.file_block_start").alias("_b"),
+                     F.monotonically_increasing_id().alias("_m")))
+    splits = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    numbered = lines.join(F.broadcast(offsets), ["_f", "_b"])
+    return numbered.select((F.col("_off") + F.col("_m") - F.col("_m0") + 1).cast("bigint").alias("obj"), "line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
