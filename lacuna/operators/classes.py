@@ -33,6 +33,26 @@ def unpivot(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
              .select("attr", "value", "obj")
 
 
+def cells_to_table(cells: DataFrame, attrs: list[str], drop_absent: bool = True) -> DataFrame:
+    """Long cells ``(attr, value, obj)`` -> wide ``(obj, attrs...)``.
+
+    A pivot by object (one shuffle on ``obj``, values listed, so no extra
+    job).  An object without a cell for some attribute (``on_ragged='absent'``)
+    is in no class of it, hence in no block over any attribute set holding
+    it: ``drop_absent`` removes such objects before aggregation instead of
+    reading the gap as missing.
+    """
+    ords = list(range(1, len(attrs) + 1))
+    wide = cells.groupBy("obj").pivot("attr", ords).agg(F.first("value"))
+    wide = wide.select("obj", *[F.col(str(i)).alias(a) for i, a in zip(ords, attrs)])
+    if drop_absent:
+        cond = F.lit(True)
+        for a in attrs:
+            cond = cond & F.col(a).isNotNull()
+        wide = wide.where(cond)
+    return wide
+
+
 def equivalence_classes(cells: DataFrame) -> DataFrame:
     """Classes per (attr, value), ``'*'`` being an ordinary value here.
 

@@ -104,3 +104,21 @@ def test_write_sets_text_ordered_by_size(spark):
     S.write_sets_text(m, os.path.join(d, "out"), keys=[], set_key="set", partition_by="kind", order_by_size=True)
     a = [r["value"] for r in spark.read.text(os.path.join(d, "out", "kind=A")).collect()]
     assert a == ["s2\t1", "s1\t5,6,7"]
+
+
+def test_absent_cells_drop_out_of_aggregation(spark):
+    """F5 with on_ragged='absent': row 2 lacks a3 and row 4 lacks a2, a3.
+    Over (a1, a2) only row 4 drops out; over (a1, a2, a3) rows 2 and 4 do."""
+    from helpers import aggregate as brute
+
+    from lacuna import aggregate
+    from lacuna.operators.classes import cells_to_table
+
+    cells = T.parse_cells(T.number_lines(spark, _write(F5)), on_ragged="absent")
+    for attrs, rows in ((["a1", "a2"], {1: ("a", "*"), 2: ("b", "y"), 3: ("c", "")}),
+                        (["a1", "a2", "a3"], {1: ("a", "*", "x"), 3: ("c", "", "z")})):
+        wide = cells_to_table(cells.where(F.col("attr") <= len(attrs)), attrs)
+        for kind in ("certain", "possible"):
+            m = aggregate(wide, "obj", attrs, kind)
+            got = {frozenset(r["s"]) for r in m.groupBy("class_id").agg(F.collect_set("obj").alias("s")).collect()}
+            assert got == brute(rows, len(attrs), kind), (attrs, kind)
