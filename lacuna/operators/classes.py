@@ -66,6 +66,11 @@ def class_stats(family: DataFrame, keys: list[str]) -> DataFrame:
     return family.groupBy(*keys).agg(*object_stats("obj"))
 
 
+def class_sizes(family: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-6: number of members of each class (partial aggregation)."""
+    return family.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def certain_classes(cells: DataFrame) -> DataFrame:
     """``C_a(v)``: objects whose attribute is the regular value v."""
     return cells.where(F.col("value") != F.lit(MISSING)).select("attr", "value", "obj")
