@@ -43,6 +43,34 @@ def domain_sizes(pats: DataFrame, attrs: list[str]) -> dict[str, int]:
     return {a: int(row[a]) for a in attrs}
 
 
+def value_map(pats: DataFrame, attr: str) -> DataFrame:
+    """``(key, value)``: the possible classes a cell with ``key`` joins.
+
+    A regular value v joins only P(v); ``'*'`` joins every P(v) of the
+    attribute and the missing block (value ``'*'``).  At most 2·|dom| rows.
+    """
+    values = pats.select(F.col(attr).alias("value")).distinct()
+    return values.where(F.col("value") != F.lit(MISSING)).select(F.col("value").alias("key"), "value") \
+        .unionByName(values.select(F.lit(MISSING).alias("key"), "value"))
+
+
+def join_value_map(rows: DataFrame, col: str, vmap: DataFrame, dom_size: int | None, out: str,
+                   salt: str) -> DataFrame:
+    """Add ``out`` = each possible class of ``rows[col]`` (one row per class).
+
+    Broadcast hash join on the attribute column when the domain was measured
+    under ``BROADCAST_ROWS``; otherwise a shuffle join in which the ``'*'``
+    key (every row missing on the attribute) is split by ``salt``.
+    """
+    vm = vmap.select(F.col("key").alias("_key"), F.col("value").alias(out))
+    if dom_size is not None and 2 * dom_size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(vm), rows[col] == vm["_key"]).drop("_key")
+    if dom_size is not None:
+        sizes = rows.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+        return split_hot_join(vm, rows, [col], sizes, small_keys=["_key"], salt=salt)
+    return rows.join(vm, rows[col] == vm["_key"]).drop("_key")  # AQE decides
+
+
 def value_membership(pats: DataFrame, attr: str, kind: str, dom_size: int | None = None) -> DataFrame:
     """Family of one attribute over pattern units: ``(cid, u, stats)``.
 
@@ -53,20 +81,8 @@ def value_membership(pats: DataFrame, attr: str, kind: str, dom_size: int | None
     base = pats.select(F.col(attr).alias("key"), F.col("pid").alias("u"), *STATS)
     if kind == "certain":
         return base.where(F.col("key") != F.lit(MISSING)).withColumnRenamed("key", "cid")
-    values = pats.select(F.col(attr).alias("value")).distinct()
-    vmap = values.where(F.col("value") != F.lit(MISSING)).select(F.col("value").alias("key"), "value") \
-        .unionByName(values.select(F.lit(MISSING).alias("key"), "value"))
-    # the map has at most 2 * |dom| rows; broadcast only under the measured bound
-    if dom_size is not None and 2 * dom_size <= BROADCAST_ROWS:
-        j = base.join(F.broadcast(vmap), "key")
-    elif dom_size is not None:
-        # large domain: patterns missing on attr all share the '*' key; split it
-        sizes = base.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        j = split_hot_join(vmap.withColumnRenamed("key", "_key"), base, ["key"], sizes,
-                           small_keys=["_key"], salt="u")
-    else:
-        j = base.join(vmap, "key")  # AQE: runtime broadcast or skew split
-    return j.select(F.col("value").alias("cid"), "u", *STATS)
+    j = join_value_map(base, "key", value_map(pats, attr), dom_size, "cid", salt="u")
+    return j.select("cid", "u", *STATS)
 
 
 def aggregate_certain(pats: DataFrame, attrs: list[str]) -> DataFrame:
@@ -110,9 +126,8 @@ def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str,
     (``sets.distinct_sets``) instead of a join over all memberships."""
     dom = dom or {}
     rows = pats.select("pid", *attrs, *STATS)
-    for a in attrs:
-        vm = value_membership(pats, a, "possible", dom.get(a)).select(F.col("cid").alias(f"_t_{a}"), "u")
-        rows = rows.join(vm.withColumnRenamed("u", "pid"), "pid")
+    for a in attrs:  # joins on the attribute column itself: broadcast, no shuffle
+        rows = join_value_map(rows, a, value_map(pats, a), dom.get(a), f"_t_{a}", salt="pid")
     tup = F.struct(*[F.col(f"_t_{a}") for a in attrs]).alias("tup")
     rows = rows.select(tup, F.col("pid").alias("u"), *STATS)
     if not distinct:

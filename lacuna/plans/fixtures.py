@@ -88,6 +88,27 @@ def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+F6_ATTRS = [f"a{i}" for i in range(1, 9)]
+
+
+def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` with eight attributes, as wide as the reference's own run."""
+    k = F.col("o_orderkey")
+    dt = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("obj"),
+        _star_if(k % 7 == 3, F.col("o_orderstatus")).alias("a1"),
+        _star_if(k % 11 == 5, F.col("o_orderpriority")).alias("a2"),
+        _star_if(k % 13 == 7, (F.col("o_custkey") % 4).cast("string")).alias("a3"),
+        _star_if(k % 17 == 2, F.year(dt).cast("string")).alias("a4"),
+        _star_if(k % 19 == 4, F.month(dt).cast("string")).alias("a5"),
+        _star_if(k % 23 == 6, F.floor(F.col("o_totalprice") / 100000).cast("string")).alias("a6"),
+        _star_if(k % 29 == 8, (F.col("o_custkey") % 3).cast("string")).alias("a7"),
+        _star_if(k % 31 == 10, F.dayofweek(dt).cast("string")).alias("a8"),
+        F.when(F.col("o_totalprice") >= 250000, F.lit("big")).otherwise(F.lit("small")).alias("d"),
+    )
+
+
 def f1(spark: SparkSession) -> DataFrame:
     """Golden micro table (tests only)."""
     rows = [(1, "a", "x", "yes"), (2, "a", "x", "yes"), (3, "a", "y", "no"), (4, "b", "y", "yes"),

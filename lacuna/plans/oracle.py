@@ -40,6 +40,33 @@ F5 = """t AS (SELECT event_id AS obj,
   CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS d
 FROM events)"""
 
+F6 = """t AS (SELECT o_orderkey AS obj,
+  CASE WHEN o_orderkey % 7 = 3 THEN '*' ELSE o_orderstatus END AS a1,
+  CASE WHEN o_orderkey % 11 = 5 THEN '*' ELSE o_orderpriority END AS a2,
+  CASE WHEN o_orderkey % 13 = 7 THEN '*' ELSE CAST(o_custkey % 4 AS VARCHAR) END AS a3,
+  CASE WHEN o_orderkey % 17 = 2 THEN '*' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS a4,
+  CASE WHEN o_orderkey % 19 = 4 THEN '*' ELSE CAST(month(o_orderdate) AS VARCHAR) END AS a5,
+  CASE WHEN o_orderkey % 23 = 6 THEN '*' ELSE CAST(floor(o_totalprice / 100000) AS BIGINT)::VARCHAR END AS a6,
+  CASE WHEN o_orderkey % 29 = 8 THEN '*' ELSE CAST(o_custkey % 3 AS VARCHAR) END AS a7,
+  CASE WHEN o_orderkey % 31 = 10 THEN '*' ELSE CAST(dayofweek(o_orderdate) + 1 AS VARCHAR) END AS a8,
+  CASE WHEN o_totalprice >= 250000 THEN 'big' ELSE 'small' END AS d
+FROM orders)"""
+
+
+def reachable_maxa(k: int) -> str:
+    """maxA over a1..ak: P(t) for every value tuple t holding some object.
+
+    Each object is joined to {its value, or every value of the column when
+    missing} per attribute, i.e. to exactly the tuples whose block holds it.
+    """
+    doms = ",\n".join(f"d{i} AS (SELECT DISTINCT a{i} AS v FROM t)" for i in range(1, k + 1))
+    joins = "\n".join(f"  JOIN d{i} ON (t.a{i} = d{i}.v OR t.a{i} = '*')" for i in range(1, k + 1))
+    vs = ", ".join(f"d{i}.v AS v{i}" for i in range(1, k + 1))
+    gs = ", ".join(f"v{i}" for i in range(1, k + 1))
+    return (f"{doms},\nex AS (SELECT t.obj, {vs} FROM t\n{joins}),\n"
+            f"maxa AS (SELECT DISTINCT list_sort(list(obj)) AS s FROM ex GROUP BY {gs})")
+
+
 CELLS = """cells AS (
   SELECT 1 AS attr, a1 AS value, obj FROM t UNION ALL
   SELECT 2, a2, obj FROM t UNION ALL
@@ -165,6 +192,7 @@ FROM cells GROUP BY attr, value"""
     q["orders_summary"] = q["approximation_summary"].replace(F2, F4)
     q["events_aggregate_possible"] = with_(F5, MAXA) + digest("maxa", [])
     q["events_summary"] = q["approximation_summary"].replace(F2, F5)
+    q["orders8_aggregate_possible"] = with_(F6, reachable_maxa(8)) + digest("maxa", [])
     q["read_numbered"] = with_(F2) + "SELECT ROW_NUMBER() OVER (ORDER BY obj) AS obj, a1, a2, a3, d FROM t"
     q["compact"] = q["unpivot"]
     q["sequencefile_roundtrip"] = q["equivalence_classes"]

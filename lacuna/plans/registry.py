@@ -190,6 +190,17 @@ def q_events_summary(spark, sf):
     return E.summary(fx.f5(spark, sf), "obj", fx.F5_ATTRS, "d")
 
 
+def q_orders8_aggregate_possible(spark, sf):
+    """F6 (orders, eight attributes): maxA."""
+    return E.aggregate(fx.f6(spark, sf), "obj", fx.F6_ATTRS, "possible", members=False).select(*DIGEST)
+
+
+def q_orders8_summary(spark, sf):
+    """F6 summary.  No oracle: the literal SQL enumerates millions of value
+    tuples per target; tests check the same path against brute force."""
+    return E.summary(fx.f6(spark, sf), "obj", fx.F6_ATTRS, "d")
+
+
 # --- file round trips -------------------------------------------------------
 
 def q_read_numbered(spark, sf):
@@ -262,6 +273,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_summary": q_orders_summary,
     "events_aggregate_possible": q_events_aggregate_possible,
     "events_summary": q_events_summary,
+    "orders8_aggregate_possible": q_orders8_aggregate_possible,
+    "orders8_summary": q_orders8_summary,
     "read_numbered": q_read_numbered,
     "compact": q_compact,
     "sequencefile_roundtrip": q_sequencefile_roundtrip,

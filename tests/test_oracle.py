@@ -31,8 +31,13 @@ def test_query_matches_oracle(spark, con, name):
     assert got == want
 
 
+# Literal SQL enumerates millions of value tuples here; the same code path is
+# checked against brute force in test_property.test_wide_tables_match_brute_force.
+WITHOUT_ORACLE = {"orders8_summary"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.queries()) - set(E.oracle_sql()) == WITHOUT_ORACLE
 
 
 def test_entry_runs(spark):

@@ -175,3 +175,22 @@ def test_renaming_ids_and_adding_all_missing_object(spark):
     from lacuna import aggregate as agg
     got_mx = collect_sets(agg(df2, "obj", ["a1", "a2"], "possible").withColumn("k", F.lit(0)), ["k"])[(0,)]
     assert got_mx == mx2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_wide_tables_match_brute_force(spark, seed):
+    """Seven attributes (the fold cuts its lineage on the way): fold,
+    expansion and the full fast path against brute force."""
+    rng = random.Random(300 + seed)
+    k = 7
+    rows, targets = random_table(rng, 14, k, 0.25)
+    df, x = to_frames(spark, rows, k, targets)
+    attrs = [f"a{i+1}" for i in range(k)]
+    pdf = C.prepare(df, "obj", attrs)
+    pats = patterns(pdf, attrs)
+    want = brute_aggregate(rows, k, "possible")
+    for method in ("fold", "expand"):
+        fam = aggregate_possible(pats, attrs, method=method)
+        m = family_members(fam, pattern_units(pdf, attrs)).withColumnRenamed("cid", "class_id")
+        assert collect_sets(m.withColumn("k", F.lit(0)), ["k"]).get((0,), set()) == want, method
+    assert _sets(approximate(df, "obj", attrs, x, members=True)) == approximations(rows, k, targets)
