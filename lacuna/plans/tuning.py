@@ -13,22 +13,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows under which a build side built from value domains is broadcast.
-# The count is measured before the hint is applied (see ``broadcast_if_small``).
+# Rows under which a build side made from value domains is broadcast; the
+# domain sizes are measured before the hint is applied.
 BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``limit`` rows.
-
-    Above the limit the plain DataFrame is returned and Spark plans a shuffle
-    join; AQE may still convert it at runtime or split skewed partitions.
-    The count is one cheap action over an already small, aggregated input.
-    """
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
-
-
 # Objects per task for one hot key, and the most hot keys ever broadcast.
 SPLIT_ROWS = 2_000_000
 HOT_KEYS = 200_000
