@@ -16,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values of the interchange format: id, set and field separators.
 ID_SEP = ","
 SET_SEP = "|"
 FIELD_SEP = "\t"
+
+# Ours: ids per encoded line.
 DEFAULT_WIDTH = 4096
 
 
