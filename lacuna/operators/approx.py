@@ -66,8 +66,11 @@ class TableParts:
     units: DataFrame    # u, obj
 
 
-def table_parts(pats: DataFrame, attrs: list[str], units: DataFrame, cut: bool = True) -> TableParts:
+def table_parts(pats: DataFrame, attrs: list[str], units: DataFrame, cut: bool = True,
+                need_max: bool = True) -> TableParts:
     comp = pats.where(is_complete(attrs)).select("u", *STATS)
+    if not need_max:  # only CU requested: maxA is not needed at all
+        return TableParts(pats, comp, None, None, None, units)
     # blocks may repeat a set under another value tuple: kinds that report
     # whole blocks (PU) dedupe by fingerprint, the others are distinct anyway
     fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut, distinct=False)
@@ -78,11 +81,14 @@ def table_parts(pats: DataFrame, attrs: list[str], units: DataFrame, cut: bool =
     return TableParts(pats, comp, fam, maxst, link, units)
 
 
-def target_parts(tp: TableParts, xo: DataFrame, xp: DataFrame, cut: bool = True) -> FastParts:
+def target_parts(tp: TableParts, xo: DataFrame, xp: DataFrame, cut: bool = True,
+                 need_mx: bool = True) -> FastParts:
     """Frames that depend on the targets (``xo``: d, u, obj; ``xp``: per (d, u) stats)."""
-    mx = tp.fam.select("cid", "u").join(xp, "u").groupBy("cid", "d").agg(*merge_stats())
-    if cut:
-        mx = cut_lineage(mx, tag="mx")
+    mx = None
+    if need_mx and tp.fam is not None:
+        mx = tp.fam.select("cid", "u").join(xp, "u").groupBy("cid", "d").agg(*merge_stats())
+        if cut:
+            mx = cut_lineage(mx, tag="mx")
     xpc = xp.join(tp.comp.select("u", F.col("n").alias("cn")), "u")
     inside = xpc.where(F.col("n") == F.col("cn")).select("d", "u")
     return FastParts(tp.pats, tp.comp, xo, xp, tp.fam, tp.maxst, mx, inside, tp.link, tp.units)
@@ -99,7 +105,8 @@ def with_attrs(pstats: DataFrame, attrs: list[str]) -> DataFrame:
     return pstats.select("u", *[F.col("u")[a].alias(a) for a in attrs], *STATS)
 
 
-def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut: bool = True) -> FastParts:
+def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut: bool = True,
+               kinds: tuple[str, ...] = KINDS) -> FastParts:
     """Shared intermediate frames of the fast path.
 
     ``pdf`` is prepared (``obj`` + normalized attributes).  ``targets`` is
@@ -110,7 +117,12 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
     written once to the checkpoint folder.  With a decision column the
     pattern stats are merged from it (the targets partition the objects), so
     the table is scanned once; everything after runs on patterns.
+    Only the parts the requested ``kinds`` need are built: CU needs no maxA,
+    CL no max ∩ X.
     """
+    bad = set(kinds) - set(KINDS)
+    if bad:
+        raise ValueError(f"unknown kinds {sorted(bad)}; use {KINDS}")
     units = pattern_units(pdf, attrs)
     if isinstance(targets, str):
         xo = pdf.select(F.col(targets).cast("string").alias("d"), F.struct(*attrs).alias("u"), "obj")
@@ -124,8 +136,10 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
         if cut:
             xp = cut_lineage(xp, tag="xp")
             pstats = cut_lineage(pstats, tag="pats")
-    tp = table_parts(with_attrs(pstats, attrs), attrs, units, cut=cut)
-    return target_parts(tp, xo, xp, cut=cut)
+    need_max = bool(set(kinds) - {"CU"})
+    need_mx = bool(set(kinds) & {"PL", "PU", "PUr"})
+    tp = table_parts(with_attrs(pstats, attrs), attrs, units, cut=cut, need_max=need_max)
+    return target_parts(tp, xo, xp, cut=cut, need_mx=need_mx)
 
 
 def _dedupe(sets: DataFrame, keys: list[str], loc: str) -> DataFrame:
@@ -135,18 +149,25 @@ def _dedupe(sets: DataFrame, keys: list[str], loc: str) -> DataFrame:
     ).select(*keys, *STATS, loc)
 
 
-def fast_sets(p: FastParts) -> dict[str, DataFrame]:
+def fast_sets(p: FastParts, kinds: tuple[str, ...] = KINDS) -> dict[str, DataFrame]:
     """Per kind: ``(d, stats..., loc)`` with ``loc`` = pattern ``u`` or block ``cid``."""
-    cu = p.xp.join(p.comp.select("u"), "u").select("d", *STATS, "u")
-    cl = (p.inside.join(p.link, "u")
-          .join(p.maxst.select("cid", F.col("n").alias("mn")), "cid")
-          .join(p.comp, "u")
-          .where(F.col("mn") == F.col("n"))
-          .select("d", *STATS, "u"))
-    pl = p.inside.join(p.link, "u").select("d", "cid").join(p.mx, ["cid", "d"]).select("d", *STATS, "cid")
-    pu = _dedupe(p.mx.select("cid", "d").join(p.maxst, "cid").select("d", *STATS, "cid"), ["d"], "cid")
-    pur = _dedupe(p.mx.select("d", *STATS, "cid"), ["d"], "cid")
-    return {"CL": cl, "CU": cu, "PL": pl, "PU": pu, "PUr": pur}
+    out: dict[str, DataFrame] = {}
+    if "CL" in kinds:
+        out["CL"] = (p.inside.join(p.link, "u")
+                     .join(p.maxst.select("cid", F.col("n").alias("mn")), "cid")
+                     .join(p.comp, "u")
+                     .where(F.col("mn") == F.col("n"))
+                     .select("d", *STATS, "u"))
+    if "CU" in kinds:
+        out["CU"] = p.xp.join(p.comp.select("u"), "u").select("d", *STATS, "u")
+    if "PL" in kinds:
+        out["PL"] = p.inside.join(p.link, "u").select("d", "cid").join(p.mx, ["cid", "d"]).select("d", *STATS, "cid")
+    if "PU" in kinds:
+        pu = p.mx.select("cid", "d").join(p.maxst, "cid").select("d", *STATS, "cid")
+        out["PU"] = _dedupe(pu, ["d"], "cid")
+    if "PUr" in kinds:
+        out["PUr"] = _dedupe(p.mx.select("d", *STATS, "cid"), ["d"], "cid")
+    return out
 
 
 def fast_members(p: FastParts, sets: dict[str, DataFrame]) -> DataFrame:
@@ -172,17 +193,19 @@ def fast_members(p: FastParts, sets: dict[str, DataFrame]) -> DataFrame:
 
 def fast_coverage(p: FastParts, sets: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Per kind: ``(d, n_objects)`` = size of the union of the kind's sets."""
-    cov = {
-        "CL": sets["CL"].groupBy("d").agg(F.sum("n").alias("n_objects")),  # disjoint blocks
-        "CU": sets["CU"].groupBy("d").agg(F.sum("n").alias("n_objects")),  # disjoint blocks
-    }
-    # PUr: every object lies in the block of its own pattern, so the union of
-    # all max ∩ X_d is X_d itself - no join with the blocks is needed
-    cov["PUr"] = p.xp.groupBy("d").agg(F.sum("n").alias("n_objects"))
-    chosen = {"PL": (sets["PL"], p.xp), "PU": (sets["PU"], None)}
+    cov = {}
+    for kind in ("CL", "CU"):  # disjoint blocks
+        if kind in sets:
+            cov[kind] = sets[kind].groupBy("d").agg(F.sum("n").alias("n_objects"))
+    if "PUr" in sets:
+        # every object lies in the block of its own pattern, so the union of
+        # all max ∩ X_d is X_d itself - no join with the blocks is needed
+        cov["PUr"] = p.xp.groupBy("d").agg(F.sum("n").alias("n_objects"))
     whole = p.pats.select("u", "n")
-    for kind, (s, restrict) in chosen.items():
-        du = s.select("d", "cid").join(p.fam.select("cid", "u"), "cid").select("d", "u").distinct()
+    for kind, restrict in (("PL", p.xp), ("PU", None)):
+        if kind not in sets:
+            continue
+        du = sets[kind].select("d", "cid").join(p.fam.select("cid", "u"), "cid").select("d", "u").distinct()
         if restrict is None:
             cnt = du.join(whole, "u")
         else:

@@ -84,25 +84,27 @@ def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") ->
     return aggregate_status(fam, label)
 
 
-def _parts(df, obj, attrs, targets):
+def _parts(df, obj, attrs, targets, kinds=_approx.KINDS):
     if isinstance(targets, str):
         pdf, names = _internal(df, obj, attrs, targets)
-        return _approx.fast_parts(pdf, names, "_target")
+        return _approx.fast_parts(pdf, names, "_target", kinds=kinds)
     pdf, names = _internal(df, obj, attrs)
-    return _approx.fast_parts(pdf, names, targets)
+    return _approx.fast_parts(pdf, names, targets, kinds=kinds)
 
 
 def approximate(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame,
-                members: bool = False, pooled: bool = False) -> DataFrame:
+                members: bool = False, pooled: bool = False, kinds=None) -> DataFrame:
     """Approximations of each target over ``attrs``.
 
     ``targets``: a decision column name, or a ``(d, obj)`` DataFrame.
     Returns ``(kind, d, n, lo, hi, s1, s2)`` per distinct set, or with
     ``members=True`` the long form ``(kind, d, class_id, obj)``.
-    ``pooled=True`` drops ``d`` and dedupes across targets.
+    ``pooled=True`` drops ``d`` and dedupes across targets.  ``kinds`` (a
+    subset of CL, CU, PL, PU, PUr) builds only what those kinds need.
     """
-    p = _parts(df, obj, attrs, targets)
-    sets = _approx.fast_sets(p)
+    kinds = tuple(kinds) if kinds else _approx.KINDS
+    p = _parts(df, obj, attrs, targets, kinds)
+    sets = _approx.fast_sets(p, kinds)
     if members:
         m = _approx.fast_members(p, sets)
         if pooled:

@@ -96,8 +96,8 @@ def q_decision_classes(spark, sf):
 
 def _kind(kind):
     def q(spark, sf):
-        res = E.approximate(fx.f2(spark, sf), "obj", A, "d")
-        return res.where(F.col("kind") == kind).select("d", *DIGEST)
+        res = E.approximate(fx.f2(spark, sf), "obj", A, "d", kinds=[kind])
+        return res.select("d", *DIGEST)
     q.__name__ = f"q_{kind}"
     return q
 

@@ -89,3 +89,11 @@ def test_user_column_names_do_not_collide(spark):
     assert got[("CL", "yes")] == S({4, 5})
     mx = collect_sets(aggregate(df, "u", ["n", "lo"], "possible").withColumn("k", F.lit(0)), ["k"])[(0,)]
     assert mx == S({3}, {6}, {7}, {4, 5}, {6, 7}, {7, 8}, {1, 2, 6})
+
+
+def test_kind_subsets_equal_the_full_result(spark):
+    df = fx.f1(spark)
+    full = collect_sets(approximate(df, "obj", ["a1", "a2"], "target", members=True), ["kind", "d"])
+    for kinds in (["CU"], ["CL"], ["PL", "PUr"], ["PU"]):
+        part = collect_sets(approximate(df, "obj", ["a1", "a2"], "target", members=True, kinds=kinds), ["kind", "d"])
+        assert part == {k: v for k, v in full.items() if k[0] in kinds}
