@@ -14,6 +14,7 @@ back only when a caller asks for members.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.missing import MISSING, is_complete
@@ -43,15 +44,20 @@ def domain_sizes(pats: DataFrame, attrs: list[str]) -> dict[str, int]:
     return {a: int(row[a]) for a in attrs}
 
 
-def value_map(pats: DataFrame, attr: str) -> DataFrame:
+def value_map(pats: DataFrame, attr: str, with_code: bool = False) -> DataFrame:
     """``(key, value)``: the possible classes a cell with ``key`` joins.
 
     A regular value v joins only P(v); ``'*'`` joins every P(v) of the
     attribute and the missing block (value ``'*'``).  At most 2·|dom| rows.
+    ``with_code`` adds ``code``, the dense rank of ``value`` in the domain
+    (the domain is measured first and bounded by ``BROADCAST_ROWS``).
     """
     values = pats.select(F.col(attr).alias("value")).distinct()
-    return values.where(F.col("value") != F.lit(MISSING)).select(F.col("value").alias("key"), "value") \
-        .unionByName(values.select(F.lit(MISSING).alias("key"), "value"))
+    if with_code:
+        values = values.withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("long"))
+    rest = ["code"] if with_code else []
+    return values.where(F.col("value") != F.lit(MISSING)).select(F.col("value").alias("key"), "value", *rest) \
+        .unionByName(values.select(F.lit(MISSING).alias("key"), "value", *rest))
 
 
 def join_value_map(rows: DataFrame, col: str, vmap: DataFrame, dom_size: int | None, out: str,
@@ -91,6 +97,8 @@ def aggregate_certain(pats: DataFrame, attrs: list[str]) -> DataFrame:
     return comp.select(fingerprint().alias("cid"), F.col("pid").alias("u"), *STATS)
 
 
+# Key expanded blocks by packed dense value codes (one BIGINT) when they fit.
+PACK_KEYS = True
 # Fold steps between two lineage cuts.
 CUT_EVERY = 3
 # The expansion is used while its rows stay under
@@ -125,10 +133,24 @@ def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str,
     distinct sets at set level remove with a cheap aggregate on the stats
     (``sets.distinct_sets``) instead of a join over all memberships."""
     dom = dom or {}
+    bits = [max(1, (dom[a] - 1).bit_length()) if dom.get(a) else None for a in attrs]
+    packed = PACK_KEYS and all(b is not None for b in bits) and sum(bits) <= 62 and all(
+        2 * dom[a] <= BROADCAST_ROWS for a in attrs)
     rows = pats.select("pid", *attrs, *STATS)
     for a in attrs:  # joins on the attribute column itself: broadcast, no shuffle
-        rows = join_value_map(rows, a, value_map(pats, a), dom.get(a), f"_t_{a}", salt="pid")
-    tup = F.struct(*[F.col(f"_t_{a}") for a in attrs]).alias("tup")
+        vm = value_map(pats, a, with_code=packed)
+        if packed:
+            vm = vm.select("key", F.col("code").alias("value"))
+        rows = join_value_map(rows, a, vm, dom.get(a), f"_t_{a}", salt="pid")
+    if packed:
+        # exact compact key: dense value codes packed into one BIGINT
+        key, shift = F.lit(0).cast("long"), 0
+        for a, b in zip(attrs, bits):
+            key = key + F.shiftleft(F.col(f"_t_{a}"), shift)
+            shift += b
+        tup = key.alias("tup")
+    else:
+        tup = F.struct(*[F.col(f"_t_{a}") for a in attrs]).alias("tup")
     rows = rows.select(tup, F.col("pid").alias("u"), *STATS)
     if not distinct:
         return rows.select(F.col("tup").alias("cid"), "u", *STATS)
