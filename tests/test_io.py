@@ -122,3 +122,29 @@ def test_absent_cells_drop_out_of_aggregation(spark):
             m = aggregate(wide, "obj", attrs, kind)
             got = {frozenset(r["s"]) for r in m.groupBy("class_id").agg(F.collect_set("obj").alias("s")).collect()}
             assert got == brute(rows, len(attrs), kind), (attrs, kind)
+
+
+def test_families_one_set_per_line_and_pairs(spark):
+    d = tempfile.mkdtemp(prefix="lacuna-io-")
+    fpath = os.path.join(d, "sets.txt")
+    with open(fpath, "w") as f:
+        f.write("1,2\n\n4,7\n7\n")
+    fam = P.read_families(spark, fpath, layout="lines")
+    sets = fam.groupBy("class_id").agg(F.sort_array(F.collect_list("obj")).alias("s")).collect()
+    assert sorted(r["s"] for r in sets) == [[1, 2], [4, 7], [7]]
+    S.write_pairs(fam, os.path.join(d, "pq"))
+    assert P.read_pairs(spark, os.path.join(d, "pq")).count() == 5
+
+
+def test_long_form_set_helpers(spark):
+    from lacuna.operators import sets as so
+    from lacuna.functions.setstats import object_stats
+
+    a = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3)], "set_id string, obj bigint")
+    b = spark.createDataFrame([("s", 3), ("s", 4)], "set_id string, obj bigint")
+    assert sorted(r["obj"] for r in so.union_sets(a, b).collect()) == [1, 2, 3, 4]
+    assert [r["obj"] for r in so.intersect_two(a, b).collect()] == [3]
+    st = a.unionByName(b.withColumn("set_id", F.lit("t"))).groupBy("set_id").agg(*object_stats("obj"))
+    assert [r["set_id"] for r in so.order_by_size(st).collect()] == ["t", "s"]
+    dup = st.unionByName(st.withColumn("set_id", F.lit("x")).where(F.col("n") == 2))
+    assert so.distinct_sets(dup, []).count() == 2
