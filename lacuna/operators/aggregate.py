@@ -111,15 +111,36 @@ def expansion_estimate(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dic
     """(rows of the one-pass expansion, number of patterns, domain sizes).
 
     A pattern missing on a joins every value of a and the missing block:
-    ``|dom(a)| + 1`` = distinct values of the column, ``'*'`` included.  Two
-    small jobs over the (materialised) patterns.
+    ``|dom(a)| + 1`` = distinct values of the column, ``'*'`` included.  With
+    ``c_m`` patterns per missing-attribute mask m, the rows are
+    ``Σ_m c_m · ∏_{a in m} |dom(a)|``; up to four attributes the mask counts
+    and the domain sizes come from one aggregate (one small job).
     """
-    dom = domain_sizes(pats, attrs)
-    factor = F.lit(1.0)
-    for a in attrs:
-        factor = factor * F.when(F.col(a) == F.lit(MISSING), F.lit(float(dom[a]))).otherwise(F.lit(1.0))
-    row = pats.agg(F.sum(factor).alias("rows"), F.count(F.lit(1)).alias("n")).collect()[0]
-    return int(row["rows"] or 0), int(row["n"]), dom
+    k = len(attrs)
+    if k > 4:
+        dom = domain_sizes(pats, attrs)
+        factor = F.lit(1.0)
+        for a in attrs:
+            factor = factor * F.when(F.col(a) == F.lit(MISSING), F.lit(float(dom[a]))).otherwise(F.lit(1.0))
+        row = pats.agg(F.sum(factor).alias("rows"), F.count(F.lit(1)).alias("n")).collect()[0]
+        return int(row["rows"] or 0), int(row["n"]), dom
+    mask = F.lit(0)
+    for i, a in enumerate(attrs):
+        mask = mask + F.when(F.col(a) == F.lit(MISSING), F.lit(1 << i)).otherwise(F.lit(0))
+    m = pats.select(*attrs, mask.alias("_m"))
+    row = m.agg(*[F.countDistinct(a).alias(f"_d{i}") for i, a in enumerate(attrs)],
+                *[F.count_if(F.col("_m") == F.lit(j)).alias(f"_c{j}") for j in range(1 << k)]).collect()[0]
+    dom = {a: int(row[f"_d{i}"]) for i, a in enumerate(attrs)}
+    rows, n = 0, 0
+    for j in range(1 << k):
+        c = int(row[f"_c{j}"] or 0)
+        n += c
+        prod = 1
+        for i, a in enumerate(attrs):
+            if j >> i & 1:
+                prod *= dom[a]
+        rows += c * prod
+    return rows, n, dom
 
 
 def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str, int] | None = None,
