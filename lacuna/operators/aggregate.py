@@ -225,11 +225,12 @@ def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
     return fam
 
 
-def aggregate(pats: DataFrame, attrs: list[str], kind: str, cut: bool = True, distinct: bool = True) -> DataFrame:
+def aggregate(pats: DataFrame, attrs: list[str], kind: str, cut: bool = True, distinct: bool = True,
+              method: str = "auto") -> DataFrame:
     if kind == "certain":
         return aggregate_certain(pats, attrs)
     if kind == "possible":
-        return aggregate_possible(pats, attrs, cut=cut, distinct=distinct)
+        return aggregate_possible(pats, attrs, cut=cut, distinct=distinct, method=method)
     raise ValueError(f"kind must be 'certain' or 'possible', got {kind!r}")
 
 

@@ -67,13 +67,13 @@ class TableParts:
 
 
 def table_parts(pats: DataFrame, attrs: list[str], units: DataFrame, cut: bool = True,
-                need_max: bool = True) -> TableParts:
+                need_max: bool = True, method: str = "auto") -> TableParts:
     comp = pats.where(is_complete(attrs)).select("u", *STATS)
     if not need_max:  # only CU requested: maxA is not needed at all
         return TableParts(pats, comp, None, None, None, units)
     # blocks may repeat a set under another value tuple: kinds that report
     # whole blocks (PU) dedupe by fingerprint, the others are distinct anyway
-    fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut, distinct=False)
+    fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut, distinct=False, method=method)
     if cut:  # read by every kind: write it once (pattern-level)
         fam = cut_lineage(fam, tag="maxa")
     maxst = family_stats(fam)
@@ -106,7 +106,7 @@ def with_attrs(pstats: DataFrame, attrs: list[str]) -> DataFrame:
 
 
 def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut: bool = True,
-               kinds: tuple[str, ...] = KINDS) -> FastParts:
+               kinds: tuple[str, ...] = KINDS, method: str = "auto") -> FastParts:
     """Shared intermediate frames of the fast path.
 
     ``pdf`` is prepared (``obj`` + normalized attributes).  ``targets`` is
@@ -138,7 +138,7 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
             pstats = cut_lineage(pstats, tag="pats")
     need_max = bool(set(kinds) - {"CU"})
     need_mx = bool(set(kinds) & {"PL", "PU", "PUr"})
-    tp = table_parts(with_attrs(pstats, attrs), attrs, units, cut=cut, need_max=need_max)
+    tp = table_parts(with_attrs(pstats, attrs), attrs, units, cut=cut, need_max=need_max, method=method)
     return target_parts(tp, xo, xp, cut=cut, need_mx=need_mx)
 
 

@@ -39,7 +39,7 @@ def classes(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
 
 
 def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
-              members: bool = True) -> DataFrame:
+              members: bool = True, method: str = "auto") -> DataFrame:
     """minA (``kind='certain'``) or maxA (``'possible'``).
 
     ``members=True``: ``(class_id, obj)``; otherwise one row per class with
@@ -50,10 +50,10 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
     if kind == "possible":
         pats = cut_lineage(pats, tag="pats")  # read once per attribute by the fold
     if members:
-        fam = _aggregate(pats, attrs, kind)
+        fam = _aggregate(pats, attrs, kind, method=method)
         return family_members(fam, pattern_units(pdf, attrs)).withColumnRenamed("cid", "class_id")
     # set rows only: duplicates are removed on the stats, not on memberships
-    sets = distinct_sets(family_stats(_aggregate(pats, attrs, kind, distinct=False)), [])
+    sets = distinct_sets(family_stats(_aggregate(pats, attrs, kind, distinct=False, method=method)), [])
     return sets.select(fingerprint().alias("class_id"), *DIGEST)
 
 
@@ -84,26 +84,27 @@ def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") ->
     return aggregate_status(fam, label)
 
 
-def _parts(df, obj, attrs, targets, kinds=_approx.KINDS):
+def _parts(df, obj, attrs, targets, kinds=_approx.KINDS, method="auto"):
     if isinstance(targets, str):
         pdf, names = _internal(df, obj, attrs, targets)
-        return _approx.fast_parts(pdf, names, "_target", kinds=kinds)
+        return _approx.fast_parts(pdf, names, "_target", kinds=kinds, method=method)
     pdf, names = _internal(df, obj, attrs)
-    return _approx.fast_parts(pdf, names, targets, kinds=kinds)
+    return _approx.fast_parts(pdf, names, targets, kinds=kinds, method=method)
 
 
 def approximate(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame,
-                members: bool = False, pooled: bool = False, kinds=None) -> DataFrame:
+                members: bool = False, pooled: bool = False, kinds=None, method: str = "auto") -> DataFrame:
     """Approximations of each target over ``attrs``.
 
     ``targets``: a decision column name, or a ``(d, obj)`` DataFrame.
     Returns ``(kind, d, n, lo, hi, s1, s2)`` per distinct set, or with
     ``members=True`` the long form ``(kind, d, class_id, obj)``.
     ``pooled=True`` drops ``d`` and dedupes across targets.  ``kinds`` (a
-    subset of CL, CU, PL, PU, PUr) builds only what those kinds need.
+    subset of CL, CU, PL, PU, PUr) builds only what those kinds need;
+    ``method`` picks the maxA method (``auto``, ``fold`` or ``expand``).
     """
     kinds = tuple(kinds) if kinds else _approx.KINDS
-    p = _parts(df, obj, attrs, targets, kinds)
+    p = _parts(df, obj, attrs, targets, kinds, method)
     sets = _approx.fast_sets(p, kinds)
     if members:
         m = _approx.fast_members(p, sets)
@@ -121,10 +122,12 @@ def approximate_families(min_family: DataFrame, max_family: DataFrame, targets:
     return _approx.union_kinds(sets).select("kind", "d", *DIGEST)
 
 
-def summary(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame) -> DataFrame:
+def summary(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame, kinds=None,
+            method: str = "auto") -> DataFrame:
     """``(d, kind, n_classes, n_objects)``; computed on pattern units."""
-    p = _parts(df, obj, attrs, targets)
-    sets = _approx.fast_sets(p)
+    kinds = tuple(kinds) if kinds else _approx.KINDS
+    p = _parts(df, obj, attrs, targets, kinds, method)
+    sets = _approx.fast_sets(p, kinds)
     return _approx.summary_from(sets, _approx.fast_coverage(p, sets))
 
 

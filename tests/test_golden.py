@@ -97,3 +97,15 @@ def test_kind_subsets_equal_the_full_result(spark):
     for kinds in (["CU"], ["CL"], ["PL", "PUr"], ["PU"]):
         part = collect_sets(approximate(df, "obj", ["a1", "a2"], "target", members=True, kinds=kinds), ["kind", "d"])
         assert part == {k: v for k, v in full.items() if k[0] in kinds}
+
+
+def test_methods_and_summary_kinds(spark):
+    from lacuna import summary
+
+    df = fx.f1(spark)
+    a = collect_sets(approximate(df, "obj", ["a1", "a2"], "target", members=True, method="fold"), ["kind", "d"])
+    b = collect_sets(approximate(df, "obj", ["a1", "a2"], "target", members=True, method="expand"), ["kind", "d"])
+    assert a == b
+    full = {(r["d"], r["kind"]): tuple(r) for r in summary(df, "obj", ["a1", "a2"], "target").collect()}
+    part = {(r["d"], r["kind"]): tuple(r) for r in summary(df, "obj", ["a1", "a2"], "target", kinds=["PL"]).collect()}
+    assert part == {k: v for k, v in full.items() if k[1] == "PL"}
