@@ -105,6 +105,9 @@ CUT_EVERY = 3
 # EXPAND_FACTOR * patterns + EXPAND_MIN; above, the fold (dedupe per step).
 EXPAND_FACTOR = 16
 EXPAND_MIN = 1_000_000
+# ... and while no single pattern expands to more rows than this (they would
+# all be produced by the one task holding that pattern).
+EXPAND_PER_PATTERN = 5_000_000
 
 
 def expansion_estimate(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dict[str, int]]:
@@ -116,14 +119,21 @@ def expansion_estimate(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dic
     ``Σ_m c_m · ∏_{a in m} |dom(a)|``; up to four attributes the mask counts
     and the domain sizes come from one aggregate (one small job).
     """
+    rows, n, dom, _ = expansion_profile(pats, attrs)
+    return rows, n, dom
+
+
+def expansion_profile(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dict[str, int], int]:
+    """``expansion_estimate`` plus the largest expansion of a single pattern."""
     k = len(attrs)
     if k > 4:
         dom = domain_sizes(pats, attrs)
         factor = F.lit(1.0)
         for a in attrs:
             factor = factor * F.when(F.col(a) == F.lit(MISSING), F.lit(float(dom[a]))).otherwise(F.lit(1.0))
-        row = pats.agg(F.sum(factor).alias("rows"), F.count(F.lit(1)).alias("n")).collect()[0]
-        return int(row["rows"] or 0), int(row["n"]), dom
+        row = pats.agg(F.sum(factor).alias("rows"), F.count(F.lit(1)).alias("n"),
+                       F.max(factor).alias("peak")).collect()[0]
+        return int(row["rows"] or 0), int(row["n"]), dom, int(row["peak"] or 0)
     mask = F.lit(0)
     for i, a in enumerate(attrs):
         mask = mask + F.when(F.col(a) == F.lit(MISSING), F.lit(1 << i)).otherwise(F.lit(0))
@@ -131,7 +141,7 @@ def expansion_estimate(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dic
     row = m.agg(*[F.countDistinct(a).alias(f"_d{i}") for i, a in enumerate(attrs)],
                 *[F.count_if(F.col("_m") == F.lit(j)).alias(f"_c{j}") for j in range(1 << k)]).collect()[0]
     dom = {a: int(row[f"_d{i}"]) for i, a in enumerate(attrs)}
-    rows, n = 0, 0
+    rows, n, peak = 0, 0, 0
     for j in range(1 << k):
         c = int(row[f"_c{j}"] or 0)
         n += c
@@ -140,7 +150,9 @@ def expansion_estimate(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dic
             if j >> i & 1:
                 prod *= dom[a]
         rows += c * prod
-    return rows, n, dom
+        if c:
+            peak = max(peak, prod)
+    return rows, n, dom, peak
 
 
 def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str, int] | None = None,
@@ -208,8 +220,9 @@ def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
         raise ValueError(f"method must be auto, fold or expand, got {method!r}")
     dom = {a: None for a in attrs}
     if len(attrs) > 1 and method in ("auto", "expand"):
-        est, n_pats, dom = expansion_estimate(pats, attrs)
-        if method == "expand" or est <= EXPAND_FACTOR * n_pats + EXPAND_MIN:
+        est, n_pats, dom, peak = expansion_profile(pats, attrs)
+        bounded = est <= EXPAND_FACTOR * n_pats + EXPAND_MIN and peak <= EXPAND_PER_PATTERN
+        if method == "expand" or bounded:
             return aggregate_possible_expand(pats, attrs, dom if broadcast_domains else None, distinct=distinct)
     elif broadcast_domains:
         dom = domain_sizes(pats, attrs)

@@ -61,13 +61,14 @@ def estimate_possible(df: DataFrame, obj: str, attrs: list[str]) -> dict:
     """Cost of maxA before running it: rows of the one-pass expansion
     (``Σ_p ∏ (|dom(a)|+1)`` over patterns missing on a), number of patterns,
     distinct values per attribute, and the method ``aggregate`` would pick."""
-    from lacuna.operators.aggregate import EXPAND_FACTOR, EXPAND_MIN, expansion_estimate
+    from lacuna.operators.aggregate import EXPAND_FACTOR, EXPAND_MIN, EXPAND_PER_PATTERN, expansion_profile
 
     pdf, names = _internal(df, obj, attrs)
-    rows, n, dom = expansion_estimate(patterns(pdf, names), names)
+    rows, n, dom, peak = expansion_profile(patterns(pdf, names), names)
     dom = {a: dom[nm] for a, nm in zip(attrs, names)}
-    method = "expand" if len(attrs) > 1 and rows <= EXPAND_FACTOR * n + EXPAND_MIN else "fold"
-    return {"expansion_rows": rows, "patterns": n, "domains": dom, "method": method}
+    bounded = rows <= EXPAND_FACTOR * n + EXPAND_MIN and peak <= EXPAND_PER_PATTERN
+    method = "expand" if len(attrs) > 1 and bounded else "fold"
+    return {"expansion_rows": rows, "patterns": n, "largest_pattern_rows": peak, "domains": dom, "method": method}
 
 
 def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") -> DataFrame:

@@ -194,3 +194,18 @@ def test_wide_tables_match_brute_force(spark, seed):
         m = family_members(fam, pattern_units(pdf, attrs)).withColumnRenamed("cid", "class_id")
         assert collect_sets(m.withColumn("k", F.lit(0)), ["k"]).get((0,), set()) == want, method
     assert _sets(approximate(df, "obj", attrs, x, members=True)) == approximations(rows, k, targets)
+
+
+def test_per_pattern_bound_falls_back_to_fold(spark, monkeypatch):
+    import lacuna.operators.aggregate as ag
+
+    rng = random.Random(41)
+    rows, targets = random_table(rng, 12, 3, 0.4)
+    df, x = to_frames(spark, rows, 3, targets)
+    monkeypatch.setattr(ag, "EXPAND_PER_PATTERN", 1)
+    called = []
+    orig = ag.aggregate_possible_expand
+    monkeypatch.setattr(ag, "aggregate_possible_expand", lambda *a, **k: called.append(1) or orig(*a, **k))
+    got = _sets(approximate(df, "obj", ["a1", "a2", "a3"], x, members=True))
+    assert not called
+    assert got == approximations(rows, 3, targets)
