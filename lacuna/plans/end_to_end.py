@@ -117,12 +117,17 @@ def approximate(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFr
     return _approx.union_kinds(sets).select("kind", "d", *DIGEST)
 
 
-def approximate_families(min_family: DataFrame, max_family: DataFrame, targets: DataFrame) -> DataFrame:
-    """General path on ``(class_id, obj)`` families; ``(kind, d, n, lo, hi, s1, s2)``."""
+def approximate_families(min_family: DataFrame, max_family: DataFrame, targets: DataFrame,
+                         pooled: bool = False) -> DataFrame:
+    """General path on ``(class_id, obj)`` families; ``(kind, d, n, lo, hi, s1, s2)``.
+
+    ``pooled=True`` drops ``d`` and dedupes each kind across targets.
+    """
     sets = _approx.general_sets(min_family, max_family, targets)
+    if pooled:
+        return _approx.pooled(sets).select("kind", *DIGEST)
     return _approx.union_kinds(sets).select("kind", "d", *DIGEST)
 
-
 def summary(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame, kinds=None,
             method: str = "auto") -> DataFrame:
     """``(d, kind, n_classes, n_objects)``; computed on pattern units."""

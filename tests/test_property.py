@@ -209,3 +209,18 @@ def test_per_pattern_bound_falls_back_to_fold(spark, monkeypatch):
     got = _sets(approximate(df, "obj", ["a1", "a2", "a3"], x, members=True))
     assert not called
     assert got == approximations(rows, 3, targets)
+
+
+def test_general_path_pooled_equals_fast_path_pooled(spark):
+    rng = random.Random(17)
+    rows, targets = random_table(rng, 10, 2, 0.3)
+    df, x = to_frames(spark, rows, 2, targets)
+    from lacuna import aggregate as agg
+
+    mn = agg(df, "obj", ["a1", "a2"], "certain")
+    mx = agg(df, "obj", ["a1", "a2"], "possible")
+    if mn.count() == 0:
+        pytest.skip("no complete object")
+    gen = sorted(map(tuple, approximate_families(mn, mx, x, pooled=True).collect()))
+    fast = sorted(map(tuple, approximate(df, "obj", ["a1", "a2"], x, pooled=True).collect()))
+    assert gen == fast
