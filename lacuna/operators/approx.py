@@ -82,12 +82,16 @@ def table_parts(pats: DataFrame, attrs: list[str], units: DataFrame, cut: bool =
 
 
 def target_parts(tp: TableParts, xo: DataFrame, xp: DataFrame, cut: bool = True,
-                 need_mx: bool = True) -> FastParts:
-    """Frames that depend on the targets (``xo``: d, u, obj; ``xp``: per (d, u) stats)."""
+                 need_mx: bool = True, mx_readers: int = 3) -> FastParts:
+    """Frames that depend on the targets (``xo``: d, u, obj; ``xp``: per (d, u) stats).
+
+    ``max ∩ X`` is written once when several kinds read it; a single reader
+    uses it in place.
+    """
     mx = None
     if need_mx and tp.fam is not None:
         mx = tp.fam.select("cid", "u").join(xp, "u").groupBy("cid", "d").agg(*merge_stats())
-        if cut:
+        if cut and mx_readers > 1:
             mx = cut_lineage(mx, tag="mx")
     xpc = xp.join(tp.comp.select("u", F.col("n").alias("cn")), "u")
     inside = xpc.where(F.col("n") == F.col("cn")).select("d", "u")
@@ -137,9 +141,10 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
             xp = cut_lineage(xp, tag="xp")
             pstats = cut_lineage(pstats, tag="pats")
     need_max = bool(set(kinds) - {"CU"})
-    need_mx = bool(set(kinds) & {"PL", "PU", "PUr"})
+    mx_readers = len(set(kinds) & {"PL", "PU", "PUr"})
+    need_mx = mx_readers > 0
     tp = table_parts(with_attrs(pstats, attrs), attrs, units, cut=cut, need_max=need_max, method=method)
-    return target_parts(tp, xo, xp, cut=cut, need_mx=need_mx)
+    return target_parts(tp, xo, xp, cut=cut, need_mx=need_mx, mx_readers=mx_readers)
 
 
 def _dedupe(sets: DataFrame, keys: list[str], loc: str) -> DataFrame:
