@@ -178,6 +178,9 @@ def fast_sets(p: FastParts, kinds: tuple[str, ...] = KINDS) -> dict[str, DataFra
 def fast_members(p: FastParts, sets: dict[str, DataFrame]) -> DataFrame:
     """``(kind, d, class_id, obj)``; ``class_id`` is the result set's fingerprint."""
     out = []
+    # one size total per side, shared by all kinds
+    t_units = p.pats.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
+    t_targets = p.xp.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
     for kind, s in sets.items():
         s = s.withColumn("class_id", fingerprint())
         if "u" in s.columns:
@@ -185,9 +188,9 @@ def fast_members(p: FastParts, sets: dict[str, DataFrame]) -> DataFrame:
         else:
             locs = s.select("d", "class_id", "cid").join(p.fam.select("cid", "u"), "cid").select("d", "class_id", "u")
         if kind in ("CU", "PL", "PUr"):
-            m = split_hot_join(locs, p.xo, ["d", "u"], p.xp.select("d", "u", "n"))
+            m = split_hot_join(locs, p.xo, ["d", "u"], p.xp.select("d", "u", "n"), total=t_targets)
         else:
-            m = split_hot_join(locs, p.units, ["u"], p.pats.select("u", "n"))
+            m = split_hot_join(locs, p.units, ["u"], p.pats.select("u", "n"), total=t_units)
         m = m.select("d", "class_id", "obj")
         out.append(m.select(F.lit(kind).alias("kind"), "d", "class_id", "obj"))
     res = out[0]

@@ -25,11 +25,13 @@ HOT_KEYS = 200_000
 
 def split_hot_join(small: DataFrame, big: DataFrame, keys: list[str], sizes: DataFrame,
                    rows_per_split: int = SPLIT_ROWS, max_hot: int = HOT_KEYS,
-                   small_keys: list[str] | None = None, salt: str = "obj") -> DataFrame:
+                   small_keys: list[str] | None = None, salt: str = "obj",
+                   total: int | None = None) -> DataFrame:
     """Inner equi-join of a key-level ``small`` side with a ``big`` side
     whose keys may be hot (``salt`` is a big-side column that varies within
     a key, e.g. the object id).  ``small_keys`` names the small side's key
     columns when they differ from ``keys``; the result keeps big's names.
+    ``total`` (the sum of ``sizes.n``) may be passed when already known.
 
     ``sizes`` gives the exact number of ``big`` rows per key (``keys..., n``).
     A key with more than ``t`` rows is split into ``ceil(n / t)`` parts: its
@@ -38,7 +40,8 @@ def split_hot_join(small: DataFrame, big: DataFrame, keys: list[str], sizes: Dat
     threshold is ``t = max(rows_per_split, total / max_hot)``, so at most
     ``max_hot`` keys are hot: that bounded list is what gets broadcast.
     """
-    total = sizes.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
+    if total is None:
+        total = sizes.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
     t = max(rows_per_split, -(-int(total) // max_hot))
     hot = sizes.where(F.col("n") > t).select(*keys, F.ceil(F.col("n") / t).cast("int").alias("_k"))
     hot = F.broadcast(hot)

@@ -100,8 +100,9 @@ def test_hot_key_split_keeps_every_row(spark, monkeypatch):
     want = _sets(approximate(df, "obj", ["a1", "a2"], x, members=True))
     orig = tuning.split_hot_join
 
-    def tiny(small, big, keys, sizes, rows_per_split=1, max_hot=10**9):
-        return orig(small, big, keys, sizes, rows_per_split=1, max_hot=max_hot)
+    def tiny(small, big, keys, sizes, **kw):
+        kw["rows_per_split"] = 1
+        return orig(small, big, keys, sizes, **kw)
 
     monkeypatch.setattr(tuning, "split_hot_join", tiny)
     import lacuna.operators.approx as ap
