@@ -142,6 +142,9 @@ def queries() -> dict[str, str]:
     q["select_attributes"] = with_(F2, CELLS) + "SELECT attr, value, obj FROM cells WHERE attr IN (1, 3)"
     q["pick_family"] = with_(F2, CELLS) + group_digest(
         "(SELECT * FROM cells WHERE value <> '*' AND attr <= 3)", ["attr", "value"])
+    q["classes"] = with_(F2, CELLS, POSSIBLE) + group_digest(
+        "(SELECT 'certain' AS kind, attr, value, obj FROM cells WHERE value <> '*' AND attr <= 3 "
+        "UNION ALL SELECT 'possible' AS kind, attr, value, obj FROM poss WHERE attr <= 3)", ["kind", "attr", "value"])
     q["refine_two"] = with_(
         F2, CELLS, POSSIBLE,
         """p1 AS (SELECT value, list_sort(list(obj)) AS s FROM poss WHERE attr = 1 GROUP BY value),

@@ -58,6 +58,12 @@ def q_pick_family(spark, sf):
     return _class_digest(C.pick_family(both, "certain"), ["attr", "value"])
 
 
+def q_classes(spark, sf):
+    """E2E-1: certain and possible families of a1..a3 with their kind."""
+    both = C.classes(fx.f2(spark, sf), "obj", A)
+    return _class_digest(both, ["kind", "attr", "value"])
+
+
 def q_refine_two(spark, sf):
     """Object-level refine of the possible families of a1 and a2."""
     poss = C.possible_classes(C.unpivot(fx.f2(spark, sf), "obj", ["a1", "a2"]))
@@ -250,6 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "possible_classes": q_possible_classes,
     "select_attributes": q_select_attributes,
     "pick_family": q_pick_family,
+    "classes": q_classes,
     "refine_two": q_refine_two,
     "aggregate_certain": q_aggregate_certain,
     "aggregate_possible": q_aggregate_possible,
