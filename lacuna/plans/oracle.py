@@ -200,4 +200,5 @@ FROM cells GROUP BY attr, value"""
     q["compact"] = q["unpivot"]
     q["sequencefile_roundtrip"] = q["equivalence_classes"]
     q["write_sets_text"] = q["approximate_families"]
+    q["stream_targets"] = with_(F2, F2B, MINA, MAXA, XS_B, APPROX) + digest("allk", ["kind", "d"])
     return q

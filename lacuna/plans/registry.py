@@ -236,6 +236,20 @@ def q_sequencefile_roundtrip(spark, sf):
     return _class_digest(dec, ["attr", "value"])
 
 
+def q_stream_targets(spark, sf):
+    """Target files (F2b, bounded lines) streamed through foreachBatch against
+    families precomputed from ``part``; the parquet sink read back."""
+    from lacuna.streaming import targets as ST
+
+    src, out, ckpt = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    enc = encode_sets(fx.f2b_targets(spark, sf), ["d"])
+    enc.select(F.concat_ws(FIELD_SEP, "d", "ids")).write.text(src)
+    tp = ST.table_side(fx.f2(spark, sf), "obj", A)
+    q = ST.start(spark, tp, src, out, ckpt)  # available-now: every file present is one batch
+    q.awaitTermination()
+    return spark.read.parquet(out).select("kind", "d", *DIGEST)
+
+
 def q_write_sets_text(spark, sf):
     """All approximations as set text files, one directory per kind, read back."""
     path = scratch_path(spark, "sets")
@@ -286,4 +300,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compact": q_compact,
     "sequencefile_roundtrip": q_sequencefile_roundtrip,
     "write_sets_text": q_write_sets_text,
+    "stream_targets": q_stream_targets,
 }
