@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.missing import is_complete
 from lacuna.functions.setstats import FINGERPRINT, STATS, fingerprint, merge_stats, object_stats
-from lacuna.operators.aggregate import aggregate_possible, pattern_units, patterns
+from lacuna.operators.aggregate import aggregate_possible, pattern_units
 from lacuna.operators.sets import as_family, containment_join, family_stats
 from lacuna.plans.tuning import cut_lineage, split_hot_join
 
