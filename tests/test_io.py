@@ -148,3 +148,12 @@ def test_long_form_set_helpers(spark):
     assert [r["set_id"] for r in so.order_by_size(st).collect()] == ["t", "s"]
     dup = st.unionByName(st.withColumn("set_id", F.lit("x")).where(F.col("n") == 2))
     assert so.distinct_sets(dup, []).count() == 2
+
+
+def test_read_table_with_key_column(spark):
+    p = _write("15,a,*\n7,b,x\n")
+    df = T.read_table(spark, p, ["a1", "a2"], key="1")
+    assert sorted(tuple(r) for r in df.collect()) == [(7, "b", "x"), (15, "a", "*")]
+    p2 = _write("a,15,*\n")
+    df2 = T.read_table(spark, p2, ["a1", "a2"], key="2")
+    assert [tuple(r) for r in df2.collect()] == [(15, "a", "*")]
