@@ -26,6 +26,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
     )
+    if os.environ.get("LACUNA_EVENT_LOG") == "1":
+        # stage and task times without the UI: Spark's event log in the scratch folder
+        events = os.path.join(scratch, "events")
+        os.makedirs(events, exist_ok=True)
+        builder = (builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", events)
+                   .config("spark.eventLog.compress", "false"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
