@@ -198,6 +198,10 @@ FROM cells GROUP BY attr, value"""
     q["orders8_aggregate_possible"] = with_(F6, reachable_maxa(8)) + digest("maxa", [])
     q["read_numbered"] = with_(F2) + "SELECT ROW_NUMBER() OVER (ORDER BY obj) AS obj, a1, a2, a3, d FROM t"
     q["compact"] = q["unpivot"]
+    # line numbers in key order; objects whose a3 cell is absent lie in no block
+    ragged = ("t AS (SELECT * FROM (SELECT ROW_NUMBER() OVER (ORDER BY obj) AS obj, a1, a2, a3 FROM ("
+              + F2[len("t AS ("):-1] + ")) WHERE a3 <> '*')")
+    q["ragged_aggregate_possible"] = with_(ragged, MAXA) + digest("maxa", [])
     q["sequencefile_roundtrip"] = q["equivalence_classes"]
     q["write_sets_text"] = q["approximate_families"]
     q["stream_targets"] = with_(F2, F2B, MINA, MAXA, XS_B, APPROX) + digest("allk", ["kind", "d"])

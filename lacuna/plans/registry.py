@@ -217,6 +217,19 @@ def q_read_numbered(spark, sf):
     return T.read_table(spark, path, ALL4)
 
 
+def q_ragged_aggregate_possible(spark, sf):
+    """Text F2 where a missing a3 is written as a trailing empty cell: read
+    with ``on_ragged='absent'`` those objects have no a3 cell, so they lie in
+    no block; maxA of the rest, ids = line numbers."""
+    path = scratch_path(spark, "ragged")
+    t = fx.f2(spark, sf)
+    a3 = F.when(F.col("a3") == "*", F.lit("")).otherwise(F.col("a3"))
+    t.orderBy("obj").select(F.concat_ws(",", "a1", "a2", a3)).write.text(path)
+    cells = T.parse_cells(T.number_lines(spark, path), on_ragged="absent")
+    wide = C.cells_to_table(cells, A)
+    return E.aggregate(wide, "obj", A, "possible", members=False).select(*DIGEST)
+
+
 def q_compact(spark, sf):
     src, dst = scratch_path(spark, "parts"), scratch_path(spark, "compact")
     _cells(spark, sf).repartition(16).write.parquet(src)
@@ -297,6 +310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders8_aggregate_possible": q_orders8_aggregate_possible,
     "orders8_summary": q_orders8_summary,
     "read_numbered": q_read_numbered,
+    "ragged_aggregate_possible": q_ragged_aggregate_possible,
     "compact": q_compact,
     "sequencefile_roundtrip": q_sequencefile_roundtrip,
     "write_sets_text": q_write_sets_text,
