@@ -97,6 +97,10 @@ def aggregate_certain(pats: DataFrame, attrs: list[str]) -> DataFrame:
     return comp.select(fingerprint().alias("cid"), F.col("pid").alias("u"), *STATS)
 
 
+# Fixed value: status of an aggregation that leaves no class; "ok" is ours.
+STATUS_EMPTY = "not_exist"
+STATUS_OK = "ok"
+
 # Key expanded blocks by packed dense value codes (one BIGINT) when they fit.
 PACK_KEYS = True
 # Fold steps between two lineage cuts.
@@ -262,5 +266,5 @@ def aggregate_status(fam: DataFrame, attrs: list[str] | str) -> DataFrame:
     n = fam.select("u").limit(1).groupBy().count()
     return n.select(
         F.lit(label).alias("attrs"),
-        F.when(F.col("count") > 0, F.lit("ok")).otherwise(F.lit("not_exist")).alias("status"),
+        F.when(F.col("count") > 0, F.lit(STATUS_OK)).otherwise(F.lit(STATUS_EMPTY)).alias("status"),
     )

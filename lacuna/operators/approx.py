@@ -38,6 +38,8 @@ from lacuna.operators.aggregate import aggregate_possible, pattern_units
 from lacuna.operators.sets import as_family, containment_join, family_stats
 from lacuna.plans.tuning import cut_lineage, split_hot_join
 
+# Result kind labels of the original output (CL, CU, PL, PU);
+# PUr (restricted PU) is ours.
 KINDS = ("CL", "CU", "PL", "PU", "PUr")
 
 
