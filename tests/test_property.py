@@ -225,3 +225,25 @@ def test_general_path_pooled_equals_fast_path_pooled(spark):
     gen = sorted(map(tuple, approximate_families(mn, mx, x, pooled=True).collect()))
     fast = sorted(map(tuple, approximate(df, "obj", ["a1", "a2"], x, pooled=True).collect()))
     assert gen == fast
+
+
+def test_estimate_matches_direct_count(spark):
+    """Expansion rows = Σ over objects' patterns of ∏ (|dom|+1) over missing attributes."""
+    from lacuna import estimate_possible
+
+    rng = random.Random(9)
+    rows, _ = random_table(rng, 15, 3, 0.3)
+    df, _ = to_frames(spark, rows, 3, {"x": {1}})
+    est = estimate_possible(df, "obj", ["a1", "a2", "a3"])
+    pats = set(rows.values())
+    dom = [len({p[i] for p in pats}) for i in range(3)]  # distinct values incl. '*'
+    want = 0
+    for p in pats:
+        prod = 1
+        for i in range(3):
+            if p[i] == "*":
+                prod *= dom[i]
+        want += prod
+    assert est["expansion_rows"] == want and est["patterns"] == len(pats)
+    assert est["domains"] == {"a1": dom[0], "a2": dom[1], "a3": dom[2]}
+    assert est["method"] in ("expand", "fold")
