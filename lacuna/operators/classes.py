@@ -23,6 +23,18 @@ def prepare(df: DataFrame, obj: str, attrs: list[str], keep: tuple[str, ...] = (
     return df.select(*cols)
 
 
+def prepare_private(df: DataFrame, obj: str, attrs: list[str], target: str | None = None):
+    """Like ``prepare`` but with private column names (``_a1``..., ``_target``),
+    so user attribute names never collide with stats or pattern columns.
+    Returns the table and the attribute column names to use."""
+    names = [f"_a{i + 1}" for i in range(len(attrs))]
+    cols = [F.col(obj).cast("bigint").alias("obj")]
+    cols += [normalize(a).alias(n) for a, n in zip(attrs, names)]
+    if target is not None:
+        cols.append(F.col(target).alias("_target"))
+    return df.select(*cols), names
+
+
 def unpivot(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
     """Row -> one ``(attr, value, obj)`` per attribute; ``attr`` is 1-based."""
     cells = F.array(*[

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.missing import normalize
 from lacuna.functions.setstats import DIGEST, fingerprint
 from lacuna.operators import approx as _approx
 from lacuna.operators import classes as _classes
@@ -22,15 +21,7 @@ from lacuna.operators.sets import distinct_sets, family_members, family_stats
 from lacuna.plans.tuning import cut_lineage
 
 
-def _internal(df: DataFrame, obj: str, attrs: list[str], target: str | None = None):
-    """Prepared table with private column names (``_a1``..., ``_target``), so
-    user attribute names never collide with the stats / pattern columns."""
-    names = [f"_a{i + 1}" for i in range(len(attrs))]
-    cols = [F.col(obj).cast("bigint").alias("obj")]
-    cols += [normalize(a).alias(n) for a, n in zip(attrs, names)]
-    if target is not None:
-        cols.append(F.col(target).alias("_target"))
-    return df.select(*cols), names
+_internal = _classes.prepare_private
 
 
 def classes(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:

@@ -19,14 +19,13 @@ from lacuna.functions.codec import FIELD_SEP, _regex, decode_ids
 from lacuna.functions.setstats import DIGEST, object_stats
 from lacuna.operators import approx as A
 from lacuna.operators.aggregate import pattern_units
+from lacuna.operators.classes import prepare_private
 from lacuna.plans.tuning import cut_lineage
 
 
 def table_side(df: DataFrame, obj: str, attrs: list[str]) -> A.TableParts:
     """Target-independent part of the fast path, materialised once."""
-    from lacuna.plans.end_to_end import _internal
-
-    pdf, names = _internal(df, obj, attrs)  # private column names: no clash with stats columns
+    pdf, names = prepare_private(df, obj, attrs)  # private column names: no clash with stats columns
     units = pattern_units(pdf, names)
     pstats = cut_lineage(units.groupBy("u").agg(*object_stats("obj")), tag="pats")
     return A.table_parts(A.with_attrs(pstats, names), names, units)
