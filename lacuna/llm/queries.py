@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import mixing, packing, rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,21 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, tokenizer_file()))
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, at = rules.quality_rules(docs, table(spark, sf_dir, "labels"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return rows.select("doc_id", *(f"{at}.{c}" for c in names))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, at = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", f"{at}.n_assign", f"{at}.n_access", f"{at}.n_hex", F.sha2(f"{at}.base_spans", 256).alias("base_sha256"),
+        f"{at}.spans", f"{at}.n_unscanned",
+    )
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows, at = mixing.mix_sources(docs)
@@ -57,7 +72,9 @@ FROM x
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pack": op4_pack,
+    "op7_rules": op7_rules,
     "op9_mix": op9_mix,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
