@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules, secret_scan
+from . import fingerprints, mixing, packing, rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_file() -> str:
     """The default vocabulary of the packing query; any path can be given to the operator."""
     import public_tokenizers
@@ -70,7 +74,32 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
+_LEAVES = r"""list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+  list_transform(range(1, len(string_split(p, ' ')) + 1, 16), lambda i:
+    substr(sha256(array_to_string(list_slice(string_split(p, ' '), i, i + 15), ' ')), 1, 16))))"""
+
+_RENDERED = r"""sha256(array_to_string({0}_s, ',')) || ';' || array_to_string({0}_s, ',') || ';' ||
+  array_to_string(list_transform({0}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, ' ')), '|')), chr(10))"""
+
+_SECTIONS = r"""list_transform({0}, lambda s: substr(sha256(array_to_string(list_transform(s, lambda p: substr(sha256(array_to_string(p, ' ')), 1, 32)), '|')), 1, 32))"""
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text),
+                         first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS nxt FROM d),
+e AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(nxt, 1, length(text) // 2) AS edited FROM n),
+l AS (SELECT *, {_LEAVES.format('text')} AS a, {_LEAVES.format('edited')} AS b, {_LEAVES.format('nxt')} AS c FROM e),
+x AS (SELECT *, {_SECTIONS.format('a')} AS a_s, {_SECTIONS.format('b')} AS b_s,
+             list_distinct(flatten(flatten(a))) AS sa, list_distinct(flatten(flatten(b))) AS sb, list_distinct(flatten(flatten(c))) AS sc FROM l)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+       {_RENDERED.format('a')} AS fingerprint, {_RENDERED.format('b')} AS edited_fingerprint,
+       2.0::DOUBLE * len(list_intersect(sa, sb)) / (len(sa) + len(sb)) AS near_edited,
+       2.0::DOUBLE * len(list_intersect(sa, sc)) / (len(sa) + len(sc)) AS near_next
+FROM x
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
     "op4_pack": op4_pack,
     "op7_rules": op7_rules,
     "op9_mix": op9_mix,
@@ -78,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_fingerprints": OP2_SQL,
     "op9_mix": OP9_SQL,
 }
