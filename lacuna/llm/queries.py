@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, rules, secret_scan
+from . import ctw, fingerprints, mixing, packing, rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_file() -> str:
     """The default vocabulary of the packing query; any path can be given to the operator."""
     import public_tokenizers
@@ -100,6 +104,7 @@ FROM x
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_ctw": op3_ctw,
     "op4_pack": op4_pack,
     "op7_rules": op7_rules,
     "op9_mix": op9_mix,
