@@ -26,18 +26,25 @@ from pyspark.sql import types as T
 
 from .columns import fresh
 from .session import ship, stored
-from .text import slices, span_hash, prefix_sums, words
+from .text import LOWER, prefix_sums, slices, span_hash, words
 
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 1_500_000  # distinct words whose ids a Python worker remembers; beyond it the memory starts anew
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+
+
 class WordIds:
-    """Token ids of words, each distinct word encoded once for each worker process.
+    """Token ids of words, each distinct one encoded once for each worker process.
 
-    The vocabulary's pre-tokenizer drops white space and never joins characters across it, so a text's ids are its
-    words' ids one after another.  Texts that hold a special token's string are encoded whole by the caller.
+    The vocabulary lower-cases, drops white space and never joins characters across it, nor a punctuation mark to a
+    letter before it.  So a text's ids are the ids of its lower-cased words, cut there, one after another.  Texts that
+    hold a special token's string are encoded whole by the caller.
     """
 
     def __init__(self, path: str):
@@ -66,7 +73,11 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and each row's number of ids."""
+        data = LOWER[data]
         first, last = words(data, offsets)
+        cuts = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+        cuts = cuts[~np.isin(cuts, offsets)]
+        first, last = np.sort(np.r_[first, cuts]), np.sort(np.r_[last, cuts])
         hashes = span_hash(prefix_sums(data), first, last)
         keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
