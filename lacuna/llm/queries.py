@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, fingerprints, mixing, packing, repeats, rules, secret_scan
+from . import ctw, fingerprints, mixing, packing, pages, repeats, rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, at = rules.quality_rules(docs, table(spark, sf_dir, "labels"))
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ctw": op3_ctw,
     "op4_pack": op4_pack,
     "op5_repeats": op5_repeats,
+    "op6_pages": op6_pages,
     "op7_rules": op7_rules,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
