@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, fingerprints, mixing, packing, pages, repeats, rules, secret_scan
+from . import classifier, ctw, fingerprints, mixing, packing, pages, repeats, rules, secret_scan
+from .columns import learns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,13 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(f"{at}.{c}" for c in names))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, at = classifier.quality_scores(docs, table(spark, sf_dir, "labels"))
+    rows = rows.select("doc_id", (~learns("doc_id", 5, 0)).alias("held_out"), F.col(at).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= classifier.CUT).cast("int"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, at = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -118,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repeats": op5_repeats,
     "op6_pages": op6_pages,
     "op7_rules": op7_rules,
+    "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
 }
