@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, ctw, fingerprints, mixing, packing, pages, repeats, rules, secret_scan
+from . import classifier, ctw, fingerprints, jaccard, mixing, packing, pages, repeats, rules, secret_scan
 from .columns import learns
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -120,6 +124,7 @@ FROM x
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_fingerprints": op2_fingerprints,
     "op3_ctw": op3_ctw,
     "op4_pack": op4_pack,
