@@ -28,9 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import fresh
 from .session import ship, stored
 from .text import LOWER, mix, signed, slices, windows, word_hashes, words
 
@@ -312,9 +313,8 @@ def _close(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
 
 
 def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row."""
-    spark = docs.sparkSession
-    ship(spark)
+    """``(doc_id, n_shingles, component_id, set_id)`` for every row; ``set_id`` identifies the row's set of shingles."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     signs = stored(rows.mapInArrow(_signatures, f"doc_id {kind}, n bigint, f bigint, sketch binary"), "jaccard-signs")
@@ -357,7 +357,33 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         classes = components(links)
 
     named = signs.select("doc_id", "n", "f").join(classes.select(F.col("node").alias("f"), "root"), "f", "left")
-    named = stored(named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root")), "jaccard-named")
+    named = stored(named.select("doc_id", "n", "f", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root")), "jaccard-named")
     least_id = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least_id, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("f").alias("set_id"))
+
+
+def set_id(text: Column | str) -> Column:
+    """The identifier of a text's set of shingles (0 for an empty one)."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [set_ids(*shingle_sets(data, offsets)) for _, data, offsets in slices(pa.record_batch([texts], names=["t"]), "t", SLICE)]
+        return pa.array(signed(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64))
+
+    return F.arrow_udf(run, "bigint").asNondeterministic()(text)
+
+
+def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that name their class: of each group of linked documents, the one with the smallest id.
+
+    Rows that are alike in id and set stay once.  Rows without an id stay unless a row with an id is in their class.
+    """
+    classes = stored(jaccard_classes(docs, doc_id=doc_id, text=text), "jaccard-classes")
+    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_k"), F.col("set_id").alias("_s"))
+    keep = stored(keep.agg(F.count("*").alias("_c")), "jaccard-keep")
+    at = fresh("set_id", docs.columns)
+    rows = docs.withColumn(at, set_id(F.col(text)))
+    kept = rows.join(keep, F.col(doc_id).eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_s")), "left_semi")
+    if not keep.where("_c > 1 AND _k IS NOT NULL").isEmpty():
+        kept = kept.dropDuplicates([doc_id, at])
+    return kept.select(*docs.columns)
