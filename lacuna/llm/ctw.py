@@ -223,7 +223,7 @@ def _score(tables, keys: np.ndarray, counts: np.ndarray, denominator: float):
                 at = np.minimum(np.searchsorted(keys, tokens), max(0, len(keys) - 1))
                 known = keys[at] == tokens if len(keys) else np.zeros(len(tokens), dtype=bool)
                 c = counts[at[known]] if len(keys) else np.zeros(0)
-                base = np.bincount(row[known], weights=np.log10((c + 1) / denominator), minlength=n)
+                base = np.bincount(row[known], weights=np.log10((c + 1) / denominator), minlength=n).astype(float)
                 seen = np.bincount(row[known], minlength=n)
                 # the other words: distinct ones of each row with their number
                 order = np.lexsort((tokens[~known], row[~known]))

@@ -99,8 +99,7 @@ def next_document(docs: DataFrame, *, doc_id: str = "doc_id", carry: Column, row
 
     ``doc_id`` is an integer column.
     """
-    cols = docs.columns
-    group, turn, key, out = (fresh(x, cols) for x in ("_range", "_turn", "_key", "next"))
+    out = fresh("next", docs.columns)
     lowest = -(1 << 63)  # null ids stand at the end
     ids = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(lowest)).alias("k"))
     low, high, n = ids.agg(F.coalesce(F.min(F.when(F.col("k") > lowest, F.col("k"))), F.lit(0)), F.max("k"), F.count("*")).first()
@@ -117,15 +116,12 @@ def next_document(docs: DataFrame, *, doc_id: str = "doc_id", carry: Column, row
     line, everything = Window.orderBy(F.desc("g")), Window.partitionBy(F.lit(0))
     heads = heads.select("top", F.coalesce(F.lag("g").over(line), F.min("g").over(everything)).alias("to"))
     send = F.broadcast(heads)  # at most MAX_RANGES + 1 rows of two integers
-    rows = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(lowest))).join(send, F.col(key) == F.col("top"), "left").drop("top")
-    here, there = F.struct(place(key).alias("g"), F.lit(0).alias("t")), F.struct(F.col("to").alias("g"), F.lit(1).alias("t"))
-    both = F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))
-    rows = rows.withColumn("_to", F.explode(both)).withColumn(group, F.col("_to.g")).withColumn(turn, F.col("_to.t")).drop("_to", "to")
-    carried = fresh("_carry", cols)
-    rows = rows.withColumn(carried, F.struct(carry.alias("x")))
-    along = Window.partitionBy(group).orderBy(F.col(turn), F.col(key).desc(), F.col(f"{carried}.x"))
-    rows = rows.withColumn(out, F.lead(carried).over(along)).where(F.col(turn) == 0)
-    return rows.select(*cols, F.col(f"{out}.x").alias(out)), out
+    rows = docs.select(F.struct(*docs.columns).alias("row"), carry.alias("carry"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(lowest)).alias("key"))
+    rows = rows.join(send, F.col("key") == F.col("top"), "left")
+    here, there = F.struct(place("key").alias("g"), F.lit(0).alias("turn")), F.struct(F.col("to").alias("g"), F.lit(1).alias("turn"))
+    rows = rows.select("row", "carry", "key", F.inline(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    along = Window.partitionBy("g").orderBy("turn", F.col("key").desc(), "carry")
+    return rows.withColumn("next", F.lead("carry").over(along)).where("turn = 0").select("row.*", F.col("next").alias(out)), out
 
 
 def edited_text(text: Column, other: Column) -> Column:

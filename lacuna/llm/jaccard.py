@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import fresh
 from .session import ship, stored
 from .text import LOWER, mix, signed, slices, windows, word_hashes, words
 
@@ -381,9 +380,8 @@ def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     classes = stored(jaccard_classes(docs, doc_id=doc_id, text=text), "jaccard-classes")
     keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_k"), F.col("set_id").alias("_s"))
     keep = stored(keep.agg(F.count("*").alias("_c")), "jaccard-keep")
-    at = fresh("set_id", docs.columns)
-    rows = docs.withColumn(at, set_id(F.col(text)))
-    kept = rows.join(keep, F.col(doc_id).eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_s")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), set_id(F.col(text)).alias("set"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("_k")) & (F.col("set") == F.col("_s")), "left_semi")
     if not keep.where("_c > 1 AND _k IS NOT NULL").isEmpty():
-        kept = kept.dropDuplicates([doc_id, at])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "set"])
+    return kept.select("row.*")

@@ -194,28 +194,20 @@ def pack(pieces: DataFrame, *, length: str = "length", capacity: int = CAPACITY)
 
     Pieces must be no longer than ``capacity``; those of length 0 or null come back with null places.
     """
-    cols = pieces.columns
-    n, rank, part, before = (fresh(x, cols) for x in ("_n", "_rank", "_part", "_before"))
-    seq, off = fresh("sequence_id", cols), fresh("offset", cols)
-    spark = pieces.sparkSession
+    cols, spark = pieces.columns, pieces.sparkSession
     # rank in the run of equal lengths: within each stored part, then shifted by what earlier parts hold
-    held = stored(pieces.withColumn(part, F.spark_partition_id()).withColumn(n, F.col(length).cast("bigint")), "pack-pieces")
-    by_part = held.groupBy(n, part).agg(F.count("*").alias("_c"))
-    shift = by_part.withColumn(before, F.sum("_c").over(Window.partitionBy(n).orderBy(part)) - F.col("_c"))
-    counts = {int(r[0]): int(r[1]) for r in held.where(F.col(n) > 0).groupBy(n).count().collect()}  # at most `capacity` rows
+    held = stored(pieces.select(F.struct(*cols).alias("row"), F.col(length).cast("bigint").alias("n"), F.spark_partition_id().alias("part")), "pack-pieces")
+    by_part = held.groupBy("n", "part").agg(F.count("*").alias("c"))
+    shift = by_part.select(F.col("n").alias("sn"), F.col("part").alias("sp"), (F.sum("c").over(Window.partitionBy("n").orderBy("part")) - F.col("c")).alias("sb"))
+    counts = {int(r[0]): int(r[1]) for r in held.where("n > 0").groupBy("n").count().collect()}  # at most `capacity` rows
     if counts and max(counts) > capacity:
         raise ValueError(f"a piece of {max(counts)} exceeds the capacity {capacity}")
-    plan = spark.createDataFrame(
-        sweep(counts, capacity), "_l bigint, _from bigint, _to bigint, _seq bigint, _off bigint, _per bigint"
-    )
-    local = F.row_number().over(Window.partitionBy(n, part).orderBy(F.lit(0))) - 1
-    ranked = held.withColumn(rank, local).join(shift.select(F.col(n).alias("_sn"), F.col(part).alias("_sp"), F.col(before).alias("_sb")),
-                                               F.col(n).eqNullSafe(F.col("_sn")) & (F.col(part) == F.col("_sp")), "left")
-    ranked = ranked.withColumn(rank, F.col(rank) + F.col("_sb"))
-    found = ranked.join(plan, (F.col(n) == F.col("_l")) & (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to")), "left")
-    nth = F.col(rank) - F.col("_from")
-    return found.select(
-        *cols,
-        (F.col("_seq") + F.floor(nth / F.col("_per"))).cast("bigint").alias(seq),
-        (F.col("_off") + (nth % F.col("_per")) * F.col(n)).cast("bigint").alias(off),
-    )
+    plan = spark.createDataFrame(sweep(counts, capacity), "l bigint, first bigint, past bigint, seq bigint, off bigint, per bigint")
+    local = F.row_number().over(Window.partitionBy("n", "part").orderBy(F.lit(0))) - 1
+    ranked = held.withColumn("rank", local).join(shift, F.col("n").eqNullSafe(F.col("sn")) & (F.col("part") == F.col("sp")), "left")
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("sb"))
+    found = ranked.join(plan, (F.col("n") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")), "left")
+    nth = F.col("rank") - F.col("first")
+    sequence = (F.col("seq") + F.floor(nth / F.col("per"))).cast("bigint")
+    offset = (F.col("off") + (nth % F.col("per")) * F.col("n")).cast("bigint")
+    return found.select("row.*", sequence.alias(fresh("sequence_id", cols)), offset.alias(fresh("offset", cols)))
