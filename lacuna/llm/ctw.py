@@ -1,8 +1,8 @@
 """Language-model scores by context-tree weighting over bytes, with a word unigram as the base.
 
 A byte is eight binary decisions.  For each context of the last 0 .. ``DEPTH`` bytes and each decision, all training
-texts give counts of zeros and ones; a node's Krichevsky-Trofimov estimate depends on these counts alone, so the whole
-tree is a chain of Spark aggregations.  From the deepest contexts upward, ``log P_w = log((KT + prod P_w(children)) / 2)``
+texts give counts of zeros and ones; a node's Krichevsky-Trofimov estimate depends on these counts alone, so the tree is
+a matter of aggregation: runs of bytes are counted, shared out by their last ``SPLIT`` context bytes and summed upward.  From the deepest contexts upward, ``log P_w = log((KT + prod P_w(children)) / 2)``
 and the node's weight ``KT / (KT + prod P_w(children))`` tells how much it counts against its deeper contexts.  A text's
 probability is the product over its decisions of the mixture along its context path, from the root down.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import learns
@@ -36,7 +36,10 @@ from .text import LOWER, per_row, slices, word_hashes, words
 DEPTH = 6
 NODES = 1 << 17
 FREQUENT = 1 << 16
-HELD = 1 << 21  # distinct keys that a counting task holds before it passes them on
+HELD = 1 << 20  # distinct keys that a counting task holds before it passes them on
+SPLIT = 3  # bytes of context by which the tree is shared out
+CHUNK = 1 << 17  # runs that a tree-building task takes at once, more only within one group
+SLICE = 2 << 20
 
 END = np.uint64(0x5E17E5A1D0C0FFEE)  # the end token's key among word hashes
 EDGE = 0xFF
@@ -49,20 +52,24 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and each row's closing edge: the ``DEPTH`` bytes before it and itself, packed; and the rows' ends."""
+    """For each byte and each row's closing edge, its context and itself, packed; and the rows' ends.
+
+    The most recent context byte is the most significant one, so sorted runs keep a context's extensions together.
+    """
     n, size = len(offsets) - 1, np.diff(offsets)
     wide = DEPTH + 1
     padded = np.full(len(data) + wide * n, EDGE, dtype=np.uint8)
     row = np.repeat(np.arange(n), size)
     padded[np.arange(len(data)) + row * wide + DEPTH] = data
-    packed = np.zeros(len(padded) - DEPTH, dtype=np.uint64)
-    for k in range(wide):
-        packed = (packed << np.uint64(8)) | padded[k : k + len(packed)]
+    m = len(padded) - DEPTH
+    packed = np.zeros(max(m, 0), dtype=np.uint64)
+    for back in range(1, wide):
+        packed = (packed << np.uint64(8)) | padded[DEPTH - back : DEPTH - back + m]
+    packed = (packed << np.uint64(8)) | padded[DEPTH:]
     starts = offsets[:-1] + np.arange(n) * wide
     keep = np.ones(len(packed), dtype=bool)  # windows that reach over a row's edge end in the next row's padding
     for k in range(DEPTH):
-        at = starts[1:] - 1 - k
-        keep[at] = False
+        keep[starts[1:] - 1 - k] = False
     return packed[keep], offsets[1:] + np.arange(1, n + 1)
 
 
@@ -101,7 +108,7 @@ class _Counter:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens, grams = _Counter(0), _Counter(1)
     for batch in batches:
-        for _, data, offsets in slices(batch, "text"):
+        for _, data, offsets in slices(batch, "text", SLICE):
             data = LOWER[data]
             keys, _ = _tokens(data, offsets)
             yield from tokens.add(np.concatenate([keys, np.full(len(offsets) - 1, END)]))
@@ -110,79 +117,142 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from grams.flush()
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """log(gamma(x)) by Stirling's series at ``x + 8``."""
-    y = x + 8
-    shift = x
+    y, shift = x + 8, x.copy()
     for k in range(1, 8):
-        shift = shift * (x + k)
-    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(shift)
+        shift *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+
+
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    zeros, ones = zeros.astype(float), ones.astype(float)
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+
+
+def _summed(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys, ascending, and the sums of the columns over each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return [keys[at], *(np.add.reduceat(c[order], at) for c in columns)]
+
+
+def _weighed(zeros: np.ndarray, ones: np.ndarray, deeper: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """log P_w of nodes and the weight of their own estimate; ``deeper``: the sum of their deeper contexts' log P_w."""
+    kt = _log_kt(zeros, ones)
+    if deeper is None:
+        return kt, np.ones(len(kt))
+    return np.logaddexp(kt, deeper) - np.log(2), 1 / (1 + np.exp(np.minimum(deeper - kt, 700.0)))
+
+
+_NODES = ["depth", "key", "zeros", "ones", "lw", "w"]
+_NODES_TYPE = "depth int, key bigint, zeros bigint, ones bigint, lw double, w double"
 
 
-def _log_kt(zeros: Column, ones: Column) -> Column:
-    log_pi = 1.1447298858494002
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - log_pi
+def _rows(depth: int, *columns: np.ndarray) -> pa.RecordBatch:
+    key = columns[0]
+    return pa.record_batch([pa.array(np.full(len(key), depth, dtype=np.int32)), pa.array(key.view(np.int64)), *(pa.array(c) for c in columns[1:])], names=_NODES)
+
+
+def _subtrees(depth: int, least: float):
+    """All nodes of depth ``SPLIT`` and the large ones below, from runs ``(key, n)`` that come sorted.
+
+    Runs with the same ``SPLIT`` most recent bytes are neighbours; a chunk ends where such a group does.
+    """
+
+    def chunk(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ctx, byte = key >> np.uint64(8), key & np.uint64(255)
+        cut = np.uint64(8 * (DEPTH - depth))  # contexts longer than asked for
+        ctx = ctx >> cut
+        nodes, zeros, ones = [], [], []
+        for k in range(8):
+            node = np.uint64(1 << k) + (byte >> np.uint64(8 - k))
+            bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+            x, one, all_ = _summed((ctx << np.uint64(8)) | node, n * bit, n)
+            nodes.append(x)
+            ones.append(one)
+            zeros.append(all_ - one)
+        nodes, zeros, ones, deeper = np.concatenate(nodes), np.concatenate(zeros), np.concatenate(ones), None
+        for d in range(depth, SPLIT - 1, -1):
+            if d < depth:
+                up = ((nodes >> np.uint64(16)) << np.uint64(8)) | (nodes & np.uint64(255))
+                nodes, zeros, ones, deeper = _summed(up, zeros, ones, lw)
+            lw, w = _weighed(zeros, ones, deeper)
+            big = (zeros + ones >= least) | (d == SPLIT)
+            yield _rows(d, nodes[big], zeros[big], ones[big], lw[big], w[big])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size = [], [], 0
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy().view(np.uint64))
+            counts.append(batch.column(1).to_numpy())
+            size += batch.num_rows
+            if size >= CHUNK:
+                key, n = np.concatenate(keys), np.concatenate(counts)
+                group = key >> np.uint64(8 * (DEPTH + 1 - SPLIT))
+                end = int(np.searchsorted(group, group[-1]))
+                if end:
+                    yield from chunk(key[:end], n[:end])
+                keys, counts, size = [key[end:]], [n[end:]], len(key) - end
+        if size:
+            yield from chunk(np.concatenate(keys), np.concatenate(counts))
+
+    return run
 
 
-def context_tree(grams: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """Tables by depth 0 .. ``depth``: ``(ctx, node, zeros, ones, w)`` from ``(key, n)`` of packed byte runs.
+def context_tree(grams: DataFrame, least: float, depth: int = DEPTH) -> list[pa.Table]:
+    """Tables by depth 0 .. ``depth``: ``(key, zeros, ones, w)`` of nodes with at least ``least`` decisions.
 
-    ``node`` numbers the decisions of a byte: 1 for the first bit, then ``2 * node + bit``.  ``w`` is the weight of the
-    node's own estimate against its deeper contexts.
+    A key is the context (most recent byte first) and the node: 1 for a byte's first bit, then ``2 * node + bit``.  ``w``
+    is the weight of the node's own estimate against its deeper contexts, which are all counted, large or not.  Contexts
+    of ``SPLIT`` bytes share out the runs; the levels above them are at most ``256 ** SPLIT`` contexts.
     """
-    byte = F.col("key").bitwiseAND(255)
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    rows = grams.select(F.shiftrightunsigned("key", 8).alias("ctx"), byte.alias("byte"), "n", bits.alias("k"))
-    k = F.col("k").cast("int")
-    node = F.call_function("shiftleft", F.lit(1), k) + F.call_function("shiftright", F.col("byte"), 8 - k)
-    bit = F.call_function("shiftright", F.col("byte"), 7 - k).bitwiseAND(1)
-    level = rows.groupBy("ctx", node.cast("int").alias("node")).agg(
-        F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("ones")
-    )
-    kt = _log_kt(F.col("zeros").cast("double"), F.col("ones").cast("double"))
-    level = stored(level.withColumn("lw", kt).withColumn("w", F.lit(1.0)), f"ctw-{depth}")
-    out = [level]
-    for d in range(depth - 1, -1, -1):
-        up = level.groupBy(F.col("ctx").bitwiseAND((1 << (8 * d)) - 1).alias("ctx"), "node").agg(
-            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("lw").alias("deeper")
-        )
-        up = up.withColumn("kt", kt).withColumn("w", 1 / (1 + F.exp(F.least(F.col("deeper") - F.col("kt"), F.lit(700.0)))))
-        most = F.greatest("kt", "deeper")
-        up = up.withColumn("lw", most + F.log(F.exp(F.col("kt") - most) + F.exp(F.col("deeper") - most)) - 0.6931471805599453)
-        level = stored(up.select("ctx", "node", "zeros", "ones", "lw", "w"), f"ctw-{d}")
-        out.append(level)
-    return out[::-1]
-
-
-def predictors(levels: list[DataFrame], least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    group = F.shiftright("key", 8 * (DEPTH + 1 - SPLIT))
+    parts = grams.repartition(group).sortWithinPartitions("key").select("key", "n")
+    below = stored(parts.mapInArrow(_subtrees(depth, least), _NODES_TYPE), "ctw-nodes")
+    level, out = below.where(F.col("depth") == SPLIT), {}
+    for d in range(SPLIT - 1, -1, -1):
+        node = F.col("key").bitwiseAND(255)
+        up = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(node)
+        sums = level.groupBy(up.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("lw").alias("deeper"))
+
+        def weigh(zeros: pa.Array, ones: pa.Array, deeper: pa.Array) -> pa.Array:
+            lw, w = _weighed(zeros.to_numpy(), ones.to_numpy(), deeper.to_numpy())
+            return pa.StructArray.from_arrays([pa.array(lw), pa.array(w)], names=["lw", "w"])
+
+        made = F.arrow_udf(weigh, "struct<lw:double,w:double>").asNondeterministic()("zeros", "ones", "deeper")
+        level = sums.select(F.lit(d).alias("depth"), "key", "zeros", "ones", made.alias("m")).select("depth", "key", "zeros", "ones", "m.lw", "m.w")
+        level = out[d] = stored(level, f"ctw-{d}")
+    tables = [out[d] for d in range(SPLIT)] + [below.where(F.col("depth") == d) for d in range(SPLIT, depth + 1)]
+    return [t.where(F.col("zeros") + F.col("ones") >= least).select("key", "zeros", "ones", "w").toArrow() for t in tables]
+
+
+def predictors(levels: list[pa.Table]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each depth, sorted node keys and the probability of a one where the path ends there.
 
-    Only nodes with at least ``least`` decisions are fetched, a bounded number.  From the root down, ``made`` sums the
-    weighted estimates so far and ``left`` is the weight not yet given.
+    From the root down, ``made`` sums the weighted estimates so far and ``left`` is the weight not yet given.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
     above: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-    for d, level in enumerate(levels):
-        t = level.where(F.col("zeros") + F.col("ones") >= least).select("ctx", "node", "zeros", "ones", "w").toArrow()
-        ctx, node, zeros, ones, w = (t.column(c).to_numpy() for c in range(5))
-        keys = (ctx.astype(np.uint64) << np.uint64(8)) | node.astype(np.uint64)
+    for t in levels:
+        keys, zeros, ones, w = (t.column(c).to_numpy() for c in range(4))
+        keys = keys.view(np.uint64)
         order = np.argsort(keys)
         keys, zeros, ones, w = keys[order], zeros[order].astype(float), ones[order].astype(float), w[order]
         kt = (ones + 0.5) / (zeros + ones + 1.0)
         if above is None:
             made, left = np.zeros(len(keys)), np.ones(len(keys))
-        else:
-            mask = np.uint64((1 << (8 * d)) - 1)  # the parent's key: without the oldest byte
-            at = np.searchsorted(above[0], keys & mask)
+        else:  # the parent's key: without the oldest byte
+            at = np.searchsorted(above[0], ((keys >> np.uint64(16)) << np.uint64(8)) | (keys & np.uint64(255)))
             made, left = above[1][at], above[2][at]
         out.append((keys, made + left * kt))
         above = (keys, made + left * w * kt, left * (1 - w))
     return out
 
 
-def _log10_gram(grams: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 probability of each packed run's last byte after the bytes before it."""
+def _log10_gram(grams: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], depth: int = DEPTH) -> np.ndarray:
+    """log10 probability of each packed run's last byte after its context; sorted runs make the look-ups local."""
     byte, ctx = grams & np.uint64(255), grams >> np.uint64(8)
     total = np.zeros(len(grams))
     for k in range(8):
@@ -194,7 +264,7 @@ def _log10_gram(grams: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]])
             keys, probs = tables[d]
             if not len(keys) or not len(open_):
                 continue
-            want = ((ctx[open_] & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | node[open_]
+            want = ((ctx[open_] >> np.uint64(8 * (depth - d))) << np.uint64(8)) | node[open_]
             at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
             hit = keys[at] == want
             p[open_[hit]] = probs[at[hit]]
@@ -209,7 +279,7 @@ def _score(tables, keys: np.ndarray, counts: np.ndarray, denominator: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text"):
+            for rows, data, offsets in slices(batch, "text", SLICE):
                 data = LOWER[data]
                 n = len(offsets) - 1
                 grams, ends = _grams(data, offsets)
@@ -246,8 +316,8 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                     depth: int = DEPTH, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, scores as log10 probabilities.
 
-    Learns from the rows outside the fold ``crc32(id as text) mod modulus = held`` and scores all.  ``depth`` is fixed
-    by the packing of ``DEPTH`` bytes; smaller values leave the deepest contexts out.
+    Learns from the rows outside the fold ``crc32(id as text) mod modulus = held`` and scores all.  ``depth`` is at
+    least ``SPLIT`` and at most ``DEPTH``.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -259,8 +329,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     size = gram.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     denominator = float(total + kinds + 1)
 
-    levels = context_tree(gram)[: depth + 1]
-    tables = predictors(levels, max(1.0, size / nodes))
+    tables = predictors(context_tree(gram, max(1.0, size / nodes), depth))
     least = max(1.0, total / frequent)
     top = token.where(F.col("n") >= least).toArrow()  # at most `frequent` words
     shared = spark.sparkContext.broadcast((tables, top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(float)))

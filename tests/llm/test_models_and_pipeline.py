@@ -106,7 +106,7 @@ def test_predictions_sum_to_one():
         tables.append((keys, rng.uniform(0.01, 0.99, len(keys))))
     for ctx in rng.integers(0, 1 << 16, 20):
         grams = (np.uint64(ctx) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert np.sum(10 ** ctw._log10_gram(grams, tables)) == pytest.approx(1)
+        assert np.sum(10 ** ctw._log10_gram(grams, tables, 2)) == pytest.approx(1)
 
 
 def test_scores_odd_tables(make):
