@@ -10,11 +10,11 @@ by the order.  Two linked points differ in few shingles, so a point reaches over
 first-level pivots leave almost all points at distance 1 from every pivot, and their windows would be the whole table.)
 
 Inside a region the join recurses on documents.  Its smallest point is the pivot; the others whose size, place and
-32-class count sketch (a lower bound of the symmetric difference, by the triangle inequality) allow a link are compared
-with it exactly, and those within the radius join its class.  A region whose points are all in one class is done, which
-ends large groups of near copies after one comparison for each point.  Points of different classes in what is left are
-paired in blocks of bounded size, pruned by the same windows, and compared exactly.  Classes are the connected
-components of all links, found by contraction.
+sketches (lower bounds of the symmetric difference, by the triangle inequality) allow a link are compared with it
+exactly, and those within the radius join its class.  The same is done once more with one point of each class.  A region
+whose points are all in one class is done, which ends large groups of near copies after few comparisons for each point.
+Points of different classes in what is left are paired in blocks of bounded size, pruned by the same windows, and
+compared exactly.  Classes are the connected components of all links, found by contraction.
 
 Exactness rests on 64-bit hashes of shingles and of sets.  Defined results: a text with fewer than five words is one
 shingle of its whole sequence; a text without words (or null) has no shingle and is a class of its own; a class is named
@@ -36,7 +36,8 @@ from .text import LOWER, mix, signed, slices, windows, word_hashes, words
 
 WIDTH = 5
 PERCENT = 80
-CLASSES = 32  # counts of a sketch
+CLASSES = 32  # counts of a point's small sketch
+BITS = 2048  # parities of its large one
 BLOCK = 2048  # points of a region that one task pairs with each other
 FILTER_BITS = 22  # a bit set of this many address bits tells tasks which texts are needed
 SLICE = 2 << 20
@@ -87,6 +88,24 @@ def _sketches(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(at, minlength=n * CLASSES), 65535).astype(np.uint16).reshape(n, CLASSES)
 
 
+def _parities(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles fall into each of ``BITS`` classes, packed.
+
+    Each shingle of a symmetric difference turns one bit, so two sets differ in at least as many shingles as their
+    parities differ in bits.
+    """
+    n = len(start) - 1
+    row = np.repeat(np.arange(n), np.diff(start))
+    out = []
+    for a in range(0, n, 512):
+        lo, hi = start[a], start[min(n, a + 512)]
+        rows = min(n, a + 512) - a
+        at = (row[lo:hi] - a) * BITS + ((values[lo:hi] >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)
+        odd = (np.bincount(at, minlength=rows * BITS) & 1).astype(np.uint8).reshape(rows, BITS)
+        out.append(np.packbits(odd, axis=1))
+    return np.concatenate(out) if out else np.zeros((0, BITS // 8), dtype=np.uint8)
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     body = np.ascontiguousarray(rows)
     width = body.shape[1] * body.itemsize
@@ -97,8 +116,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in slices(batch, "text", SLICE):
             values, start = shingle_sets(data, offsets)
-            yield pa.record_batch([rows.column(0), pa.array(np.diff(start)), pa.array(signed(set_ids(values, start))), _binary(_sketches(values, start))],
-                                  names=["doc_id", "n", "f", "sketch"])
+            yield pa.record_batch([rows.column(0), pa.array(np.diff(start)), pa.array(signed(set_ids(values, start))),
+                                   _binary(_sketches(values, start)), _binary(_parities(values, start))],
+                                  names=["doc_id", "n", "f", "sketch", "parity"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +284,39 @@ def components(links: DataFrame, tag: str = "jaccard") -> DataFrame:
     return known if known is not None else spark.createDataFrame([], "node bigint, root bigint")
 
 
-class _Texts:
-    """Texts of some sets, one each, fetched by a scan that passes on only rows whose set may be wanted."""
-
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
-
-    def of(self, sets: DataFrame) -> DataFrame:
-        spark = self.docs.sparkSession
+class _Comparer:
+    """Exact comparisons of candidate pairs; fetches each text that it needs once."""
+
+    def __init__(self, docs: DataFrame, points: DataFrame):
+        self.docs, self.points = docs, points
+        self.texts: DataFrame | None = None
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``(a, b)`` that sizes and parities allow, written once."""
+        side = lambda c: self.points.select(F.col("f").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        ok = F.arrow_udf(_close, "boolean")("pa", "pb", F.col("na") + F.col("nb"))
+        return stored(both.where(ok).select("a", "b"), "jaccard-near")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that link, written once."""
+        pairs = self.near(pairs)
+        self._fetch(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct())
+        one = pairs.join(self.texts.select(F.col("f").alias("a"), F.col("text").alias("ta")), "a")
+        both = one.join(self.texts.select(F.col("f").alias("b"), F.col("text").alias("tb")), "b")
+        return stored(both.select("a", "b", "ta", "tb").mapInArrow(_linked, "a bigint, b bigint"), "jaccard-links")
+
+    def _fetch(self, sets: DataFrame) -> None:
+        """One text of each set that is not there yet, by a scan that passes on only rows whose set may be wanted."""
+        if self.texts is not None:
+            sets = stored(sets.join(self.texts, "f", "left_anti"), "jaccard-wanted")
+            if sets.isEmpty():
+                return
         shift = 64 - FILTER_BITS
         bits = sets.select(F.shiftrightunsigned("f", shift).alias("k")).distinct().toArrow()  # at most 2 ** FILTER_BITS numbers
         flags = np.zeros(1 << FILTER_BITS, dtype=bool)
         flags[bits.column("k").to_numpy()] = True
-        shared = spark.sparkContext.broadcast(np.packbits(flags))
+        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             want, seen = np.unpackbits(shared.value).astype(bool), set()
@@ -292,23 +332,26 @@ class _Texts:
                     yield pa.record_batch([pa.array(signed(f[take])), rows.column(rows.schema.get_field_index("text")).take(at)], names=["f", "text"])
 
         found = self.docs.select("text").mapInArrow(run, "f bigint, text string")
-        return stored(found.join(sets, "f", "left_semi").groupBy("f").agg(F.min("text").alias("text")), "jaccard-texts")
-
-
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that link; each text travels once for each pair that it is in."""
-    one = pairs.join(texts.select(F.col("f").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("f").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_linked, "a bigint, b bigint")
+        found = stored(found.join(sets, "f", "left_semi").dropDuplicates(["f"]), "jaccard-texts")
+        self.texts = found if self.texts is None else self.texts.unionByName(found)
 
 
 def _close(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
-    """Whether two sketches allow a link of two sets with ``total`` shingles together."""
+    """Whether two parities allow a link of two sets with ``total`` shingles together."""
     if not len(a):
         return pa.array([], type=pa.bool_())
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, CLASSES).astype(np.int32) for c in (a, b))
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in (a, b))
     n = total.to_numpy()
-    return pa.array(np.abs(x - y).sum(axis=1) <= n - 2 * (-(-PERCENT * n // (100 + PERCENT))))
+    return pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n - 2 * (-(-PERCENT * n // (100 + PERCENT))))
+
+
+def _balls(cells: DataFrame) -> DataFrame:
+    """Distinct pairs of a region's pivot and another point that sizes and places allow."""
+    n, p = F.shiftright("np", 32), F.col("np").bitwiseAND(0xFFFFFFFF)
+    n0, p0 = F.shiftright("pivot_np", 32), F.col("pivot_np").bitwiseAND(0xFFFFFFFF)
+    least = F.ceil(F.lit(PERCENT) * (n + n0) / F.lit(100 + PERCENT))
+    star = cells.where("f <> pivot").where((n * PERCENT <= n0 * 100) & (n0 * PERCENT <= n * 100) & (F.least(n - p, n0 - p0) >= least))
+    return star.select(F.least("f", "pivot").alias("a"), F.greatest("f", "pivot").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,32 +359,34 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signs = stored(rows.mapInArrow(_signatures, f"doc_id {kind}, n bigint, f bigint, sketch binary"), "jaccard-signs")
-    points = signs.where("n > 0").groupBy("f").agg(F.min("sketch").alias("sketch"))
+    signs = stored(rows.mapInArrow(_signatures, f"doc_id {kind}, n bigint, f bigint, sketch binary, parity binary"), "jaccard-signs")
+    points = signs.where("n > 0").groupBy("f").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity"))
+    comparer = _Comparer(rows, points)
 
     cells = rows.select("text").mapInArrow(_windows, "cell bigint, f bigint, np bigint")
     cells = cells.repartition("cell").sortWithinPartitions("cell", "np", "f")
     cells = stored(cells.mapInArrow(_regions, "cell bigint, f bigint, np bigint, pivot bigint, pivot_np bigint"), "jaccard-regions")
-
-    # the pivot's ball: size, place and sketch windows first, then the exact comparison
-    n, p = F.shiftright("np", 32), F.col("np").bitwiseAND(0xFFFFFFFF)
-    n0, p0 = F.shiftright("pivot_np", 32), F.col("pivot_np").bitwiseAND(0xFFFFFFFF)
-    least = F.ceil(F.lit(PERCENT) * (n + n0) / F.lit(100 + PERCENT))
-    star = cells.where("f <> pivot").where((n * PERCENT <= n0 * 100) & (F.least(n - p, n0 - p0) >= least))
-    star = star.select(F.least("f", "pivot").alias("a"), F.greatest("f", "pivot").alias("b"), (n + n0).alias("total")).distinct()
-    star = star.join(points.select(F.col("f").alias("a"), F.col("sketch").alias("sa")), "a").join(points.select(F.col("f").alias("b"), F.col("sketch").alias("sb")), "b")
-    star = stored(star.where(F.arrow_udf(_close, "boolean")("sa", "sb", "total")).select("a", "b"), "jaccard-star")
-    texts = _Texts(rows)
-    ends = star.select(F.col("a").alias("f")).union(star.select("b")).distinct()
-    links = stored(_compared(star, texts.of(ends)), "jaccard-links")
+    links = comparer.links(_balls(cells))
     classes = components(links)
 
+    def marked() -> DataFrame:
+        named = cells.select("cell", "f", "np").join(classes.select(F.col("node").alias("f"), "root"), "f", "left")
+        return named.select("cell", "f", "np", F.coalesce("root", "f").alias("class"))
+
+    # once more on one point of each class in a region: what lies between the balls of a group joins them
+    ones = marked().groupBy("cell", "class").agg(F.min(F.struct("np", "f")).alias("x"))
+    heads = ones.groupBy("cell").agg(F.min("x").alias("y"), F.count("*").alias("c")).where("c > 1")
+    between = ones.join(heads, "cell").select("x.f", "x.np", F.col("y.f").alias("pivot"), F.col("y.np").alias("pivot_np"))
+    more = comparer.links(_balls(between))
+    if not more.isEmpty():
+        links = links.union(more)
+        classes = components(links)
+
     # what is left: regions with points of several classes
-    marked = cells.select("cell", "f", "np").join(classes.select(F.col("node").alias("f"), "root"), "f", "left")
-    marked = stored(marked.select("cell", "f", "np", F.coalesce("root", "f").alias("class")), "jaccard-marked")
+    marked = stored(marked(), "jaccard-marked")
     mixed = marked.groupBy("cell").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("c")).where("x <> y")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    open_ = marked.join(mixed.select("cell", blocks.alias("blocks")), "cell").join(points, "f")
+    open_ = marked.join(mixed.select("cell", blocks.alias("blocks")), "cell").join(points.select("f", "sketch"), "f")
     open_ = open_.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("f"), F.col("blocks"))).otherwise(0).cast("int"))
     # a region of several blocks: each block alone (-1 - block) and with each other block (low * blocks + high)
     others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")),
@@ -349,11 +394,9 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     parts = F.concat(F.array((-1 - F.col("block")).cast("bigint")), others)
     open_ = open_.withColumn("part", F.explode(parts)).select("cell", "part", "f", "np", "class", "sketch", "block")
     open_ = open_.repartition("cell", "part").sortWithinPartitions("cell", "part", "np")
-    more = stored(open_.mapInArrow(_pairs, "a bigint, b bigint").distinct(), "jaccard-pairs")
+    more = comparer.links(open_.mapInArrow(_pairs, "a bigint, b bigint").distinct())
     if not more.isEmpty():
-        ends = more.select(F.col("a").alias("f")).union(more.select("b")).distinct()
-        links = links.union(_compared(more, texts.of(ends)))
-        classes = components(links)
+        classes = components(links.union(more))
 
     named = signs.select("doc_id", "n", "f").join(classes.select(F.col("node").alias("f"), "root"), "f", "left")
     named = stored(named.select("doc_id", "n", "f", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root")), "jaccard-named")
