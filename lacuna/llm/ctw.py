@@ -36,10 +36,10 @@ from .text import LOWER, per_row, slices, word_hashes, words
 DEPTH = 6
 NODES = 1 << 17
 FREQUENT = 1 << 16
-HELD = 1 << 20  # distinct keys that a counting task holds before it passes them on
+HELD = 1 << 19  # distinct keys that a counting task holds before it passes them on
 SPLIT = 3  # bytes of context by which the tree is shared out
-CHUNK = 1 << 17  # runs that a tree-building task takes at once, more only within one group
-SLICE = 2 << 20
+CHUNK = 1 << 15  # runs that a tree-building task takes at once, more only within one group
+SLICE = 1 << 20
 
 END = np.uint64(0x5E17E5A1D0C0FFEE)  # the end token's key among word hashes
 EDGE = 0xFF

@@ -40,7 +40,7 @@ CLASSES = 32  # counts of a point's small sketch
 BITS = 2048  # parities of its large one
 BLOCK = 2048  # points of a region that one task pairs with each other
 FILTER_BITS = 22  # a bit set of this many address bits tells tasks which texts are needed
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
