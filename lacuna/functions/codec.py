@@ -6,9 +6,10 @@ Formats (fixed values of the interchange format):
     pair     key and payload joined by a tab
 
 Decoding is per row (split / transform / explode) and scales with the
-input.  Encoding gathers ids, so every encoded row holds at most ``width``
-consecutive ids (``obj div width``): a large set becomes several lines with
-the same key, and readers take the union of those lines.
+input.  Encoding gathers ids: one value per set by default, as the
+interchange format has it.  ``width`` cuts a set into numbered parts of at
+most that many consecutive id values (``obj div width``); the part number is
+a column of its own, and readers join parts by key and set id.
 """
 
 from __future__ import annotations
@@ -20,9 +21,15 @@ from pyspark.sql import functions as F
 ID_SEP = ","
 SET_SEP = "|"
 FIELD_SEP = "\t"
+EMPTY_FAMILY = "not_exist"
 
-# Ours: ids per encoded line.
-DEFAULT_WIDTH = 4096
+# White space that is trimmed around lines, keys and ids.
+_OUTER = " \t\r\n\x0b\x0c"
+
+
+def trimmed(c: Column) -> Column:
+    """``c`` without outer white space of any kind (``trim`` removes spaces only)."""
+    return F.btrim(c, F.lit(_OUTER))
 
 
 def split_cells(line: Column | str, sep: str = ID_SEP) -> Column:
@@ -37,9 +44,9 @@ def _regex(sep: str) -> str:
 
 def decode_ids(s: Column | str) -> Column:
     """``'1,2,3'`` -> ``array<bigint>``; blank -> empty array."""
-    c = F.trim(F.col(s) if isinstance(s, str) else s)
+    c = trimmed(F.col(s) if isinstance(s, str) else s)
     parts = F.split(c, _regex(ID_SEP), -1)
-    ids = F.transform(parts, lambda x: F.trim(x).cast("bigint"))
+    ids = F.transform(parts, lambda x: trimmed(x).cast("bigint"))
     return F.when(c == F.lit(""), F.array().cast("array<bigint>")).otherwise(ids)
 
 
@@ -59,9 +66,9 @@ def encode_family(sets: Column) -> Column:
     return F.array_join(F.transform(sets, lambda a: encode_ids(a)), SET_SEP)
 
 
-def encode_sets(long_df: DataFrame, keys: list[str], obj: str = "obj", width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Long memberships -> ``(keys..., part, ids)``; at most ``width`` ids per row."""
-    part = F.floor(F.col(obj) / F.lit(width)).cast("bigint").alias("part")
+def encode_sets(long_df: DataFrame, keys: list[str], obj: str = "obj", width: int | None = None) -> DataFrame:
+    """Long memberships -> ``(keys..., part, ids)``: one row per set, or per part of ``width`` id values."""
+    part = (F.lit(0) if width is None else F.floor(F.col(obj) / F.lit(width))).cast("bigint").alias("part")
     return (long_df.groupBy(*keys, part)
             .agg(encode_ids(F.collect_set(F.col(obj).cast("bigint"))).alias("ids")))
 
@@ -73,7 +80,11 @@ def explode_ids(df: DataFrame, col: str = "ids", keep: list[str] | None = None)
 
 
 def explode_family(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
-    """Rows holding a family string -> ``(keep..., set_no, obj)``; blank sets vanish."""
+    """Rows holding a family string -> ``(keep..., set_no, obj)``; blank sets vanish.
+
+    The status ``not_exist`` in place of a family is the empty family.
+    """
+    df = df.where(trimmed(F.col(col)) != F.lit(EMPTY_FAMILY))
     sets = df.select(*keep, F.posexplode(F.split(F.col(col), _regex(SET_SEP), -1)).alias("set_no", "s"))
     return sets.select(*keep, "set_no", F.explode(decode_ids("s")).alias("obj"))
 

@@ -84,10 +84,3 @@ def fingerprint(prefix: str = "") -> Column:
     """Content key of a set, as a struct usable in joins and group-bys."""
     return F.struct(*[F.col(prefix + k).alias(k) for k in FINGERPRINT])
 
-
-def stat_cols(prefix: str = "") -> list[Column]:
-    return [F.col(prefix + k).alias(k) for k in STATS]
-
-
-def digest_cols(prefix: str = "") -> list[Column]:
-    return [F.col(prefix + k).alias(k) for k in DIGEST]

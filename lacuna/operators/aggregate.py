@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.codec import parse_attribute_list
 from lacuna.functions.missing import MISSING, is_complete
 from lacuna.functions.setstats import STATS, fingerprint, merge_stats, object_stats
 from lacuna.operators.sets import distinct_family, refine
@@ -191,7 +192,8 @@ def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str,
     rows = rows.select(tup, F.col("pid").alias("u"), *STATS)
     if not distinct:
         return rows.select(F.col("tup").alias("cid"), "u", *STATS)
-    fp = rows.groupBy("tup").agg(*merge_stats()).select(F.col("tup").alias("t"), fingerprint().alias("cid"))
+    # written first, so that the join back may split a hot tuple (see sets.distinct_family)
+    fp = cut_lineage(rows.groupBy("tup").agg(*merge_stats()).select(F.col("tup").alias("t"), fingerprint().alias("cid")), tag="stats")
     return rows.join(fp, rows["tup"] == fp["t"]).select("cid", "u", *STATS).distinct()
 
 
@@ -251,13 +253,17 @@ def aggregate(pats: DataFrame, attrs: list[str], kind: str, cut: bool = True, di
     raise ValueError(f"kind must be 'certain' or 'possible', got {kind!r}")
 
 
-def merge_partials(f: DataFrame, g: DataFrame) -> DataFrame:
-    """Merge the families of two disjoint attribute groups over the same units.
+def merge_partials(f: DataFrame, g: DataFrame, f_attrs: list[int] | str, g_attrs: list[int] | str) -> tuple[DataFrame, str]:
+    """Merge the families of two disjoint attribute groups over the same units; the family and its attribute list.
 
-    Associative and commutative, so partial results of attribute groups can
-    be combined in any order; an empty side (``not_exist``) gives empty.
+    Associative and commutative, so partial results of attribute groups can be combined in any order.  An empty side
+    (status ``not_exist``) absorbs the other.  Both sides are written once: refinement reads them more than once.
     """
-    return refine(f, g)
+    ords = [parse_attribute_list(a) if isinstance(a, str) else list(a) for a in (f_attrs, g_attrs)]
+    if set(ords[0]) & set(ords[1]):
+        raise ValueError(f"attribute groups overlap: {ords[0]} and {ords[1]}")
+    label = ",".join(map(str, sorted(ords[0] + ords[1])))
+    return refine(cut_lineage(f, tag="merge"), cut_lineage(g, tag="merge")), label
 
 
 def aggregate_status(fam: DataFrame, attrs: list[str] | str) -> DataFrame:

@@ -260,9 +260,7 @@ def pooled(sets: dict[str, DataFrame]) -> DataFrame:
     allk = parts[0]
     for s in parts[1:]:
         allk = allk.unionByName(s)
-    return allk.groupBy("kind", *FINGERPRINT).agg(
-        F.first("hi").alias("hi"), F.first("s1").alias("s1"), F.first("s2").alias("s2")
-    ).select("kind", *STATS)
+    return allk.distinct()
 
 
 def union_kinds(sets: dict[str, DataFrame]) -> DataFrame:

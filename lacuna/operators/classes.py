@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.missing import MISSING, normalize
-from lacuna.functions.setstats import object_stats
+from lacuna.functions.setstats import STATS, object_stats
 from lacuna.plans.tuning import BROADCAST_ROWS, split_hot_join
 
 
@@ -35,12 +35,13 @@ def prepare_private(df: DataFrame, obj: str, attrs: list[str], target: str | Non
     return df.select(*cols), names
 
 
-def unpivot(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
-    """Row -> one ``(attr, value, obj)`` per attribute; ``attr`` is 1-based."""
-    cells = F.array(*[
-        F.struct(F.lit(i + 1).alias("attr"), normalize(a).alias("value"))
-        for i, a in enumerate(attrs)
-    ])
+def unpivot(df: DataFrame, obj: str, attrs: list[str], only: list[int] | None = None) -> DataFrame:
+    """Row -> one ``(attr, value, obj)`` per attribute; ``attr`` is 1-based.
+
+    ``only`` names the ordinals wanted: the scan then reads their columns alone, and they keep their numbers.
+    """
+    wanted = range(1, len(attrs) + 1) if only is None else [int(i) for i in only]
+    cells = F.array(*[F.struct(F.lit(i).alias("attr"), normalize(attrs[i - 1]).alias("value")) for i in wanted])
     return df.select(F.col(obj).cast("bigint").alias("obj"), F.inline(cells).alias("attr", "value")) \
              .select("attr", "value", "obj")
 
@@ -78,11 +79,6 @@ def class_stats(family: DataFrame, keys: list[str]) -> DataFrame:
     return family.groupBy(*keys).agg(*object_stats("obj"))
 
 
-def class_sizes(family: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG-6: number of members of each class (partial aggregation)."""
-    return family.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-
 def certain_classes(cells: DataFrame) -> DataFrame:
     """``C_a(v)``: objects whose attribute is the regular value v."""
     return cells.where(F.col("value") != F.lit(MISSING)).select("attr", "value", "obj")
@@ -121,9 +117,38 @@ def possible_classes(cells: DataFrame) -> DataFrame:
     return j.select("attr", F.col("v").alias("value"), "obj")
 
 
-def classes(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
-    """Both families of every attribute: ``(kind, attr, value, obj)``."""
+def possible_class_stats(cells: DataFrame) -> DataFrame:
+    """``(attr, value, stats)`` of the possible classes without their members.
+
+    The missing block is disjoint from every regular class, so ``P_a(v)`` has the merged stats of ``C_a(v)`` and
+    ``M_a``: one aggregate over the cells and a join of its few rows, no object for every value.
+    """
+    st = class_stats(cells, ["attr", "value"])
+    miss = st.where(F.col("value") == F.lit(MISSING)).select(F.col("attr").alias("_a"), *[F.col(k).alias(f"_{k}") for k in STATS])
+    both = st.where(F.col("value") != F.lit(MISSING)).join(miss, F.col("attr") == F.col("_a"), "left")
+    none = F.col("_n").isNull()
+    add = lambda k: F.col(k) + F.coalesce(F.col(f"_{k}"), F.lit(0))
+    xor = lambda k: F.when(none, F.col(k)).otherwise(F.col(k).bitwiseXOR(F.col(f"_{k}")))
+    merged = both.select("attr", "value", add("n").alias("n"), F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"),
+                         xor("x1").alias("x1"), xor("x2").alias("x2"), add("s1").alias("s1"), add("s2").alias("s2"))
+    return merged.unionByName(st.where(F.col("value") == F.lit(MISSING)))
+
+
+def classes_stats(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
+    """``(kind, attr, value, stats)``: both families of every attribute by size and digest."""
     cells = unpivot(df, obj, attrs)
+    cer = class_stats(certain_classes(cells), ["attr", "value"]).withColumn("kind", F.lit("certain"))
+    return cer.unionByName(possible_class_stats(cells).withColumn("kind", F.lit("possible")))
+
+
+def classes(df: DataFrame, obj: str, attrs: list[str], kind: str | None = None) -> DataFrame:
+    """Both families of every attribute: ``(kind, attr, value, obj)``; with ``kind`` only that half is built."""
+    cells = unpivot(df, obj, attrs)
+    if kind not in (None, "certain", "possible"):
+        raise ValueError(f"kind must be 'certain' or 'possible', got {kind!r}")
+    if kind is not None:
+        half = certain_classes(cells) if kind == "certain" else possible_classes(cells)
+        return half.select(F.lit(kind).alias("kind"), "attr", "value", "obj")
     cer = certain_classes(cells).select(F.lit("certain").alias("kind"), "attr", "value", "obj")
     pos = possible_classes(cells).select(F.lit("possible").alias("kind"), "attr", "value", "obj")
     return cer.unionByName(pos)

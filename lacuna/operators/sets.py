@@ -13,10 +13,10 @@ partial aggregate; no set is ever collected into one row or one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.setstats import FINGERPRINT, STATS, fingerprint, merge_stats, stat_cols, unit_stats
+from lacuna.functions.setstats import STATS, fingerprint, merge_stats, unit_stats
 
 
 def as_family(long_df: DataFrame, class_col: str = "class_id", obj_col: str = "obj") -> DataFrame:
@@ -33,11 +33,14 @@ def family_stats(fam: DataFrame) -> DataFrame:
 def distinct_family(fam: DataFrame) -> DataFrame:
     """Re-key each class by its content fingerprint and drop duplicate sets.
 
-    The per-class stats side has one row per class; joining it back on
-    ``cid`` is a many-to-one join that AQE broadcasts when small or splits
-    when one class is hot.
+    The per-class stats are written first: read from a table, their side of
+    the many-to-one join back is a shuffle of its own, so AQE may broadcast
+    it or split the rows of a hot class.  (Directly on its aggregate, the
+    join would share the aggregate's partitions, which AQE cannot split.)
     """
-    st = family_stats(fam).select(F.col("cid").alias("old"), fingerprint().alias("cid"))
+    from lacuna.plans.tuning import cut_lineage
+
+    st = cut_lineage(family_stats(fam).select(F.col("cid").alias("old"), fingerprint().alias("cid")), tag="stats")
     j = fam.join(st, fam["cid"] == st["old"]).select(st["cid"], fam["u"], *[fam[k] for k in STATS])
     return j.distinct()
 
@@ -58,18 +61,22 @@ def refine(f: DataFrame, g: DataFrame) -> DataFrame:
 def containment_join(f: DataFrame, g: DataFrame) -> DataFrame:
     """Pairs ``(f, g)`` of class ids with ``set(f) ⊇ set(g)``.
 
-    Both families use the same units.  Candidates are anchored on the
-    smallest unit of each g (a superset must contain it), so only classes of
-    f that hold that one unit are tested, instead of every pair of classes
-    sharing some unit.  Each candidate is then verified by counting the
-    units of g found in f.
+    Both families use the same units.  Candidates are anchored on the unit
+    of each g that the fewest classes of f hold (a superset must contain
+    it), and a class of f with fewer units than g is no candidate.  Each
+    candidate is then verified by counting the units of g found in f.  A
+    unit shared by every class thus makes no pair of its own.
     """
-    gk = g.groupBy("cid").agg(F.min("u").alias("anchor"), F.count("u").alias("k"))
-    cand = gk.join(f.select(F.col("cid").alias("f"), F.col("u").alias("anchor")), "anchor") \
-             .select(F.col("cid").alias("g"), "f", "k")
+    held = f.groupBy("u").agg(F.count(F.lit(1)).alias("_held"))
+    rare = g.select("cid", "u").join(held, "u", "left").groupBy("cid").agg(
+        F.min_by("u", F.struct(F.coalesce("_held", F.lit(0)), "u")).alias("anchor"), F.count("u").alias("k"))
+    size = f.groupBy("cid").agg(F.count("u").alias("kf"))
+    fu = f.select(F.col("cid").alias("f"), F.col("u").alias("anchor"))
+    cand = rare.join(fu, "anchor").join(size.select(F.col("cid").alias("f"), "kf"), "f")
+    cand = cand.where("kf >= k").select(F.col("cid").alias("g"), "f", "k")
     gu = g.select(F.col("cid").alias("g"), "u")
     hits = gu.join(cand, "g").join(f.select(F.col("cid").alias("f"), "u"), ["f", "u"], "left_semi")
-    counted = hits.groupBy("g", "f").agg(F.count("u").alias("m"), F.first("k").alias("k"))
+    counted = hits.groupBy("g", "f", "k").agg(F.count("u").alias("m"))
     return counted.where(F.col("m") == F.col("k")).select("f", "g")
 
 
@@ -105,9 +112,20 @@ def intersect_two(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def distinct_sets(sets: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-5 on set rows ``(keys..., stats)``: one row per distinct set per key."""
-    return sets.groupBy(*keys, *FINGERPRINT).agg(
-        F.first("hi").alias("hi"), F.first("s1").alias("s1"), F.first("s2").alias("s2")
-    ).select(*keys, *STATS)
+    return sets.select(*keys, *STATS).distinct()
+
+
+def sized_sets(family: DataFrame, class_col: str = "class_id", obj_col: str = "obj") -> DataFrame:
+    """SRT-2 as one call: distinct non-empty sets of ``(class, obj)`` rows with their place by size.
+
+    ``(pos, stats)``; ``pos`` counts from 1 by size, then smallest member, then content.  Sets are ranked by size class
+    (one row a size) and within their size, so no task ranks them all.
+    """
+    st = distinct_sets(family_stats(as_family(family, class_col, obj_col)), [])
+    per = st.groupBy("n").agg(F.count(F.lit(1)).alias("_c"))
+    before = per.select(F.col("n").alias("_n"), (F.sum("_c").over(Window.orderBy("n")) - F.col("_c")).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("n").orderBy("lo", "x1", "x2"))
+    return st.withColumn("_r", rank).join(before, F.col("n") == F.col("_n")).select((F.col("_b") + F.col("_r")).alias("pos"), *STATS)
 
 
 def order_by_size(sets: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -126,8 +144,3 @@ def family_members(fam: DataFrame, units: DataFrame) -> DataFrame:
 
     sizes = fam.select("u", "n").distinct()
     return split_hot_join(fam.select("cid", "u"), units.select("u", "obj"), ["u"], sizes).select("cid", "obj")
-
-
-def set_rows(fam: DataFrame) -> DataFrame:
-    """One row per class with its stats (alias of family_stats for readability)."""
-    return family_stats(fam).select("cid", *stat_cols())

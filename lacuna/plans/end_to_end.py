@@ -24,9 +24,9 @@ from lacuna.plans.tuning import cut_lineage
 _internal = _classes.prepare_private
 
 
-def classes(df: DataFrame, obj: str, attrs: list[str]) -> DataFrame:
-    """``(kind, attr, value, obj)`` for kind in certain / possible."""
-    return _classes.classes(df, obj, attrs)
+def classes(df: DataFrame, obj: str, attrs: list[str], kind: str | None = None) -> DataFrame:
+    """``(kind, attr, value, obj)`` for kind in certain / possible (only ``kind`` if given)."""
+    return _classes.classes(df, obj, attrs, kind)
 
 
 def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
@@ -43,6 +43,8 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
     if members:
         fam = _aggregate(pats, attrs, kind, method=method)
         return family_members(fam, pattern_units(pdf, attrs)).withColumnRenamed("cid", "class_id")
+    if kind == "certain":  # complete patterns are distinct and disjoint blocks: one aggregate
+        return _aggregate(pats, attrs, kind).select(F.col("cid").alias("class_id"), *DIGEST)
     # set rows only: duplicates are removed on the stats, not on memberships
     sets = distinct_sets(family_stats(_aggregate(pats, attrs, kind, distinct=False, method=method)), [])
     return sets.select(fingerprint().alias("class_id"), *DIGEST)
@@ -127,7 +129,3 @@ def summary(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame,
     sets = _approx.fast_sets(p, kinds)
     return _approx.summary_from(sets, _approx.fast_coverage(p, sets))
 
-
-def with_class_id(sets: DataFrame) -> DataFrame:
-    """Attach the content fingerprint of each set row as ``class_id``."""
-    return sets.withColumn("class_id", fingerprint())

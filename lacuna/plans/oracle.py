@@ -133,6 +133,26 @@ def kind_query(kind_cte: str) -> str:
     return with_(F2, MINA, MAXA, XS, APPROX) + digest(kind_cte, ["d"])
 
 
+def summary_by_division(fixture: str, k: int) -> str:
+    """The summary with containment as relational division: sets as rows, kept where the shared rows are all."""
+    known = " AND ".join(f"a{i} <> '*'" for i in range(1, k + 1))
+    by = ", ".join(f"a{i}" for i in range(1, k + 1))
+    return with_(fixture, reachable_maxa(k), f"""mn AS (SELECT row_number() OVER () AS i, list(obj) AS s FROM t WHERE {known} GROUP BY {by}),
+mx AS (SELECT row_number() OVER () AS j, s FROM maxa),
+mnu AS (SELECT i, len(s) AS n, unnest(s) AS obj FROM mn),
+mxu AS (SELECT j, len(s) AS n, unnest(s) AS obj FROM mx),
+mnx AS (SELECT i, d, n, count(*) AS m FROM mnu JOIN t USING (obj) GROUP BY i, d, n),
+mxx AS (SELECT j, d, n, count(*) AS m, list(obj ORDER BY obj) AS s FROM mxu JOIN t USING (obj) GROUP BY j, d, n),
+pairs AS (SELECT i, j, mnu.n AS ni, mxu.n AS nj, count(*) AS m FROM mnu JOIN mxu USING (obj) GROUP BY i, j, mnu.n, mxu.n),
+cl AS (SELECT DISTINCT mxx.d, pairs.i, pairs.ni FROM pairs JOIN mxx USING (j) WHERE pairs.m = pairs.nj AND mxx.m = mxx.n),
+pl AS (SELECT DISTINCT mnx.d, pairs.j FROM pairs JOIN mnx USING (i) WHERE pairs.m = pairs.ni AND mnx.m = mnx.n),
+pls AS (SELECT mxx.d, mxx.s FROM pl JOIN mxx ON mxx.j = pl.j AND mxx.d = pl.d)""") + """SELECT d, 'CL' AS kind, count(*) AS n_classes, CAST(sum(ni) AS BIGINT) AS n_objects FROM cl GROUP BY d
+UNION ALL SELECT d, 'CU', count(*), CAST(sum(m) AS BIGINT) FROM mnx GROUP BY d
+UNION ALL SELECT d, 'PL', count(DISTINCT s), (SELECT count(DISTINCT x) FROM (SELECT unnest(p.s) AS x FROM pls p WHERE p.d = pls.d)) FROM pls GROUP BY d
+UNION ALL SELECT d, 'PU', count(*), (SELECT count(DISTINCT mxu.obj) FROM mxu JOIN mxx y USING (j) WHERE y.d = mxx.d) FROM mxx GROUP BY d
+UNION ALL SELECT d, 'PUr', count(DISTINCT s), (SELECT count(DISTINCT x) FROM (SELECT unnest(y.s) AS x FROM mxx y WHERE y.d = mxx.d)) FROM mxx GROUP BY d"""
+
+
 def queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["unpivot"] = with_(F2, CELLS) + "SELECT attr, value, obj FROM cells"
@@ -194,7 +214,8 @@ FROM cells GROUP BY attr, value"""
     q["orders_aggregate_possible"] = with_(F4, MAXA) + digest("maxa", [])
     q["orders_summary"] = q["approximation_summary"].replace(F2, F4)
     q["events_aggregate_possible"] = with_(F5, MAXA) + digest("maxa", [])
-    q["events_summary"] = q["approximation_summary"].replace(F2, F5)
+    q["events_summary"] = summary_by_division(F5, 3)
+    q["orders8_summary"] = summary_by_division(F6, 8)
     q["orders8_aggregate_possible"] = with_(F6, reachable_maxa(8)) + digest("maxa", [])
     q["read_numbered"] = with_(F2) + "SELECT ROW_NUMBER() OVER (ORDER BY obj) AS obj, a1, a2, a3, d FROM t"
     q["compact"] = q["unpivot"]
@@ -204,5 +225,27 @@ FROM cells GROUP BY attr, value"""
     q["ragged_aggregate_possible"] = with_(ragged, MAXA) + digest("maxa", [])
     q["sequencefile_roundtrip"] = q["equivalence_classes"]
     q["write_sets_text"] = q["approximate_families"]
+    q["sets_text_roundtrip"] = with_(F2, CELLS) + group_digest(
+        "(SELECT 'a' || attr AS kind, value, obj FROM cells)", ["kind", "value"])
+    q["families_roundtrip"] = group_digest(
+        "(SELECT '1' AS key, p_brand, p_partkey % 2 AS odd, p_partkey AS obj FROM part)", ["key", "p_brand", "odd"]
+    ).replace("SELECT key, p_brand, odd, ", "SELECT key, ", 1)
+    q["family_halves"] = group_digest(
+        "(SELECT s_nationkey AS key, 1 AS h, s_suppkey AS obj FROM supplier UNION ALL "
+        "SELECT s_nationkey, 2, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)", ["key", "h"]
+    ).replace("SELECT key, h, ", "SELECT key, ", 1)
+    q["family_strings"] = """SELECT s_nationkey AS k, count(*) AS n,
+  coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) FILTER (s_suppkey % 2 = 0), '') || '|' ||
+  coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) FILTER (s_suppkey % 2 = 1), '') AS family
+FROM supplier GROUP BY s_nationkey"""
+    q["sets_by_size"] = with_(F2, CELLS) + "SELECT row_number() OVER (ORDER BY n, lo) AS pos, * EXCLUDE (value) FROM (" + group_digest(
+        "(SELECT * FROM cells WHERE attr = 2)", ["value"]) + ")"
+    q["set_union"] = with_(F2B) + "SELECT DISTINCT obj FROM xt"
+    q["nway_three"] = with_(F2, F2B) + group_digest(
+        "(SELECT t.d AS group_id, t.obj FROM t JOIN xt ON xt.obj = t.obj AND xt.d = 'mod3' WHERE t.a2 <> '*')", ["group_id"])
+    q["approximation_members"] = with_(F2, MINA, MAXA, XS, APPROX) + f"""SELECT kind, d, len(s)::BIGINT AS n, list_min(s) AS lo,
+  list_max(s) AS hi, CAST(list_sum(list_transform(s, lambda x: x % {M1})) AS BIGINT) AS s1,
+  CAST(list_sum(list_transform(s, lambda x: (x % {M2}) * (x % {M2}))) AS BIGINT) AS s2, unnest(s) AS obj FROM allk"""
+    q["containment_shared"] = with_(F2) + "SELECT DISTINCT a2 AS f, a2 AS g FROM t"
     q["stream_targets"] = with_(F2, F2B, MINA, MAXA, XS_B, APPROX) + digest("allk", ["kind", "d"])
     return q

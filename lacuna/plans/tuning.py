@@ -80,13 +80,10 @@ def cut_lineage(df: DataFrame, tag: str = "step") -> DataFrame:
     Used once per fold step: the written table survives executor loss and the
     next step plans against a short lineage.  The data is computed once
     (unlike ``DataFrame.checkpoint``, which recomputes an unpersisted plan).
-    Without a checkpoint folder on a cluster the plan is left as it is.
+    On a cluster ``spark.checkpoint.dir`` must be set.
     """
     spark = df.sparkSession
-    root = _checkpoint_root(spark)
-    if root is None:
-        return df
-    path = f"{root.rstrip('/')}/lacuna-{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
 

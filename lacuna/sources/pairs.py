@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.codec import FIELD_SEP, _regex, decode_ids, explode_family
+from lacuna.functions.codec import FIELD_SEP, _regex, decode_ids, explode_family, trimmed
 
 
 def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -15,9 +15,9 @@ def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     strings (Text/Long writables converted by PySpark)."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    if fmt == "sequencefile":
-        rdd = spark.sparkContext.sequenceFile(path).map(lambda kv: (str(kv[0]), str(kv[1])))
-        return spark.createDataFrame(rdd, "key string, value string")
+    if fmt == "sequencefile":  # Spark reads this format by RDD only: rows pass through Python
+        pairs = spark.createDataFrame(spark.sparkContext.sequenceFile(path), ["key", "value"])
+        return pairs.select(F.col("key").cast("string"), F.col("value").cast("string"))
     raise ValueError(f"unknown format {fmt!r}")
 
 
@@ -27,26 +27,60 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
     A target may span several lines (their union is taken); blank lines are
     skipped.  Whole file, one row per line, exploded per row.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(trimmed(F.col("value")) != "")
     parts = F.split(F.col("value"), _regex(FIELD_SEP), 2)
-    df = lines.select(F.trim(parts[0]).alias("d"), parts[1].alias("ids"))
+    df = lines.select(trimmed(parts[0]).alias("d"), parts[1].alias("ids"))
     return df.select("d", F.explode(decode_ids("ids")).alias("obj")).distinct()
 
 
-def read_families(spark: SparkSession, path: str, layout: str = "keyed") -> DataFrame:
-    """Families written as text -> long ``(class_id, obj)``.
+def _line_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_id, value)`` of the lines that are not blank; ids tell lines of all files apart."""
+    lines = spark.read.text(path).select(
+        "value", F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"),
+                             F.monotonically_increasing_id().cast("string")).alias("line_id"))
+    return lines.where(trimmed(F.col("value")) != "")
 
-    ``keyed``: lines ``key <tab> a|b|c`` (one family per key, sets split by
-    '|'); the class id is ``key:set_no``.  ``lines``: one set per line; the
-    class id is unique per line.  Blank sets and lines are dropped.
+
+def read_families(spark: SparkSession, path: str, layout: str = "keyed", kind: str | None = None,
+                  fmt: str = "text") -> DataFrame:
+    """Families -> long ``(class_id, obj)``; blank sets and lines vanish.
+
+    ``keyed``   ``key <tab> a|b|c``: every set of every line is a class of its own, also where lines share a key; the
+                class id is ``key:line:set_no``.  A line with the status ``not_exist`` is an empty family.
+    ``halves``  ``key <tab> certain <tab> possible``: like ``keyed``, for the half that ``kind`` names.
+    ``lines``   one set per line.
+    ``parts``   ``keys... <tab> set <tab> part <tab> ids``, as ``write_sets_text(width=...)`` writes it: lines with
+                equal keys and set are one class, whose id is keys and set.
+    ``sets``    ``keys... <tab> set <tab> ids``, as ``write_sets_text`` writes it.
+
+    ``fmt='sequencefile'`` reads ``(key, value)`` records instead of lines (``keyed`` and ``halves``).
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    if layout == "keyed":
-        parts = F.split(F.col("value"), _regex(FIELD_SEP), 2)
-        df = lines.select(F.trim(parts[0]).alias("key"), parts[1].alias("fam"))
-        long = explode_family(df, "fam", ["key"])
-        return long.select(F.concat_ws(":", "key", F.col("set_no").cast("string")).alias("class_id"), "obj")
+    if layout in ("keyed", "halves"):
+        if fmt == "sequencefile":
+            pairs = read_pairs(spark, path, fmt)
+            df = pairs.select(trimmed(F.col("key")).alias("key"), F.col("value").alias("rest"),
+                              F.monotonically_increasing_id().cast("string").alias("line_id"))
+        else:
+            parts = F.split(F.col("value"), _regex(FIELD_SEP), 2)
+            df = _line_ids(spark, path).select(trimmed(parts[0]).alias("key"), parts[1].alias("rest"), "line_id")
+        rest = F.split("rest", _regex(FIELD_SEP), -1)
+        if layout == "halves":
+            if kind not in ("certain", "possible"):
+                raise ValueError("layout 'halves' needs kind='certain' or 'possible'")
+            fam = rest[0 if kind == "certain" else 1]
+        else:  # an aggregated record may carry its attribute list before the sets: the last field holds the sets
+            fam = F.element_at(rest, -1)
+        long = explode_family(df.select("key", "line_id", fam.alias("fam")), "fam", ["key", "line_id"])
+        return long.select(F.concat_ws(":", "key", "line_id", F.col("set_no").cast("string")).alias("class_id"), "obj")
     if layout == "lines":
-        df = lines.select(F.monotonically_increasing_id().cast("string").alias("class_id"), F.col("value"))
-        return df.select("class_id", F.explode(decode_ids("value")).alias("obj"))
+        df = _line_ids(spark, path)
+        return df.select(F.col("line_id").alias("class_id"), F.explode(decode_ids("value")).alias("obj"))
+    if layout in ("parts", "sets"):
+        cells = F.split("value", _regex(FIELD_SEP), -1)
+        lines = spark.read.text(path).where(trimmed(F.col("value")) != "")
+        extra = [c for c in lines.columns if c != "value"]  # partition folders such as kind=CL
+        last = 2 if layout == "parts" else 1
+        named = lines.select(*extra, F.array_join(F.slice(cells, F.lit(1), F.size(cells) - last), FIELD_SEP).alias("class_id"),
+                             F.element_at(cells, -1).alias("ids"))
+        return named.select(*extra, "class_id", F.explode(decode_ids("ids")).alias("obj"))
     raise ValueError(f"unknown layout {layout!r}")

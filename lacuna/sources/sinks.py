@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.codec import DEFAULT_WIDTH, FIELD_SEP, encode_sets
+from lacuna.functions.codec import FIELD_SEP, encode_sets
 
 SNAPPY = "org.apache.hadoop.io.compress.SnappyCodec"
 DEFAULT_CODEC = "org.apache.hadoop.io.compress.DefaultCodec"
@@ -24,18 +24,18 @@ def write_sequencefile(df: DataFrame, path: str, key: str, value: str, codec: st
     Keys are written as Text: PySpark maps small Python ints to IntWritable,
     and a file mixing Int and Long writables cannot be read back.
     """
-    rdd = df.select(F.col(key).cast("string"), F.col(value).cast("string")).rdd.map(lambda r: (r[0], r[1]))
-    rdd.saveAsSequenceFile(path, compressionCodecClass=codec)
+    df.select(F.col(key).cast("string"), F.col(value).cast("string")).rdd.map(tuple).saveAsSequenceFile(path, compressionCodecClass=codec)
 
 
 def write_sets_text(members: DataFrame, path: str, keys: list[str], set_key: str,
-                    partition_by: str | None = "kind", width: int = DEFAULT_WIDTH,
+                    partition_by: str | None = "kind", width: int | None = None,
                     order_by_size: bool = False) -> None:
-    """One text line per (set, block of ``width`` ids): ``keys.. <tab> set <tab> ids``.
+    """One text line per set: ``keys.. <tab> set <tab> ids`` (``read_families(layout='sets')``).
 
     With ``partition_by`` each value of that column gets its own directory
-    (``kind=CL`` ...), as one output per kind.  Large sets span several lines
-    with the same set key; readers take the union.
+    (``kind=CL`` ...), as one output per kind.  ``width`` is for sets too
+    large for one line: ``keys.. <tab> set <tab> part <tab> ids`` with
+    numbered parts of ``width`` id values (``layout='parts'``).
     """
     group = [*keys, set_key] + ([partition_by] if partition_by else [])
     enc = encode_sets(members, group, width=width)
@@ -45,7 +45,8 @@ def write_sets_text(members: DataFrame, path: str, keys: list[str], set_key: str
         sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
         enc = enc.join(sizes, group).orderBy(*([partition_by] if partition_by else []), *keys, "_n",
                                              set_key, "part")
-    line_cols = [F.col(k).cast("string") for k in keys] + [F.col(set_key).cast("string"), F.col("ids")]
+    line_cols = [F.col(k).cast("string") for k in keys] + [F.col(set_key).cast("string")]
+    line_cols += ([F.col("part").cast("string")] if width is not None else []) + [F.col("ids")]
     out = enc.select(F.concat_ws(FIELD_SEP, *line_cols).alias("value"),
                      *([partition_by] if partition_by else []))
     w = out.write.mode("error")

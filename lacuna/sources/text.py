@@ -12,21 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.codec import _regex, split_cells
-
-
-def ordered_files(spark: SparkSession, path: str) -> str:
-    """Comma-joined data files under ``path`` in name order (``_*``/``.*`` skipped)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.getFileStatus(hpath).isDirectory():
-        return path
-    names = sorted(
-        st.getPath().toString() for st in fs.listStatus(hpath)
-        if st.isFile() and not st.getPath().getName().startswith(("_", "."))
-    )
-    return ",".join(names)
+from lacuna.functions.codec import _regex, split_cells, trimmed
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -37,12 +23,11 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     its task (``monotonically_increasing_id``; a split's lines are contiguous
     within one task).  One aggregate counts the lines of each split; the
     running offset of each split in (path, block start) order is taken over
-    that small table (one row per split), broadcast, and added back.  Ids
+    that small table (one row per split) and added back.  Ids
     are deterministic, so a recomputed task yields the same numbers.
     Tables with a natural key should skip this and use the key.
     """
-    files = ordered_files(spark, path).split(",")
-    lines = (spark.read.text(files)
+    lines = (spark.read.text(path)
              .select(F.col("value").alias("line"),
                      F.col("_metadata.file_path").alias("_f"),
                      F.col("_metadata.file_block_start").alias("_b"),
@@ -50,7 +35,7 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    numbered = lines.join(F.broadcast(offsets), ["_f", "_b"])
+    numbered = lines.join(offsets, ["_f", "_b"])
     return numbered.select((F.col("_off") + F.col("_m") - F.col("_m0") + 1).cast("bigint").alias("obj"), "line")
 
 
@@ -59,29 +44,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def parse_table(lines: DataFrame, attrs: list[str], sep: str = ",", key: str | None = None) -> DataFrame:
+def parse_table(lines: DataFrame, attrs: list[str], sep: str = ",", key: str | None = None,
+                on_ragged: str = "error") -> DataFrame:
     """Wide table ``(obj, attrs...)`` from ``(obj, line)`` or keyed lines.
 
-    A row with fewer cells than ``attrs`` raises (``on_ragged='error'``); a
-    trailing or inner blank cell is the value ``''``.  With ``key`` the
-    object id is that (1-based) cell instead of the ``obj`` column.
+    A row with more cells than ``attrs`` raises.  ``on_ragged='error'``: so does one with fewer, and a blank cell is the
+    value ``''``.  ``'absent'``: trailing blank cells and those a short row lacks are absent, and the object, being in
+    no class of these attributes, is left out.  The check is a filter, so it holds whatever columns are read.  With
+    ``key`` the object id is that (1-based) cell instead of the ``obj`` column.
     """
-    cells = split_cells(F.trim(F.col("line")), sep)
+    if on_ragged not in ("error", "absent"):
+        raise ValueError("on_ragged must be 'error' or 'absent'")
     k = len(attrs) + (1 if key is not None else 0)
-    checked = F.when(F.size(cells) < k, F.raise_error(F.concat(F.lit("short row: "), F.col("line")))) \
-               .otherwise(cells)
-    df = lines.select(*(["obj"] if key is None else []), checked.alias("_c"))
-    names = list(attrs)
-    cols = []
-    pos = 0
-    if key is not None:
-        cols.append(F.col("_c")[int(key) - 1].cast("bigint").alias("obj"))
-    for a in names:
-        if key is not None and pos == int(key) - 1:
-            pos += 1
-        cols.append(F.col("_c")[pos].alias(a))
-        pos += 1
-    return df.select(*(["obj"] if key is None else []), *cols)
+    line = trimmed(F.col("line"))
+    if on_ragged == "absent":
+        line = F.regexp_replace(line, f"({_regex(sep)})+$", "")
+    df = lines.select(*(["obj"] if key is None else []), "line", split_cells(line, sep).alias("_c"))
+    # naming the row's id in the error also keeps the check above any filter on ids
+    who = F.lit("") if key is not None else F.col("obj").cast("string")
+    bad = lambda what: F.raise_error(F.concat(F.lit(what + " row "), who, F.lit(": "), F.col("line"))).cast("boolean")
+    short = F.lit(False) if on_ragged == "absent" else bad("short")
+    df = df.where(F.when(F.size("_c") > k, bad("long")).when(F.size("_c") < k, short).otherwise(True))
+    own = int(key) - 1 if key is not None else -1
+    places = [p for p in range(k) if p != own]
+    obj = F.col("_c")[own].cast("bigint").alias("obj") if key is not None else F.col("obj")
+    return df.select(obj, *[F.col("_c")[p].alias(a) for p, a in zip(places, attrs)])
 
 
 def parse_cells(lines: DataFrame, sep: str = ",", on_ragged: str = "absent") -> DataFrame:
@@ -93,7 +80,7 @@ def parse_cells(lines: DataFrame, sep: str = ",", on_ragged: str = "absent") ->
     """
     if on_ragged not in ("absent", "keep"):
         raise ValueError("on_ragged must be 'absent' or 'keep'")
-    line = F.trim(F.col("line"))
+    line = trimmed(F.col("line"))
     if on_ragged == "absent":
         # trailing blank cells are absent: cut the separators after the last value
         line = F.regexp_replace(line, f"({_regex(sep)})+$", "")
@@ -102,8 +89,7 @@ def parse_cells(lines: DataFrame, sep: str = ",", on_ragged: str = "absent") ->
 
 
 def read_table(spark: SparkSession, path: str, attrs: list[str], sep: str = ",",
-               key: str | None = None) -> DataFrame:
-    """Text file(s) -> wide information table ``(obj, attrs...)``."""
-    if key is None:
-        return parse_table(number_lines(spark, path), attrs, sep)
-    return parse_table(read_lines(spark, path), attrs, sep, key=key)
+               key: str | None = None, on_ragged: str = "error") -> DataFrame:
+    """Text file(s) -> wide information table ``(obj, attrs...)``; see ``parse_table`` for ragged rows."""
+    lines = number_lines(spark, path) if key is None else read_lines(spark, path)
+    return parse_table(lines, attrs, sep, key=key, on_ragged=on_ragged)

@@ -4,9 +4,14 @@ The batch job of the reference reads target lines as its input while minA
 and maxA are loaded once per task.  Here the target-independent frames
 (patterns, maxA, links) are computed once and written to the checkpoint
 folder; target files (``d <tab> id,id,...``) are read with ``readStream``
-and every micro-batch is approximated with ``foreachBatch``, appending the
-set rows ``(kind, d, n, lo, hi, s1, s2, batch_id)`` to a parquet sink.
-A target must arrive within one micro-batch (one file holds whole targets).
+and every micro-batch is approximated with ``foreachBatch``.
+
+A target may arrive in pieces.  Each batch's lines are kept under its batch
+id, and the targets that it touches are approximated anew from all their
+lines so far; the set rows ``(kind, d, n, lo, hi, s1, s2)`` are written under
+the batch id as well.  Both writes overwrite, so a batch that is replayed
+after a failure changes nothing, and ``latest`` reads each target from the
+last batch that touched it.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lacuna.functions.codec import FIELD_SEP, _regex, decode_ids
+from lacuna.functions.codec import FIELD_SEP, _regex, decode_ids, trimmed
 from lacuna.functions.setstats import DIGEST, object_stats
 from lacuna.operators import approx as A
 from lacuna.operators.aggregate import pattern_units
@@ -34,7 +39,7 @@ def table_side(df: DataFrame, obj: str, attrs: list[str]) -> A.TableParts:
 def parse_target_lines(lines: DataFrame) -> DataFrame:
     """``value`` text lines -> ``(d, obj)``."""
     parts = F.split(F.col("value"), _regex(FIELD_SEP), 2)
-    rows = lines.where(F.trim("value") != "").select(F.trim(parts[0]).alias("d"), parts[1].alias("ids"))
+    rows = lines.where(trimmed(F.col("value")) != "").select(trimmed(parts[0]).alias("d"), parts[1].alias("ids"))
     return rows.select("d", F.explode(decode_ids("ids")).alias("obj"))
 
 
@@ -51,9 +56,20 @@ def start(spark: SparkSession, tp: A.TableParts, source_dir: str, sink_dir: str,
     lines = spark.readStream.format("text").load(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        out = approximate_targets(tp, parse_target_lines(batch)).withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("append").parquet(sink_dir)
+        parse_target_lines(batch).write.mode("overwrite").parquet(f"{sink_dir}/lines/batch_id={batch_id}")
+        seen = spark.read.schema("d string, obj bigint, batch_id bigint").option("basePath", f"{sink_dir}/lines").parquet(f"{sink_dir}/lines")
+        seen = seen.where(F.col("batch_id") <= batch_id)
+        touched = seen.where(F.col("batch_id") == batch_id).select("d").distinct()
+        targets = seen.join(touched, "d", "left_semi").select("d", "obj").distinct()
+        approximate_targets(tp, targets).write.mode("overwrite").parquet(f"{sink_dir}/sets/batch_id={batch_id}")
 
     w = lines.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def latest(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The current set rows: of each target, those of the last batch that touched it."""
+    last = spark.read.parquet(f"{sink_dir}/lines").groupBy("d").agg(F.max("batch_id").alias("batch_id"))
+    sets = spark.read.parquet(f"{sink_dir}/sets").join(last, ["d", "batch_id"], "left_semi")
+    return sets.select("kind", "d", *DIGEST)

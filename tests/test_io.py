@@ -157,3 +157,82 @@ def test_read_table_with_key_column(spark):
     p2 = _write("a,15,*\n")
     df2 = T.read_table(spark, p2, ["a1", "a2"], key="2")
     assert [tuple(r) for r in df2.collect()] == [(15, "a", "*")]
+
+
+def _sets(fam):
+    return sorted(r["s"] for r in fam.groupBy("class_id").agg(F.sort_array(F.collect_list("obj")).alias("s")).collect())
+
+
+def test_family_lines_keep_their_sets(spark):
+    p = _write("1 \t 1,2|3\n1\t1,4,5|6|\n1,2\tnot_exist\n2\t \n\n")
+    assert _sets(P.read_families(spark, p)) == [[1, 2], [1, 4, 5], [3], [6]]
+    halves = _write("1\t1,2|4\t1,2,7|4,7|7\n2\tnot_exist\t3\n")
+    assert _sets(P.read_families(spark, halves, layout="halves", kind="certain")) == [[1, 2], [4]]
+    assert _sets(P.read_families(spark, halves, layout="halves", kind="possible")) == [[1, 2, 7], [3], [4, 7], [7]]
+    aggregated = _write("1\t1,2\t1,2|4\n1\t3\tnot_exist\n")
+    assert _sets(P.read_families(spark, aggregated)) == [[1, 2], [4]]
+    with pytest.raises(Exception):
+        P.read_families(spark, _write("1\tnope\n")).collect()
+
+
+def test_family_records_of_a_sequencefile(spark):
+    d = tempfile.mkdtemp(prefix="lacuna-io-")
+    df = spark.createDataFrame([("1", "1,2\t1,2|4"), ("1", "3\tnot_exist"), ("1", "4\t1,9")], "k string, v string")
+    S.write_sequencefile(df, os.path.join(d, "seq"), "k", "v")
+    assert _sets(P.read_families(spark, os.path.join(d, "seq"), fmt="sequencefile")) == [[1, 2], [1, 9], [4]]
+
+
+def test_sets_text_is_one_line_a_set_and_reads_back(spark):
+    d = tempfile.mkdtemp(prefix="lacuna-io-")
+    m = spark.createDataFrame([("A", "s1", 1), ("A", "s1", 4097), ("A", "s1", 8193), ("B", "s1", 2)], "kind string, set string, obj bigint")
+    S.write_sets_text(m, os.path.join(d, "one"), keys=[], set_key="set")
+    assert [r["value"] for r in spark.read.text(os.path.join(d, "one", "kind=A")).collect()] == ["s1\t1,4097,8193"]
+    S.write_sets_text(m, os.path.join(d, "parts"), keys=[], set_key="set", width=4096)
+    for name, layout in (("one", "sets"), ("parts", "parts")):
+        back = P.read_families(spark, os.path.join(d, name), layout=layout)
+        assert sorted(tuple(r) for r in back.collect()) == [("A", "s1", 1), ("A", "s1", 4097), ("A", "s1", 8193), ("B", "s1", 2)]
+
+
+def test_ragged_and_long_rows(spark):
+    p = _write("a,b\t\n c,d \n")
+    assert sorted(tuple(r) for r in T.read_table(spark, p, ["x", "y"]).collect()) == [(1, "a", "b"), (2, "c", "d")]
+    with pytest.raises(Exception):
+        T.read_table(spark, _write("a,b,c\n"), ["x", "y"]).collect()
+    short = T.read_table(spark, _write("a,b\na\n"), ["x", "y"])
+    for ask in (short.count, short.select("obj").collect, short.select("x").collect):
+        with pytest.raises(Exception):
+            ask()
+    absent = T.read_table(spark, _write("a,b\na\nc,\n,d\n"), ["x", "y"], on_ragged="absent")
+    assert sorted(tuple(r) for r in absent.collect()) == [(1, "a", "b"), (4, "", "d")]
+
+
+def test_hot_class_is_split(spark):
+    """80 % of the rows in one class: the join back of the class stats splits them over several tasks."""
+    from lacuna.functions.setstats import unit_stats
+    from lacuna.operators.sets import distinct_family
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 5 < 4, F.lit(-1)).otherwise(F.col("id") % 50).alias("cid"), F.col("id").alias("u"))
+        out = distinct_family(rows.select("cid", "u", *unit_stats(F.col("u"))))
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 40_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_containment_with_a_shared_object(spark):
+    """Classes that all hold one object make candidates in proportion to their number."""
+    from lacuna.operators.sets import as_family, containment_join
+
+    fam = spark.range(1, 301).select(F.col("id").alias("class_id"), F.explode(F.array(F.lit(0), F.col("id") * 2, F.col("id") * 2 + 1)).alias("obj"))
+    f = as_family(fam)
+    assert sorted(tuple(r) for r in containment_join(f, f).collect()) == [(k, k) for k in range(1, 301)]
