@@ -39,6 +39,7 @@ PERCENT = 80
 CLASSES = 32  # counts of a point's small sketch
 BITS = 2048  # parities of its large one
 BLOCK = 2048  # points of a region that one task pairs with each other
+GROUP = 1024  # points whose texts are compared in one place (two such blocks where more hang together)
 FILTER_BITS = 22  # a bit set of this many address bits tells tasks which texts are needed
 SLICE = 1 << 20
 
@@ -233,27 +234,37 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs ``(a, b)`` whose texts' sets share enough: the exact comparison."""
+    """Pairs whose sets share enough: the exact comparison.
+
+    Rows come sorted by group and kind: a group's texts ``(a, text)`` first, then its pairs ``(a, b)``.  One group's sets
+    are held at a time.
+    """
+    group, sets = None, {}
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256)
-            sets = []
-            for column in ("ta", "tb"):
-                value, owner, base = [], [], 0
-                for part, data, offsets in slices(rows, column, SLICE):
-                    v, start = shingle_sets(data, offsets)
-                    value.append(v)
-                    owner.append(np.repeat(np.arange(part.num_rows) + base, np.diff(start)))
-                    base += part.num_rows
-                sets.append((np.concatenate(value), np.concatenate(owner)))
-            n = rows.num_rows
-            tagged = np.concatenate([mix(v + mix(o.astype(np.uint64))) for v, o in sets])
-            owner = np.concatenate([o for _, o in sets])
-            total = np.bincount(owner, minlength=n)
-            _, one = np.unique(tagged, return_index=True)
-            union = np.bincount(owner[one], minlength=n)
-            keep = pa.array((total - union) * 100 >= PERCENT * union)
-            yield pa.record_batch([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        kind, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+        cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0) | (kind[1:] != kind[:-1])]) if len(kind) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(kind)]):
+            own = tuple(keys[:, lo].tolist())
+            if own != group:
+                group, sets = own, {}
+            if kind[lo] == 0:
+                at = lo
+                for rows, data, offsets in slices(batch.slice(lo, hi - lo), "text", SLICE):
+                    values, start = shingle_sets(data, offsets)
+                    for k in range(rows.num_rows):
+                        sets[int(a[at + k])] = values[start[k] : start[k + 1]].copy()
+                    at += rows.num_rows
+                continue
+            keep = []
+            for k in range(lo, hi):
+                x, y = sets[int(a[k])], sets[int(b[k])]
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    keep.append(k)
+            yield pa.record_batch([pa.array(a[keep].astype(np.int64)), pa.array(b[keep].astype(np.int64))], names=["a", "b"])
 
 
 def components(links: DataFrame, tag: str = "jaccard") -> DataFrame:
@@ -299,12 +310,25 @@ class _Comparer:
         return stored(both.where(ok).select("a", "b"), "jaccard-near")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link, written once."""
+        """Those of the pairs that link, written once.
+
+        Pairs that hang together are compared in one place, so a text travels once and not for each of its pairs; where
+        more than ``GROUP`` points hang together, they are dealt into blocks, and a place holds two blocks.
+        """
         pairs = self.near(pairs)
         self._fetch(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct())
-        one = pairs.join(self.texts.select(F.col("f").alias("a"), F.col("text").alias("ta")), "a")
-        both = one.join(self.texts.select(F.col("f").alias("b"), F.col("text").alias("tb")), "b")
-        return stored(both.select("a", "b", "ta", "tb").mapInArrow(_linked, "a bigint, b bigint"), "jaccard-links")
+        together = components(pairs, "jaccard-together")
+        blocks = together.groupBy("root").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("bigint").alias("blocks"))
+        placed = pairs.join(together.select(F.col("node").alias("a"), "root"), "a").join(blocks, "root")
+        i, j = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
+        placed = stored(placed.select("root", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b"), "jaccard-placed")
+        place = ["root", "i", "j"]
+        ends = placed.select(*place, F.col("a").alias("f")).union(placed.select(*place, "b")).distinct().join(self.texts, "f")
+        none = F.lit(None)
+        rows = ends.select(*place, F.lit(0).alias("kind"), F.col("f").alias("a"), F.lit(0).cast("bigint").alias("b"), "text").unionByName(
+            placed.select(*place, F.lit(1).alias("kind"), "a", "b", none.cast("string").alias("text")))
+        rows = rows.repartition(*place).sortWithinPartitions(*place, "kind")
+        return stored(rows.mapInArrow(_linked, "a bigint, b bigint"), "jaccard-links")
 
     def _fetch(self, sets: DataFrame) -> None:
         """One text of each set that is not there yet, by a scan that passes on only rows whose set may be wanted."""
