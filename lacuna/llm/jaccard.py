@@ -295,6 +295,19 @@ def components(links: DataFrame, tag: str = "jaccard") -> DataFrame:
     return known if known is not None else spark.createDataFrame([], "node bigint, root bigint")
 
 
+def _bit_set(sets: DataFrame) -> np.ndarray:
+    """Packed bits of the leading ``FILTER_BITS`` of the identifiers ``f``: a filter of bounded size for scans."""
+    bits = sets.select(F.shiftrightunsigned("f", 64 - FILTER_BITS).alias("k")).distinct().toArrow()  # at most 2 ** FILTER_BITS
+    flags = np.zeros(1 << FILTER_BITS, dtype=bool)
+    flags[bits.column("k").to_numpy()] = True
+    return np.packbits(flags)
+
+
+def _may_hold(bits: np.ndarray, f: np.ndarray) -> np.ndarray:
+    at = (f >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 class _Comparer:
     """Exact comparisons of candidate pairs; fetches each text that it needs once."""
 
@@ -336,19 +349,15 @@ class _Comparer:
             sets = stored(sets.join(self.texts, "f", "left_anti"), "jaccard-wanted")
             if sets.isEmpty():
                 return
-        shift = 64 - FILTER_BITS
-        bits = sets.select(F.shiftrightunsigned("f", shift).alias("k")).distinct().toArrow()  # at most 2 ** FILTER_BITS numbers
-        flags = np.zeros(1 << FILTER_BITS, dtype=bool)
-        flags[bits.column("k").to_numpy()] = True
-        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+        shared = self.docs.sparkSession.sparkContext.broadcast(_bit_set(sets))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            want, seen = np.unpackbits(shared.value).astype(bool), set()
+            want, seen = shared.value, set()
             for batch in batches:
                 for rows, data, offsets in slices(batch, "text", SLICE):
                     f = set_ids(*shingle_sets(data, offsets))
                     take = []
-                    for k in np.flatnonzero(want[(f >> np.uint64(shift)).astype(np.int64)] & (f != 0)).tolist():
+                    for k in np.flatnonzero(_may_hold(want, f) & (f != 0)).tolist():
                         if int(f[k]) not in seen:
                             seen.add(int(f[k]))
                             take.append(k)
@@ -447,8 +456,18 @@ def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     classes = stored(jaccard_classes(docs, doc_id=doc_id, text=text), "jaccard-classes")
     keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_k"), F.col("set_id").alias("_s"))
     keep = stored(keep.agg(F.count("*").alias("_c")), "jaccard-keep")
+    # rows whose set is in a class of one need no join, and their texts no shuffle
+    several = classes.groupBy("component_id").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("component_id").alias("_m"))
+    several = classes.join(several, F.col("component_id").eqNullSafe(F.col("_m")), "left_semi").select(F.col("set_id").alias("f"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_set(several))
+
+    def grouped(sets: pa.Array) -> pa.Array:
+        return pa.array(_may_hold(shared.value, sets.to_numpy().view(np.uint64)))
+
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), set_id(F.col(text)).alias("set"))
-    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("_k")) & (F.col("set") == F.col("_s")), "left_semi")
+    rows = rows.withColumn("grouped", F.arrow_udf(grouped, "boolean").asNondeterministic()("set"))
+    kept = rows.where("grouped").join(keep, F.col("id").eqNullSafe(F.col("_k")) & (F.col("set") == F.col("_s")), "left_semi")
     if not keep.where("_c > 1 AND _k IS NOT NULL").isEmpty():
         kept = kept.dropDuplicates(["id", "set"])
+    kept = kept.unionByName(rows.where("NOT grouped"))
     return kept.select("row.*")
