@@ -6,12 +6,16 @@ a matter of aggregation: runs of bytes are counted, shared out by their last ``S
 and the node's weight ``KT / (KT + prod P_w(children))`` tells how much it counts against its deeper contexts.  A text's
 probability is the product over its decisions of the mixture along its context path, from the root down.
 
-The counts and weights cover all training bytes and stay distributed.  For prediction, a node is sent to the tasks when
-it holds at least ``1 / NODES`` of all training bytes; a path ends at its deepest such node.  Nodes of one depth and bit
-share the bytes among them, so at most ``8 * (DEPTH + 1) * NODES`` can pass, whatever the input.  Whether a node is there
+A context and its next byte are a run of ``DEPTH + 1`` bytes, whose probability is that of its eight decisions.  It is
+worked out once for each distinct run of all texts, in the task that holds the tree below the run's last ``SPLIT``
+context bytes: no node is left out, and a path ends at the deepest context that training has seen.  Only the levels above
+``SPLIT`` are sent to these tasks (at most ``256 ** (SPLIT - 1)`` contexts, whatever the input).  Whether a node is there
 depends on what precedes the bit, never on the bit, so the model is a proper distribution.  Texts are closed by the byte
 0xFF (which UTF-8 never uses), also the context before the first byte.
 
+For scoring, the most frequent runs (at most ``NODES``) are sent to the tasks with their probability, and each text's
+other runs meet theirs in a join, so the number sent decides the speed and no result.
+
 Word counts of the base are exact: words of at least ``1 / FREQUENT`` of all tokens (so at most ``FREQUENT`` words) are
 sent to the tasks, and each text's rarer words meet their counts in a join on the word's 64-bit hash.
 
@@ -34,12 +38,13 @@ from .session import ship, stored
 from .text import LOWER, per_row, slices, word_hashes, words
 
 DEPTH = 6
-NODES = 1 << 17
+NODES = 1 << 22  # runs that scoring tasks hold, 16 bytes each
 FREQUENT = 1 << 16
 HELD = 1 << 19  # distinct keys that a counting task holds before it passes them on
 SPLIT = 3  # bytes of context by which the tree is shared out
 CHUNK = 1 << 15  # runs that a tree-building task takes at once, more only within one group
 SLICE = 1 << 20
+TIMES = 1 << 16  # a run's frequency, as far as it is told apart
 
 END = np.uint64(0x5E17E5A1D0C0FFEE)  # the end token's key among word hashes
 EDGE = 0xFF
@@ -106,15 +111,20 @@ class _Counter:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, grams = _Counter(0), _Counter(1)
+    """Keys and numbers of training words (kind 0), training runs (1) and held-out runs (2); rows ``(learn, text)``."""
+    tokens, grams, others = _Counter(0), _Counter(1), _Counter(2)
     for batch in batches:
-        for _, data, offsets in slices(batch, "text", SLICE):
-            data = LOWER[data]
-            keys, _ = _tokens(data, offsets)
-            yield from tokens.add(np.concatenate([keys, np.full(len(offsets) - 1, END)]))
-            yield from grams.add(_grams(data, offsets)[0])
+        for rows, data, offsets in slices(batch, "text", SLICE):
+            data, learn = LOWER[data], rows.column(0).to_numpy(zero_copy_only=False)
+            keys, count = _tokens(data, offsets)
+            yield from tokens.add(np.concatenate([keys[np.repeat(learn, count)], np.full(int(learn.sum()), END)]))
+            runs, ends = _grams(data, offsets)
+            seen = np.repeat(learn, np.diff(np.r_[0, ends]))
+            yield from grams.add(runs[seen])
+            yield from others.add(runs[~seen])
     yield from tokens.flush()
     yield from grams.flush()
+    yield from others.flush()
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -155,63 +165,80 @@ def _rows(depth: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(len(key), depth, dtype=np.int32)), pa.array(key.view(np.int64)), *(pa.array(c) for c in columns[1:])], names=_NODES)
 
 
-def _subtrees(depth: int, least: float):
-    """All nodes of depth ``SPLIT`` and the large ones below, from runs ``(key, n)`` that come sorted.
+def _subtree(depth: int, key: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The nodes ``(key, zeros, ones, lw, w)`` of depth ``depth`` up to ``SPLIT``, level by level, from runs and counts."""
+    ctx, byte = key >> np.uint64(8), key & np.uint64(255)
+    cut = np.uint64(8 * (DEPTH - depth))  # contexts longer than asked for
+    ctx = ctx >> cut
+    nodes, zeros, ones = [], [], []
+    for k in range(8):
+        node = np.uint64(1 << k) + (byte >> np.uint64(8 - k))
+        bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+        x, one, all_ = _summed((ctx << np.uint64(8)) | node, n * bit, n)
+        nodes.append(x)
+        ones.append(one)
+        zeros.append(all_ - one)
+    nodes, zeros, ones, deeper = np.concatenate(nodes), np.concatenate(zeros), np.concatenate(ones), None
+    for d in range(depth, SPLIT - 1, -1):
+        if d < depth:
+            up = ((nodes >> np.uint64(16)) << np.uint64(8)) | (nodes & np.uint64(255))
+            nodes, zeros, ones, deeper = _summed(up, zeros, ones, lw)
+        lw, w = _weighed(zeros, ones, deeper)
+        yield nodes, zeros, ones, lw, w
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns ``(key, ...)`` in chunks, from rows that come sorted by key.
 
     Runs with the same ``SPLIT`` most recent bytes are neighbours; a chunk ends where such a group does.
     """
-
-    def chunk(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ctx, byte = key >> np.uint64(8), key & np.uint64(255)
-        cut = np.uint64(8 * (DEPTH - depth))  # contexts longer than asked for
-        ctx = ctx >> cut
-        nodes, zeros, ones = [], [], []
-        for k in range(8):
-            node = np.uint64(1 << k) + (byte >> np.uint64(8 - k))
-            bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
-            x, one, all_ = _summed((ctx << np.uint64(8)) | node, n * bit, n)
-            nodes.append(x)
-            ones.append(one)
-            zeros.append(all_ - one)
-        nodes, zeros, ones, deeper = np.concatenate(nodes), np.concatenate(zeros), np.concatenate(ones), None
-        for d in range(depth, SPLIT - 1, -1):
-            if d < depth:
-                up = ((nodes >> np.uint64(16)) << np.uint64(8)) | (nodes & np.uint64(255))
-                nodes, zeros, ones, deeper = _summed(up, zeros, ones, lw)
-            lw, w = _weighed(zeros, ones, deeper)
-            big = (zeros + ones >= least) | (d == SPLIT)
-            yield _rows(d, nodes[big], zeros[big], ones[big], lw[big], w[big])
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= CHUNK:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            group = columns[0].view(np.uint64) >> np.uint64(8 * (DEPTH + 1 - SPLIT))
+            end = int(np.searchsorted(group, group[-1]))
+            if end:
+                yield [c[:end] for c in columns]
+            held, size = [[c[end:] for c in columns]], size - end
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _tops(depth: int):
+    """The nodes of depth ``SPLIT``, from sorted runs ``(key, n)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy().view(np.uint64))
-            counts.append(batch.column(1).to_numpy())
-            size += batch.num_rows
-            if size >= CHUNK:
-                key, n = np.concatenate(keys), np.concatenate(counts)
-                group = key >> np.uint64(8 * (DEPTH + 1 - SPLIT))
-                end = int(np.searchsorted(group, group[-1]))
-                if end:
-                    yield from chunk(key[:end], n[:end])
-                keys, counts, size = [key[end:]], [n[end:]], len(key) - end
-        if size:
-            yield from chunk(np.concatenate(keys), np.concatenate(counts))
+        for key, n in _groups(batches):
+            for top in _subtree(depth, key.view(np.uint64), n):
+                pass
+            yield _rows(SPLIT, *top)
 
     return run
 
 
-def context_tree(grams: DataFrame, least: float, depth: int = DEPTH) -> list[pa.Table]:
-    """Tables by depth 0 .. ``depth``: ``(key, zeros, ones, w)`` of nodes with at least ``least`` decisions.
+def _valued(depth: int, upper: tuple[list, tuple], key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 probability of each of a chunk's runs, ascending; those with ``n = 0`` are no part of the tree."""
+    seen = n > 0
+    levels = [(x, zeros, ones, w) for x, zeros, ones, _, w in _subtree(depth, key[seen], n[seen])][::-1] if seen.any() else []
+    return _log10_gram(key, upper[0] + predictors(levels, upper[1])[0])
+
+
+def _by_group(grams: DataFrame, *columns: str) -> DataFrame:
+    parts = grams.repartition(F.shiftright("key", 8 * (DEPTH + 1 - SPLIT)))
+    return parts.sortWithinPartitions("key").select("key", *columns)
+
+
+def context_tree(grams: DataFrame, depth: int = DEPTH) -> list[pa.Table]:
+    """Tables by depth 0 .. ``SPLIT - 1``: ``(key, zeros, ones, w)`` of all nodes there, from training runs ``(key, n)``.
 
     A key is the context (most recent byte first) and the node: 1 for a byte's first bit, then ``2 * node + bit``.  ``w``
-    is the weight of the node's own estimate against its deeper contexts, which are all counted, large or not.  Contexts
-    of ``SPLIT`` bytes share out the runs; the levels above them are at most ``256 ** SPLIT`` contexts.
+    is the weight of the node's own estimate against its deeper contexts, down to ``depth``.  Contexts of ``SPLIT`` bytes
+    share out the runs; the levels above them are at most ``256 ** (SPLIT - 1)`` contexts.
     """
-    group = F.shiftright("key", 8 * (DEPTH + 1 - SPLIT))
-    parts = grams.repartition(group).sortWithinPartitions("key").select("key", "n")
-    below = stored(parts.mapInArrow(_subtrees(depth, least), _NODES_TYPE), "ctw-nodes")
-    level, out = below.where(F.col("depth") == SPLIT), {}
+    level, out = stored(_by_group(grams, "n").mapInArrow(_tops(depth), _NODES_TYPE), "ctw-nodes"), {}
     for d in range(SPLIT - 1, -1, -1):
         node = F.col("key").bitwiseAND(255)
         up = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(node)
@@ -224,20 +251,33 @@ def context_tree(grams: DataFrame, least: float, depth: int = DEPTH) -> list[pa.
         made = F.arrow_udf(weigh, "struct<lw:double,w:double>").asNondeterministic()("zeros", "ones", "deeper")
         level = sums.select(F.lit(d).alias("depth"), "key", "zeros", "ones", made.alias("m")).select("depth", "key", "zeros", "ones", "m.lw", "m.w")
         level = out[d] = stored(level, f"ctw-{d}")
-    tables = [out[d] for d in range(SPLIT)] + [below.where(F.col("depth") == d) for d in range(SPLIT, depth + 1)]
-    return [t.where(F.col("zeros") + F.col("ones") >= least).select("key", "zeros", "ones", "w").toArrow() for t in tables]
+    return [out[d].select("key", "zeros", "ones", "w").toArrow() for d in range(SPLIT)]
+
+
+def run_values(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``(key, m, log)`` for each run ``(key, n, m)``: the log10 probability of its last byte after its context.
+
+    ``n`` counts the run in training (0: it teaches nothing), ``m`` in all texts.
+    """
+    tops = [tuple(t.column(c).to_numpy() for c in range(4)) for t in context_tree(grams.where("n > 0"), depth)]
+    shared = grams.sparkSession.sparkContext.broadcast(predictors([(k.view(np.uint64), *rest) for k, *rest in tops]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, m in _groups(batches):
+            logs = _valued(depth, shared.value, key.view(np.uint64), n)
+            yield pa.record_batch([pa.array(key), pa.array(m), pa.array(logs)], names=["key", "m", "log"])
+
+    return stored(_by_group(grams, "n", "m").mapInArrow(run, "key bigint, m bigint, log double"), "ctw-runs")
 
-def predictors(levels: list[pa.Table]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth, sorted node keys and the probability of a one where the path ends there.
 
-    From the root down, ``made`` sums the weighted estimates so far and ``left`` is the weight not yet given.
+def predictors(levels: list[tuple[np.ndarray, ...]], above: tuple[np.ndarray, ...] | None = None) -> tuple[list, tuple | None]:
+    """For each level ``(key, zeros, ones, w)``, sorted node keys and the probability of a one where the path ends there.
+
+    From the root down, ``made`` sums the weighted estimates so far and ``left`` is the weight not yet given; ``above``
+    has the nodes over the first level with these two, and so has the second result for the levels that follow.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    above: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-    for t in levels:
-        keys, zeros, ones, w = (t.column(c).to_numpy() for c in range(4))
-        keys = keys.view(np.uint64)
+    for keys, zeros, ones, w in levels:
         order = np.argsort(keys)
         keys, zeros, ones, w = keys[order], zeros[order].astype(float), ones[order].astype(float), w[order]
         kt = (ones + 0.5) / (zeros + ones + 1.0)
@@ -248,7 +288,7 @@ def predictors(levels: list[pa.Table]) -> list[tuple[np.ndarray, np.ndarray]]:
             made, left = above[1][at], above[2][at]
         out.append((keys, made + left * kt))
         above = (keys, made + left * w * kt, left * (1 - w))
-    return out
+    return out, above
 
 
 def _log10_gram(grams: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], depth: int = DEPTH) -> np.ndarray:
@@ -273,9 +313,29 @@ def _log10_gram(grams: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]],
     return total
 
 
-def _score(tables, keys: np.ndarray, counts: np.ndarray, denominator: float):
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+def _lists(row: np.ndarray, keys: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """For each of ``n`` rows, its distinct keys and how often it has each."""
+    order = np.lexsort((keys, row))
+    r, k = row[order], keys[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    start = np.flatnonzero(new)
+    many = np.diff(np.r_[start, len(k)])
+    cut = pa.array(np.r_[0, np.cumsum(np.bincount(r[start], minlength=n))].astype(np.int32))
+    return pa.ListArray.from_arrays(cut, pa.array(k[start].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(many.astype(np.int32)))
+
+
+def _met(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``want`` are among the sorted ``keys``, and the places of those."""
+    if not len(keys):
+        return np.zeros(len(want), dtype=bool), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    known = keys[at] == want
+    return known, at[known]
+
+
+def _score(runs: np.ndarray, values: np.ndarray, keys: np.ndarray, counts: np.ndarray, denominator: float):
+    """Scores by what the tasks hold (runs and words, both sorted); what is not there is listed for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,34 +344,45 @@ def _score(tables, keys: np.ndarray, counts: np.ndarray, denominator: float):
                 n = len(offsets) - 1
                 grams, ends = _grams(data, offsets)
                 distinct, back = np.unique(grams, return_inverse=True)
-                logs = np.r_[0, np.cumsum(_log10_gram(distinct, tables)[back])]
+                known, at = _met(runs, distinct)
+                log = np.zeros(len(distinct))
+                log[known] = values[at]
+                logs = np.r_[0, np.cumsum(log[back])]
                 score = logs[ends] - logs[np.r_[0, ends[:-1]]]
                 # sums over long slices lose digits: about 1e-9 of a text's score, the same in every run
+                far = np.flatnonzero(~known[back])
+                far, far_times = _lists(np.searchsorted(ends, far, side="right"), grams[far], n)
                 tokens, count = _tokens(data, offsets)
                 row = np.repeat(np.arange(n), count)
                 row, tokens = np.r_[row, np.arange(n)], np.r_[tokens, np.full(n, END)]
-                at = np.minimum(np.searchsorted(keys, tokens), max(0, len(keys) - 1))
-                known = keys[at] == tokens if len(keys) else np.zeros(len(tokens), dtype=bool)
-                c = counts[at[known]] if len(keys) else np.zeros(0)
-                base = np.bincount(row[known], weights=np.log10((c + 1) / denominator), minlength=n).astype(float)
+                known, at = _met(keys, tokens)
+                base = np.bincount(row[known], weights=np.log10((counts[at] + 1) / denominator), minlength=n).astype(float)
                 seen = np.bincount(row[known], minlength=n)
-                # the other words: distinct ones of each row with their number
-                order = np.lexsort((tokens[~known], row[~known]))
-                r, t = row[~known][order], tokens[~known][order]
-                new = np.ones(len(t), dtype=bool)
-                new[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
-                start = np.flatnonzero(new)
-                many = np.diff(np.r_[start, len(t)])
-                cut = np.r_[0, np.cumsum(np.bincount(r[start], minlength=n))].astype(np.int32)
+                rare, times = _lists(row[~known], tokens[~known], n)
                 yield pa.record_batch([
                     rows.column(0), rows.column(1), rows.column(2), pa.array(count + 1), pa.array(seen), pa.array(base), pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(t[start].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(many.astype(np.int32))),
-                ], names=["doc_id", "uid", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                    rare, times, far, far_times,
+                ], names=["doc_id", "uid", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "far", "far_times"])
 
     return run
 
 
+def _sorted(table: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = table.column("key").to_numpy().view(np.uint64), table.column(value).to_numpy().astype(float)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _least(values: DataFrame, size: int, nodes: int) -> float:
+    """The least frequency ``m`` that at most ``nodes`` runs have or exceed; ``size``: the sum of all."""
+    bound = max(1.0, size / nodes)  # the runs from here on fit in any case
+    times = values.groupBy(F.least("m", F.lit(TIMES)).alias("m")).count().toArrow()  # at most TIMES rows
+    m, runs = times.column("m").to_numpy(), times.column("count").to_numpy()
+    order = np.argsort(m)[::-1]
+    fit = m[order][np.cumsum(runs[order]) <= nodes]
+    return min(bound, float(fit[-1])) if len(fit) else bound
+
+
 def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2,
                     depth: int = DEPTH, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, scores as log10 probabilities.
@@ -322,30 +393,42 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     ship(spark)
     learn = learns(doc_id, modulus, held)
-    counted = docs.where(learn).select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "kind tinyint, key bigint, n bigint")
-    counts = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
-    token, gram = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
+    counted = docs.select(learn.alias("learn"), F.col(text).cast("string").alias("text")).mapInArrow(_count, "kind tinyint, key bigint, n bigint")
+    taught = F.sum(F.when(F.col("kind") < 2, F.col("n")).otherwise(0))
+    counts = counted.groupBy(F.least("kind", F.lit(1)).alias("run"), "key").agg(taught.alias("n"), F.sum("n").alias("m"))
+    counts = stored(counts, "ctw-counts")
+    token, gram = counts.where("run = 0").select("key", "n"), counts.where("run = 1").select("key", "n", "m")
     total, kinds = token.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    size = gram.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = gram.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     denominator = float(total + kinds + 1)
 
-    tables = predictors(context_tree(gram, max(1.0, size / nodes), depth))
+    values = run_values(gram, depth)
+    common = F.col("m") >= _least(values, size, nodes)
+    head = _sorted(values.where(common).select("key", "log").toArrow(), "log")  # at most `nodes` runs
     least = max(1.0, total / frequent)
-    top = token.where(F.col("n") >= least).toArrow()  # at most `frequent` words
-    shared = spark.sparkContext.broadcast((tables, top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(float)))
+    top = _sorted(token.where(F.col("n") >= least).toArrow(), "n")  # at most `frequent` words
+    shared = spark.sparkContext.broadcast((*head, *top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _score(*shared.value, denominator)(batches)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), (~learn).alias("held_out"), F.col(text).cast("string").alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<int>"
+    schema = (
+        f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
+        "rare array<bigint>, times array<int>, far array<bigint>, far_times array<int>"
+    )
     first = stored(rows.mapInArrow(run, schema), "ctw-scores")
 
-    rare = first.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    met = rare.join(token.where(F.col("n") < least), "key", "left")
+    def listed(keys: str, times: str) -> DataFrame:
+        return first.select("uid", F.explode(F.arrays_zip(keys, times)).alias("x")).select("uid", F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
+
+    met = listed("rare", "times").join(token.where(F.col("n") < least), "key", "left")
     log = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 1.0) / F.lit(denominator))
     more = met.groupBy("uid").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"))
-    return first.drop("rare", "times").join(more, "uid", "left").select(
+    deep = listed("far", "far_times").join(values.where(~common).select("key", "log"), "key")
+    deep = deep.groupBy("uid").agg(F.sum(F.col("times") * F.col("log")).alias("deep"))
+    return first.drop("rare", "times", "far", "far_times").join(more, "uid", "left").join(deep, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )

@@ -97,6 +97,15 @@ def test_scores_equal_the_definition(make):
         assert r["score"] == pytest.approx(log10_by_hand(tree, t, ctw.DEPTH), rel=1e-6, abs=1e-5)
 
 
+def test_scores_do_not_depend_on_what_tasks_hold(make):
+    """Contexts that the tasks do not hold count as well: a head of a few runs gives the definition's scores."""
+    rng = random.Random(2)
+    texts = [words_text(rng, rng.randrange(0, 40)) for _ in range(40)] + ["zz unseen zz"]
+    tree = tree_by_hand([t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2], ctw.DEPTH)
+    for r in ctw.score_documents(make([{"doc_id": k, "text": t} for k, t in enumerate(texts)]), nodes=8).collect():
+        assert r["score"] == pytest.approx(log10_by_hand(tree, texts[r["doc_id"]], ctw.DEPTH), rel=1e-6, abs=1e-5)
+
+
 def test_predictions_sum_to_one():
     """Whatever nodes are left out, the 256 next bytes share all probability."""
     rng = np.random.default_rng(0)
