@@ -16,6 +16,9 @@ whose points are all in one class is done, which ends large groups of near copie
 Points of different classes in what is left are paired in blocks of bounded size, pruned by the same windows, and
 compared exactly.  Classes are the connected components of all links, found by contraction.
 
+Where the links themselves are asked for, no pair may be left out because its points are in one class: all points of a
+region are paired in the blocks, and no balls are made.
+
 Exactness rests on 64-bit hashes of shingles and of sets.  Defined results: a text with fewer than five words is one
 shingle of its whole sequence; a text without words (or null) has no shingle and is a class of its own; a class is named
 by its smallest id (null only if no member has one); repeated rows are in one class; an empty table gives an empty
@@ -387,8 +390,35 @@ def _balls(cells: DataFrame) -> DataFrame:
     return star.select(F.least("f", "pivot").alias("a"), F.greatest("f", "pivot").alias("b")).distinct()
 
 
-def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, set_id)`` for every row; ``set_id`` identifies the row's set of shingles."""
+def _blocked(marked: DataFrame, points: DataFrame) -> DataFrame:
+    """Distinct pairs of points of different classes that meet in a region, from rows ``(cell, f, np, class)``."""
+    mixed = marked.groupBy("cell").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("c")).where("x <> y")
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    open_ = marked.join(mixed.select("cell", blocks.alias("blocks")), "cell").join(points.select("f", "sketch"), "f")
+    open_ = open_.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("f"), F.col("blocks"))).otherwise(0).cast("int"))
+    # a region of several blocks: each block alone (-1 - block) and with each other block (low * blocks + high)
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")),
+                         lambda k: (F.least(k, F.col("block")).cast("bigint") * F.col("blocks") + F.greatest(k, F.col("block"))))
+    parts = F.concat(F.array((-1 - F.col("block")).cast("bigint")), others)
+    open_ = open_.withColumn("part", F.explode(parts)).select("cell", "part", "f", "np", "class", "sketch", "block")
+    open_ = open_.repartition("cell", "part").sortWithinPartitions("cell", "part", "np")
+    return open_.mapInArrow(_pairs, "a bigint, b bigint").distinct()
+
+
+def _partners(links: DataFrame, signs: DataFrame) -> DataFrame:
+    """``(f, partners)``: for each set, the number of rows whose sets link with it, those of its own set included."""
+    rows = signs.where("n > 0").groupBy("f").agg(F.count("*").alias("c"))
+    both = links.select(F.col("a").alias("f"), F.col("b").alias("g")).union(links.select("b", "a"))
+    others = both.join(rows.select(F.col("f").alias("g"), "c"), "g").select("f", "c")
+    return others.union(rows).groupBy("f").agg(F.sum("c").alias("partners"))
+
+
+def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, set_id)`` for every row; ``set_id`` identifies the row's set of shingles.
+
+    ``links=True`` adds ``n_links``, the number of other rows that the row links with, copies of its set included (0
+    without words); the links between sets ``(a, b)`` stay in the shared folder as ``jaccard-links``.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -399,8 +429,11 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     cells = rows.select("text").mapInArrow(_windows, "cell bigint, f bigint, np bigint")
     cells = cells.repartition("cell").sortWithinPartitions("cell", "np", "f")
     cells = stored(cells.mapInArrow(_regions, "cell bigint, f bigint, np bigint, pivot bigint, pivot_np bigint"), "jaccard-regions")
-    links = comparer.links(_balls(cells))
-    classes = components(links)
+    if links:
+        found = comparer.links(_blocked(cells.select("cell", "f", "np", F.col("f").alias("class")), points))
+        return _named(signs, components(found), _partners(found, signs))
+    found = comparer.links(_balls(cells))
+    classes = components(found)
 
     def marked() -> DataFrame:
         named = cells.select("cell", "f", "np").join(classes.select(F.col("node").alias("f"), "root"), "f", "left")
@@ -412,30 +445,27 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     between = ones.join(heads, "cell").select("x.f", "x.np", F.col("y.f").alias("pivot"), F.col("y.np").alias("pivot_np"))
     more = comparer.links(_balls(between))
     if not more.isEmpty():
-        links = links.union(more)
-        classes = components(links)
+        found = found.union(more)
+        classes = components(found)
 
     # what is left: regions with points of several classes
     marked = stored(marked(), "jaccard-marked")
-    mixed = marked.groupBy("cell").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("c")).where("x <> y")
-    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    open_ = marked.join(mixed.select("cell", blocks.alias("blocks")), "cell").join(points.select("f", "sketch"), "f")
-    open_ = open_.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("f"), F.col("blocks"))).otherwise(0).cast("int"))
-    # a region of several blocks: each block alone (-1 - block) and with each other block (low * blocks + high)
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")),
-                         lambda k: (F.least(k, F.col("block")).cast("bigint") * F.col("blocks") + F.greatest(k, F.col("block"))))
-    parts = F.concat(F.array((-1 - F.col("block")).cast("bigint")), others)
-    open_ = open_.withColumn("part", F.explode(parts)).select("cell", "part", "f", "np", "class", "sketch", "block")
-    open_ = open_.repartition("cell", "part").sortWithinPartitions("cell", "part", "np")
-    more = comparer.links(open_.mapInArrow(_pairs, "a bigint, b bigint").distinct())
+    more = comparer.links(_blocked(marked, points))
     if not more.isEmpty():
-        classes = components(links.union(more))
+        classes = components(found.union(more))
+    return _named(signs, classes)
+
 
-    named = signs.select("doc_id", "n", "f").join(classes.select(F.col("node").alias("f"), "root"), "f", "left")
-    named = stored(named.select("doc_id", "n", "f", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root")), "jaccard-named")
+def _named(signs: DataFrame, classes: DataFrame, partners: DataFrame | None = None) -> DataFrame:
+    """Each row with the least id of its class and, where ``partners`` is given, its number of links."""
+    of_set, extra = classes.select(F.col("node").alias("f"), "root"), []
+    if partners is not None:
+        of_set, extra = partners.join(of_set, "f", "left"), [F.coalesce(F.col("partners") - 1, F.lit(0)).alias("n_links")]
+    named = signs.select("doc_id", "n", "f").join(of_set, "f", "left")
+    named = stored(named.select("doc_id", "n", "f", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root"), *extra), "jaccard-named")
     least_id = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least_id, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("f").alias("set_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("f").alias("set_id"), *(["n_links"] if extra else []))
 
 
 def set_id(text: Column | str) -> Column:

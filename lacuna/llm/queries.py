@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("set_id")
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), links=True).drop("set_id")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,19 @@ def test_classes_equal_brute_force(make, seed):
     assert len(got) == len(docs)
 
 
+def test_links_equal_brute_force(make, monkeypatch):
+    """Every row has its number of links, also those between points of one class and copies."""
+    texts = near_corpus(3, 120) + [None, "", "One two", "one TWO"]
+    docs = [(3 * k % 157, t) for k, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    got = jaccard.jaccard_classes(make([{"doc_id": d, "text": t} for d, t in docs]), links=True).collect()
+    sets = [brute.shingles(t) for t in texts]
+    many = {d: sum(k != j and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets)) for k, ((d, _), x) in enumerate(zip(docs, sets))}
+    assert {r["doc_id"]: r["n_links"] for r in got} == many and max(many.values()) > 2
+    want = {d: w for (d, _), w in zip(docs, brute.classes(docs))}
+    assert all(r["component_id"] == (want[r["doc_id"]][1] if r["n_shingles"] else r["doc_id"]) for r in got)
+
+
 def test_small_blocks_and_a_chain(make, monkeypatch):
     """Points that link only through others, and regions cut into blocks, give the same classes."""
     base = [f"w{k}" for k in range(100)]
