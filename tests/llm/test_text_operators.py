@@ -153,6 +153,16 @@ def test_page_lines_and_differencing(spark):
     assert [r["n_chars"] for r in twice] == [0, 0]  # each is the other's nearest page
 
 
+def test_names_take_out_no_article_text():
+    """Words inside a class or id say nothing; in an article a named block goes only where its text is links."""
+    page = (
+        '<body><div class="top ad">Buy</div><article class="post has-sidebar"><h2 id="how-to-share-files">How</h2><h3 class="notice">Head</h3>'
+        '<section id="social-history"><p>History</p></section><p class="notice-period">Period</p><div class="notice">Mind this</div>'
+        '<div class="share"><a href="/x">Send</a> <a href="/y">Post</a></div><p>End</p></article><div role="search">Find</div></body>'
+    )
+    assert pages.lines(page) == (["How", "Head", "History", "Period", "Mind this", "End"], [True] * 6, True)
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(500):
