@@ -6,6 +6,11 @@ nothing new appears; a layer whose content and place were seen before is not ent
 each character, the span of the original text it came from, so whatever is found is reported in code points of the
 original.
 
+A base64 run is decoded as a whole and, where that is no text, at all four alignments: every readable stretch of at
+least ``MIN_READABLE`` bytes and every compressed stream in it is a layer, so a path or prefix before the base64, or text
+after it, hides nothing.  Runs on neighbouring lines are also decoded as one.  Compressed members that follow each other
+are unpacked one by one.
+
 In-place layers (percent, Unicode escapes) decode the whole text around them, so a key name and its encoded value still
 meet; of their finds only those that touch a decoded character are new.  The work of a document depends on that document
 alone.
@@ -47,6 +52,13 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+_LINES = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}" % MIN_BASE64)
+MIN_READABLE = 12  # no pattern matches fewer characters
+_STRETCH = re.compile(
+    rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){%d,}" % MIN_READABLE
+)
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _DASHES = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -78,30 +90,39 @@ def _whole(text: str) -> Layer:
     return Layer(text, range(n), range(1, n + 1), bytearray(n))  # type: ignore[arg-type]
 
 
+def _member(raw: bytes):
+    """A decompressor for the stream that begins here (None: not one)."""
+    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(memlimit=1 << 28) if raw[:6] == b"\xfd7zXZ\x00" else None
+
+
 def _unpack(raw: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """What a compressed stream holds (None: not one), and whether it was too large to unpack."""
+    """What a compressed stream holds, all its members (None: not one), and whether it was too large to unpack."""
+    parts: list[bytes] = []
     try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=1 << 28)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
+        if raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as r:
-                out = r.read(limit + 1)
-            return (None, True) if len(out) > limit else (out, False)
+            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw, read_across_frames=True) as r:
+                while sum(map(len, parts)) <= limit and (out := r.read(limit + 1)):
+                    parts.append(out)
         else:
-            return None, False
-        out = d.decompress(raw, limit + 1)
+            d = _member(raw)
+            while d is not None and sum(map(len, parts)) <= limit:
+                parts.append(d.decompress(raw, limit + 1 - sum(map(len, parts))))
+                raw = d.unused_data.lstrip(b"\x00") if d.eof else b""
+                d = _member(raw)
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        return None, False
+        pass  # what came before the broken member counts
     except Exception as e:  # the zstd library's own error type
-        if type(e).__name__ == "ZstdError":
-            return None, False
-        raise
+        if type(e).__name__ != "ZstdError":
+            raise
+    if not parts:
+        return None, False
+    out = b"".join(parts)
     return (None, True) if len(out) > limit else (out, False)
 
 
@@ -115,7 +136,7 @@ def _readable(raw: bytes) -> str | None:
 
 
 def _inner(raw: bytes, spans: list[tuple[int, int]] | None, start: int, end: int, limit: int) -> tuple[Layer | None, bool]:
-    """The layer that decoded bytes make: their text, or what they hold compressed.  ``spans``: each byte's place."""
+    """The layer that decoded bytes make: their text, or what they hold compressed.  ``spans``: each byte's place (None: only what is compressed counts)."""
     unpacked, over = _unpack(raw, limit)
     if over:
         return None, True
@@ -128,7 +149,7 @@ def _inner(raw: bytes, spans: list[tuple[int, int]] | None, start: int, end: int
             return None, deeper[1]
         n = len(text)
         return Layer(text, [start] * n, [end] * n, bytearray(b"\x01") * n), False
-    text = _readable(raw)
+    text = _readable(raw) if spans is not None else None
     if text is None:
         return None, False
     first, last, at = [], [], 0
@@ -194,22 +215,57 @@ def _escapes(m: re.Match):
     return out
 
 
+def _bytes(body: str) -> bytes | None:
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body.translate(_DASHES) + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _base64_run(layer: Layer, body: str, at, limit: int) -> tuple[list[Layer], int]:
+    """The layers of one run; ``at``: the place of each of its characters in the layer."""
+
+    def place(k: int, shift: int) -> tuple[int, int]:  # of byte k, decoded from character `shift` on
+        return layer.start[at[shift + k * 4 // 3]], layer.end[at[shift + (k * 8 + 7) // 6]]
+
+    raw = _bytes(body)
+    if raw is not None:
+        got, large = _inner(raw, [place(k, 0) for k in range(len(raw))], layer.start[at[0]], layer.end[at[-1]], limit)
+        if got is not None or large:
+            return [got] if got is not None else [], int(large)
+    out, over = [], 0
+    for shift in range(4):
+        part = body[shift:]
+        raw = _bytes(part[:-1] if len(part) % 4 == 1 else part) or b""
+        for m in _STRETCH.finditer(raw):
+            spans = [place(k, shift) for k in range(m.start(), m.end())]
+            got, _ = _inner(m.group(), spans, spans[0][0], spans[-1][1], limit)
+            if got is not None:
+                out.append(got)
+        done = 0  # streams inside one that was unpacked are parts of it
+        for m in _MAGIC.finditer(raw):
+            if m.start() < done:
+                continue
+            got, large = _inner(raw[m.start() :], None, place(m.start(), shift)[0], layer.end[at[-1]], limit)
+            over += large
+            if got is not None:
+                out.append(got)
+                done = len(raw)
+    return out, over
+
+
 def _base64_layers(layer: Layer, limit: int) -> tuple[list[Layer], int]:
     out, over = [], 0
-    for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.translate(_DASHES) + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        a = m.start()
-        spans = [(layer.start[a + k * 4 // 3], layer.end[a + (k * 8 + 7) // 6]) for k in range(len(raw))]
-        got, large = _inner(raw, spans, layer.start[a], layer.end[m.end() - 1], limit)
+    runs = [(m.group().rstrip("="), range(m.start(), m.end())) for m in _BASE64.finditer(layer.text)]
+    for m in _LINES.finditer(layer.text):
+        at = [k for k in range(m.start(), m.end()) if layer.text[k] not in " \t\r\n="]
+        runs.append(("".join(layer.text[k] for k in at), at))
+    for body, at in runs:
+        got, large = _base64_run(layer, body, at, limit)
+        out += got
         over += large
-        if got is not None:
-            out.append(got)
     return out, over
 
 

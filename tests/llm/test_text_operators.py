@@ -291,3 +291,23 @@ def test_mix_odd_tables(make):
     extra = "doc_id bigint, text string, source string, mix string, target int, h int, size int"
     rows, at = mixing.mix_sources(make([{"doc_id": 1, "text": "a", "source": "s", "size": 7}], extra))
     assert at == "mix_" and rows.first()["size"] == 7 and rows.first()[at]["size"] == 1
+
+
+@pytest.mark.parametrize("kind", ["path", "prefix", "tail", "wrapped", "packed path", "packed lines", "members"])
+def test_base64_is_found_wherever_it_begins(kind):
+    """Base64 after a path or prefix, before other text, over several lines, and of several compressed members."""
+    rng = random.Random(5)
+    secret = b"key AKIA" + b"ABCDEFGHIJKLMNOPQRST" + b" end"
+    filler = bytes(rng.randrange(97, 123) for _ in range(400))
+    lines = lambda b: base64.encodebytes(b).decode()
+    text = {
+        "path": "see https://h.example/x/" + base64.b64encode(secret).decode() + " now",
+        "prefix": "key-" + base64.b64encode(secret).decode(),
+        "tail": base64.urlsafe_b64encode(secret).decode().rstrip("=") + "_-text",
+        "wrapped": "x:\n" + lines(filler[:35] + secret + filler) + "\nafter",
+        "packed path": "https://h.example/x/" + base64.b64encode(gzip.compress(secret)).decode(),
+        "packed lines": lines(gzip.compress(filler + secret)),
+        "members": base64.b64encode(gzip.compress(filler) + gzip.compress(secret)).decode(),
+    }[kind]
+    spans = [s for s in secret_scan.scan(text)[1] if s[1] == 1]
+    assert spans and all(0 <= a < b <= len(text) for a, _, b in spans)
