@@ -419,6 +419,11 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ``links=True`` adds ``n_links``, the number of other rows that the row links with, copies of its set included (0
     without words); the links between sets ``(a, b)`` stay in the shared folder as ``jaccard-links``.
     """
+    return _rooted(docs, doc_id, text, links).drop("root")
+
+
+def _rooted(docs: DataFrame, doc_id: str, text: str, links: bool = False) -> DataFrame:
+    """The rows of ``jaccard_classes`` with ``root``, a set that names the class (null without words)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -465,7 +470,7 @@ def _named(signs: DataFrame, classes: DataFrame, partners: DataFrame | None = No
     named = stored(named.select("doc_id", "n", "f", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root"), *extra), "jaccard-named")
     least_id = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least_id, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("f").alias("set_id"), *(["n_links"] if extra else []))
+    return out.select("root", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("f").alias("set_id"), *(["n_links"] if extra else []))
 
 
 def set_id(text: Column | str) -> Column:
@@ -479,16 +484,17 @@ def set_id(text: Column | str) -> Column:
 
 
 def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their class: of each group of linked documents, the one with the smallest id.
+    """One row of each group of linked documents: that with the smallest id, of several the one with the smallest set.
 
-    Rows that are alike in id and set stay once.  Rows without an id stay unless a row with an id is in their class.
+    A group without any id keeps one row too; rows that are alike in id and set stay once.  A text without words is a
+    group of its own, so of these only rows with the same id go.
     """
-    classes = stored(jaccard_classes(docs, doc_id=doc_id, text=text), "jaccard-classes")
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_k"), F.col("set_id").alias("_s"))
-    keep = stored(keep.agg(F.count("*").alias("_c")), "jaccard-keep")
+    classes = stored(_rooted(docs, doc_id, text).where("root IS NOT NULL").select("root", "doc_id", "set_id"), "jaccard-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")).alias("x")
+    groups = stored(classes.groupBy("root").agg(first, F.count("*").alias("c")), "jaccard-keep")
+    keep = groups.select(F.col("x.doc_id").alias("_k"), F.col("x.set_id").alias("_s"))
     # rows whose set is in a class of one need no join, and their texts no shuffle
-    several = classes.groupBy("component_id").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("component_id").alias("_m"))
-    several = classes.join(several, F.col("component_id").eqNullSafe(F.col("_m")), "left_semi").select(F.col("set_id").alias("f"))
+    several = classes.join(groups.where("c > 1").select("root"), "root", "left_semi").select(F.col("set_id").alias("f"))
     shared = docs.sparkSession.sparkContext.broadcast(_bit_set(several))
 
     def grouped(sets: pa.Array) -> pa.Array:
@@ -496,8 +502,7 @@ def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), set_id(F.col(text)).alias("set"))
     rows = rows.withColumn("grouped", F.arrow_udf(grouped, "boolean").asNondeterministic()("set"))
-    kept = rows.where("grouped").join(keep, F.col("id").eqNullSafe(F.col("_k")) & (F.col("set") == F.col("_s")), "left_semi")
-    if not keep.where("_c > 1 AND _k IS NOT NULL").isEmpty():
-        kept = kept.dropDuplicates(["id", "set"])
-    kept = kept.unionByName(rows.where("NOT grouped"))
+    named = rows.where("grouped AND set <> 0").join(keep, F.col("id").eqNullSafe(F.col("_k")) & (F.col("set") == F.col("_s")), "left_semi")
+    once = named.unionByName(rows.where("set = 0 AND id IS NOT NULL")).dropDuplicates(["id", "set"])
+    kept = once.unionByName(rows.where("set = 0 AND id IS NULL")).unionByName(rows.where("NOT grouped AND set <> 0"))
     return kept.select("row.*")

@@ -51,6 +51,19 @@ def test_links_equal_brute_force(make, monkeypatch):
     assert all(r["component_id"] == (want[r["doc_id"]][1] if r["n_shingles"] else r["doc_id"]) for r in got)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_groups_without_ids_keep_one_row(make, repeated):
+    """Copies without an id go as well, whether or not another row stands twice."""
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(words)), (None, " ".join(words)), (None, near), (None, ""), (None, None), (3, "a b c d e f"), (None, "a b c d e f"), (7, "alone in its class")]
+    rows += [(7, "alone in its class")] * repeated
+    got = jaccard.one_of_each_class(make([{"doc_id": d, "text": t} for d, t in rows])).collect()
+    kept = [(r["doc_id"], r["text"] or "") for r in got]
+    assert sorted(d for d, _ in kept if d is not None) == [3, 7]
+    assert sorted(len(t) > 0 for d, t in kept if d is None) == [False, False, True]
+
+
 def test_small_blocks_and_a_chain(make, monkeypatch):
     """Points that link only through others, and regions cut into blocks, give the same classes."""
     base = [f"w{k}" for k in range(100)]
