@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, ctw, fingerprints, jaccard, mixing, packing, pages, repeats, rules, secret_scan
+from . import addressable, alignment, classifier, collocations, ctw, fingerprints, jaccard, mixing, packing, pages, repeats, rules, secret_scan
 from .columns import learns
 
 
@@ -76,6 +76,25 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", f"{at}.size", f"{at}.source_size", f"{at}.target", f"{at}.taken")
 
 
+def op11_addressable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    images = addressable.write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return addressable.read_documents(images, docs.schema["doc_id"].dataType)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *files).drop("groups")
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -123,6 +142,31 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
 FROM x
 """
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, w
+  FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+        FROM documents)),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+      FROM p, range(1, 5) AS ks(k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.a AS l, y.a AS r, (c.a::HUGEINT * 2000000) // (x.a::HUGEINT + y.a::HUGEINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.cut], ' ')
+             JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+d AS (SELECT DISTINCT i.lang, i.phrase FROM (
+        SELECT lang, a, array_to_string(w[j : j + m - 1], ' ') AS phrase
+        FROM (SELECT lang, k, a, string_split(phrase, ' ') AS w FROM f WHERE k > 2), range(2, 4) AS ms(m),
+             LATERAL (SELECT unnest(range(1, k - m + 2)) AS j) WHERE m < k) i
+      JOIN b ON b.lang = i.lang AND b.phrase = i.phrase WHERE 100 * i.a >= 80 * b.a)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, t.n, b.score::BIGINT AS score
+FROM b JOIN t ON t.lang = b.lang ANTI JOIN d ON d.lang = b.lang AND d.phrase = b.phrase
+QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_fingerprints": op2_fingerprints,
@@ -134,9 +178,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
+    "op11_addressable": op11_addressable,
+    "op12_collocations": op12_collocations,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_fingerprints": OP2_SQL,
     "op9_mix": OP9_SQL,
+    "op12_collocations": OP12_SQL,
 }
