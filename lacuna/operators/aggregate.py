@@ -7,19 +7,22 @@ back only when a caller asks for members.
 
 * minA (certain): the blocks are the complete patterns themselves - a single
   partial aggregate, no join.
-* maxA (possible): a left fold of ``refine`` over the attributes, with
-  content dedupe after every step and the lineage cut by a written table.
+* maxA (possible): cheap patterns expanded to their value tuples, costly
+  ones folded (``blocks``), over packed keys (``codes``); or a left fold of
+  ``refine`` over the attributes, with content dedupe after every step and
+  the lineage cut by a written table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.codec import parse_attribute_list
 from lacuna.functions.missing import MISSING, is_complete
 from lacuna.functions.setstats import STATS, fingerprint, merge_stats, object_stats
+from lacuna.operators.blocks import EXPAND_FACTOR, EXPAND_MIN, EXPAND_PER_PATTERN, Blocks, Cost, by_content, find_blocks, fold, guard, measure
+from lacuna.operators.codes import Coding, dictionary
 from lacuna.operators.sets import distinct_family, refine
 from lacuna.plans.tuning import BROADCAST_ROWS, cut_lineage, split_hot_join
 
@@ -34,6 +37,13 @@ def patterns(pdf: DataFrame, attrs: list[str]) -> DataFrame:
     return pdf.groupBy(*attrs).agg(*object_stats("obj")).withColumn("pid", F.struct(*attrs))
 
 
+def coded_patterns(pdf: DataFrame, attrs: list[str]) -> tuple[DataFrame, Coding]:
+    """``patterns`` written once with their packed key ``pid``, and the dictionary behind it."""
+    plain = cut_lineage(pdf.groupBy(*attrs).agg(*object_stats("obj")), tag="pats")
+    coding = dictionary(plain, attrs)
+    return cut_lineage(coding.encode(plain).withColumnRenamed("u", "pid"), tag="coded"), coding
+
+
 def pattern_units(pdf: DataFrame, attrs: list[str]) -> DataFrame:
     """``(u, obj)``: the pattern key of every object (no shuffle)."""
     return pdf.select(F.struct(*attrs).alias("u"), "obj")
@@ -45,20 +55,15 @@ def domain_sizes(pats: DataFrame, attrs: list[str]) -> dict[str, int]:
     return {a: int(row[a]) for a in attrs}
 
 
-def value_map(pats: DataFrame, attr: str, with_code: bool = False) -> DataFrame:
+def value_map(pats: DataFrame, attr: str) -> DataFrame:
     """``(key, value)``: the possible classes a cell with ``key`` joins.
 
     A regular value v joins only P(v); ``'*'`` joins every P(v) of the
     attribute and the missing block (value ``'*'``).  At most 2·|dom| rows.
-    ``with_code`` adds ``code``, the dense rank of ``value`` in the domain
-    (the domain is measured first and bounded by ``BROADCAST_ROWS``).
     """
     values = pats.select(F.col(attr).alias("value")).distinct()
-    if with_code:
-        values = values.withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("long"))
-    rest = ["code"] if with_code else []
-    return values.where(F.col("value") != F.lit(MISSING)).select(F.col("value").alias("key"), "value", *rest) \
-        .unionByName(values.select(F.lit(MISSING).alias("key"), "value", *rest))
+    return values.where(F.col("value") != F.lit(MISSING)).select(F.col("value").alias("key"), "value") \
+        .unionByName(values.select(F.lit(MISSING).alias("key"), "value"))
 
 
 def join_value_map(rows: DataFrame, col: str, vmap: DataFrame, dom_size: int | None, out: str,
@@ -102,19 +107,8 @@ def aggregate_certain(pats: DataFrame, attrs: list[str]) -> DataFrame:
 STATUS_EMPTY = "not_exist"
 STATUS_OK = "ok"
 
-# Key expanded blocks by packed dense value codes (one BIGINT) when they fit.
-PACK_KEYS = True
 # Fold steps between two lineage cuts.
 CUT_EVERY = 3
-# The expansion is used while its rows stay under
-# EXPAND_FACTOR * patterns + EXPAND_MIN; above, the fold (dedupe per step).
-EXPAND_FACTOR = 16
-EXPAND_MIN = 1_000_000
-# ... and while no single pattern expands to more rows than this (they would
-# all be produced by the one task holding that pattern).
-EXPAND_PER_PATTERN = 5_000_000
-
-
 def expansion_estimate(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dict[str, int]]:
     """(rows of the one-pass expansion, number of patterns, domain sizes).
 
@@ -162,73 +156,84 @@ def expansion_profile(pats: DataFrame, attrs: list[str]) -> tuple[int, int, dict
 
 def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str, int] | None = None,
                               distinct: bool = True) -> DataFrame:
-    """maxA in one pass: each pattern is expanded to every value tuple whose
-    possible block holds it (equi-joins with the per-attribute value maps),
-    tuples are grouped once, and equal blocks are merged by fingerprint.
+    """maxA in one pass where keys do not fit one number: each pattern is
+    expanded to every value tuple whose possible block holds it (equi-joins
+    with the per-attribute value maps), tuples are grouped once, and equal
+    blocks are merged by fingerprint.
 
     ``distinct=False`` skips the merge and keys blocks by their value tuple:
     two tuples may then hold the same set, which callers that only need
     distinct sets at set level remove with a cheap aggregate on the stats
     (``sets.distinct_sets``) instead of a join over all memberships."""
     dom = dom or {}
-    bits = [max(1, (dom[a] - 1).bit_length()) if dom.get(a) else None for a in attrs]
-    packed = PACK_KEYS and all(b is not None for b in bits) and sum(bits) <= 62 and all(
-        2 * dom[a] <= BROADCAST_ROWS for a in attrs)
     rows = pats.select("pid", *attrs, *STATS)
     for a in attrs:  # joins on the attribute column itself: broadcast, no shuffle
-        vm = value_map(pats, a, with_code=packed)
-        if packed:
-            vm = vm.select("key", F.col("code").alias("value"))
-        rows = join_value_map(rows, a, vm, dom.get(a), f"_t_{a}", salt="pid")
-    if packed:
-        # exact compact key: dense value codes packed into one BIGINT
-        key, shift = F.lit(0).cast("long"), 0
-        for a, b in zip(attrs, bits):
-            key = key + F.shiftleft(F.col(f"_t_{a}"), shift)
-            shift += b
-        tup = key.alias("tup")
-    else:
-        tup = F.struct(*[F.col(f"_t_{a}") for a in attrs]).alias("tup")
+        rows = join_value_map(rows, a, value_map(pats, a), dom.get(a), f"_t_{a}", salt="pid")
+    tup = F.struct(*[F.col(f"_t_{a}") for a in attrs]).alias("cid")
     rows = rows.select(tup, F.col("pid").alias("u"), *STATS)
-    if not distinct:
-        return rows.select(F.col("tup").alias("cid"), "u", *STATS)
-    # written first, so that the join back may split a hot tuple (see sets.distinct_family)
-    fp = cut_lineage(rows.groupBy("tup").agg(*merge_stats()).select(F.col("tup").alias("t"), fingerprint().alias("cid")), tag="stats")
-    return rows.join(fp, rows["tup"] == fp["t"]).select("cid", "u", *STATS).distinct()
+    return rows if not distinct else by_content(rows)
+
+
+def coded_blocks(pats: DataFrame, coding: Coding, attrs: list[str], method: str = "auto", max_rows: int | None = None) -> Blocks | None:
+    """The blocks of coded patterns ``(u, stats)``; None where the heavy masks are too many to look up."""
+    cost = measure(pats, coding, attrs)
+    guard(cost, max_rows)
+    if method == "expand":
+        cost.light = None
+    return find_blocks(pats, coding, attrs, cost)
 
 
 def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
                        method: str = "auto", broadcast_domains: bool = True,
-                       distinct: bool = True) -> DataFrame:
+                       distinct: bool = True, coding: Coding | None = None, max_rows: int | None = None) -> DataFrame:
     """maxA: distinct non-empty intersections of one possible class per attribute.
 
-    Left fold of ``refine`` with dedupe per step.  The possible classes of a
-    single attribute are already distinct (each P(v) holds its own C(v)).
-    ``pats`` should be materialised (it is read once per attribute).  Every
-    ``CUT_EVERY`` steps the family is written to the checkpoint folder, so
-    a long fold neither grows its plan nor recomputes from the start.
-
-    ``distinct=False`` allows a class to repeat another's set (see
-    ``aggregate_possible_expand``); the fold always returns distinct sets.
-
-    ``method='auto'`` first estimates the one-pass expansion
-    (``expansion_estimate``) and uses it when bounded, else folds.
-
-    The value maps joined per attribute hold at most ``2 * |dom|`` rows; the
-    domains are measured in one job and a map is broadcast only below
-    ``BROADCAST_ROWS``.  Otherwise (or with ``broadcast_domains=False``) the
-    strategy is AQE's: it broadcasts after measuring the map at runtime, or
-    keeps the shuffle join and splits the hot ``'*'`` key.
+    ``method='auto'`` measures the cost of every pattern's mask of missing
+    cells, expands the cheap ones in one pass and folds the others (see
+    ``blocks``); ``'expand'`` expands all.  ``'fold'`` is the left fold of
+    ``refine`` over the attributes with dedupe per step; the possible classes of
+    a single attribute are already distinct (each P(v) holds its own C(v)).
+    The fold also serves keys of more than ``codes.KEY_BITS`` bits whose
+    expansion is not bounded.  Every ``CUT_EVERY`` steps its family is written
+    to the checkpoint folder, so a long fold neither grows its plan nor
+    recomputes from the start.
+
+    ``pats`` should be materialised.  ``coding``: the dictionary of its
+    attributes where the caller has it (``pid`` is then the packed key).
+    ``distinct=False`` allows a class to repeat another's set; the fold always
+    returns distinct sets.  ``max_rows``: see ``blocks.guard``.
+
+    The value maps that the fold joins per attribute hold at most
+    ``2 * |dom|`` rows; the domains are measured in one job and a map is
+    broadcast only below ``BROADCAST_ROWS``.  Otherwise (or with
+    ``broadcast_domains=False``) the strategy is AQE's: it broadcasts after
+    measuring the map at runtime, or keeps the shuffle join and splits the hot
+    ``'*'`` key.
     """
     if not attrs:
         raise ValueError("need at least one attribute")
     if method not in ("auto", "fold", "expand"):
         raise ValueError(f"method must be auto, fold or expand, got {method!r}")
+    if method != "fold" and broadcast_domains:
+        rows = pats.withColumn("u", F.col("pid"))
+        if coding is None:
+            coding = dictionary(pats, attrs)
+            if coding.fits:
+                rows = coding.encode(pats)
+                rows = cut_lineage(rows, tag="coded") if cut else rows
+        if coding.fits:
+            found = coded_blocks(rows.select("u", *STATS), coding, attrs, method, max_rows)
+            if found is None:
+                fam = fold(rows.select("u", *STATS), coding, attrs)[0].drop(*STATS)
+                return fam.join(rows.select("u", "pid", *STATS), "u").select("cid", F.col("pid").alias("u"), *STATS)
+            fam = found.memberships(rows.select("u", "pid", *STATS)).select("cid", F.col("pid").alias("u"), *STATS)
+            return by_content(fam) if distinct else fam
     dom = {a: None for a in attrs}
-    if len(attrs) > 1 and method in ("auto", "expand"):
+    if (len(attrs) > 1 and method in ("auto", "expand")) or max_rows is not None:
         est, n_pats, dom, peak = expansion_profile(pats, attrs)
+        guard(Cost(est, n_pats, peak, None, dom), max_rows)
         bounded = est <= EXPAND_FACTOR * n_pats + EXPAND_MIN and peak <= EXPAND_PER_PATTERN
-        if method == "expand" or bounded:
+        if method == "expand" or (method == "auto" and bounded):
             return aggregate_possible_expand(pats, attrs, dom if broadcast_domains else None, distinct=distinct)
     elif broadcast_domains:
         dom = domain_sizes(pats, attrs)
@@ -245,11 +250,11 @@ def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
 
 
 def aggregate(pats: DataFrame, attrs: list[str], kind: str, cut: bool = True, distinct: bool = True,
-              method: str = "auto") -> DataFrame:
+              method: str = "auto", coding: Coding | None = None, max_rows: int | None = None) -> DataFrame:
     if kind == "certain":
         return aggregate_certain(pats, attrs)
     if kind == "possible":
-        return aggregate_possible(pats, attrs, cut=cut, distinct=distinct, method=method)
+        return aggregate_possible(pats, attrs, cut=cut, distinct=distinct, method=method, coding=coding, max_rows=max_rows)
     raise ValueError(f"kind must be 'certain' or 'possible', got {kind!r}")
 
 

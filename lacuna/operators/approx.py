@@ -27,14 +27,17 @@ Every kind is returned per target ``d`` as distinct sets with their stats.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.missing import is_complete
+from lacuna.functions.missing import MISSING
 from lacuna.functions.setstats import FINGERPRINT, STATS, fingerprint, merge_stats, object_stats
-from lacuna.operators.aggregate import aggregate_possible, pattern_units
+from lacuna.operators.aggregate import aggregate_possible, coded_blocks, coded_patterns, pattern_units
+from lacuna.operators.blocks import Blocks, fold
+from lacuna.operators.codes import Coding, dictionary
 from lacuna.operators.sets import as_family, containment_join, family_stats
 from lacuna.plans.tuning import cut_lineage, split_hot_join
 
@@ -44,60 +47,91 @@ KINDS = ("CL", "CU", "PL", "PU", "PUr")
 
 
 @dataclass
-class FastParts:
-    pats: DataFrame     # u(pattern), attrs, stats
+class TableParts:
+    """Target-independent frames: computed once per (table, attributes)."""
+    pats: DataFrame     # u, stats
     comp: DataFrame     # complete patterns: u, stats
-    xo: DataFrame       # target memberships with their pattern: d, u, obj
-    xp: DataFrame       # per (d, pattern) stats of the pattern's objects in X_d
-    fam: DataFrame      # maxA over pattern units: cid, u, stats
-    maxst: DataFrame    # cid, stats of each max block
-    mx: DataFrame       # cid, d, stats of max ∩ X_d (non-empty only)
-    inside: DataFrame   # d, u: complete patterns with C(t) ⊆ X_d
-    link: DataFrame     # u, cid: the max block of each complete pattern
-    units: DataFrame    # u, obj
+    blocks: Blocks | None  # maxA over coded patterns, where they are
+    fam: DataFrame | None  # maxA over pattern units: cid, u, stats
+    maxst: DataFrame | None  # cid, stats of each max block
+    link: DataFrame | None  # u, cid: the max block of each complete pattern
+    objects: Callable[[], DataFrame]  # u, obj; built where members are asked for
+
+    @property
+    def units(self) -> DataFrame:
+        return self.objects()
+
+    def memberships(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with ``u``) once for each max block their pattern lies in, with its ``cid``."""
+        if self.blocks is not None:
+            return self.blocks.memberships(rows)
+        return self.fam.select("cid", "u").join(rows, "u")
 
 
 @dataclass
-class TableParts:
-    """Target-independent frames: computed once per (table, attributes)."""
-    pats: DataFrame     # u, attrs, stats
-    comp: DataFrame     # complete patterns: u, stats
-    fam: DataFrame      # maxA over pattern units
-    maxst: DataFrame    # cid, stats
-    link: DataFrame     # u, cid for complete patterns
-    units: DataFrame    # u, obj
+class FastParts:
+    table: TableParts
+    objects: Callable[[], DataFrame]  # target memberships with their pattern: d, u, obj
+    xp: DataFrame       # per (d, pattern) stats of the pattern's objects in X_d
+    mx: DataFrame       # cid, d, stats of max ∩ X_d (non-empty only), with whole: w_* stats of max too
+    inside: DataFrame   # d, u, stats: complete patterns with C(t) ⊆ X_d
+    whole: bool = False
 
+    @property
+    def xo(self) -> DataFrame:
+        return self.objects()
 
-def table_parts(pats: DataFrame, attrs: list[str], units: DataFrame, cut: bool = True,
-                need_max: bool = True, method: str = "auto") -> TableParts:
-    comp = pats.where(is_complete(attrs)).select("u", *STATS)
+
+def table_parts(pats: DataFrame, attrs: list[str], units: Callable[[], DataFrame], coding: Coding | None = None, cut: bool = True,
+                need_max: bool = True, method: str = "auto", max_rows: int | None = None) -> TableParts:
+    """``pats``: (u, stats).  ``u`` is the packed key of ``coding``, or without one the struct of the values."""
+    comp = pats.where(coding.complete() if coding is not None else complete_key(attrs)).select("u", *STATS)
     if not need_max:  # only CU requested: maxA is not needed at all
-        return TableParts(pats, comp, None, None, None, units)
-    # blocks may repeat a set under another value tuple: kinds that report
-    # whole blocks (PU) dedupe by fingerprint, the others are distinct anyway
-    fam = aggregate_possible(pats.withColumnRenamed("u", "pid"), attrs, cut=cut, distinct=False, method=method)
+        return TableParts(pats, comp, None, None, None, None, units)
+    found = fam = None
+    if coding is not None:
+        found = coded_blocks(pats, coding, attrs, method, max_rows)
+        if found is None:
+            fam = fold(pats, coding, attrs)[0]
+    else:
+        fam = aggregate_possible(with_attrs(pats, attrs).withColumnRenamed("u", "pid"), attrs, cut=cut, distinct=False, method=method, max_rows=max_rows)
+    if found is not None:
+        # a complete pattern's codes are its value tuple, so it names its own block; blocks may repeat a set under another
+        # tuple: kinds that report whole blocks (PU) dedupe by fingerprint, the others are distinct anyway
+        fam = found.memberships(pats.select("u", *STATS))
+        return TableParts(pats, comp, found, fam, family_stats(fam), comp.select("u", F.col("u").alias("cid")), units)
     if cut:  # read by every kind: write it once (pattern-level)
         fam = cut_lineage(fam, tag="maxa")
-    maxst = family_stats(fam)
-    link = fam.select("cid", "u").join(comp.select("u"), "u")
-    return TableParts(pats, comp, fam, maxst, link, units)
+    return TableParts(pats, comp, None, fam, family_stats(fam), fam.select("cid", "u").join(comp.select("u"), "u"), units)
 
 
-def target_parts(tp: TableParts, xo: DataFrame, xp: DataFrame, cut: bool = True,
-                 need_mx: bool = True, mx_readers: int = 3) -> FastParts:
+def target_parts(tp: TableParts, xo: Callable[[], DataFrame], xp: DataFrame, cut: bool = True,
+                 need_mx: bool = True, mx_readers: int = 3, by: DataFrame | None = None) -> FastParts:
     """Frames that depend on the targets (``xo``: d, u, obj; ``xp``: per (d, u) stats).
 
     ``max ∩ X`` is written once when several kinds read it; a single reader
-    uses it in place.
+    uses it in place.  ``by`` (d, u, stats of all objects, ``d`` null for those
+    in no target; targets part the objects) also gives the stats of the whole
+    blocks, merged over their few targets, so no kind joins them again.
     """
-    mx = None
+    mx, whole = None, by is not None and need_mx
     if need_mx and tp.fam is not None:
-        mx = tp.fam.select("cid", "u").join(xp, "u").groupBy("cid", "d").agg(*merge_stats())
+        mx = tp.memberships(by if whole else xp).groupBy("cid", "d").agg(*merge_stats())
+        if whole:
+            w = Window.partitionBy("cid")
+            mx = mx.select("*", *[c.over(w).alias(f"w_{k}") for k, c in zip(STATS, plain_merge())])
         if cut and mx_readers > 1:
             mx = cut_lineage(mx, tag="mx")
+        mx = mx.where(F.col("d").isNotNull())
     xpc = xp.join(tp.comp.select("u", F.col("n").alias("cn")), "u")
-    inside = xpc.where(F.col("n") == F.col("cn")).select("d", "u")
-    return FastParts(tp.pats, tp.comp, xo, xp, tp.fam, tp.maxst, mx, inside, tp.link, tp.units)
+    inside = xpc.where(F.col("n") == F.col("cn")).select("d", "u", *STATS)
+    return FastParts(tp, xo, xp, mx, inside, whole)
+
+
+def plain_merge() -> list:
+    """``merge_stats`` without names, for windows."""
+    how = {"n": F.sum, "lo": F.min, "hi": F.max, "x1": F.bit_xor, "x2": F.bit_xor, "s1": F.sum, "s2": F.sum}
+    return [how[k](k) for k in STATS]
 
 
 def external_targets(units: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,8 +145,27 @@ def with_attrs(pstats: DataFrame, attrs: list[str]) -> DataFrame:
     return pstats.select("u", *[F.col("u")[a].alias(a) for a in attrs], *STATS)
 
 
+def complete_key(attrs: list[str]):
+    """True where the struct key ``u`` has no missing cell."""
+    cond = F.lit(True)
+    for a in attrs:
+        cond = cond & (F.col("u")[a] != F.lit(MISSING))
+    return cond
+
+
+def coded_table(pdf: DataFrame, attrs: list[str], method: str = "auto") -> tuple[DataFrame, DataFrame, Coding | None]:
+    """``(pats, units, coding)``: written pattern stats and the objects' keys; packed keys where they fit."""
+    if method != "fold":
+        pats, coding = coded_patterns(pdf, attrs)
+        if coding.fits:
+            return pats.select(F.col("pid").alias("u"), *STATS), coding.encode(pdf).select("u", "obj"), coding
+        return pats.select(F.col("pid").alias("u"), *STATS), pattern_units(pdf, attrs), None
+    units = pattern_units(pdf, attrs)
+    return cut_lineage(units.groupBy("u").agg(*object_stats("obj")), tag="pats"), units, None
+
+
 def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut: bool = True,
-               kinds: tuple[str, ...] = KINDS, method: str = "auto") -> FastParts:
+               kinds: tuple[str, ...] = KINDS, method: str = "auto", max_rows: int | None = None) -> FastParts:
     """Shared intermediate frames of the fast path.
 
     ``pdf`` is prepared (``obj`` + normalized attributes).  ``targets`` is
@@ -120,33 +173,42 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
     DataFrame of possibly overlapping targets.
 
     Object-level work is one aggregation: per (target, pattern) stats,
-    written once to the checkpoint folder.  With a decision column the
-    pattern stats are merged from it (the targets partition the objects), so
-    the table is scanned once; everything after runs on patterns.
+    written once to the checkpoint folder, keyed by packed codes (``codes``),
+    for which the attributes' distinct values are read first.  With a decision
+    column the pattern stats are merged from it (the targets partition the
+    objects); everything after runs on patterns.
     Only the parts the requested ``kinds`` need are built: CU needs no maxA,
     CL no max ∩ X.
     """
     bad = set(kinds) - set(KINDS)
     if bad:
         raise ValueError(f"unknown kinds {sorted(bad)}; use {KINDS}")
-    units = pattern_units(pdf, attrs)
-    if isinstance(targets, str):
-        xo = pdf.select(F.col(targets).cast("string").alias("d"), F.struct(*attrs).alias("u"), "obj")
-        by_dt = xo.groupBy("d", "u").agg(*object_stats("obj"))
-        by_dt = cut_lineage(by_dt, tag="xp") if cut else by_dt
-        xp = by_dt.where(F.col("d").isNotNull())
-        pstats = by_dt.groupBy("u").agg(*merge_stats())
-    else:
-        xo, xp = external_targets(units, targets)
-        pstats = units.groupBy("u").agg(*object_stats("obj"))
-        if cut:
-            xp = cut_lineage(xp, tag="xp")
-            pstats = cut_lineage(pstats, tag="pats")
     need_max = bool(set(kinds) - {"CU"})
     mx_readers = len(set(kinds) & {"PL", "PU", "PUr"})
-    need_mx = mx_readers > 0
-    tp = table_parts(with_attrs(pstats, attrs), attrs, units, cut=cut, need_max=need_max, method=method)
-    return target_parts(tp, xo, xp, cut=cut, need_mx=need_mx, mx_readers=mx_readers)
+    coding = by = None
+    if isinstance(targets, str):
+        named = pdf.select(F.col(targets).cast("string").alias("d"), *attrs, "obj")
+        coding = dictionary(pdf, attrs) if cut and need_max and method != "fold" else None
+        if coding is not None and not coding.fits:
+            coding = None
+        key = (lambda rows: coding.encode(rows)) if coding is not None else (lambda rows: rows.withColumn("u", F.struct(*attrs)))
+        by = key(named).groupBy("d", "u").agg(*object_stats("obj"))
+        by = cut_lineage(by, tag="xp") if cut else by
+        units, xo = lambda: key(pdf).select("u", "obj"), lambda: key(named).select("d", "u", "obj")
+        xp = by.where(F.col("d").isNotNull())
+        pstats = by.groupBy("u").agg(*merge_stats())
+    elif cut:
+        pstats, own, coding = coded_table(pdf, attrs, method if need_max else "fold")
+        of, xp = external_targets(own, targets)
+        xp = cut_lineage(xp, tag="xp")
+        units, xo = lambda: own, lambda: of
+    else:
+        own = pattern_units(pdf, attrs)
+        of, xp = external_targets(own, targets)
+        pstats = own.groupBy("u").agg(*object_stats("obj"))
+        units, xo = lambda: own, lambda: of
+    tp = table_parts(pstats, attrs, units, coding, cut=cut, need_max=need_max, method=method, max_rows=max_rows)
+    return target_parts(tp, xo, xp, cut=cut, need_mx=mx_readers > 0, mx_readers=mx_readers, by=by)
 
 
 def _dedupe(sets: DataFrame, keys: list[str], loc: str) -> DataFrame:
@@ -159,18 +221,21 @@ def _dedupe(sets: DataFrame, keys: list[str], loc: str) -> DataFrame:
 def fast_sets(p: FastParts, kinds: tuple[str, ...] = KINDS) -> dict[str, DataFrame]:
     """Per kind: ``(d, stats..., loc)`` with ``loc`` = pattern ``u`` or block ``cid``."""
     out: dict[str, DataFrame] = {}
+    own = None
+    if {"CL", "PL"} & set(kinds):  # the max block of each complete pattern inside its target
+        own = p.inside.withColumn("cid", F.col("u")) if p.table.blocks is not None else p.inside.join(p.table.link, "u")
     if "CL" in kinds:
-        out["CL"] = (p.inside.join(p.link, "u")
-                     .join(p.maxst.select("cid", F.col("n").alias("mn")), "cid")
-                     .join(p.comp, "u")
-                     .where(F.col("mn") == F.col("n"))
-                     .select("d", *STATS, "u"))
+        size = p.mx.select("cid", "d", F.col("w_n").alias("mn")) if p.whole else p.table.maxst.select("cid", F.col("n").alias("mn"))
+        out["CL"] = own.join(size, ["cid", "d"] if p.whole else ["cid"]).where(F.col("mn") == F.col("n")).select("d", *STATS, "u")
     if "CU" in kinds:
-        out["CU"] = p.xp.join(p.comp.select("u"), "u").select("d", *STATS, "u")
+        out["CU"] = p.xp.join(p.table.comp.select("u"), "u").select("d", *STATS, "u")
     if "PL" in kinds:
-        out["PL"] = p.inside.join(p.link, "u").select("d", "cid").join(p.mx, ["cid", "d"]).select("d", *STATS, "cid")
+        out["PL"] = own.select("d", "cid").join(p.mx, ["cid", "d"]).select("d", *STATS, "cid")
     if "PU" in kinds:
-        pu = p.mx.select("cid", "d").join(p.maxst, "cid").select("d", *STATS, "cid")
+        if p.whole:
+            pu = p.mx.select("d", *[F.col(f"w_{k}").alias(k) for k in STATS], "cid")
+        else:
+            pu = p.mx.select("cid", "d").join(p.table.maxst, "cid").select("d", *STATS, "cid")
         out["PU"] = _dedupe(pu, ["d"], "cid")
     if "PUr" in kinds:
         out["PUr"] = _dedupe(p.mx.select("d", *STATS, "cid"), ["d"], "cid")
@@ -181,18 +246,18 @@ def fast_members(p: FastParts, sets: dict[str, DataFrame]) -> DataFrame:
     """``(kind, d, class_id, obj)``; ``class_id`` is the result set's fingerprint."""
     out = []
     # one size total per side, shared by all kinds
-    t_units = p.pats.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
+    t_units = p.table.pats.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
     t_targets = p.xp.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
     for kind, s in sets.items():
         s = s.withColumn("class_id", fingerprint())
         if "u" in s.columns:
             locs = s.select("d", "class_id", "u")
         else:
-            locs = s.select("d", "class_id", "cid").join(p.fam.select("cid", "u"), "cid").select("d", "class_id", "u")
+            locs = s.select("d", "class_id", "cid").join(p.table.fam.select("cid", "u"), "cid").select("d", "class_id", "u")
         if kind in ("CU", "PL", "PUr"):
             m = split_hot_join(locs, p.xo, ["d", "u"], p.xp.select("d", "u", "n"), total=t_targets)
         else:
-            m = split_hot_join(locs, p.units, ["u"], p.pats.select("u", "n"), total=t_units)
+            m = split_hot_join(locs, p.table.units, ["u"], p.table.pats.select("u", "n"), total=t_units)
         m = m.select("d", "class_id", "obj")
         out.append(m.select(F.lit(kind).alias("kind"), "d", "class_id", "obj"))
     res = out[0]
@@ -211,16 +276,18 @@ def fast_coverage(p: FastParts, sets: dict[str, DataFrame]) -> dict[str, DataFra
         # every object lies in the block of its own pattern, so the union of
         # all max ∩ X_d is X_d itself - no join with the blocks is needed
         cov["PUr"] = p.xp.groupBy("d").agg(F.sum("n").alias("n_objects"))
-    whole = p.pats.select("u", "n")
-    for kind, restrict in (("PL", p.xp), ("PU", None)):
-        if kind not in sets:
-            continue
-        du = sets[kind].select("d", "cid").join(p.fam.select("cid", "u"), "cid").select("d", "u").distinct()
-        if restrict is None:
-            cnt = du.join(whole, "u")
-        else:
-            cnt = du.join(restrict.select("d", "u", "n"), ["d", "u"])
-        cov[kind] = cnt.groupBy("d").agg(F.sum("n").alias("n_objects"))
+    # patterns under the blocks of PL and PU, in one join: every block of PL meets its target, so it is one of PU's
+    marks = [sets[k].select("d", "cid", F.lit(k == "PL").alias("pl")) for k in ("PL", "PU") if k in sets]
+    if not marks:
+        return cov
+    if "PU" in sets:  # all blocks that meet X_d, the repeated sets too: what they cover is the same
+        marks[-1] = p.mx.select("d", "cid", F.lit(False).alias("pl"))
+    held = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1]).groupBy("d", "cid").agg(F.max("pl").alias("pl"))
+    du = held.join(p.table.fam.select("cid", "u"), "cid").groupBy("d", "u").agg(F.max("pl").alias("pl"))
+    if "PU" in sets:
+        cov["PU"] = du.join(p.table.pats.select("u", "n"), "u").groupBy("d").agg(F.sum("n").alias("n_objects"))
+    if "PL" in sets:
+        cov["PL"] = du.where("pl").join(p.xp.select("d", "u", "n"), ["d", "u"]).groupBy("d").agg(F.sum("n").alias("n_objects"))
     return cov
 
 

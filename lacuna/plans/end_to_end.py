@@ -16,7 +16,7 @@ from lacuna.functions.setstats import DIGEST, fingerprint
 from lacuna.operators import approx as _approx
 from lacuna.operators import classes as _classes
 from lacuna.operators.aggregate import aggregate as _aggregate
-from lacuna.operators.aggregate import aggregate_status, pattern_units, patterns
+from lacuna.operators.aggregate import aggregate_status, coded_patterns, pattern_units, patterns
 from lacuna.operators.sets import distinct_sets, family_members, family_stats
 from lacuna.plans.tuning import cut_lineage
 
@@ -30,23 +30,30 @@ def classes(df: DataFrame, obj: str, attrs: list[str], kind: str | None = None)
 
 
 def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
-              members: bool = True, method: str = "auto") -> DataFrame:
+              members: bool = True, method: str = "auto", max_rows: int | None = None) -> DataFrame:
     """minA (``kind='certain'``) or maxA (``'possible'``).
 
     ``members=True``: ``(class_id, obj)``; otherwise one row per class with
-    its size and digest.
+    its size and digest.  ``max_rows`` caps what maxA may cost: above it,
+    ``CostExceeded`` is raised with the estimate before any class is built.
     """
     pdf, attrs = _internal(df, obj, attrs)
-    pats = patterns(pdf, attrs)
-    if kind == "possible":
-        pats = cut_lineage(pats, tag="pats")  # read once per attribute by the fold
-    if members:
-        fam = _aggregate(pats, attrs, kind, method=method)
-        return family_members(fam, pattern_units(pdf, attrs)).withColumnRenamed("cid", "class_id")
-    if kind == "certain":  # complete patterns are distinct and disjoint blocks: one aggregate
+    if kind == "certain":
+        pats = patterns(pdf, attrs)
+        if members:
+            return family_members(_aggregate(pats, attrs, kind), pattern_units(pdf, attrs)).withColumnRenamed("cid", "class_id")
+        # complete patterns are distinct and disjoint blocks: one aggregate
         return _aggregate(pats, attrs, kind).select(F.col("cid").alias("class_id"), *DIGEST)
+    if method == "fold":
+        pats, coding = cut_lineage(patterns(pdf, attrs), tag="pats"), None  # read once per attribute
+    else:
+        pats, coding = coded_patterns(pdf, attrs)
+    fam = _aggregate(pats, attrs, kind, distinct=members, method=method, coding=coding, max_rows=max_rows)
+    if members:
+        units = coding.encode(pdf).select("u", "obj") if coding is not None else pattern_units(pdf, attrs)
+        return family_members(fam, units).withColumnRenamed("cid", "class_id")
     # set rows only: duplicates are removed on the stats, not on memberships
-    sets = distinct_sets(family_stats(_aggregate(pats, attrs, kind, distinct=False, method=method)), [])
+    sets = distinct_sets(family_stats(fam), [])
     return sets.select(fingerprint().alias("class_id"), *DIGEST)
 
 
@@ -78,16 +85,17 @@ def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") ->
     return aggregate_status(fam, label)
 
 
-def _parts(df, obj, attrs, targets, kinds=_approx.KINDS, method="auto"):
+def _parts(df, obj, attrs, targets, kinds=_approx.KINDS, method="auto", max_rows=None):
     if isinstance(targets, str):
         pdf, names = _internal(df, obj, attrs, targets)
-        return _approx.fast_parts(pdf, names, "_target", kinds=kinds, method=method)
+        return _approx.fast_parts(pdf, names, "_target", kinds=kinds, method=method, max_rows=max_rows)
     pdf, names = _internal(df, obj, attrs)
-    return _approx.fast_parts(pdf, names, targets, kinds=kinds, method=method)
+    return _approx.fast_parts(pdf, names, targets, kinds=kinds, method=method, max_rows=max_rows)
 
 
 def approximate(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame,
-                members: bool = False, pooled: bool = False, kinds=None, method: str = "auto") -> DataFrame:
+                members: bool = False, pooled: bool = False, kinds=None, method: str = "auto",
+                max_rows: int | None = None) -> DataFrame:
     """Approximations of each target over ``attrs``.
 
     ``targets``: a decision column name, or a ``(d, obj)`` DataFrame.
@@ -95,10 +103,11 @@ def approximate(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFr
     ``members=True`` the long form ``(kind, d, class_id, obj)``.
     ``pooled=True`` drops ``d`` and dedupes across targets.  ``kinds`` (a
     subset of CL, CU, PL, PU, PUr) builds only what those kinds need;
-    ``method`` picks the maxA method (``auto``, ``fold`` or ``expand``).
+    ``method`` picks the maxA method (``auto``, ``fold`` or ``expand``),
+    ``max_rows`` caps its estimated cost (``aggregate``; CU alone needs no maxA).
     """
     kinds = tuple(kinds) if kinds else _approx.KINDS
-    p = _parts(df, obj, attrs, targets, kinds, method)
+    p = _parts(df, obj, attrs, targets, kinds, method, max_rows)
     sets = _approx.fast_sets(p, kinds)
     if members:
         m = _approx.fast_members(p, sets)
@@ -122,10 +131,10 @@ def approximate_families(min_family: DataFrame, max_family: DataFrame, targets:
     return _approx.union_kinds(sets).select("kind", "d", *DIGEST)
 
 def summary(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame, kinds=None,
-            method: str = "auto") -> DataFrame:
+            method: str = "auto", max_rows: int | None = None) -> DataFrame:
     """``(d, kind, n_classes, n_objects)``; computed on pattern units."""
     kinds = tuple(kinds) if kinds else _approx.KINDS
-    p = _parts(df, obj, attrs, targets, kinds, method)
+    p = _parts(df, obj, attrs, targets, kinds, method, max_rows)
     sets = _approx.fast_sets(p, kinds)
     return _approx.summary_from(sets, _approx.fast_coverage(p, sets))
 

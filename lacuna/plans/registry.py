@@ -12,7 +12,7 @@ from lacuna.functions.codec import (EMPTY_FAMILY, FIELD_SEP, SET_SEP, decode_fam
                                     encode_sets, explode_family, explode_ids)
 from lacuna.functions.setstats import DIGEST, object_stats
 from lacuna.operators import classes as C
-from lacuna.operators.aggregate import aggregate_possible, merge_partials, patterns
+from lacuna.operators.aggregate import aggregate_possible, coded_patterns, merge_partials
 from lacuna.operators.sets import (as_family, containment_join, family_stats, intersect_sets, refine,
                                    set_membership, sized_sets, union_sets)
 from lacuna.plans import end_to_end as E
@@ -83,9 +83,9 @@ def q_aggregate_possible(spark, sf):
 
 def q_merge_partials(spark, sf):
     """fold({a1, a2}) merged with fold({a3}) over the same pattern units."""
-    pats = cut_lineage(patterns(C.prepare(fx.f2(spark, sf), "obj", A), A), tag="pats")
-    f12 = aggregate_possible(pats, ["a1", "a2"])
-    f3 = aggregate_possible(pats, ["a3"])
+    pats, coding = coded_patterns(C.prepare(fx.f2(spark, sf), "obj", A), A)
+    f12 = aggregate_possible(pats, ["a1", "a2"], coding=coding)
+    f3 = aggregate_possible(pats, ["a3"], coding=coding)
     merged, label = merge_partials(f12, f3, "1,2", "3")
     assert label == "1,2,3"
     return family_stats(merged).select(*DIGEST)

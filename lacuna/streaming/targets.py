@@ -16,14 +16,15 @@ last batch that touched it.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lacuna.functions.codec import FIELD_SEP, _regex, decode_ids, trimmed
-from lacuna.functions.setstats import DIGEST, object_stats
+from lacuna.functions.setstats import DIGEST
 from lacuna.operators import approx as A
-from lacuna.operators.aggregate import pattern_units
 from lacuna.operators.classes import prepare_private
 from lacuna.plans.tuning import cut_lineage
 
@@ -31,9 +32,10 @@ from lacuna.plans.tuning import cut_lineage
 def table_side(df: DataFrame, obj: str, attrs: list[str]) -> A.TableParts:
     """Target-independent part of the fast path, materialised once."""
     pdf, names = prepare_private(df, obj, attrs)  # private column names: no clash with stats columns
-    units = pattern_units(pdf, names)
-    pstats = cut_lineage(units.groupBy("u").agg(*object_stats("obj")), tag="pats")
-    return A.table_parts(A.with_attrs(pstats, names), names, units)
+    pats, units, coding = A.coded_table(pdf, names)
+    units = cut_lineage(units, tag="units")
+    tp = A.table_parts(pats, names, lambda: units, coding)
+    return replace(tp, maxst=cut_lineage(tp.maxst, tag="maxst"))
 
 
 def parse_target_lines(lines: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def parse_target_lines(lines: DataFrame) -> DataFrame:
 def approximate_targets(tp: A.TableParts, targets: DataFrame) -> DataFrame:
     """Set rows of all kinds for a batch of targets ``(d, obj)``."""
     xo, xp = A.external_targets(tp.units, targets)
-    parts = A.target_parts(tp, xo, xp, cut=False)
+    parts = A.target_parts(tp, lambda: xo, xp, cut=False)
     return A.union_kinds(A.fast_sets(parts)).select("kind", "d", *DIGEST)
 
 
