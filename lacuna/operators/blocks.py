@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.setstats import STATS, fingerprint, merge_stats
 from lacuna.operators.codes import Coding
+from lacuna.operators.sets import distinct_family
 from lacuna.plans.tuning import cut_lineage
 
 # Rows of the expansion: light patterns are taken while they stay under EXPAND_FACTOR * patterns + EXPAND_MIN ...
@@ -167,8 +168,13 @@ def fold(pats: DataFrame, coding: Coding, attrs: list[str]) -> tuple[DataFrame,
     return fam.drop("tuples"), sets.select(F.col("fp").alias("cid"), "tuples")
 
 
-def by_content(fam: DataFrame) -> DataFrame:
-    """``fam`` ``(cid, u, stats)`` with one class for each distinct set, keyed by its fingerprint."""
+def by_content(fam: DataFrame, verify: bool = False) -> DataFrame:
+    """``fam`` ``(cid, u, stats)`` with one class for each distinct set, keyed by its fingerprint.
+
+    With ``verify`` equal fingerprints are held against the members (``sets.verified_classes``).
+    """
+    if verify:
+        return distinct_family(fam, verify=True)
     per = fam.groupBy("cid").agg(*merge_stats())
     one = cut_lineage(per.groupBy(fingerprint().alias("fp")).agg(F.min("cid").alias("one")), tag="distinct")
     return fam.join(one, F.col("cid") == F.col("one")).select(F.col("fp").alias("cid"), "u", *STATS)

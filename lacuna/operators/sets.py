@@ -30,21 +30,59 @@ def family_stats(fam: DataFrame) -> DataFrame:
     return fam.groupBy("cid").agg(*merge_stats())
 
 
-def distinct_family(fam: DataFrame) -> DataFrame:
+def distinct_family(fam: DataFrame, verify: bool = False) -> DataFrame:
     """Re-key each class by its content fingerprint and drop duplicate sets.
 
     The per-class stats are written first: read from a table, their side of
     the many-to-one join back is a shuffle of its own, so AQE may broadcast
     it or split the rows of a hot class.  (Directly on its aggregate, the
     join would share the aggregate's partitions, which AQE cannot split.)
+
+    ``verify=True`` holds equal fingerprints against the members (see
+    ``verified_classes``); ``cid`` then also has the field ``again``.
     """
     from lacuna.plans.tuning import cut_lineage
 
-    st = cut_lineage(family_stats(fam).select(F.col("cid").alias("old"), fingerprint().alias("cid")), tag="stats")
+    st = family_stats(fam).select(F.col("cid").alias("old"), fingerprint().alias("cid"))
+    if verify:
+        st = verified_classes(fam, st).select("old", F.struct("cid.*", "again").alias("cid"))
+    st = cut_lineage(st, tag="stats")
     j = fam.join(st, fam["cid"] == st["old"]).select(st["cid"], fam["u"], *[fam[k] for k in STATS])
     return j.distinct()
 
 
+def verified_classes(fam: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``(old, cid, again)``: which classes of ``fam`` are one set, decided by their units instead of a fingerprint alone.
+
+    ``keyed`` is ``(old, cid)``, each class with its fingerprint.  A class is held against the representative (smallest
+    ``old``) of its fingerprint: they are one set if ``|A and B| = |A| = |B|``, which a join of their units counts, so a
+    round reads every membership once.  Classes that share a fingerprint but not the set go to another round among
+    themselves, numbered by ``again``: 0 for the first set of a fingerprint, so without collisions one round decides all.
+    """
+    from lacuna.plans.tuning import cut_lineage
+
+    units = cut_lineage(fam.select(F.col("cid").alias("old"), "u").distinct(), tag="units")
+    sizes = cut_lineage(units.groupBy("old").agg(F.count(F.lit(1)).alias("k")), tag="sizes")
+    left, again, found = cut_lineage(keyed, tag="keyed"), 0, []
+    while True:
+        first = left.groupBy("cid").agg(F.min("old").alias("rep"))
+        pairs = left.join(first, "cid").join(sizes, "old").join(sizes.select(F.col("old").alias("rep"), F.col("k").alias("rk")), "rep")
+        mine = pairs.where((F.col("old") != F.col("rep")) & (F.col("k") == F.col("rk"))).select("old", "rep")
+        shared = mine.join(units, "old").join(units.select(F.col("old").alias("rep"), "u"), ["rep", "u"], "left_semi")
+        shared = shared.groupBy("old").agg(F.count(F.lit(1)).alias("both"))
+        held = pairs.join(shared, "old", "left")
+        same = (F.col("old") == F.col("rep")) | (F.coalesce(F.col("both"), F.lit(-1)) == F.col("k"))
+        held = cut_lineage(held.select("old", "cid", same.alias("same")), tag="verified")
+        found.append(held.where("same").select("old", "cid", F.lit(again).alias("again")))
+        left, again = held.where(~F.col("same")).select("old", "cid"), again + 1
+        if left.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def refine(f: DataFrame, g: DataFrame) -> DataFrame:
     """All distinct non-empty intersections ``f ∩ g`` of two families.
 
@@ -58,22 +96,57 @@ def refine(f: DataFrame, g: DataFrame) -> DataFrame:
     return distinct_family(j.select(F.struct("f", "g").alias("cid"), "u", *STATS))
 
 
+# 64-bit words of a class's signature.
+SIGNATURE_WORDS = 4
+
+
+def signatures(fam: DataFrame) -> DataFrame:
+    """``(cid, k, b0, b1, ...)``: number of units and a bit mask of their hashes, by partial aggregates.
+
+    A superset has every bit of its subset, so ``sub & ~super = 0`` word by word is necessary for containment.
+    """
+    h = F.xxhash64("u")
+    bit = F.expr("shiftleft(1L, CAST(pmod(shiftright(xxhash64(u), 8), 64) AS INT))")
+    words = [F.bit_or(F.when(F.pmod(h, F.lit(SIGNATURE_WORDS)) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(SIGNATURE_WORDS)]
+    return fam.groupBy("cid").agg(F.count("u").alias("k"), *words)
+
+
+def containment_candidates(f: DataFrame, g: DataFrame) -> DataFrame:
+    """``(f, g, k)``: pairs that may be ``set(f) ⊇ set(g)``, ``k`` = units of g.
+
+    Three necessary conditions, each met before any unit is counted: f holds the unit of g that the fewest classes of f
+    hold (the anchor, an equi-join), has as many units and all signature bits of g (a condition of that join), and holds
+    g's second rarest unit (a semi-join).  Where every unit lies in many classes the anchor alone would pair each g with
+    all of them; the signature leaves few, and the second anchor acts where large sets have filled their signature.
+    """
+    from lacuna.plans.tuning import cut_lineage
+
+    held = f.groupBy("u").agg(F.count(F.lit(1)).alias("_held"))
+    rated = g.select("cid", "u").join(held, "u", "left").select("cid", "u", F.struct(F.coalesce("_held", F.lit(0)).alias("h"), "u").alias("r"))
+    first = cut_lineage(rated.groupBy("cid").agg(F.min("r").alias("r1")), tag="anchor")
+    second = rated.join(first, "cid").where(F.col("r") > F.col("r1")).groupBy("cid").agg(F.min("r").alias("r2"))
+    anchors = first.join(second, "cid", "left").join(signatures(g), "cid")
+    fs = signatures(f)
+    sub = anchors.select(F.col("cid").alias("g"), F.col("r1.u").alias("anchor"), F.col("r2.u").alias("next"), "k",
+                         *[F.col(f"b{i}").alias(f"g{i}") for i in range(SIGNATURE_WORDS)])
+    sup = f.select("cid", F.col("u").alias("anchor")).join(fs, "cid").select(
+        F.col("cid").alias("f"), F.col("anchor").alias("held"), F.col("k").alias("kf"), *[F.col(f"b{i}").alias(f"f{i}") for i in range(SIGNATURE_WORDS)])
+    fits = (F.col("anchor") == F.col("held")) & (F.col("kf") >= F.col("k"))
+    for i in range(SIGNATURE_WORDS):
+        fits = fits & (F.col(f"g{i}").bitwiseAND(F.bitwise_not(f"f{i}")) == 0)
+    cand = sub.join(sup, fits).select("f", "g", "k", F.coalesce("next", "anchor").alias("next"))
+    members = f.select(F.col("cid").alias("f"), F.col("u").alias("next"))
+    return cand.join(members, ["f", "next"], "left_semi").select("f", "g", "k")
+
+
 def containment_join(f: DataFrame, g: DataFrame) -> DataFrame:
     """Pairs ``(f, g)`` of class ids with ``set(f) ⊇ set(g)``.
 
-    Both families use the same units.  Candidates are anchored on the unit
-    of each g that the fewest classes of f hold (a superset must contain
-    it), and a class of f with fewer units than g is no candidate.  Each
-    candidate is then verified by counting the units of g found in f.  A
-    unit shared by every class thus makes no pair of its own.
+    Both families use the same units.  Candidates (``containment_candidates``)
+    are verified by counting the units of g found in f.  A unit shared by
+    every class makes no pair of its own.
     """
-    held = f.groupBy("u").agg(F.count(F.lit(1)).alias("_held"))
-    rare = g.select("cid", "u").join(held, "u", "left").groupBy("cid").agg(
-        F.min_by("u", F.struct(F.coalesce("_held", F.lit(0)), "u")).alias("anchor"), F.count("u").alias("k"))
-    size = f.groupBy("cid").agg(F.count("u").alias("kf"))
-    fu = f.select(F.col("cid").alias("f"), F.col("u").alias("anchor"))
-    cand = rare.join(fu, "anchor").join(size.select(F.col("cid").alias("f"), "kf"), "f")
-    cand = cand.where("kf >= k").select(F.col("cid").alias("g"), "f", "k")
+    cand = containment_candidates(f, g)
     gu = g.select(F.col("cid").alias("g"), "u")
     hits = gu.join(cand, "g").join(f.select(F.col("cid").alias("f"), "u"), ["f", "u"], "left_semi")
     counted = hits.groupBy("g", "f", "k").agg(F.count("u").alias("m"))

@@ -17,6 +17,7 @@ from lacuna.operators import approx as _approx
 from lacuna.operators import classes as _classes
 from lacuna.operators.aggregate import aggregate as _aggregate
 from lacuna.operators.aggregate import aggregate_status, coded_patterns, pattern_units, patterns
+from lacuna.operators.blocks import by_content
 from lacuna.operators.sets import distinct_sets, family_members, family_stats
 from lacuna.plans.tuning import cut_lineage
 
@@ -30,12 +31,15 @@ def classes(df: DataFrame, obj: str, attrs: list[str], kind: str | None = None)
 
 
 def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
-              members: bool = True, method: str = "auto", max_rows: int | None = None) -> DataFrame:
+              members: bool = True, method: str = "auto", max_rows: int | None = None, verify: bool = False) -> DataFrame:
     """minA (``kind='certain'``) or maxA (``'possible'``).
 
     ``members=True``: ``(class_id, obj)``; otherwise one row per class with
     its size and digest.  ``max_rows`` caps what maxA may cost: above it,
     ``CostExceeded`` is raised with the estimate before any class is built.
+    ``verify`` (members of maxA): classes are merged where their members are
+    equal, not on equal fingerprints alone; ``class_id`` then also tells sets
+    of one fingerprint apart.
     """
     pdf, attrs = _internal(df, obj, attrs)
     if kind == "certain":
@@ -48,8 +52,9 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
         pats, coding = cut_lineage(patterns(pdf, attrs), tag="pats"), None  # read once per attribute
     else:
         pats, coding = coded_patterns(pdf, attrs)
-    fam = _aggregate(pats, attrs, kind, distinct=members, method=method, coding=coding, max_rows=max_rows)
+    fam = _aggregate(pats, attrs, kind, distinct=members and not verify, method=method, coding=coding, max_rows=max_rows)
     if members:
+        fam = by_content(fam, verify=True) if verify else fam
         units = coding.encode(pdf).select("u", "obj") if coding is not None else pattern_units(pdf, attrs)
         return family_members(fam, units).withColumnRenamed("cid", "class_id")
     # set rows only: duplicates are removed on the stats, not on memberships

@@ -13,6 +13,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.codec import _regex, split_cells, trimmed
+from lacuna.plans import tuning
+from lacuna.plans.tuning import cut_lineage
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -21,10 +23,12 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     JVM-side and distributed.  Every line gets its split (file path, block
     start) from the text source's ``_metadata`` and an id that grows within
     its task (``monotonically_increasing_id``; a split's lines are contiguous
-    within one task).  One aggregate counts the lines of each split; the
-    running offset of each split in (path, block start) order is taken over
-    that small table (one row per split) and added back.  Ids
-    are deterministic, so a recomputed task yields the same numbers.
+    within one task).  A first pass counts the lines of each split; the
+    running offset of each split in (path, block start) order is written as a
+    small table (one row per split) and added back.  It is sent to all tasks
+    where its measured size allows (``BROADCAST_ROWS``), so no line is
+    shuffled; beyond that it is joined by shuffle.  Ids are deterministic, so
+    a recomputed task yields the same numbers.
     Tables with a natural key should skip this and use the key.
     """
     lines = (spark.read.text(path)
@@ -35,6 +39,9 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    offsets = cut_lineage(offsets, tag="splits")
+    if offsets.count() <= tuning.BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     numbered = lines.join(offsets, ["_f", "_b"])
     return numbered.select((F.col("_off") + F.col("_m") - F.col("_m0") + 1).cast("bigint").alias("obj"), "line")
 
