@@ -224,6 +224,8 @@ FROM cells GROUP BY attr, value"""
               + F2[len("t AS ("):-1] + ")) WHERE a3 <> '*')")
     q["ragged_aggregate_possible"] = with_(ragged, MAXA) + digest("maxa", [])
     q["sequencefile_roundtrip"] = q["equivalence_classes"]
+    q["long_pairs_roundtrip"] = with_(F2) + """SELECT obj + CASE WHEN obj % 2 = 0 THEN 0 ELSE 5000000000 END AS obj,
+  a1 || ',' || a2 || ',' || a3 AS line FROM t"""
     q["write_sets_text"] = q["approximate_families"]
     q["sets_text_roundtrip"] = with_(F2, CELLS) + group_digest(
         "(SELECT 'a' || attr AS kind, value, obj FROM cells)", ["kind", "value"])

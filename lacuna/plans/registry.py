@@ -250,6 +250,16 @@ def q_sequencefile_roundtrip(spark, sf):
     return _class_digest(dec, ["attr", "value"])
 
 
+def q_long_pairs_roundtrip(spark, sf):
+    """Rows of ``part`` as (Long id, Text cells) SequenceFiles, ids on both sides of 2^31, compacted and read back."""
+    src, dst = scratch_path(spark, "longseq"), scratch_path(spark, "longone")
+    obj = F.col("obj") + F.when(F.col("obj") % 2 == 0, F.lit(0)).otherwise(F.lit(5_000_000_000))
+    rows = fx.f2(spark, sf).select(obj.alias("k"), F.concat_ws(",", *A).alias("line"))
+    S.write_sequencefile(rows.repartition(16), src, "k", "line", key_type="long")
+    S.compact(spark, src, dst, target_bytes=1 << 20, fmt="sequencefile")
+    return P.read_pairs(spark, dst, "sequencefile", "bigint").select(F.col("key").alias("obj"), F.col("value").alias("line"))
+
+
 def q_stream_targets(spark, sf):
     """Target files (F2b, bounded lines) streamed through foreachBatch against
     families precomputed from ``part``; the parquet sink read back."""
@@ -394,6 +404,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ragged_aggregate_possible": q_ragged_aggregate_possible,
     "compact": q_compact,
     "sequencefile_roundtrip": q_sequencefile_roundtrip,
+    "long_pairs_roundtrip": q_long_pairs_roundtrip,
     "write_sets_text": q_write_sets_text,
     "stream_targets": q_stream_targets,
     "sets_text_roundtrip": q_sets_text_roundtrip,

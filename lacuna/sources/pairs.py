@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 from lacuna.functions.codec import FIELD_SEP, _regex, decode_ids, explode_family, trimmed
 
 
-def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet", key_type: str = "string") -> DataFrame:
     """Every part file of a directory; files named ``_*`` / ``.*`` are skipped
     by the Hadoop input listing.  SequenceFiles come back as ``(key, value)``
-    strings (Text/Long writables converted by PySpark)."""
+    strings (Text/Long writables converted by PySpark), keys as ``key_type``
+    (``bigint`` for Long keys)."""
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "sequencefile":  # Spark reads this format by RDD only: rows pass through Python
-        pairs = spark.createDataFrame(spark.sparkContext.sequenceFile(path), ["key", "value"])
-        return pairs.select(F.col("key").cast("string"), F.col("value").cast("string"))
+        pairs = spark.sparkContext.sequenceFile(path).map(lambda kv: (str(kv[0]), str(kv[1])))
+        pairs = spark.createDataFrame(pairs, "key string, value string")  # a schema: nothing is read ahead, and no row is needed
+        return pairs.select(F.col("key").cast(key_type), "value")
     raise ValueError(f"unknown format {fmt!r}")
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.codec import FIELD_SEP, encode_sets
 
 SNAPPY = "org.apache.hadoop.io.compress.SnappyCodec"
+SEQUENCE_OUTPUT = "org.apache.hadoop.mapreduce.lib.output.SequenceFileOutputFormat"
+COMBINE_INPUT = "org.apache.hadoop.mapreduce.lib.input.CombineSequenceFileInputFormat"
+LONG_KEY = "org.apache.hadoop.io.LongWritable"
+TEXT = "org.apache.hadoop.io.Text"
 DEFAULT_CODEC = "org.apache.hadoop.io.compress.DefaultCodec"
 
 
@@ -18,13 +20,65 @@ def write_pairs(df: DataFrame, path: str, compression: str = "snappy", mode: str
     df.write.mode(mode).option("compression", compression).parquet(path)
 
 
-def write_sequencefile(df: DataFrame, path: str, key: str, value: str, codec: str = DEFAULT_CODEC) -> None:
-    """Text/Text SequenceFile for Hadoop interop (block compression by codec).
+def _long_batches():
+    """A serializer whose integers all arrive in the JVM as ``java.lang.Long``.
+
+    Python's pickle writes small integers in a form that the JVM reads as ``Integer``, and a file may not mix Int and
+    Long keys.  Made inside a function, so that workers get it by value.
+    """
+    import io
+    import pickle
+    from pickle import LONG1, encode_long
+
+    from pyspark.serializers import AutoBatchedSerializer, CPickleSerializer
+
+    class LongPickler(pickle._Pickler):
+        dispatch = dict(pickle._Pickler.dispatch)
+
+        def save_long(self, obj):
+            data = encode_long(obj)
+            self.write(LONG1 + bytes([len(data)]) + data)
+
+        dispatch[int] = save_long
 
-    Keys are written as Text: PySpark maps small Python ints to IntWritable,
-    and a file mixing Int and Long writables cannot be read back.
+    class LongSerializer(CPickleSerializer):
+        def dumps(self, obj):
+            out = io.BytesIO()
+            LongPickler(out, 3).dump(obj)
+            return out.getvalue()
+
+    return AutoBatchedSerializer(LongSerializer())
+
+
+def write_sequencefile(df: DataFrame, path: str, key: str, value: str, codec: str | None = DEFAULT_CODEC,
+                       key_type: str = "text") -> None:
+    """SequenceFile of (Text or Long key, Text value) for Hadoop interop (block compression by codec; None: plain).
+
+    ``key_type='long'`` writes LongWritable keys, whatever their size; null keys or values are an error.
     """
-    df.select(F.col(key).cast("string"), F.col(value).cast("string")).rdd.map(tuple).saveAsSequenceFile(path, compressionCodecClass=codec)
+    if key_type not in ("text", "long"):
+        raise ValueError(f"key_type must be 'text' or 'long', got {key_type!r}")
+    keys = F.col(key).cast("string" if key_type == "text" else "bigint")
+    text = F.col(value).cast("string")
+    whole = [F.when(c.isNull(), F.raise_error(F.lit(f"null {what} in a pair"))).otherwise(c).alias(what) for what, c in (("key", keys), ("value", text))]
+    rows = df.select(*whole).rdd.map(tuple)
+    if key_type == "text":
+        rows.saveAsSequenceFile(path, compressionCodecClass=codec)
+        return
+    sc = rows.ctx
+    packed = rows._reserialize(_long_batches())
+    conf = {"mapreduce.output.fileoutputformat.outputdir": path}
+    if codec:
+        conf |= {"mapreduce.output.fileoutputformat.compress": "true", "mapreduce.output.fileoutputformat.compress.type": "BLOCK",
+                 "mapreduce.output.fileoutputformat.compress.codec": codec}
+    sc._jvm.PythonRDD.saveAsNewAPIHadoopFile(packed._jrdd, True, path, SEQUENCE_OUTPUT, LONG_KEY, TEXT, None, None, _java_map(sc, conf))
+
+
+def _java_map(sc, entries: dict[str, str]):
+    out = sc._jvm.java.util.HashMap()
+    for k, v in entries.items():
+        out.put(k, v)
+    return out
 
 
 def write_sets_text(members: DataFrame, path: str, keys: list[str], set_key: str,
@@ -63,15 +117,69 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(hpath).getLength())
 
 
+def _sequence_classes(spark: SparkSession, src: str) -> tuple[str, str]:
+    """Key and value class of the SequenceFiles under ``src``, from the header of the first that is not empty."""
+    sc = spark.sparkContext
+    conf, fs_api = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs
+    path = fs_api.Path(src)
+    files = path.getFileSystem(conf).listStatus(path)
+    names = sorted(f.getPath().toString() for f in files if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._")
+    if not names:
+        raise ValueError(f"no SequenceFile under {src}")
+    reader_class = sc._jvm.org.apache.hadoop.io.SequenceFile.Reader
+    options = sc._gateway.new_array(reader_class.Option, 1)
+    options[0] = reader_class.file(fs_api.Path(names[0]))
+    reader = reader_class(conf, options)
+    try:
+        return reader.getKeyClassName(), reader.getValueClassName()
+    finally:
+        reader.close()
+
+
+def compact_sequencefiles(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 << 20, codec: str | None = DEFAULT_CODEC) -> DataFrame:
+    """Rewrites a directory of SequenceFiles into files of about ``target_bytes``; returns the pairs of the new one.
+
+    The input format packs the listed files into splits of that size, each is read by one task and written as one file:
+    no shuffle, and records pass from reader to writer inside the JVM, whatever their key and value classes
+    (LongWritable and Text among them).  Values keep their order within a file.
+    """
+    from lacuna.sources.pairs import read_pairs
+
+    sc = spark.sparkContext
+    loader = sc._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    key, value = (loader.loadClass(c) for c in _sequence_classes(spark, src))
+    conf = sc._jvm.org.apache.hadoop.conf.Configuration(sc._jsc.hadoopConfiguration())
+    for k, v in {"mapreduce.input.fileinputformat.split.maxsize": str(max(1, target_bytes)),
+                 "mapreduce.output.fileoutputformat.compress": "true" if codec else "false",
+                 "mapreduce.output.fileoutputformat.compress.type": "BLOCK",
+                 "mapreduce.output.fileoutputformat.compress.codec": codec or DEFAULT_CODEC}.items():
+        conf.set(k, v)
+    pairs = sc._jsc.newAPIHadoopFile(src, loader.loadClass(COMBINE_INPUT), key, value, conf)
+    pairs.saveAsNewAPIHadoopFile(dst, key, value, loader.loadClass(SEQUENCE_OUTPUT), conf)
+    return read_pairs(spark, dst, "sequencefile")
+
+
+def packed_read(spark: SparkSession, src: str, fmt: str, target_bytes: int) -> DataFrame:
+    """``src`` read with one task for each ``target_bytes`` of input, small files packed together by their listed sizes."""
+    own = spark.newSession()  # the packing is a setting of the session that reads
+    for k, v in {"spark.sql.files.maxPartitionBytes": target_bytes, "spark.sql.files.openCostInBytes": 0,
+                 "spark.sql.files.minPartitionNum": 1}.items():
+        own.conf.set(k, str(max(v, 0)))
+    return own.read.format(fmt).load(src)
+
+
 def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 << 20,
             fmt: str = "parquet") -> DataFrame:
     """Rewrite a dataset of many part files into ~``target_bytes`` files.
 
-    Content is unchanged; the file count is ``ceil(input bytes / target)``
-    and parquet row groups get the same block size.  Returns the new dataset.
+    Content is unchanged.  Input files are packed into reads of the target
+    size and each read is written as one file, so nothing is shuffled; parquet
+    row groups get the same block size.  ``fmt='sequencefile'``: see
+    ``compact_sequencefiles``.  Returns the new dataset.
     """
-    n = max(1, math.ceil(path_bytes(spark, src) / max(1, target_bytes)))
-    df = spark.read.format(fmt).load(src)
-    (df.repartition(n).write.mode("error").format(fmt)
-       .option("parquet.block.size", str(target_bytes)).save(dst))
+    target_bytes = max(1, target_bytes)
+    if fmt == "sequencefile":
+        return compact_sequencefiles(spark, src, dst, target_bytes)
+    df = packed_read(spark, src, fmt, target_bytes)
+    df.write.mode("error").format(fmt).option("parquet.block.size", str(target_bytes)).save(dst)
     return spark.read.format(fmt).load(dst)
