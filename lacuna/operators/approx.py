@@ -39,6 +39,7 @@ from lacuna.operators.aggregate import aggregate_possible, coded_blocks, coded_p
 from lacuna.operators.blocks import Blocks, fold
 from lacuna.operators.codes import Coding, dictionary
 from lacuna.operators.sets import as_family, containment_join, family_stats
+from lacuna.plans import tuning
 from lacuna.plans.tuning import cut_lineage, split_hot_join
 
 # Result kind labels of the original output (CL, CU, PL, PU);
@@ -291,6 +292,16 @@ def fast_coverage(p: FastParts, sets: dict[str, DataFrame]) -> dict[str, DataFra
     return cov
 
 
+def met_targets(fam: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows of ``fam`` once for each target that holds their unit.
+
+    A unit in ``c`` classes and ``t`` targets makes ``c * t`` rows.  Both are counted first; a unit with more rows than
+    one task should write is split by class over ``ceil(c * t / bound)`` tasks, its targets going to each.
+    """
+    per = fam.groupBy("u").agg(F.count(F.lit(1)).alias("c")).join(targets.groupBy("u").agg(F.count(F.lit(1)).alias("t")), "u")
+    return split_hot_join(targets, fam, ["u"], per.select("u", (F.col("c") * F.col("t")).alias("n")), rows_per_split=tuning.SPLIT_ROWS, salt="cid")
+
+
 def general_sets(min_long: DataFrame, max_long: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
     """Approximations from caller-supplied families ``(class_id, obj)``.
 
@@ -305,8 +316,9 @@ def general_sets(min_long: DataFrame, max_long: DataFrame, targets: DataFrame) -
     xf = targets.select(F.col("d").cast("string").alias("d"), F.col("obj").cast("bigint").alias("u")).distinct()
     minst = family_stats(mn)
     maxst = family_stats(mx)
-    nx = mn.join(xf, "u").groupBy("cid", "d").agg(*merge_stats())
-    mxx = mx.join(xf, "u").groupBy("cid", "d").agg(*merge_stats())
+    xf = cut_lineage(xf, tag="targets")
+    nx = met_targets(mn, xf).groupBy("cid", "d").agg(*merge_stats())
+    mxx = met_targets(mx, xf).groupBy("cid", "d").agg(*merge_stats())
     min_in = nx.join(minst.select("cid", F.col("n").alias("tn")), "cid").where(F.col("n") == F.col("tn")).select("cid", "d")
     max_in = mxx.join(maxst.select("cid", F.col("n").alias("tn")), "cid").where(F.col("n") == F.col("tn")).select("cid", "d")
 

@@ -236,10 +236,11 @@ FROM cells GROUP BY attr, value"""
         "(SELECT s_nationkey AS key, 1 AS h, s_suppkey AS obj FROM supplier UNION ALL "
         "SELECT s_nationkey, 2, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)", ["key", "h"]
     ).replace("SELECT key, h, ", "SELECT key, ", 1)
-    q["family_strings"] = """SELECT s_nationkey AS k, count(*) AS n,
+    # 4096: ids of a part
+    q["family_strings"] = """SELECT s_nationkey AS k, s_suppkey // 4096 AS part, count(*) AS n,
   coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) FILTER (s_suppkey % 2 = 0), '') || '|' ||
   coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) FILTER (s_suppkey % 2 = 1), '') AS family
-FROM supplier GROUP BY s_nationkey"""
+FROM supplier GROUP BY s_nationkey, s_suppkey // 4096"""
     q["sets_by_size"] = with_(F2, CELLS) + "SELECT row_number() OVER (ORDER BY n, lo) AS pos, * EXCLUDE (value) FROM (" + group_digest(
         "(SELECT * FROM cells WHERE attr = 2)", ["value"]) + ")"
     q["set_union"] = with_(F2B) + "SELECT DISTINCT obj FROM xt"

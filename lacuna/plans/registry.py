@@ -286,45 +286,43 @@ def q_write_sets_text(spark, sf):
 
 
 def q_sets_text_roundtrip(spark, sf):
-    """The classes of all attributes, one set a line, written by kind and read back."""
+    """The classes of all attributes in numbered parts, written by kind and read back."""
     path = scratch_path(spark, "sets")
     m = _cells(spark, sf).withColumn("kind", F.concat(F.lit("a"), F.col("attr")))
-    S.write_sets_text(m, path, keys=[], set_key="value", partition_by="kind", order_by_size=True)
-    back = P.read_families(spark, path, layout="sets").withColumnRenamed("class_id", "value")
+    S.write_sets_text(m, path, keys=[], set_key="value", partition_by="kind", order_by_size=True, width=PART)
+    back = P.read_families(spark, path, layout="parts").withColumnRenamed("class_id", "value")
     return back.groupBy("kind", "value").agg(*object_stats("obj")).select("kind", "value", *DIGEST)
 
 
 def q_families_roundtrip(spark, sf):
-    """Keyed family lines: all under one key, two sets a line (each brand's odd and even parts, some over 4,096 ids at
-    scale), a blank third set, a blank family and a ``not_exist`` line; every set comes back as a class of its own."""
+    """Keyed families in parts: one key, two sets for each brand (odd and even parts), every set a class of its own."""
     path = scratch_path(spark, "families")
-    t = spark.read.parquet(f"{sf}/part.parquet").select("p_brand", F.col("p_partkey").cast("bigint").alias("obj"))
-    sets = encode_sets(t.withColumn("odd", F.col("obj") % 2), ["p_brand", "odd"])
-    fam = sets.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list("ids")), SET_SEP).alias("fam"))
-    lines = fam.select(F.concat_ws(FIELD_SEP, F.lit(" 1 "), F.concat("fam", F.lit(SET_SEP + " "))).alias("value"))
-    extra = spark.createDataFrame([(f"2{FIELD_SEP}{EMPTY_FAMILY}",), (f"1,2{FIELD_SEP} {EMPTY_FAMILY}",), (f"3{FIELD_SEP}",), ("  ",)], "value string")
-    lines.unionByName(extra).write.text(path)
-    back = P.read_families(spark, path)
+    t = spark.read.parquet(f"{sf}/part.parquet").select(F.lit(1).alias("key"), F.col("p_partkey").cast("bigint").alias("obj"),
+                                                        F.concat_ws("#", "p_brand", (F.col("p_partkey") % 2).cast("string")).alias("set"))
+    S.write_families_text(t, path, "key", "set", PART)
+    back = P.read_families(spark, path, layout="keyed_parts")
     return back.groupBy("class_id").agg(*object_stats("obj")).select(F.split("class_id", ":")[0].alias("key"), *DIGEST)
 
 
 def q_family_halves(spark, sf):
-    """``key <tab> certain <tab> possible`` lines by attribute (nation keys of suppliers): the possible half."""
+    """Certain and possible families by attribute (nation keys of suppliers) in parts: the possible half."""
     path = scratch_path(spark, "halves")
     t = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").cast("bigint").alias("obj"))
-    ids = t.groupBy("k").agg(encode_ids(F.collect_list("obj")).alias("all"), encode_ids(F.collect_list(F.when(F.col("obj") % 2 == 0, F.col("obj")))).alias("even"))
-    ids.select(F.concat_ws(FIELD_SEP, F.col("k").cast("string"), "even", F.concat_ws(SET_SEP, "all", "even"))).write.text(path)
-    back = P.read_families(spark, path, layout="halves", kind="possible")
+    even = t.where("obj % 2 = 0")
+    rows = [even.select("k", F.lit("certain").alias("half"), F.lit("even").alias("set"), "obj")]
+    rows += [x.select("k", F.lit("possible").alias("half"), F.lit(name).alias("set"), "obj") for name, x in (("all", t), ("even", even))]
+    S.write_families_text(rows[0].unionByName(rows[1]).unionByName(rows[2]), path, "k", "set", PART, half="half")
+    back = P.read_families(spark, path, layout="halves_parts", kind="possible")
     return back.groupBy("class_id").agg(*object_stats("obj")).select(F.split("class_id", ":")[0].cast("int").alias("key"), *DIGEST)
 
 
 def q_family_strings(spark, sf):
-    """Family codec on bounded sets: each nation's suppliers as ``even|odd``, ids ascending, through both directions."""
+    """Family codec: each nation's suppliers in parts of ids, ``even|odd``, ids ascending, through both directions."""
     t = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").cast("bigint").alias("obj"))
     part = lambda r: F.collect_list(F.when(F.col("obj") % 2 == r, F.col("obj")))
-    enc = t.groupBy("k").agg(encode_family(F.array(part(0), part(1))).alias("s"))
-    long = explode_family(enc, "s", ["k"]).groupBy("k").agg(F.count("*").alias("n"))
-    return enc.select("k", encode_family(decode_family("s")).alias("family")).join(long, "k")
+    enc = t.groupBy("k", F.floor(F.col("obj") / PART).alias("part")).agg(encode_family(F.array(part(0), part(1))).alias("s"))
+    long = explode_family(enc, "s", ["k", "part"]).groupBy("k", "part").agg(F.count("*").alias("n"))
+    return enc.select("k", "part", encode_family(decode_family("s")).alias("family")).join(long, ["k", "part"])
 
 
 def q_sets_by_size(spark, sf):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.codec import FIELD_SEP, _regex, decode_ids, explode_family, trimmed
+from lacuna.functions.codec import EMPTY_FAMILY, FIELD_SEP, _regex, decode_ids, explode_family, trimmed
 
 
 def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet", key_type: str = "string") -> DataFrame:
@@ -54,6 +54,9 @@ def read_families(spark: SparkSession, path: str, layout: str = "keyed", kind: s
     ``parts``   ``keys... <tab> set <tab> part <tab> ids``, as ``write_sets_text(width=...)`` writes it: lines with
                 equal keys and set are one class, whose id is keys and set.
     ``sets``    ``keys... <tab> set <tab> ids``, as ``write_sets_text`` writes it.
+    ``keyed_parts``, ``halves_parts``  ``key [<tab> half] <tab> set <tab> part <tab> ids``, as ``write_families_text``
+                writes it: lines with equal key (and half) and set are one class ``key:set``; ``halves_parts`` reads the
+                half that ``kind`` names.  A line ``key <tab> not_exist`` is an empty family.
 
     ``fmt='sequencefile'`` reads ``(key, value)`` records instead of lines (``keyed`` and ``halves``).
     """
@@ -85,4 +88,14 @@ def read_families(spark: SparkSession, path: str, layout: str = "keyed", kind: s
         named = lines.select(*extra, F.array_join(F.slice(cells, F.lit(1), F.size(cells) - last), FIELD_SEP).alias("class_id"),
                              F.element_at(cells, -1).alias("ids"))
         return named.select(*extra, "class_id", F.explode(decode_ids("ids")).alias("obj"))
+    if layout in ("keyed_parts", "halves_parts"):
+        if layout == "halves_parts" and kind not in ("certain", "possible"):
+            raise ValueError("layout 'halves_parts' needs kind='certain' or 'possible'")
+        cells = F.split("value", _regex(FIELD_SEP), -1)
+        lines = spark.read.text(path).where(trimmed(F.col("value")) != "").select(cells.alias("c"))
+        lines = lines.where(trimmed(F.element_at("c", -1)) != F.lit(EMPTY_FAMILY))
+        if layout == "halves_parts":
+            lines = lines.where(F.col("c")[1] == F.lit(kind))
+        named = F.concat_ws(":", trimmed(F.col("c")[0]), F.element_at("c", -3))
+        return lines.select(named.alias("class_id"), F.explode(decode_ids(F.element_at("c", -1))).alias("obj"))
     raise ValueError(f"unknown layout {layout!r}")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.codec import FIELD_SEP, encode_sets
+from lacuna.plans.tuning import cut_lineage
 
 SNAPPY = "org.apache.hadoop.io.compress.SnappyCodec"
 SEQUENCE_OUTPUT = "org.apache.hadoop.mapreduce.lib.output.SequenceFileOutputFormat"
@@ -109,6 +110,41 @@ def write_sets_text(members: DataFrame, path: str, keys: list[str], set_key: str
     w.text(path)
 
 
+def set_numbers(sets: DataFrame, key: str, by: str) -> DataFrame:
+    """``sets`` (one row a set) with ``set_no``, its place from 1 among its key's sets in the order of ``by``.
+
+    Ranked in ranges of (key, set): a set's place in its range plus the key's sets in earlier ranges, so a key with very
+    many sets is numbered by many tasks.
+    """
+    ranged = sets.select(key, by).distinct().repartitionByRange(key, by).sortWithinPartitions(key, by)
+    ranged = cut_lineage(ranged.withColumn("_nth", F.monotonically_increasing_id()), tag="ranks").withColumn("_part", F.shiftright("_nth", 33))
+    held = ranged.groupBy(key, "_part").agg(F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = held.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), (before + 1 - F.col("_first")).alias("_base"))
+    found = ranged.join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return found.select(key, by, (F.col("_nth") + F.col("_base")).alias("set_no"))
+
+
+def write_families_text(members: DataFrame, path: str, key: str, set_key: str, width: int, half: str | None = None) -> None:
+    """Families in numbered parts: ``key <tab> set <tab> part <tab> ids`` (``read_families(layout='keyed_parts')``).
+
+    For families whose sets, or whose number of sets, are too large for one line.  Sets are numbered within their key
+    (``set_numbers``); a part holds at most ``width`` id values.  ``half`` names a column with ``certain`` or ``possible``:
+    lines are then ``key <tab> half <tab> set <tab> part <tab> ids`` (``layout='halves_parts'``).
+    """
+    group = [key] + ([half] if half else [])
+    rows = members.withColumn("_set", F.col(set_key).cast("string"))
+    if half:  # sets are numbered within key and half
+        rows = rows.withColumn("_of", F.concat_ws(FIELD_SEP, F.col(key).cast("string"), F.col(half)))
+    of = "_of" if half else key
+    parts = encode_sets(rows, [*dict.fromkeys([*group, of]), "_set"], width=width)
+    parts = cut_lineage(parts, tag="families")
+    numbered = set_numbers(parts, of, "_set").select(F.col(of).alias("_k"), F.col("_set").alias("_s"), "set_no")
+    lines = parts.join(numbered, F.col(of).eqNullSafe(F.col("_k")) & F.col("_set").eqNullSafe(F.col("_s")))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*group, "set_no", "part")]
+    lines.select(F.concat_ws(FIELD_SEP, *cells, "ids").alias("value")).write.mode("error").text(path)
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     """Total size of the files under ``path`` (Hadoop FileSystem API)."""
     jvm = spark.sparkContext._jvm
