@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .session import ship, stored
 from .text import slices
-from .units import Runs, UnitTable, byte_level_cuts, unit_starts
+from .units import Runs, UnitTable, byte_level_alphabet, byte_level_cuts, unit_ids, unit_starts
 
 END_ID = 2
 IMAGE_IDS = 1 << 18  # ids after which an image is closed (it then ends with its last document)
@@ -150,12 +150,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = byte_level_cuts(path)
+        self.alphabet = [c for _, c in sorted((b, c) for c, b in byte_level_alphabet().items())]
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs = Runs(np.uint32)
         self.table = UnitTable(self._learn, self.runs.clear)
 
     def _learn(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([u.decode() for u in new], add_special_tokens=False)]
+        found = unit_ids(self.tokenizer, new, self.cut, self.alphabet)
         count = np.fromiter(map(len, found), np.int64, len(found))
         self.runs.add(np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())), count)
 

@@ -33,18 +33,24 @@ from pyspark.sql import types as T
 
 from .session import ship, stored
 from .text import slices
-from .units import Runs, UnitTable, byte_level_cuts, piece_cuts, sums_per_row, unit_starts
+from .units import Runs, UnitTable, byte_level_alphabet, byte_level_cuts, piece_cuts, sums_per_row, unit_ids, unit_starts
 
 HEAD = 1 << 21  # most frequent id pairs sent to all tasks: 17 bytes each
+MOST_UNITS = 400_000  # distinct units a Python worker remembers, with the text of their groups
 SLICE = 1 << 20  # text bytes handled at once
 PAIR = np.int64(1) << 32  # an id pair is a * PAIR + b
 
 
-def byte_level_alphabet() -> dict[str, int]:
-    """Character to byte of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(kept)]
-    return {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(rest)}
+def without_prefix(piece_file: str):
+    """The piece model, set to put no space in front of a text."""
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(piece_file, "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.add_dummy_prefix = False
+    return SentencePieceProcessor(model_proto=model.SerializeToString())
 
 
 def covering(tokens: pd.DataFrame, others: pd.DataFrame) -> pd.Series:
@@ -73,7 +79,9 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         self.cut = byte_level_cuts(byte_file) and piece_cuts(piece_file)
+        self.b_bare = without_prefix(piece_file)  # units bring their own space or have none
         alphabet = byte_level_alphabet()
+        self.alphabet = [c for _, c in sorted((b, c) for c, b in alphabet.items())]
         size = 1 + max(self.a.get_vocab().values(), default=0)
         self.a_bytes: list[bytes] = [b""] * size
         for token, k in self.a.get_vocab().items():
@@ -82,7 +90,7 @@ class Aligner:
                         for k, p in ((k, self.b.id_to_piece(k)) for k in range(self.b.get_piece_size()))]
         self.a_size = np.fromiter(map(len, self.a_bytes), np.int64, len(self.a_bytes))
         self.b_size = np.fromiter(map(len, self.b_bytes), np.int64, len(self.b_bytes))
-        self.table = UnitTable(self._learn, self.clear)
+        self.table = UnitTable(self._learn, self.clear, MOST_UNITS)
         self.links = Runs(np.int64)  # pairs of each unit, by number
         self.times = Runs(np.int64)  # and how often each is linked in it
         self.clear()
@@ -105,12 +113,18 @@ class Aligner:
 
     def _learn(self, new: list[bytes]) -> None:
         strings = [u.decode() for u in new]
-        a_ids = [e.ids for e in self.a.encode_batch(strings, add_special_tokens=False)]
-        b_ids = self.b.encode([s[1:] for s in strings], out_type=int, num_threads=1)  # puts the space back
-        bad = np.fromiter(
-            (b"".join(self.a_bytes[i] for i in x) != u or b"".join(self.b_bytes[i] for i in y) != u for x, y, u in zip(a_ids, b_ids, new)),
-            bool, len(new),
-        )
+        a_ids = unit_ids(self.a, new, self.cut, self.alphabet)
+        if self.cut:
+            b_ids = self.b_bare.encode(strings, out_type=int, num_threads=1)
+        else:  # a whole text with a space in front, which the model puts there itself
+            b_ids = self.b.encode([s[1:] for s in strings], out_type=int, num_threads=1)
+        bad = np.zeros(len(new), bool)
+        for ids, table, size in ((a_ids, self.a_bytes, self.a_size), (b_ids, self.b_bytes, self.b_size)):
+            flat = [i for x in ids for i in x]
+            cut = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
+            same = sums_per_row(size[np.array(flat, np.int64)], cut) == np.fromiter(map(len, new), np.int64, len(new))
+            if not same.all() or b"".join(map(table.__getitem__, flat)) != b"".join(new):  # some unit differs: look at each
+                bad |= np.fromiter((b"".join(table[i] for i in x) != u for x, u in zip(ids, new)), bool, len(new))
         sides = []
         for ids, size in ((a_ids, self.a_size), (b_ids, self.b_size)):
             many = np.fromiter((0 if off else len(x) for x, off in zip(ids, bad)), np.int64, len(ids))
@@ -198,7 +212,7 @@ def _without_bad(model: Aligner, units: np.ndarray, cut: np.ndarray) -> tuple[np
 def _row_pairs(model: Aligner, units: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, pair number, links)`` of every distinct pair of a row."""
     row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    size = len(model.table.numbers) + 1
+    size = len(model.table.keys) + 1
     held, again = np.unique(row * size + units, return_counts=True)
     row, units = held // size, held % size
     pair, many = model.links.take(units)

@@ -1,21 +1,24 @@
 """Units of a text: stretches that no token of the given vocabularies crosses, each distinct one tokenised once.
 
-A cut stands before a space that follows no space and is followed by a character other than white space.  Byte-level BPE
-splits there by its pattern (white space before a word ends at its last space, which opens the word); piece BPE, whose
-pieces hold the space mark at their front only, cannot merge across it.  So a text's tokens are those of its units, one
-after another.  ``byte_level_cuts`` and ``piece_cuts`` hold a vocabulary against these conditions; where one fails, a
+A cut stands before a space that follows no space and is followed by a character other than white space, between an ASCII
+letter and a mark after it, before a line feed after either, and after one between them.  Byte-level BPE splits there by its pattern
+(white space before a word ends at its last space, which opens the word; letters, marks and white space go apart); piece
+BPE cannot merge across a cut where no piece holds the two characters side by side.  So a text's tokens are those of its
+units, one after another.  ``byte_level_cuts`` and ``piece_cuts`` hold a vocabulary against these conditions; where one fails, a
 text is one unit.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import numpy as np
 
-MOST_UNITS = 300_000  # distinct units a Python worker remembers; beyond it the memory starts anew
-MOST_BYTES = 24 << 20  # and their bytes
+from .text import prefix_sums, span_hash
+
+MOST_UNITS = 1_000_000  # distinct units a Python worker remembers; beyond it the memory starts anew
 
 #: Bytes that may open a white-space character (ASCII controls and space; leads of U+0085, U+00A0, U+1680, U+2000.., U+3000).
 _MAYBE_SPACE = np.zeros(256, dtype=bool)
@@ -23,6 +26,17 @@ _MAYBE_SPACE[:33] = True
 _MAYBE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+def byte_level_alphabet() -> dict[str, int]:
+    """Character to byte of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(kept)]
+    return {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+#: Neighbours that no piece may hold for the cuts to be safe.
+_JOINED = re.compile(r"[^▁]▁|[A-Za-z][!-/:-@\[-`{-~]|\n.|.\n", re.DOTALL)
+
+
 def byte_level_cuts(path: str) -> bool:
     """Whether the vocabulary file is byte-level BPE with the standard pattern, no normaliser and no added prefix."""
     with open(path, encoding="utf-8") as f:
@@ -53,10 +67,36 @@ def piece_cuts(path: str) -> bool:
         and not how.remove_extra_whitespaces
         and not model.trainer_spec.treat_whitespace_as_suffix
         and all(p.type in (kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE) for p in model.pieces)
-        and not any("▁" in p.piece.lstrip("▁") for p in model.pieces)
+        and not any(_JOINED.search(p.piece) for p in model.pieces if p.type == kind.NORMAL)
     )
 
 
+_MARK = np.zeros(256, dtype=bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+#: Units that the byte-level pattern does not split: letters, digits or marks, with at most one space before.
+_ONE_STRETCH = re.compile(rb" ?[A-Za-z]+| ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n")
+
+
+def unit_ids(tokenizer, new: list[bytes], cut: bool, alphabet: list[str]) -> list[list[int]]:
+    """Ids of units by a byte-level tokenizer of the tokenizers library; ``alphabet`` has the character of each byte."""
+    found: list[list[int]] = [[]] * len(new)
+    merges, whole = tokenizer.model, []
+    for k, u in enumerate(new):
+        if cut and _ONE_STRETCH.fullmatch(u):  # the pattern leaves it whole: its ids come from the merges alone
+            found[k] = [t.id for t in merges.tokenize("".join([alphabet[b] for b in u]))]
+        else:
+            whole.append(k)
+    for at in range(0, len(whole), 1000):
+        some = whole[at : at + 1000]
+        for k, e in zip(some, tokenizer.encode_batch([new[k].decode() for k in some], add_special_tokens=False)):
+            found[k] = e.ids
+    return found
+
+
 def unit_starts(data: np.ndarray, offsets: np.ndarray, cut: bool = True) -> np.ndarray:
     """First byte of every unit, rows being cut at ``offsets``; empty rows have no unit."""
     opens = np.zeros(len(data) + 1, dtype=bool)
@@ -65,39 +105,45 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, cut: bool = True) -> np.n
     if cut and len(data) > 2:
         # a space that ends a row is followed by another row's character
         opens[1:-2] |= (data[1:-1] == 32) & (data[:-2] != 32) & ~_MAYBE_SPACE[data[2:]] & ~opens[2:-1]
+        opens[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+        line = data == 10
+        plain = _LETTER[data] | _MARK[data]
+        opens[1:-1] |= plain[:-1] & line[1:]
+        opens[2:-1] |= plain[:-2] & line[1:-1] & plain[2:]  # white space of more than one character is split by what follows
     return np.flatnonzero(opens)
 
 
 class UnitTable:
-    """Numbers of distinct units (exact bytes), bounded; ``learn`` is told of new ones before their numbers are used."""
+    """Numbers of distinct units by their 64-bit content hash, bounded; ``learn`` is told of new units first."""
 
-    def __init__(self, learn: Callable[[list[bytes]], None], clear: Callable[[], None]):
-        self._learn, self._clear = learn, clear
-        self.numbers: dict[bytes, int] = {}
-        self.held = 0
+    def __init__(self, learn: Callable[[list[bytes]], None], clear: Callable[[], None], most: int = MOST_UNITS):
+        self._learn, self._clear, self.most = learn, clear, most
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def full(self) -> bool:
-        return len(self.numbers) > MOST_UNITS or self.held > MOST_BYTES
+        return len(self.keys) > self.most
 
     def clear(self) -> None:
-        self.numbers.clear()
-        self.held = 0
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._clear()
 
     def look_up(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each unit; ``starts`` ascending, a unit ends where the next starts, the last at the end."""
         if not len(starts):
             return np.zeros(0, dtype=np.int64)
-        found = np.insert(data, starts[1:], 255).tobytes().split(b"\xff")  # a byte that UTF-8 never has
-        known = list(map(self.numbers.get, found))
-        if None in known:
-            new = list(dict.fromkeys(u for u, n in zip(found, known) if n is None))
-            self._learn(new)
-            first = len(self.numbers)
-            self.numbers.update(zip(new, range(first, first + len(new))))
-            self.held += sum(map(len, new))
-            known = list(map(self.numbers.get, found))
-        return np.array(known, dtype=np.int64)
+        ends = np.r_[starts[1:], len(data)]
+        keys, where, back = np.unique(span_hash(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            raw = data.tobytes()
+            self._learn([raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+            number = len(self.numbers) + np.arange(int(new.sum()))
+            self.keys, self.numbers = np.insert(self.keys, at[new], keys[new]), np.insert(self.numbers, at[new], number)
+            at = np.searchsorted(self.keys, keys)
+        return self.numbers[at][back]
 
 
 class Runs:
