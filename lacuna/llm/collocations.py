@@ -29,51 +29,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import ship, stored
-from .text import mix, slices
+from .text import LOWER, mix, prefix_sums, slices, span_hash
+from .units import Runs
 
 LEAST = 30
 MOST_WORDS = 4
 TOP = 2000
 ID_BITS = 21
 MOST_IDS = 1 << 20  # distinct words a worker numbers before it spills all and starts anew
-SLICE = 1 << 20  # text bytes handled at once; they hold fewer than 2**20 words
+SLICE = 1 << 20  # text bytes handled at once; they hold at most 2**19 words
 BURST = 4096  # entries of a container that is burst
 HELD = 800_000  # entries of a worker's trie
 MOST_BITS = 28
 UNKNOWN = "und"
 SALTS = 64
 
-_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
-_BREAK = b"\xff"  # a byte that UTF-8 never has: the end of a piece
+_ENDS = np.zeros(256, dtype=bool)  # bytes that end a piece
+_ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
+_BETWEEN = _ENDS.copy()  # bytes outside words
+_BETWEEN[[9, 32]] = True
 
 
 class HatTrie:
     """Counts of rows of ``width`` ids (each below ``2**ID_BITS``).
 
-    The root is a trie node over the first id.  A child is a hash container from the remaining ids, packed into one
-    number, to their count, or, once burst, a node over the next id.
+    The root is a trie node over blocks of first ids.  A child is a hash container from the ids, packed into one number
+    (of the first id, its place in the block), to their count, or, once burst, a node over the next id.  Rows of one id
+    need no trie below the root: their counts are one array.
     """
 
     def __init__(self, width: int, burst: int = BURST, held: int = HELD):
         self.width, self.burst, self.held = width, burst, held
+        self.block_bits = 6 if width * ID_BITS < 64 - ID_BITS + 6 else 0
         self.root: dict[int, dict | Node] = {}
         self.sizes: dict[int, int] = {}
+        self.flat = np.zeros(0, np.int64)  # counts of single ids
         self.total = 0
 
     def add(self, rows: np.ndarray, counts: np.ndarray) -> None:
         """Adds distinct rows, sorted, with their counts."""
         if not len(rows):
             return
-        rest = np.zeros(len(rows), np.int64)
+        first = rows[:, 0]
+        if self.width == 1:
+            size = int(first[-1]) + 1
+            self.flat = np.pad(self.flat, (0, max(size - len(self.flat), 0)))
+            self.total += int((self.flat[first] == 0).sum())
+            self.flat[first] += counts
+            return
+        block = first >> self.block_bits
+        rest = first & ((1 << self.block_bits) - 1)
         for k in range(1, self.width):
             rest = (rest << ID_BITS) | rows[:, k]
-        first = rows[:, 0]
-        cut = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
-        keys, many = rest.tolist(), counts.tolist()
-        for a, b in zip(cut[:-1], cut[1:]):
-            f = int(first[a])
-            child, grown = self._put(self.root.get(f, {}), keys[a:b], many[a:b], self.width - 1)
-            self.root[f] = child
+        cut = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        keys, many, blocks = rest.tolist(), counts.tolist(), block[cut[:-1]].tolist()
+        for f, a, b in zip(blocks, cut[:-1], cut[1:]):
+            self.root[f], grown = self._put(self.root.get(f, {}), keys[a:b], many[a:b], self.width)
             self.sizes[f] = self.sizes.get(f, 0) + grown
             self.total += grown
 
@@ -81,12 +92,12 @@ class HatTrie:
         """Adds to a child that spans ``left`` ids; the child (a node where it was burst) and its new entries."""
         if isinstance(at, Node):
             shift, grown, a = ID_BITS * (left - 1), 0, 0
+            low = (1 << shift) - 1
             while a < len(keys):
                 here = keys[a] >> shift
                 b = a + 1
                 while b < len(keys) and keys[b] >> shift == here:
                     b += 1
-                low = (1 << shift) - 1
                 at.children[here], more = self._put(at.children.get(here, {}), [k & low for k in keys[a:b]], counts[a:b], left - 1)
                 grown, a = grown + more, b
             return at, grown
@@ -102,28 +113,29 @@ class HatTrie:
 
     def spill(self, keep: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Takes out whole subtrees, the largest first, until at most ``keep`` entries stay; their rows and counts."""
+        if self.width == 1 and self.total > keep:
+            some = np.flatnonzero(self.flat)
+            yield some[:, None], self.flat[some]
+            self.flat, self.total = np.zeros(0, np.int64), 0
         for f in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.total <= keep:
                 break
-            keys: list[int] = []
-            counts: list[int] = []
-            self._walk(self.root.pop(f), 0, self.width - 1, keys, counts)
+            found = list(self._walk(self.root.pop(f), 0, self.width))
             self.total -= self.sizes.pop(f)
-            rest = np.array(keys, np.int64)
+            rest = np.concatenate([k for k, _ in found])
             rows = np.empty((len(rest), self.width), np.int64)
-            rows[:, 0] = f
             for k in range(self.width - 1, 0, -1):
                 rows[:, k] = rest & ((1 << ID_BITS) - 1)
                 rest = rest >> ID_BITS
-            yield rows, np.array(counts, np.int64)
+            rows[:, 0] = f << self.block_bits | rest
+            yield rows, np.concatenate([c for _, c in found])
 
-    def _walk(self, at, above: int, left: int, keys: list[int], counts: list[int]) -> None:
+    def _walk(self, at, above: int, left: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if isinstance(at, Node):
             for here, child in at.children.items():
-                self._walk(child, above | here << ID_BITS * (left - 1), left - 1, keys, counts)
+                yield from self._walk(child, above | here << ID_BITS * (left - 1), left - 1)
         else:
-            keys.extend(above | k for k in at)
-            counts.extend(at.values())
+            yield np.fromiter(at.keys(), np.int64, len(at)) | above, np.fromiter(at.values(), np.int64, len(at))
 
 
 class Node:
@@ -136,35 +148,39 @@ class Node:
 
 
 class Words:
-    """Numbers of the words of each language (0 is the end of a piece), their bytes and hashes."""
+    """Numbers of distinct words by hash (which takes in the language), with their language and bytes."""
 
     def __init__(self):
-        self.numbers: dict[str, dict[bytes, int]] = {}
-        self.words: list[bytes] = [b""]
-        self.langs: list[str] = [""]
-        self._hashes = [np.zeros(1, np.uint64)]
-
-    @property
-    def hashes(self) -> np.ndarray:
-        if len(self._hashes) > 1:
-            self._hashes = [np.concatenate(self._hashes)]
-        return self._hashes[0]
-
-    def look_up(self, lang: str, found: list[bytes]) -> np.ndarray:
-        own = self.numbers.setdefault(lang, {_BREAK: 0})
-        known = list(map(own.get, found))
-        if None in known:
-            new = list(dict.fromkeys(w for w, n in zip(found, known) if n is None))
-            own.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.words += new
-            self.langs += [lang] * len(new)
-            self._hashes.append(np.array([word_hash(lang, w) for w in new], np.uint64))
-            known = list(map(own.get, found))
-        return np.array(known, np.int64)
-
-
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode()))
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.langs: list[str] = []
+        self.lang_of, self.bytes = Runs(np.int64), Runs(np.uint8)
+
+    def look_up(self, lang: str, hashes: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Numbers (from 0) of words that stand at ``first .. last - 1`` of ``data``."""
+        keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            if not self.langs or self.langs[-1] != lang:
+                self.langs.append(lang)
+            many = int(new.sum())
+            size = (last - first)[where[new]]
+            to = np.cumsum(size)
+            self.bytes.add(data[np.repeat(first[where[new]] - (to - size), size) + np.arange(int(to[-1]))], size)
+            self.lang_of.add(np.full(many, len(self.langs) - 1), np.ones(many, np.int64))
+            number = len(self.numbers) + np.arange(many)
+            self.keys, self.numbers = np.insert(self.keys, at[new], keys[new]), np.insert(self.numbers, at[new], number)
+            at = np.searchsorted(self.keys, keys)
+        return self.numbers[at][back]
+
+    def arrays(self, numbers: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Languages and words of the given numbers."""
+        body, size = self.bytes.take(numbers)
+        ends = np.r_[0, np.cumsum(size)]
+        text = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(body)).cast(pa.string())
+        return pa.array(self.langs, pa.string()).take(pa.array(self.lang_of.values[numbers])), text
 
 
 def _fold(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -172,10 +188,27 @@ def _fold(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
     return mix(hashes * np.uint64(0x9E3779B97F4A7C15) + more)
 
 
-def plain_words(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Lower-cased words of all rows with a break byte after each piece and row."""
-    raw = np.insert(data, offsets[1:], 10).tobytes().translate(_PLAIN)
-    return raw.replace(b"\n", b" \xff ").split()
+def _salt(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+
+
+def piece_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of all words, their hashes without language, and which go on from the word before."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_BETWEEN[data]
+    opens = inside[1:-1] & ~inside[:-2]
+    closes = inside[1:-1] & ~inside[2:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    opens[edges] = inside[1:-1][edges]
+    closes[edges - 1] = inside[1:-1][edges - 1]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    ends = np.zeros(len(data) + 1, np.int32)
+    ends[:-1] = _ENDS[data]
+    np.add.at(ends, edges, 1)  # a row ends before its first byte
+    ends = np.cumsum(ends)
+    on = np.zeros(len(first), bool)
+    on[1:] = ends[first[1:]] == ends[last[:-1] - 1]
+    return first, last, span_hash(prefix_sums(data), first, last), on
 
 
 def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,40 +236,53 @@ def _runs(width: int, sent, held: int):
         words, trie = Words(), HatTrie(width, held=held)
 
         def rows(keep: int = 0) -> Iterator[pa.RecordBatch]:
-            """A sorted run of the subtrees that leave the trie."""
+            """Sorted runs of the subtrees that leave the trie."""
             out = list(trie.spill(keep))
             if not out:
                 return
             ids, counts = np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
-            held_words = pa.array(words.words, pa.binary()).cast(pa.string())
-            columns = [held_words.take(pa.array(ids[:, k])) for k in range(width)]
-            phrase = pc.binary_join_element_wise(*columns, " ") if width > 1 else columns[0]
-            lang = pa.array(words.langs, pa.string()).take(pa.array(ids[:, 0]))
-            run = pa.table([lang, phrase, pa.array(counts)], names=["lang", "phrase", "n"])
-            yield from run.sort_by([("lang", "ascending"), ("phrase", "ascending")]).to_batches(max_chunksize=20_000)
+            some, back = np.unique(ids, return_inverse=True)
+            langs, text = words.arrays(some)
+            order = pc.sort_indices(pa.table([langs, text], names=["lang", "word"]), [("lang", "ascending"), ("word", "ascending")]).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            back = back.reshape(ids.shape)
+            by = np.lexsort([rank[back[:, k]] for k in range(width - 1, -1, -1)])
+            back, counts = back[by], counts[by]
+            for at in range(0, len(back), 20_000):
+                part = back[at : at + 20_000]
+                columns = [text.take(pa.array(part[:, k])) for k in range(width)]
+                head, rest = (pc.binary_join_element_wise(*c, " ") if c else pa.array([""] * len(part), pa.string()) for c in (columns[:2], columns[2:]))
+                yield pa.record_batch([langs.take(pa.array(part[:, 0])), head, rest, pa.array(counts[at : at + 20_000])], names=["lang", "head", "rest", "n"])
 
         for batch in batches:
             for lang, part in _by_language(batch):
                 for _, data, offsets in slices(part, "_text", SLICE):
-                    if len(words.words) > MOST_IDS:
+                    if len(words.keys) > MOST_IDS:
                         yield from rows()
                         words = Words()
-                    ids = words.look_up(lang, plain_words(data, offsets))
-                    size = len(ids) - width + 1
-                    if size <= 0:
-                        continue
-                    good = ids > 0
+                    data = LOWER[data]
+                    first, last, code, on = piece_words(data, offsets)
+                    code = mix(code ^ _salt(lang))
+                    here = code
+                    good = np.ones(len(code), bool)
                     if bits is not None:
-                        code = words.hashes[ids]
-                        whole = good.copy()
+                        whole = np.ones(len(code), bool)
                         for k in range(1, width - 1):  # hash and extent of the phrases of one word less
-                            code = _fold(code[:-1], words.hashes[ids[k:]][: len(code) - 1])
-                            whole = whole[:-1] & good[k:]
-                        at = code >> np.uint64(64 - bits[0])
+                            here = _fold(here[:-1], code[k:])
+                            whole = whole[:-1] & on[k:]
+                        at = here >> np.uint64(64 - bits[0])
                         known = whole & (bits[1][at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1)
-                        good = known[:-1] & known[1:]
-                    some = np.flatnonzero(good[:size])
-                    trie.add(*distinct_rows(np.stack([ids[some + k] for k in range(width)], axis=1)))
+                        good = known[:-1] & known[1:] & on[width - 1 :]
+                    some = np.flatnonzero(good)
+                    if not len(some):
+                        continue
+                    used = np.zeros(len(code), bool)
+                    for k in range(width):
+                        used[some + k] = True
+                    number = np.zeros(len(code), np.int64)
+                    number[used] = words.look_up(lang, code[used], data, first[used], last[used])
+                    trie.add(*distinct_rows(np.stack([number[some + k] for k in range(width)], axis=1)))
                     if trie.total > held:
                         yield from rows(held // 2)
         yield from rows()
@@ -247,13 +293,13 @@ def _runs(width: int, sent, held: int):
 def _positions(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            split = [p.encode().split(b" ") for p in batch.column(1).to_pylist()]
-            code = np.zeros(len(split), np.uint64)
-            for k in range(width):
-                more = np.array([word_hash(lang, w[k]) for lang, w in zip(langs, split)], np.uint64)
-                code = more if k == 0 else _fold(code, more)
-            yield pa.record_batch([pa.array((code >> np.uint64(64 - bits)).astype(np.int64))], names=["at"])
+            for lang, part in _by_language(batch):
+                for _, data, offsets in slices(part, "_text", SLICE):
+                    code = mix(piece_words(data, offsets)[2] ^ _salt(lang)).reshape(-1, width)
+                    here = code[:, 0]
+                    for k in range(1, width):
+                        here = _fold(here, code[:, k])
+                    yield pa.record_batch([pa.array((here >> np.uint64(64 - bits)).astype(np.int64))], names=["at"])
 
     return run
 
@@ -262,7 +308,7 @@ def _bit_map(frequent: DataFrame, width: int) -> tuple[int, np.ndarray]:
     """Bits of all frequent phrases, 32 to 64 bits a phrase as far as ``MOST_BITS`` allow; words of 64 bits."""
     many = frequent.count()
     bits = min(max(many, 1).bit_length() + 5, MOST_BITS)
-    at = frequent.select("lang", "phrase").mapInArrow(_positions(width, bits), "at bigint")
+    at = frequent.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_text")).mapInArrow(_positions(width, bits), "at bigint")
     block = at.groupBy(F.shiftright("at", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("ones"))
     got = block.toArrow()  # at most 2 ** (MOST_BITS - 6) rows
     out = np.zeros(max(1 << max(bits - 6, 0), 1), np.uint64)
@@ -278,9 +324,10 @@ def phrase_counts(docs: DataFrame, *, lang: str = "lang", text: str = "text", le
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("_lang"), F.col(text).alias("_text"))
     levels, totals, sent = [], None, None
     for width in range(1, most_words + 1):
-        runs = rows.mapInArrow(_runs(width, sent, held), "lang string, phrase string, n bigint")
-        head = F.xxhash64("lang", F.substring_index("phrase", " ", 2))
-        merged = runs.withColumn("head", head).repartition("head").groupBy("head", "lang", "phrase").agg(F.sum("n").alias("n")).drop("head")
+        runs = rows.mapInArrow(_runs(width, sent, held), "lang string, head string, rest string, n bigint")
+        merged = runs.repartition("lang", "head").groupBy("lang", "head", "rest").agg(F.sum("n").alias("n"))
+        phrase = F.when(F.col("rest") == "", F.col("head")).otherwise(F.concat_ws(" ", "head", "rest"))
+        merged = merged.select("lang", phrase.alias("phrase"), "n")
         if width == 1:
             merged = stored(merged, "phrases-words")
             totals = merged.groupBy("lang").agg(F.sum("n").alias("n"))

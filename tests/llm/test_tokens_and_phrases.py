@@ -163,19 +163,22 @@ def test_scores_beyond_64_bits(spark):
     assert [(r.a, r.l, r.r, r.score) for r in got] == [(big - 3, big, big - 2, 2000000 * (big - 3) // (2 * big - 2))]
 
 
-def test_trie_bursts_and_spills_whole_subtrees():
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_trie_bursts_and_spills_whole_subtrees(width):
     rnd = np.random.default_rng(2)
-    trie, want = collocations.HatTrie(3, burst=8, held=100), collections.Counter()
+    trie, want = collocations.HatTrie(width, burst=8, held=100), collections.Counter()
     for _ in range(5):
-        rows = rnd.integers(1, 6, (300, 3))
+        rows = rnd.integers(1, 300, (300, width)) % np.array([300, 4, 3, 2][:width])
         want.update(map(tuple, rows.tolist()))
         trie.add(*collocations.distinct_rows(rows))
-    assert trie.total == len(want) and any(isinstance(c, collocations.Node) for c in trie.root.values())
-    got, firsts = collections.Counter(), []
-    for keep in (50, 0):
+    assert trie.total == len(want)
+    assert width == 1 or any(isinstance(c, collocations.Node) for c in trie.root.values())
+    got, gone = collections.Counter(), set()
+    for keep in (len(want) // 2, 0):
         for rows, counts in trie.spill(keep):
-            assert len(set(rows[:, 0].tolist())) == 1 and rows[0, 0] not in firsts  # a subtree leaves whole, and once
-            firsts.append(rows[0, 0])
+            blocks = set((rows[:, 0] >> trie.block_bits).tolist())
+            assert width == 1 or (len(blocks) == 1 and not blocks & gone)  # a subtree leaves whole, and once
+            gone |= blocks
             got.update(dict(zip(map(tuple, rows.tolist()), counts.tolist())))
         assert trie.total <= keep
     assert got == want
