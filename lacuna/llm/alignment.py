@@ -93,6 +93,7 @@ class Aligner:
         self.table = UnitTable(self._learn, self.clear, MOST_UNITS)
         self.links = Runs(np.int64)  # pairs of each unit, by number
         self.times = Runs(np.int64)  # and how often each is linked in it
+        self.with_text = True  # counting needs no text of the groups
         self.clear()
 
     def clear(self) -> None:
@@ -142,7 +143,8 @@ class Aligner:
         for side in (a, b):
             side["group"] = np.searchsorted(key, side["unit"].to_numpy() * (1 << 40) + side["start"].to_numpy(), side="right")
         self._add_pairs(a, b, key >> 40, len(new))
-        self._add_text(a, b, key >> 40, len(new))
+        if self.with_text:
+            self._add_text(a, b, key >> 40, len(new))
         n_a, n_b = (np.bincount(s["group"], minlength=len(key)) for s in (a, b))
         self._counts.append(np.stack([
             np.bincount(a["unit"], minlength=len(new)), np.bincount(b["unit"], minlength=len(new)), np.bincount(key >> 40, minlength=len(new)),
@@ -194,10 +196,14 @@ class Aligner:
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def _aligner(files: tuple[str, str]) -> Aligner:
+def _aligner(files: tuple[str, str], with_text: bool) -> Aligner:
     if files not in _aligners:
         _aligners[files] = Aligner(*files)
-    return _aligners[files]
+    model = _aligners[files]
+    if model.with_text != with_text:
+        model.table.clear()
+        model.with_text = with_text
+    return model
 
 
 def _without_bad(model: Aligner, units: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +232,7 @@ def _row_pairs(model: Aligner, units: np.ndarray, cut: np.ndarray) -> tuple[np.n
 
 def _count(files: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _aligner(files)
+        model = _aligner(files, False)
         held = np.zeros(0, np.int64)
 
         def rows() -> pa.RecordBatch:
@@ -273,7 +279,7 @@ def _floor(counts: DataFrame, head: int) -> int:
 
 def _score(files: tuple[str, str], sent, keep_groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _aligner(files)
+        model = _aligner(files, True)
         keys, counts, best = sent.value
         n_of, best_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
         part, number = TaskContext.get().partitionId(), 0
