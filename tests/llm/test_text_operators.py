@@ -2,11 +2,16 @@ import base64
 import bz2
 import gzip
 import random
+import time
+import tarfile
+import lzma
+import io
 import urllib.parse
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lacuna.llm import fingerprints, mixing, packing, pages, queries, rules, secret_scan
@@ -311,3 +316,54 @@ def test_base64_is_found_wherever_it_begins(kind):
     }[kind]
     spans = [s for s in secret_scan.scan(text)[1] if s[1] == 1]
     assert spans and all(0 <= a < b <= len(text) for a, _, b in spans)
+
+
+SECRET = b"key AKIA" + b"ABCDEFGHIJKLMNOPQRST" + b" end"
+
+
+def test_secrets_among_binary_bytes():
+    """An archive's members, binary bytes before a secret, a false magic number, streams within streams, a quine's cycle."""
+    rng = random.Random(6)
+    buf = io.BytesIO()
+    with tarfile.open(fileobj=buf, mode="w:gz") as z:
+        for name, data in (("a", rng.randbytes(5000)), ("b", SECRET), ("c", b"\x78\x9c\x01" + rng.randbytes(3000))):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            z.addfile(info, io.BytesIO(data))
+    packed = (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.compress)
+    for raw in (buf.getvalue(), gzip.compress(rng.randbytes(999) + SECRET), rng.randbytes(70) + gzip.compress(SECRET),
+                *(f(b"\xff\x78\x9c\x63" + rng.randbytes(50) + g(b"\x00\x01" * 40 + SECRET) + b"\xfe") for f in packed for g in packed)):
+        text = "é " + base64.b64encode(raw).decode() + " tail"
+        spans, over = secret_scan.scan(text)[1:]
+        assert [s[1] for s in spans].count(1) >= 1 and over == 0
+        assert all(2 <= a < b <= len(text) - 5 for a, _, b in spans)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_nestings_keep_the_secret(seed):
+    rng = random.Random(seed)
+    raw = SECRET
+    steps = [lambda b: base64.b64encode(b), lambda b: base64.encodebytes(b), lambda b: gzip.compress(b), lambda b: lzma.compress(b),
+             lambda b: urllib.parse.quote_from_bytes(b, safe="").encode(), lambda b: rng.randbytes(20) + zlib.compress(b) + rng.randbytes(9),
+             lambda b: "".join(f"\\x{c:02x}" for c in b).encode() if b.isascii() else base64.b64encode(b)]
+    for _ in range(rng.randrange(1, 5)):
+        raw = rng.choice(steps)(raw)
+    text = "t: " + base64.b64encode(raw).decode() + " end"
+    found = secret_scan.scan(text)
+    assert any(k == 1 for _, k, _ in found[1]) and found[0] == [] and found[2] == 0
+
+
+def test_long_layers_end_in_linear_time():
+    rng = random.Random(7)
+    start = time.monotonic()
+    text = "x " + base64.b64encode(rng.randbytes(3_750_000)).decode() + " AKIA" + "B" * 16
+    base, spans, over = secret_scan.scan(text)
+    assert set(base) <= set(spans) and over == 0 and any(s[1] == 1 for s in base)
+    big = gzip.compress(b"\x00" * 100_000_000 + SECRET, 1)
+    assert [s[1] for s in secret_scan.scan("x " + base64.b64encode(big).decode())[1]] == [1]
+    assert time.monotonic() - start < 60
+
+
+def test_secrets_keep_clashing_columns(make):
+    rows, at = secret_scan.scan_secrets(make([{"doc_id": 1, "text": "AKIA" + "Z" * 16}] * 2).withColumn("secrets", F.lit("own")))
+    assert at != "secrets" and [(r["secrets"], r[at]["n_access"]) for r in rows.collect()] == [("own", 1)] * 2
