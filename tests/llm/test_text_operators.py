@@ -155,7 +155,7 @@ def test_page_lines_and_differencing(spark):
     assert got == {1: "One\nText & more\nnext\nlast", 2: "Own text\nFoot line", 3: "Other text", 4: "Own text\nFoot line", 5: "", 6: "", 7: "kept", 8: "a b"}
     assert pages.main_text(df.limit(0)).count() == 0
     twice = pages.main_text(df.where("page_id = 4").unionAll(df.where("page_id = 4"))).collect()
-    assert [r["n_chars"] for r in twice] == [0, 0]  # each is the other's nearest page
+    assert [r["text"] for r in twice] == ["Own text\nFoot line"] * 2  # a copy is nobody's nearest page
 
 
 def test_names_take_out_no_article_text():
@@ -367,3 +367,58 @@ def test_long_layers_end_in_linear_time():
 def test_secrets_keep_clashing_columns(make):
     rows, at = secret_scan.scan_secrets(make([{"doc_id": 1, "text": "AKIA" + "Z" * 16}] * 2).withColumn("secrets", F.lit("own")))
     assert at != "secrets" and [(r["secrets"], r[at]["n_access"]) for r in rows.collect()] == [("own", 1)] * 2
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<div role="main"><p>Real</p></div><p>Side</p>', "Real"),
+    ('<main><article><p>Story</p></article><section class="comments"><p>me too</p></section></main>', "Story"),
+    ('<article><p>Story</p><div class="ad">Buy now</div><p>End</p></article>', "Story\nEnd"),
+    ('<article data-title="a hidden gem"><p title="the hidden cost">Kept</p><p hidden>gone</p><p style="display: none">gone</p></article>', "Kept"),
+    ('<div class="cookie-notice">We use cookies</div><p>A long enough text of the page</p><div class="post-comments">First!</div>', "A long enough text of the page"),
+    ("<head><title>T</title><meta name=a><p>Text</p>", "Text"),
+    ('<article><p>Story of the day</p></article><div class="related"><article><a href="/x">Card</a></article></div>', "Story of the day"),
+    ('<aside><article><p>Card</p></article></aside><div><p>Story</p></div>', "Story"),
+    ('<form id="f"><main><p>Wrapped</p></main></form>', "Wrapped"),
+    ('<div class="has-sidebar"><p>Text</p></div><div class="left-sidebar">x</div>', "Text"),
+    ('<p>a <img alt="x > y"> b</p><p title="open>c</p>', "a b\nc"),
+    ("<ul><li class=ad>Buy<li>Real item here</ul>", "Real item here"),
+    ("<p>cut <a href", "cut"),
+])
+def test_page_shapes(html, text):
+    out, kinds = pages.blocks(html)
+    assert "\n".join(r for r, k in zip(out, kinds) if k != pages.OUTSIDE) == text
+
+
+def test_every_page_is_differenced(spark):
+    """Copies are passed over; in an article a named block goes where the nearest other page shares it."""
+    body = '<article><p>{}</p><p>Shared quote</p><div class="notice"><p>Read our terms</p></div></article>'
+    df = spark.createDataFrame([
+        (1, "http://h.example/b", body.format("One")), (2, "http://h.example/b?print=1", body.format("One")),
+        (3, "http://h.example/c", body.format("Two")), (4, "http://solo.example/", body.format("Three")),
+        (5, "http://o.example/x", "<p>Own</p><p>Bar</p>"), (6, "http://o.example/x?print=1", "<p>Own</p><p>Bar</p>"), (7, "http://o.example/y", "<p>Else</p><p>Bar</p>"),
+    ], "page_id int, url string, html string").withColumns({"same": F.lit(1), "host": F.lit("h")})
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df).collect()}
+    assert got == {1: "One\nShared quote", 2: "One\nShared quote", 3: "Two\nShared quote", 4: "Three\nShared quote\nRead our terms",
+                   5: "Own", 6: "Own", 7: "Else"}
+
+
+@pytest.mark.parametrize("html", [
+    "<div class='widget'>x" * 50_000, '<a b="' * 150_000, "<a b='\"" * 150_000, "<p class='ad'>" * 70_000, "<!" * 300_000, "<b>" * 100_000 + "</i>" * 100_000,
+    "<article><div class=share><a href=x>y</a>" * 20_000, "a" * 1_000_000,
+])
+def test_long_pages_end_in_linear_time(html):
+    start = time.monotonic()
+    pages.blocks(html)
+    assert time.monotonic() - start < 20
+
+
+def test_halved_alignment_is_as_long(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(30))] for _ in range(2))
+        monkeypatch.setattr(pages, "ROW_BITS", 1 << 28)
+        want = len(pages.common(a, b))
+        monkeypatch.setattr(pages, "ROW_BITS", 8)
+        c = pages.common(a, b)
+        rest = iter(b)
+        assert len(c) == want and c == sorted(set(c)) and all(any(x == y for y in rest) for x in [a[k] for k in c])
