@@ -5,7 +5,8 @@ equal keys.  In a superstep the longest pending run of pieces sweeps to its succ
 pieces and gaps that meet there are matched by rank, the gaps shrink, and the step repeats.  Only where no gap is left
 does a run open new sequences.  The sweep needs run lengths alone (a histogram of at most ``capacity`` integers,
 whatever the input).  It yields ranges ``(length, ranks) -> (sequences, offset)``, and the pieces, ranked in Spark, find
-their place by a range join on their own length.
+their place by a range join on their own length; the plan is sent to all tasks where its size allows, so that a length
+that most pieces share is no hot key.
 
 Equal lengths are interchangeable, so this is best-fit decreasing over all pieces.  Defined results: null text is the
 empty document (its closing id alone); repeated rows are packed each; rows with one id share ``doc_id`` and keep their
@@ -29,6 +30,8 @@ from .session import ship, stored
 from .text import LOWER, prefix_sums, slices, span_hash, words
 
 CAPACITY = 4096
+SLICE = 1 << 20
+PLAN_ROWS = 1 << 18  # a plan of up to so many rows (48 bytes each) is sent to all tasks; a longer one is joined by length
 END_ID = 1
 CACHE_WORDS = 1_500_000  # distinct words whose ids a Python worker remembers; beyond it the memory starts anew
 
@@ -111,7 +114,7 @@ def _pieces(path: str, text: str, keep: list[str], capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _word_ids(path)
         for batch in batches:
-            for rows, data, offsets in slices(batch, text):
+            for rows, data, offsets in slices(batch, text, SLICE):
                 ids, counts = model.encode(data, offsets)
                 cut = np.r_[0, np.cumsum(counts)]
                 raw = data.tobytes()
@@ -202,8 +205,13 @@ def pack(pieces: DataFrame, *, length: str = "length", capacity: int = CAPACITY)
     counts = {int(r[0]): int(r[1]) for r in held.where("n > 0").groupBy("n").count().collect()}  # at most `capacity` rows
     if counts and max(counts) > capacity:
         raise ValueError(f"a piece of {max(counts)} exceeds the capacity {capacity}")
-    plan = spark.createDataFrame(sweep(counts, capacity), "l bigint, first bigint, past bigint, seq bigint, off bigint, per bigint")
-    local = F.row_number().over(Window.partitionBy("n", "part").orderBy(F.lit(0))) - 1
+    placed = sweep(counts, capacity)
+    plan = spark.createDataFrame(placed, "l bigint, first bigint, past bigint, seq bigint, off bigint, per bigint")
+    if len(placed) <= PLAN_ROWS:
+        plan = F.broadcast(plan)
+    # by content, so a part that is worked out again ranks alike; rows equal in all columns may change places
+    known = [F.col("row").getField(f.name) for f in held.schema["row"].dataType.fields if isinstance(f.dataType, T.AtomicType)]
+    local = F.row_number().over(Window.partitionBy("n", "part").orderBy(F.xxhash64(*known), *known)) - 1
     ranked = held.withColumn("rank", local).join(shift, F.col("n").eqNullSafe(F.col("sn")) & (F.col("part") == F.col("sp")), "left")
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("sb"))
     found = ranked.join(plan, (F.col("n") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")), "left")

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from .columns import fresh
 from .session import ship
+from .text import give_back
 
 # fixed values of the base patterns
 KINDS = ("assign", "access", "hex")
@@ -543,7 +544,9 @@ def _scan_all(limit: int | None):
             counts = [sum(1 for x in base if x[1] == k) for k in range(3)]
             out.append({"n_assign": counts[0], "n_access": counts[1], "n_hex": counts[2], "base_spans": _joined(base), "spans": _joined(spans), "n_unscanned": over})
         kind = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_spans", pa.string()), ("spans", pa.string()), ("n_unscanned", pa.int64())])
-        return pa.array(out, type=kind)
+        found = pa.array(out, type=kind)
+        give_back()
+        return found
 
     return run
 
@@ -578,6 +581,8 @@ def masked(text: Column | str, mark: str = "[SECRET]", limit: int | None = None)
     """The text with every found span (overlapping ones as one) replaced by ``mark``; null stays null."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_mask(t, mark, limit) for t in texts.to_pylist()], type=pa.string())
+        out = pa.array([_mask(t, mark, limit) for t in texts.to_pylist()], type=pa.string())
+        give_back()
+        return out
 
     return F.arrow_udf(run, "string").asNondeterministic()(text)

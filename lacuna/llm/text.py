@@ -6,6 +6,7 @@ Everything works on the UTF-8 bytes of whole texts.  Word separators are the six
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def give_back() -> None:
+    """Returns memory that nothing uses to the system: a worker lives through many stages, beside others' heaps."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """``(rows, data, offsets)`` for runs of rows holding about ``limit`` text bytes (one row at least).
 
@@ -66,6 +76,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         lo, hi = int(offsets[at]), int(offsets[to])
         yield batch.slice(at, to - at), data[lo:hi], offsets[at : to + 1] - lo
         at = to
+    del data, texts
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -422,3 +422,18 @@ def test_halved_alignment_is_as_long(monkeypatch):
         c = pages.common(a, b)
         rest = iter(b)
         assert len(c) == want and c == sorted(set(c)) and all(any(x == y for y in rest) for x in [a[k] for k in c])
+
+
+def test_packing_ranks_by_content(spark):
+    """One length for all pieces, rows of one id: places are gapless and the same in each run, sent plan or joined plan."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.lit(7).alias("length"), F.col("id").alias("nth"), F.create_map(F.lit("a"), "id").alias("m"))
+    runs = []
+    for rows in (packing.PLAN_ROWS, 0, 0):
+        packing.PLAN_ROWS, was = rows, packing.PLAN_ROWS
+        try:
+            got = packing.pack(df.repartition(3, "nth"), capacity=15).collect()
+        finally:
+            packing.PLAN_ROWS = was
+        runs.append(sorted((r["nth"], r["sequence_id"], r["offset"]) for r in got))
+    assert runs[0] == runs[1] == runs[2]
+    assert sorted((s, o) for _, s, o in runs[0]) == [(k // 2, 7 * (k % 2)) for k in range(3000)]
