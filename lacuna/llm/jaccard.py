@@ -3,11 +3,14 @@
 Jaccard distance is a metric, and so is the size of the symmetric difference; documents link at a distance of at most
 1 - ``percent`` / 100.  Documents with equal sets are one point.
 
-Regions.  The pivots of the first level are single shingles in hash order.  A point is as near to each of its own
-shingles as to any other and at distance 1 from all else, so its Voronoi region is that of its first shingle, ties going
-by the order.  Two linked points differ in few shingles, so a point reaches over its region's border only to its first
+Regions.  The pivots of the first level are single shingles in one common order: by hash, those that many windows hold
+behind all others.  A point is as near to each of its own shingles as to any other and at distance 1 from all else, so
+its Voronoi region is that of its first shingle, ties going by the order.  Two linked points differ in few shingles, so a point reaches over its region's border only to its first
 ``n / 5 + 1`` pivots: that window is replicated, and every linked pair meets in some region.  (Whole documents as
 first-level pivots leave almost all points at distance 1 from every pivot, and their windows would be the whole table.)
+Any common order keeps the windows exact.  Regions of shingles that many documents share (licences, templates) would
+grow with the corpus; they are counted first, and a bit set of the largest ones moves them back in every window, so
+such documents meet at rarer shingles, if at all.
 
 Inside a region the join recurses on documents.  Its smallest point is the pivot; the others whose size, place and
 sketches (lower bounds of the symmetric difference, by the triangle inequality) allow a link are compared with it
@@ -43,7 +46,13 @@ CLASSES = 32  # counts of a point's small sketch
 BITS = 2048  # parities of its large one
 BLOCK = 2048  # points of a region that one task pairs with each other
 GROUP = 1024  # points whose texts are compared in one place (two such blocks where more hang together)
+PAIRS = 8192  # pairs of two such blocks that one task compares
 FILTER_BITS = 22  # a bit set of this many address bits tells tasks which texts are needed
+COMMON = 32  # points beyond which a region's shingle may move back in the order
+MOVED = 1 << 18  # shingles that move back in a round, the commonest ones
+ROUNDS = 2  # how often regions are counted, the later times those of the windows that have changed
+COUNTED = 1 << 16  # a region's size, as far as it is told apart
+SEEN = 1 << 18  # sets that a task remembers
 SLICE = 1 << 20
 
 
@@ -81,7 +90,7 @@ def set_ids(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     if len(full):
         a = np.add.reduceat(mix(values + np.uint64(0x51ED270B)), start[:-1][full])
         b = np.add.reduceat(mix(values ^ np.uint64(0xC2B2AE3D27D4EB4F)), start[:-1][full])
-        out[full] = mix(a + mix(b) + np.diff(start)[full].astype(np.uint64)) | np.uint64(1)
+        out[full] = mix(a + mix(b) + np.diff(start)[full].astype(np.uint64)) | np.uint64(1 << 63)
     return out
 
 
@@ -125,23 +134,117 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["doc_id", "n", "f", "sketch", "parity"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(cell, f, np)`` for the first ``n / 5 + 1`` shingles of each set; ``np`` packs size and place."""
-    seen: set[int] = set()  # sets this task has passed on already: copies in one task count once
-    for batch in batches:
-        for _, data, offsets in slices(batch, "text", SLICE):
-            values, start = shingle_sets(data, offsets)
-            f, n = set_ids(values, start), np.diff(start)
-            new = np.zeros(len(f), dtype=bool)
-            for k, v in enumerate(f.tolist()):
-                if n[k] and v not in seen:
-                    seen.add(v)
-                    new[k] = True
-            reach = np.where(new, n - -(-n * PERCENT // 100) + 1, 0)
-            row = np.repeat(np.arange(len(f)), reach)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
-            yield pa.record_batch([pa.array(signed(values[start[:-1][row] + place])), pa.array(signed(f[row])), pa.array(n[row] << 32 | place)],
-                                  names=["cell", "f", "np"])
+def _ordered(values: np.ndarray, start: np.ndarray, moved: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in the common order, row by row, and each row's number of those that have moved back."""
+    n = len(start) - 1
+    if moved is None:
+        return values, np.zeros(n, dtype=np.int64)
+    back = _marked(moved, values)
+    count = np.r_[0, np.cumsum(back)]
+    own = count[start[1:]] - count[start[:-1]]
+    size = np.diff(start)
+    before = count[:-1] - np.repeat(count[start[:-1]], size)
+    to = np.where(back, np.repeat(start[1:] - own, size) + before, np.arange(len(values)) - before)
+    out = np.empty_like(values)
+    out[to] = values
+    return out, own
+
+
+def _window(n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of the first ``n / 5 + 1`` shingles of the rows ``which``, of sizes ``n``."""
+    reach = np.where(which, n - -(-n * PERCENT // 100) + 1, 0)
+    row = np.repeat(np.arange(len(n)), reach)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
+
+
+def _unseen(f: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows have a set that ``seen`` lacks, adding these: most copies in one task count once."""
+    if len(seen) > SEEN:
+        seen.clear()
+    new = np.zeros(len(f), dtype=bool)
+    for k, v in enumerate(f.tolist()):
+        if n[k] and v not in seen:
+            seen.add(v)
+            new[k] = True
+    return new
+
+
+def _windows(moved):
+    """``(cell, f, np)`` for the window of each set; ``np`` packs size and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, data, offsets in slices(batch, "text", SLICE):
+                values, start = shingle_sets(data, offsets)
+                f, n = set_ids(values, start), np.diff(start)
+                row, place = _window(n, _unseen(f, n, seen))
+                values, _ = _ordered(values, start, moved and moved.value)
+                yield pa.record_batch([pa.array(signed(values[start[:-1][row] + place])), pa.array(signed(f[row])), pa.array(n[row] << 32 | place)],
+                                      names=["cell", "f", "np"])
+
+    return run
+
+
+def _cells(moved):
+    """The cells of windows alone: of all sets, or of those that have a shingle that has moved back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, data, offsets in slices(batch, "text", SLICE):
+                values, start = shingle_sets(data, offsets)
+                f, n = set_ids(values, start), np.diff(start)
+                values, own = _ordered(values, start, moved and moved.value)
+                row, place = _window(n, _unseen(f, n, seen) & ((own > 0) if moved else True))
+                yield pa.record_batch([pa.array(signed(values[start[:-1][row] + place]))], names=["cell"])
+
+    return run
+
+
+def _common(least: int):
+    """``(cell, c)`` for cells that come more than ``least`` times; they come sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, times = 0, 0
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            if not len(cell):
+                continue
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            keys, count = cell[first], np.diff(np.r_[first, len(cell)])
+            if times and keys[0] == last:
+                count[0] += times
+            elif times:
+                keys, count = np.r_[last, keys], np.r_[times, count]
+            last, times = int(keys[-1]), int(count[-1])
+            many = np.flatnonzero(count[:-1] > least)
+            yield pa.record_batch([pa.array(keys[many]), pa.array(count[many])], names=["cell", "c"])
+        if times > least:
+            yield pa.record_batch([pa.array([last]), pa.array([times])], names=["cell", "c"])
+
+    return run
+
+
+def _moved_back(texts: DataFrame) -> np.ndarray | None:
+    """A bit set of the shingles that stand behind all others in the common order; none if no region is large."""
+    bits, sc = None, texts.sparkSession.sparkContext
+    for _ in range(ROUNDS):
+        shared = None if bits is None else sc.broadcast(bits)
+        cells = texts.mapInArrow(_cells(shared), "cell bigint").repartition("cell").sortWithinPartitions("cell")
+        sizes = stored(cells.mapInArrow(_common(COMMON), "cell bigint, c bigint"), "jaccard-common")
+        if shared is not None:
+            shared.destroy()
+        held = sizes.groupBy(F.least("c", F.lit(COUNTED)).alias("c")).agg(F.count("*").alias("cells")).toArrow()  # at most COUNTED rows
+        if not held.num_rows:
+            break
+        c, cells_ = held.column("c").to_numpy(), held.column("cells").to_numpy()
+        order = np.argsort(-c)
+        fit = int((np.cumsum(cells_[order]) <= MOVED).sum())
+        least = int(c[order][max(fit - 1, 0)])
+        found = _bit_set(sizes.where(F.col("c") >= least).select(F.col("cell").alias("f")))
+        bits = found if bits is None else bits | found
+    return bits
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -244,8 +347,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     group, sets = None, {}
     for batch in batches:
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-        kind, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+        keys = np.stack([batch.column(k).to_numpy() for k in range(4)])
+        kind, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6))
         cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0) | (kind[1:] != kind[:-1])]) if len(kind) else []
         for lo, hi in zip(cuts, [*cuts[1:], len(kind)]):
             own = tuple(keys[:, lo].tolist())
@@ -299,15 +402,15 @@ def components(links: DataFrame, tag: str = "jaccard") -> DataFrame:
 
 
 def _bit_set(sets: DataFrame) -> np.ndarray:
-    """Packed bits of the leading ``FILTER_BITS`` of the identifiers ``f``: a filter of bounded size for scans."""
-    bits = sets.select(F.shiftrightunsigned("f", 64 - FILTER_BITS).alias("k")).distinct().toArrow()  # at most 2 ** FILTER_BITS
+    """Packed bits of the last ``FILTER_BITS`` of the hashes ``f``: a filter of bounded size for scans."""
+    bits = sets.select(F.col("f").bitwiseAND((1 << FILTER_BITS) - 1).alias("k")).distinct().toArrow()  # at most 2 ** FILTER_BITS
     flags = np.zeros(1 << FILTER_BITS, dtype=bool)
     flags[bits.column("k").to_numpy()] = True
     return np.packbits(flags)
 
 
-def _may_hold(bits: np.ndarray, f: np.ndarray) -> np.ndarray:
-    at = (f >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _marked(bits: np.ndarray, f: np.ndarray) -> np.ndarray:
+    at = (f & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -329,7 +432,8 @@ class _Comparer:
         """Those of the pairs that link, written once.
 
         Pairs that hang together are compared in one place, so a text travels once and not for each of its pairs; where
-        more than ``GROUP`` points hang together, they are dealt into blocks, and a place holds two blocks.
+        more than ``GROUP`` points hang together, they are dealt into blocks, and a place holds two blocks; where these
+        have more than ``PAIRS`` pairs, the pairs are dealt over several places.
         """
         pairs = self.near(pairs)
         self._fetch(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct())
@@ -339,6 +443,10 @@ class _Comparer:
         i, j = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
         placed = stored(placed.select("root", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b"), "jaccard-placed")
         place = ["root", "i", "j"]
+        sizes = placed.groupBy(*place).agg(F.ceil(F.count("*") / F.lit(PAIRS)).cast("bigint").alias("deals"))
+        many = sizes.where("deals > 1")
+        placed = placed.join(many, place, "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("deals")), F.lit(0))).drop("deals")
+        place.append("deal")
         ends = placed.select(*place, F.col("a").alias("f")).union(placed.select(*place, "b")).distinct().join(self.texts, "f")
         none = F.lit(None)
         rows = ends.select(*place, F.lit(0).alias("kind"), F.col("f").alias("a"), F.lit(0).cast("bigint").alias("b"), "text").unionByName(
@@ -357,10 +465,12 @@ class _Comparer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             want, seen = shared.value, set()
             for batch in batches:
+                if len(seen) > SEEN:
+                    seen.clear()
                 for rows, data, offsets in slices(batch, "text", SLICE):
                     f = set_ids(*shingle_sets(data, offsets))
                     take = []
-                    for k in np.flatnonzero(_may_hold(want, f) & (f != 0)).tolist():
+                    for k in np.flatnonzero(_marked(want, f) & (f != 0)).tolist():
                         if int(f[k]) not in seen:
                             seen.add(int(f[k]))
                             take.append(k)
@@ -369,6 +479,7 @@ class _Comparer:
 
         found = self.docs.select("text").mapInArrow(run, "f bigint, text string")
         found = stored(found.join(sets, "f", "left_semi").dropDuplicates(["f"]), "jaccard-texts")
+        shared.destroy()
         self.texts = found if self.texts is None else self.texts.unionByName(found)
 
 
@@ -431,9 +542,13 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, links: bool = False) -> Dat
     points = signs.where("n > 0").groupBy("f").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity"))
     comparer = _Comparer(rows, points)
 
-    cells = rows.select("text").mapInArrow(_windows, "cell bigint, f bigint, np bigint")
+    moved = _moved_back(rows.select("text"))
+    shared = None if moved is None else docs.sparkSession.sparkContext.broadcast(moved)
+    cells = rows.select("text").mapInArrow(_windows(shared), "cell bigint, f bigint, np bigint")
     cells = cells.repartition("cell").sortWithinPartitions("cell", "np", "f")
     cells = stored(cells.mapInArrow(_regions, "cell bigint, f bigint, np bigint, pivot bigint, pivot_np bigint"), "jaccard-regions")
+    if shared is not None:
+        shared.destroy()
     if links:
         found = comparer.links(_blocked(cells.select("cell", "f", "np", F.col("f").alias("class")), points))
         return _named(signs, components(found), _partners(found, signs))
@@ -498,7 +613,7 @@ def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(_bit_set(several))
 
     def grouped(sets: pa.Array) -> pa.Array:
-        return pa.array(_may_hold(shared.value, sets.to_numpy().view(np.uint64)))
+        return pa.array(_marked(shared.value, sets.to_numpy().view(np.uint64)))
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), set_id(F.col(text)).alias("set"))
     rows = rows.withColumn("grouped", F.arrow_udf(grouped, "boolean").asNondeterministic()("set"))

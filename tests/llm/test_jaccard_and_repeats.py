@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lacuna.llm import jaccard, repeats
@@ -38,6 +39,37 @@ def test_classes_equal_brute_force(make, seed):
     assert len(got) == len(docs)
 
 
+@pytest.mark.parametrize("common", [1, 6])
+def test_common_shingles_move_back(make, monkeypatch, common):
+    """Shingles of large regions stand last in every window; classes stay as they are."""
+    texts = near_corpus(4, 150)
+    docs = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    rows = make([{"doc_id": d, "text": t} for d, t in docs])
+    assert jaccard._moved_back(rows.select("text")) is not None
+    got = jaccard.jaccard_classes(rows).collect()
+    want = {d: w for (d, _), w in zip(docs, brute.classes(docs))}
+    assert all((r["n_shingles"], r["component_id"]) == (want[r["doc_id"]][0], want[r["doc_id"]][1] if r["n_shingles"] else r["doc_id"]) for r in got)
+
+
+def test_common_order_keeps_rows(spark):
+    values, start = jaccard.shingle_sets(*_arrays(["a b c d e f g h", "", "a b c d e f x y", "q"]))
+    both = set(values[: start[1]]) & set(values[start[2] : start[3]])
+    bits = jaccard._bit_set(spark.createDataFrame([(int(v.astype("int64")),) for v in both], "f bigint"))
+    got, own = jaccard._ordered(values, start, bits)
+    assert own.tolist() == [2, 0, 2, 0]
+    for k in range(4):
+        row = got[start[k] : start[k + 1]]
+        assert sorted(row) == sorted(values[start[k] : start[k + 1]])
+        assert list(row) == sorted(row, key=lambda v: (v in both, v))
+
+
+def _arrays(texts):
+    data = "".join(texts).encode()
+    return np.frombuffer(data, dtype=np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+
+
 def test_links_equal_brute_force(make, monkeypatch):
     """Every row has its number of links, also those between points of one class and copies."""
     texts = near_corpus(3, 120) + [None, "", "One two", "one TWO"]
