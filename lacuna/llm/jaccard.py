@@ -134,11 +134,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["doc_id", "n", "f", "sketch", "parity"])
 
 
-def _ordered(values: np.ndarray, start: np.ndarray, moved: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in the common order, row by row, and each row's number of those that have moved back."""
-    n = len(start) - 1
+def _ordered(values: np.ndarray, start: np.ndarray, moved: np.ndarray | None) -> np.ndarray:
+    """Shingles in the common order, row by row; those of the bit set ``moved`` come last."""
     if moved is None:
-        return values, np.zeros(n, dtype=np.int64)
+        return values
     back = _marked(moved, values)
     count = np.r_[0, np.cumsum(back)]
     own = count[start[1:]] - count[start[:-1]]
@@ -147,7 +146,7 @@ def _ordered(values: np.ndarray, start: np.ndarray, moved: np.ndarray | None) ->
     to = np.where(back, np.repeat(start[1:] - own, size) + before, np.arange(len(values)) - before)
     out = np.empty_like(values)
     out[to] = values
-    return out, own
+    return out
 
 
 def _window(n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +178,7 @@ def _windows(moved):
                 values, start = shingle_sets(data, offsets)
                 f, n = set_ids(values, start), np.diff(start)
                 row, place = _window(n, _unseen(f, n, seen))
-                values, _ = _ordered(values, start, moved and moved.value)
+                values = _ordered(values, start, moved and moved.value)
                 yield pa.record_batch([pa.array(signed(values[start[:-1][row] + place])), pa.array(signed(f[row])), pa.array(n[row] << 32 | place)],
                                       names=["cell", "f", "np"])
 
@@ -187,7 +186,10 @@ def _windows(moved):
 
 
 def _cells(moved):
-    """The cells of windows alone: of all sets, or of those that have a shingle that has moved back."""
+    """The last 32 bits of the cells of windows: of all sets, or of those whose window a shingle has moved out of.
+
+    Sizes decide the order alone, so cells that agree in these bits may count as one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -195,9 +197,13 @@ def _cells(moved):
             for _, data, offsets in slices(batch, "text", SLICE):
                 values, start = shingle_sets(data, offsets)
                 f, n = set_ids(values, start), np.diff(start)
-                values, own = _ordered(values, start, moved and moved.value)
-                row, place = _window(n, _unseen(f, n, seen) & ((own > 0) if moved else True))
-                yield pa.record_batch([pa.array(signed(values[start[:-1][row] + place]))], names=["cell"])
+                row, place = _window(n, _unseen(f, n, seen))
+                if moved:
+                    changed = np.zeros(len(n), dtype=bool)
+                    changed[row[_marked(moved.value, values[start[:-1][row] + place])]] = True
+                    values = _ordered(values, start, moved.value)
+                    row, place = _window(n, changed)
+                yield pa.record_batch([pa.array(values[start[:-1][row] + place].astype(np.uint32).view(np.int32))], names=["cell"])
 
     return run
 
@@ -216,12 +222,12 @@ def _common(least: int):
             if times and keys[0] == last:
                 count[0] += times
             elif times:
-                keys, count = np.r_[last, keys], np.r_[times, count]
+                keys, count = np.r_[np.int32(last), keys], np.r_[times, count]
             last, times = int(keys[-1]), int(count[-1])
             many = np.flatnonzero(count[:-1] > least)
             yield pa.record_batch([pa.array(keys[many]), pa.array(count[many])], names=["cell", "c"])
         if times > least:
-            yield pa.record_batch([pa.array([last]), pa.array([times])], names=["cell", "c"])
+            yield pa.record_batch([pa.array([last], type=pa.int32()), pa.array([times])], names=["cell", "c"])
 
     return run
 
@@ -231,8 +237,8 @@ def _moved_back(texts: DataFrame) -> np.ndarray | None:
     bits, sc = None, texts.sparkSession.sparkContext
     for _ in range(ROUNDS):
         shared = None if bits is None else sc.broadcast(bits)
-        cells = texts.mapInArrow(_cells(shared), "cell bigint").repartition("cell").sortWithinPartitions("cell")
-        sizes = stored(cells.mapInArrow(_common(COMMON), "cell bigint, c bigint"), "jaccard-common")
+        cells = texts.mapInArrow(_cells(shared), "cell int").repartition("cell").sortWithinPartitions("cell")
+        sizes = stored(cells.mapInArrow(_common(COMMON), "cell int, c bigint"), "jaccard-common")
         if shared is not None:
             shared.destroy()
         held = sizes.groupBy(F.least("c", F.lit(COUNTED)).alias("c")).agg(F.count("*").alias("cells")).toArrow()  # at most COUNTED rows
@@ -539,7 +545,7 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, links: bool = False) -> Dat
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     signs = stored(rows.mapInArrow(_signatures, f"doc_id {kind}, n bigint, f bigint, sketch binary, parity binary"), "jaccard-signs")
-    points = signs.where("n > 0").groupBy("f").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity"))
+    points = stored(signs.where("n > 0").groupBy("f").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity")), "jaccard-sets")
     comparer = _Comparer(rows, points)
 
     moved = _moved_back(rows.select("text"))

@@ -57,8 +57,7 @@ def test_common_order_keeps_rows(spark):
     values, start = jaccard.shingle_sets(*_arrays(["a b c d e f g h", "", "a b c d e f x y", "q"]))
     both = set(values[: start[1]]) & set(values[start[2] : start[3]])
     bits = jaccard._bit_set(spark.createDataFrame([(int(v.astype("int64")),) for v in both], "f bigint"))
-    got, own = jaccard._ordered(values, start, bits)
-    assert own.tolist() == [2, 0, 2, 0]
+    got = jaccard._ordered(values, start, bits)
     for k in range(4):
         row = got[start[k] : start[k + 1]]
         assert sorted(row) == sorted(values[start[k] : start[k + 1]])
