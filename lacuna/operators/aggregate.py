@@ -8,7 +8,8 @@ back only when a caller asks for members.
 * minA (certain): the blocks are the complete patterns themselves - a single
   partial aggregate, no join.
 * maxA (possible): cheap patterns expanded to their value tuples, costly
-  ones folded (``blocks``), over packed keys (``codes``); or a left fold of
+  ones folded (``blocks``), over packed keys (``codes``); where only stats
+  are asked for, summed attribute by attribute (``lattice``); or a left fold of
   ``refine`` over the attributes, with content dedupe after every step and
   the lineage cut by a written table.
 """
@@ -23,6 +24,7 @@ from lacuna.functions.missing import MISSING, is_complete
 from lacuna.functions.setstats import STATS, fingerprint, merge_stats, object_stats
 from lacuna.operators.blocks import EXPAND_FACTOR, EXPAND_MIN, EXPAND_PER_PATTERN, Blocks, Cost, by_content, find_blocks, fold, guard, measure
 from lacuna.operators.codes import Coding, dictionary
+from lacuna.operators.lattice import lattice
 from lacuna.operators.sets import distinct_family, refine
 from lacuna.plans.tuning import BROADCAST_ROWS, cut_lineage, split_hot_join
 
@@ -174,15 +176,30 @@ def aggregate_possible_expand(pats: DataFrame, attrs: list[str], dom: dict[str,
     return rows if not distinct else by_content(rows)
 
 
-def coded_blocks(pats: DataFrame, coding: Coding, attrs: list[str], method: str = "auto", max_rows: int | None = None) -> Blocks | None:
+def coded_blocks(pats: DataFrame, coding: Coding, attrs: list[str], method: str = "auto", max_rows: int | None = None,
+                 cost: Cost | None = None) -> Blocks | None:
     """The blocks of coded patterns ``(u, stats)``; None where the heavy masks are too many to look up."""
-    cost = measure(pats, coding, attrs)
-    guard(cost, max_rows)
+    if cost is None:
+        cost = measure(pats, coding, attrs)
+        guard(cost, max_rows)
     if method == "expand":
         cost.light = None
     return find_blocks(pats, coding, attrs, cost)
 
 
+def possible_stats(pats: DataFrame, attrs: list[str], coding: Coding, max_rows: int | None = None) -> DataFrame | None:
+    """``(cid, stats)`` of the blocks of maxA where no one asks for memberships (``lattice``); a set may come twice.
+
+    None where value tuples are too many: ``aggregate_possible`` then seeks the blocks.
+    """
+    if not coding.fits:
+        return None
+    cost = measure(pats.withColumnRenamed("pid", "u"), coding, attrs)
+    guard(cost, max_rows)
+    found = lattice(coding, attrs, cost)
+    return found.sums(pats.withColumnRenamed("pid", "u")) if found is not None else None
+
+
 def aggregate_possible(pats: DataFrame, attrs: list[str], cut: bool = True,
                        method: str = "auto", broadcast_domains: bool = True,
                        distinct: bool = True, coding: Coding | None = None, max_rows: int | None = None) -> DataFrame:

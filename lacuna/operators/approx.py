@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from lacuna.functions.missing import MISSING
 from lacuna.functions.setstats import FINGERPRINT, STATS, fingerprint, merge_stats, object_stats
 from lacuna.operators.aggregate import aggregate_possible, coded_blocks, coded_patterns, pattern_units
-from lacuna.operators.blocks import Blocks, fold
+from lacuna.operators.blocks import Blocks, fold, guard, measure
 from lacuna.operators.codes import Coding, dictionary
+from lacuna.operators.lattice import Lattice, lattice
 from lacuna.operators.sets import as_family, containment_join, family_stats
 from lacuna.plans import tuning
 from lacuna.plans.tuning import cut_lineage, split_hot_join
@@ -57,6 +58,7 @@ class TableParts:
     maxst: DataFrame | None  # cid, stats of each max block
     link: DataFrame | None  # u, cid: the max block of each complete pattern
     objects: Callable[[], DataFrame]  # u, obj; built where members are asked for
+    tuples: Lattice | None = None  # in place of blocks and fam where only stats are asked for
 
     @property
     def units(self) -> DataFrame:
@@ -84,14 +86,22 @@ class FastParts:
 
 
 def table_parts(pats: DataFrame, attrs: list[str], units: Callable[[], DataFrame], coding: Coding | None = None, cut: bool = True,
-                need_max: bool = True, method: str = "auto", max_rows: int | None = None) -> TableParts:
-    """``pats``: (u, stats).  ``u`` is the packed key of ``coding``, or without one the struct of the values."""
+                need_max: bool = True, method: str = "auto", max_rows: int | None = None, members: bool = True) -> TableParts:
+    """``pats``: (u, stats).  ``u`` is the packed key of ``coding``, or without one the struct of the values.
+
+    Without ``members`` the blocks' stats are summed by attributes where that is bounded (``lattice``).
+    """
     comp = pats.where(coding.complete() if coding is not None else complete_key(attrs)).select("u", *STATS)
     if not need_max:  # only CU requested: maxA is not needed at all
         return TableParts(pats, comp, None, None, None, None, units)
     found = fam = None
     if coding is not None:
-        found = coded_blocks(pats, coding, attrs, method, max_rows)
+        cost = measure(pats, coding, attrs)
+        guard(cost, max_rows)
+        tuples = lattice(coding, attrs, cost) if method == "auto" and not members else None
+        if tuples is not None:
+            return TableParts(pats, comp, None, None, tuples.sums(pats), comp.select("u", F.col("u").alias("cid")), units, tuples)
+        found = coded_blocks(pats, coding, attrs, method, max_rows, cost)
         if found is None:
             fam = fold(pats, coding, attrs)[0]
     else:
@@ -116,8 +126,9 @@ def target_parts(tp: TableParts, xo: Callable[[], DataFrame], xp: DataFrame, cut
     blocks, merged over their few targets, so no kind joins them again.
     """
     mx, whole = None, by is not None and need_mx
-    if need_mx and tp.fam is not None:
-        mx = tp.memberships(by if whole else xp).groupBy("cid", "d").agg(*merge_stats())
+    if need_mx and tp.maxst is not None:
+        rows = by if whole else xp
+        mx = tp.tuples.sums(rows, ("d",)) if tp.tuples is not None else tp.memberships(rows).groupBy("cid", "d").agg(*merge_stats())
         if whole:
             w = Window.partitionBy("cid")
             mx = mx.select("*", *[c.over(w).alias(f"w_{k}") for k, c in zip(STATS, plain_merge())])
@@ -166,7 +177,7 @@ def coded_table(pdf: DataFrame, attrs: list[str], method: str = "auto") -> tuple
 
 
 def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut: bool = True,
-               kinds: tuple[str, ...] = KINDS, method: str = "auto", max_rows: int | None = None) -> FastParts:
+               kinds: tuple[str, ...] = KINDS, method: str = "auto", max_rows: int | None = None, members: bool = True) -> FastParts:
     """Shared intermediate frames of the fast path.
 
     ``pdf`` is prepared (``obj`` + normalized attributes).  ``targets`` is
@@ -179,7 +190,7 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
     column the pattern stats are merged from it (the targets partition the
     objects); everything after runs on patterns.
     Only the parts the requested ``kinds`` need are built: CU needs no maxA,
-    CL no max ∩ X.
+    CL no max ∩ X.  ``members``: whether ``fast_members`` will be asked for.
     """
     bad = set(kinds) - set(KINDS)
     if bad:
@@ -208,7 +219,7 @@ def fast_parts(pdf: DataFrame, attrs: list[str], targets: str | DataFrame, cut:
         of, xp = external_targets(own, targets)
         pstats = own.groupBy("u").agg(*object_stats("obj"))
         units, xo = lambda: own, lambda: of
-    tp = table_parts(pstats, attrs, units, coding, cut=cut, need_max=need_max, method=method, max_rows=max_rows)
+    tp = table_parts(pstats, attrs, units, coding, cut=cut, need_max=need_max, method=method, max_rows=max_rows, members=members)
     return target_parts(tp, xo, xp, cut=cut, need_mx=mx_readers > 0, mx_readers=mx_readers, by=by)
 
 
@@ -224,7 +235,7 @@ def fast_sets(p: FastParts, kinds: tuple[str, ...] = KINDS) -> dict[str, DataFra
     out: dict[str, DataFrame] = {}
     own = None
     if {"CL", "PL"} & set(kinds):  # the max block of each complete pattern inside its target
-        own = p.inside.withColumn("cid", F.col("u")) if p.table.blocks is not None else p.inside.join(p.table.link, "u")
+        own = p.inside.withColumn("cid", F.col("u")) if p.table.blocks is not None or p.table.tuples is not None else p.inside.join(p.table.link, "u")
     if "CL" in kinds:
         size = p.mx.select("cid", "d", F.col("w_n").alias("mn")) if p.whole else p.table.maxst.select("cid", F.col("n").alias("mn"))
         out["CL"] = own.join(size, ["cid", "d"] if p.whole else ["cid"]).where(F.col("mn") == F.col("n")).select("d", *STATS, "u")
@@ -284,7 +295,10 @@ def fast_coverage(p: FastParts, sets: dict[str, DataFrame]) -> dict[str, DataFra
     if "PU" in sets:  # all blocks that meet X_d, the repeated sets too: what they cover is the same
         marks[-1] = p.mx.select("d", "cid", F.lit(False).alias("pl"))
     held = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1]).groupBy("d", "cid").agg(F.max("pl").alias("pl"))
-    du = held.join(p.table.fam.select("cid", "u"), "cid").groupBy("d", "u").agg(F.max("pl").alias("pl"))
+    if p.table.tuples is not None:
+        du = p.table.tuples.below(held, ("d",), "pl")
+    else:
+        du = held.join(p.table.fam.select("cid", "u"), "cid").groupBy("d", "u").agg(F.max("pl").alias("pl"))
     if "PU" in sets:
         cov["PU"] = du.join(p.table.pats.select("u", "n"), "u").groupBy("d").agg(F.sum("n").alias("n_objects"))
     if "PL" in sets:

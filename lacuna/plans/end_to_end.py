@@ -16,7 +16,7 @@ from lacuna.functions.setstats import DIGEST, fingerprint
 from lacuna.operators import approx as _approx
 from lacuna.operators import classes as _classes
 from lacuna.operators.aggregate import aggregate as _aggregate
-from lacuna.operators.aggregate import aggregate_status, coded_patterns, pattern_units, patterns
+from lacuna.operators.aggregate import aggregate_status, coded_patterns, pattern_units, patterns, possible_stats
 from lacuna.operators.blocks import by_content
 from lacuna.operators.sets import distinct_sets, family_members, family_stats
 from lacuna.plans.tuning import cut_lineage
@@ -52,6 +52,9 @@ def aggregate(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain",
         pats, coding = cut_lineage(patterns(pdf, attrs), tag="pats"), None  # read once per attribute
     else:
         pats, coding = coded_patterns(pdf, attrs)
+    stats = possible_stats(pats, attrs, coding, max_rows) if method == "auto" and not members else None
+    if stats is not None:
+        return distinct_sets(stats, []).select(fingerprint().alias("class_id"), *DIGEST)
     fam = _aggregate(pats, attrs, kind, distinct=members and not verify, method=method, coding=coding, max_rows=max_rows)
     if members:
         fam = by_content(fam, verify=True) if verify else fam
@@ -90,12 +93,12 @@ def status(df: DataFrame, obj: str, attrs: list[str], kind: str = "certain") ->
     return aggregate_status(fam, label)
 
 
-def _parts(df, obj, attrs, targets, kinds=_approx.KINDS, method="auto", max_rows=None):
+def _parts(df, obj, attrs, targets, kinds=_approx.KINDS, method="auto", max_rows=None, members=False):
     if isinstance(targets, str):
         pdf, names = _internal(df, obj, attrs, targets)
-        return _approx.fast_parts(pdf, names, "_target", kinds=kinds, method=method, max_rows=max_rows)
+        return _approx.fast_parts(pdf, names, "_target", kinds=kinds, method=method, max_rows=max_rows, members=members)
     pdf, names = _internal(df, obj, attrs)
-    return _approx.fast_parts(pdf, names, targets, kinds=kinds, method=method, max_rows=max_rows)
+    return _approx.fast_parts(pdf, names, targets, kinds=kinds, method=method, max_rows=max_rows, members=members)
 
 
 def approximate(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFrame,
@@ -112,7 +115,7 @@ def approximate(df: DataFrame, obj: str, attrs: list[str], targets: str | DataFr
     ``max_rows`` caps its estimated cost (``aggregate``; CU alone needs no maxA).
     """
     kinds = tuple(kinds) if kinds else _approx.KINDS
-    p = _parts(df, obj, attrs, targets, kinds, method, max_rows)
+    p = _parts(df, obj, attrs, targets, kinds, method, max_rows, members)
     sets = _approx.fast_sets(p, kinds)
     if members:
         m = _approx.fast_members(p, sets)
