@@ -10,11 +10,13 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from lacuna.llm import fingerprints, mixing, packing, pages, queries, rules, secret_scan
+from lacuna.llm import text as text_views
 from tests.llm import brute
 
 ODD = [None, "", "   ", "\n\n", "one", "a\n\na\nb a", "x " * 30, "é" * 50, "w " * 5000, "A b\tc\x0bd\x0ce\rf"]
@@ -437,3 +439,16 @@ def test_packing_ranks_by_content(spark):
         runs.append(sorted((r["nth"], r["sequence_id"], r["offset"]) for r in got))
     assert runs[0] == runs[1] == runs[2]
     assert sorted((s, o) for _, s, o in runs[0]) == [(k // 2, 7 * (k % 2)) for k in range(3000)]
+
+
+def test_workers_keep_little_memory():
+    """Rules work on small slices of a batch, and powers made for one long text go with it."""
+    sizes = []
+    batch = pa.record_batch([pa.array(["word " * 1000] * 700)], names=["t"])
+    for _, data, _ in text_views.slices(batch, "t"):
+        sizes.append(len(data))
+    assert max(sizes) <= 1 << 20 and sum(sizes) == 5000 * 700
+    long = pa.record_batch([pa.array(["word " * 500_000])], names=["t"])
+    for _, data, offsets in text_views.slices(long, "t"):
+        rules.text_counts(data, offsets)
+    assert all(len(p) <= text_views.KEPT_POWERS for p in text_views._powers.values())
