@@ -43,7 +43,7 @@ FREQUENT = 1 << 16
 HELD = 1 << 19  # distinct keys that a counting task holds before it passes them on
 SPLIT = 3  # bytes of context by which the tree is shared out
 CHUNK = 1 << 15  # runs that a tree-building task takes at once, more only within one group
-SLICE = 1 << 20
+SLICE = 1 << 18  # text bytes handled at once; numpy temporaries are about 200 bytes for each
 TIMES = 1 << 16  # a run's frequency, as far as it is told apart
 
 END = np.uint64(0x5E17E5A1D0C0FFEE)  # the end token's key among word hashes

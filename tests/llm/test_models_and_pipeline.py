@@ -216,3 +216,22 @@ def test_queries_with_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     assert sorted(df.columns) == columns
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == want
+
+
+def test_scoring_takes_small_slices(monkeypatch):
+    """A scoring task's arrays are those of a small slice; scores do not depend on it."""
+    texts = ["some words of text %d " % k * 60 for k in range(700)]
+    batch = pa.record_batch([pa.array(range(700)), pa.array(range(700)), pa.array([False] * 700), pa.array(texts)], names=["doc_id", "uid", "held_out", "text"])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    runs = np.unique(ctw._grams(data, np.r_[0, np.cumsum([len(t) for t in texts])])[0])
+    sizes, grams = [], ctw._grams
+    monkeypatch.setattr(ctw, "_grams", lambda d, o: sizes.append(len(d)) or grams(d, o))
+
+    def scores():
+        made = ctw._score(runs, np.linspace(-1, 0, len(runs)), np.zeros(0, np.uint64), np.zeros(0), 1.0)(iter([batch]))
+        return np.concatenate([b.column(6).to_numpy() for b in made])
+
+    small = scores()
+    assert max(sizes) <= 1 << 18
+    monkeypatch.setattr(ctw, "SLICE", 1 << 22)
+    assert np.allclose(small, scores(), rtol=1e-8)
