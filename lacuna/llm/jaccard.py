@@ -14,10 +14,11 @@ such documents meet at rarer shingles, if at all.
 
 Inside a region the join recurses on documents.  Its smallest point is the pivot; the others whose size, place and
 sketches (lower bounds of the symmetric difference, by the triangle inequality) allow a link are compared with it
-exactly, and those within the radius join its class.  The same is done once more with one point of each class.  A region
-whose points are all in one class is done, which ends large groups of near copies after few comparisons for each point.
-Points of different classes in what is left are paired in blocks of bounded size, pruned by the same windows, and
-compared exactly.  Classes are the connected components of all links, found by contraction.
+exactly, and those within the radius join its class.  The same is done once more with one point of each class, and
+regions that still hold many classes draw other pivots, each its own.  A region whose points are all in one class is
+done, which ends large groups of near copies after few comparisons for each point.  Points of different classes in what
+is left are paired in blocks of bounded size, pruned by the same windows, and compared exactly.  Classes are the
+connected components of all links, found by contraction.
 
 Where the links themselves are asked for, no pair may be left out because its points are in one class: all points of a
 region are paired in the blocks, and no balls are made.
@@ -42,8 +43,7 @@ from .text import LOWER, mix, signed, slices, windows, word_hashes, words
 
 WIDTH = 5
 PERCENT = 80
-CLASSES = 32  # counts of a point's small sketch
-BITS = 2048  # parities of its large one
+BITS = 2048  # parities of a point's large sketch; the small one has half as many
 BLOCK = 2048  # points of a region that one task pairs with each other
 GROUP = 1024  # points whose texts are compared in one place (two such blocks where more hang together)
 PAIRS = 8192  # pairs of two such blocks that one task compares
@@ -52,6 +52,8 @@ COMMON = 32  # points beyond which a region's shingle may move back in the order
 MOVED = 1 << 18  # shingles that move back in a round, the commonest ones
 ROUNDS = 2  # how often regions are counted, the later times those of the windows that have changed
 COUNTED = 1 << 16  # a region's size, as far as it is told apart
+CROWD = 64  # classes beyond which a region draws pivots before its points are paired
+DRAWS = 3  # how often it does, as long as that finds links
 SEEN = 1 << 18  # sets that a task remembers
 SLICE = 1 << 20
 
@@ -94,13 +96,6 @@ def set_ids(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    n = len(start) - 1
-    row = np.repeat(np.arange(n), np.diff(start))
-    at = row * CLASSES + (values & np.uint64(CLASSES - 1)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=n * CLASSES), 65535).astype(np.uint16).reshape(n, CLASSES)
-
-
 def _parities(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether an odd number of a set's shingles fall into each of ``BITS`` classes, packed.
 
@@ -119,6 +114,12 @@ def _parities(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, BITS // 8), dtype=np.uint8)
 
 
+def _folded(parity: np.ndarray) -> np.ndarray:
+    """Parities of half as many classes, each the union of two: still at most the symmetric difference apart."""
+    half = parity.shape[1] // 2
+    return parity[:, :half] ^ parity[:, half:]
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     body = np.ascontiguousarray(rows)
     width = body.shape[1] * body.itemsize
@@ -129,8 +130,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in slices(batch, "text", SLICE):
             values, start = shingle_sets(data, offsets)
+            parity = _parities(values, start)
             yield pa.record_batch([rows.column(0), pa.array(np.diff(start)), pa.array(signed(set_ids(values, start))),
-                                   _binary(_sketches(values, start)), _binary(_parities(values, start))],
+                                   _binary(_folded(parity)), _binary(parity)],
                                   names=["doc_id", "n", "f", "sketch", "parity"])
 
 
@@ -306,7 +308,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def join(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cell, part, f, sizes, group, block = (rows.column(c).to_numpy() for c in ("cell", "part", "f", "np", "class", "block"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, CLASSES)
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 128)
         n, place = sizes >> 32, sizes & 0xFFFFFFFF
         i = np.arange(len(cell))
         for step in range(1, len(cell)):
@@ -323,7 +325,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = i[ok], j[ok]
             for k in range(0, len(a), 1 << 17):
                 x, y = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
-                apart = np.abs(sketch[x].astype(np.int32) - sketch[y].astype(np.int32)).sum(axis=1)
+                apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
                 total = n[x] + n[y]
                 fit = apart <= total - 2 * (-(-PERCENT * total // (100 + PERCENT)))
                 if fit.any():
@@ -507,6 +509,13 @@ def _balls(cells: DataFrame) -> DataFrame:
     return star.select(F.least("f", "pivot").alias("a"), F.greatest("f", "pivot").alias("b")).distinct()
 
 
+def _between(marked: DataFrame, order: Column, least: int) -> DataFrame:
+    """One point of each class of a region, the first by ``order``, beside the first of all, where a region has more than ``least`` classes."""
+    ones = marked.groupBy("cell", "class").agg(F.min(F.struct(order.alias("o"), "f", "np")).alias("x"))
+    heads = ones.groupBy("cell").agg(F.min("x").alias("y"), F.count("*").alias("c")).where(F.col("c") > least)
+    return ones.join(heads, "cell").select("x.f", "x.np", F.col("y.f").alias("pivot"), F.col("y.np").alias("pivot_np"))
+
+
 def _blocked(marked: DataFrame, points: DataFrame) -> DataFrame:
     """Distinct pairs of points of different classes that meet in a region, from rows ``(cell, f, np, class)``."""
     mixed = marked.groupBy("cell").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("c")).where("x <> y")
@@ -561,22 +570,32 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, links: bool = False) -> Dat
     found = comparer.links(_balls(cells))
     classes = components(found)
 
-    def marked() -> DataFrame:
+    def marked(cells: DataFrame) -> DataFrame:
         named = cells.select("cell", "f", "np").join(classes.select(F.col("node").alias("f"), "root"), "f", "left")
         return named.select("cell", "f", "np", F.coalesce("root", "f").alias("class"))
 
     # once more on one point of each class in a region: what lies between the balls of a group joins them
-    ones = marked().groupBy("cell", "class").agg(F.min(F.struct("np", "f")).alias("x"))
-    heads = ones.groupBy("cell").agg(F.min("x").alias("y"), F.count("*").alias("c")).where("c > 1")
-    between = ones.join(heads, "cell").select("x.f", "x.np", F.col("y.f").alias("pivot"), F.col("y.np").alias("pivot_np"))
-    more = comparer.links(_balls(between))
+    more = comparer.links(_balls(_between(marked(cells), F.col("np"), 1)))
     if not more.isEmpty():
         found = found.union(more)
         classes = components(found)
 
+    # a large group of near copies may link with few of its smallest points: its regions draw a pivot each, so every point
+    # meets as many as it has regions, and the pairs grow with the points and not with their square
+    large = cells.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("cell")
+    crowd = stored(cells.select("cell", "f", "np").join(large, "cell", "left_semi"), "jaccard-crowd")
+    for k in range(DRAWS):
+        drawn = stored(_between(marked(crowd), F.xxhash64(F.lit(k), "cell", "f"), CROWD), "jaccard-drawn")
+        if drawn.isEmpty():
+            break
+        more = comparer.links(_balls(drawn))
+        if more.isEmpty():
+            break
+        found = found.union(more)
+        classes = components(found)
+
     # what is left: regions with points of several classes
-    marked = stored(marked(), "jaccard-marked")
-    more = comparer.links(_blocked(marked, points))
+    more = comparer.links(_blocked(stored(marked(cells), "jaccard-marked"), points))
     if not more.isEmpty():
         classes = components(found.union(more))
     return _named(signs, classes)

@@ -160,3 +160,39 @@ def test_repeats_odd_tables(make):
     assert sorted(r["n_removed"] for r in rows) == [0, len(text), len(text), len(text)]
     alone = repeats.remove_repeats(make([{"doc_id": 1, "text": text}])).first()
     assert alone["n_removed"] == 0 and alone["spans"] == []
+
+
+def test_large_groups_of_near_copies_make_few_pairs(make, monkeypatch):
+    """Regions of a large group draw pivots, so few of its points are left to be paired with each other."""
+    rng = random.Random(5)
+    passage = [f"w{k}" for k in range(60)]
+    docs = []
+    for d in range(120):  # two edits each: about half of the pairs link, hardly any with the smallest
+        words = list(passage)
+        for k in range(3):
+            words[rng.randrange(len(words))] = f"x{d}_{k}"
+        docs.append((d, " ".join(words + [f"y{d}_{k}" for k in range(d % 7)])))
+    paired, blocked = [], jaccard._blocked
+
+    def counted(marked, points):
+        rows = blocked(marked, points)
+        paired.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "_blocked", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(make([{"doc_id": d, "text": t} for d, t in docs])).collect()}
+    want = {d: w for (d, _), w in zip(docs, brute.classes(docs))}
+    assert got == {d: least for d, (_, least) in want.items()}
+    assert paired[0] < 4 * len(docs)
+
+
+def test_small_sketches_bound_the_difference():
+    """Half as many parities never differ in more classes than the sets in shingles, and set half-alike sets apart."""
+    texts = [" ".join(f"w{k}" for k in range(300)), " ".join(f"{'w' if k < 200 else 'v'}{k}" for k in range(300))]
+    values, start = jaccard.shingle_sets(*_arrays(texts))
+    a, b = jaccard._folded(jaccard._parities(values, start)).view(np.uint64)
+    apart = int(np.bitwise_count(a ^ b).sum())
+    differ = len(set(values[: start[1]]) ^ set(values[start[1] :]))
+    assert apart <= differ
+    assert apart > (start[2] - 2 * -(-80 * start[2] // 180))
