@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -90,16 +91,17 @@ class Aligner:
                         for k, p in ((k, self.b.id_to_piece(k)) for k in range(self.b.get_piece_size()))]
         self.a_size = np.fromiter(map(len, self.a_bytes), np.int64, len(self.a_bytes))
         self.b_size = np.fromiter(map(len, self.b_bytes), np.int64, len(self.b_bytes))
+        self.names = np.array(list(map(str, range(max(len(self.a_bytes), len(self.b_bytes))))), object)
         self.table = UnitTable(self._learn, self.clear, MOST_UNITS)
         self.links = Runs(np.int64)  # pairs of each unit, by number
         self.times = Runs(np.int64)  # and how often each is linked in it
-        self.with_text = True  # counting needs no text of the groups
+        self.with_text = True  # counting needs no text of the groups and no overlaps
         self.clear()
 
     def clear(self) -> None:
         """Forgets all units and pairs."""
-        self.pair_number: dict[int, int] = {}
-        self.pairs: list[int] = []
+        self.pairs = np.zeros(0, np.int64)  # distinct id pairs, by number
+        self._pair_keys, self._pair_numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the same, sorted
         self.links.clear()
         self.times.clear()
         self.text: list[str] = []
@@ -119,68 +121,90 @@ class Aligner:
             b_ids = self.b_bare.encode(strings, out_type=int, num_threads=1)
         else:  # a whole text with a space in front, which the model puts there itself
             b_ids = self.b.encode([s[1:] for s in strings], out_type=int, num_threads=1)
-        bad = np.zeros(len(new), bool)
+        bad, sides = np.zeros(len(new), bool), []
+        length = np.fromiter(map(len, new), np.int64, len(new))
         for ids, table, size in ((a_ids, self.a_bytes, self.a_size), (b_ids, self.b_bytes, self.b_size)):
-            flat = [i for x in ids for i in x]
-            cut = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
-            same = sums_per_row(size[np.array(flat, np.int64)], cut) == np.fromiter(map(len, new), np.int64, len(new))
-            if not same.all() or b"".join(map(table.__getitem__, flat)) != b"".join(new):  # some unit differs: look at each
+            many = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(many.sum()))
+            same = sums_per_row(size[flat], np.r_[0, np.cumsum(many)]) == length
+            if not same.all() or b"".join(map(table.__getitem__, flat.tolist())) != b"".join(new):  # some unit differs: look at each
                 bad |= np.fromiter((b"".join(table[i] for i in x) != u for x, u in zip(ids, new)), bool, len(new))
-        sides = []
-        for ids, size in ((a_ids, self.a_size), (b_ids, self.b_size)):
-            many = np.fromiter((0 if off else len(x) for x, off in zip(ids, bad)), np.int64, len(ids))
-            flat = np.fromiter((i for x, off in zip(ids, bad) if not off for i in x), np.int64, int(many.sum()))
-            unit = np.repeat(np.arange(len(new)), many)
-            to = np.cumsum(size[flat])
-            first = np.cumsum(many) - many
-            base = np.r_[0, to][first]
-            sides.append(pd.DataFrame({"unit": unit, "id": flat, "start": to - size[flat] - base[unit], "end": to - base[unit]}))
-        a, b = sides
-        lap = self._overlaps(a, b)
+            sides.append((many, flat, size))
+        # tokens of each side in order: unit, id, start and end within the unit, and group
+        a, b = (self._tokens(bad, *side) for side in sides)
         # a token's group: shared ends up to its start, numbered on within the batch
-        ends = a[["unit", "end"]].merge(b[["unit", "end"]])  # sorted: both sides are
-        key = ends["unit"].to_numpy() * (1 << 40) + ends["end"].to_numpy()
+        ends = [s["unit"] << 40 | s["end"] for s in (a, b)]  # sorted: both sides are
+        at = np.minimum(np.searchsorted(ends[1], ends[0]), max(len(ends[1]) - 1, 0))
+        key = ends[0][ends[1][at] == ends[0]] if len(ends[1]) else ends[1]
         for side in (a, b):
-            side["group"] = np.searchsorted(key, side["unit"].to_numpy() * (1 << 40) + side["start"].to_numpy(), side="right")
-        self._add_pairs(a, b, key >> 40, len(new))
+            side["group"] = np.searchsorted(key, side["unit"] << 40 | side["start"], side="right")
+        n_a, n_b = (np.bincount(s["group"], minlength=len(key)) for s in (a, b))
+        self._add_pairs(a, b, key >> 40, n_a, n_b, len(new))
+        laps = np.zeros(len(new), np.int64)
         if self.with_text:
             self._add_text(a, b, key >> 40, len(new))
-        n_a, n_b = (np.bincount(s["group"], minlength=len(key)) for s in (a, b))
+            laps = np.bincount(a["unit"][self._overlaps(a, b)["a"]], minlength=len(new))
         self._counts.append(np.stack([
             np.bincount(a["unit"], minlength=len(new)), np.bincount(b["unit"], minlength=len(new)), np.bincount(key >> 40, minlength=len(new)),
-            sums_per_row(n_a * n_b, np.searchsorted(key >> 40, np.arange(len(new) + 1))), np.bincount(a["unit"].to_numpy()[lap["a"]], minlength=len(new)), bad,
+            sums_per_row(n_a * n_b, np.searchsorted(key >> 40, np.arange(len(new) + 1))), laps, bad,
         ], axis=1).astype(np.int64))
 
     @staticmethod
-    def _overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sides = [s.assign(number=np.arange(len(s)))[["unit", "start", "number"]].sort_values("start", kind="stable") for s in (a, b)]
+    def _tokens(bad: np.ndarray, many: np.ndarray, flat: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+        """Unit, id, start and end of every token of the units that are not ``bad``."""
+        if bad.any():
+            flat, many = flat[np.repeat(~bad, many)], np.where(bad, 0, many)
+        unit, to = np.repeat(np.arange(len(many)), many), np.cumsum(size[flat])
+        base = np.r_[0, to][np.cumsum(many) - many][unit]
+        return {"unit": unit, "id": flat, "start": to - size[flat] - base, "end": to - base}
+
+    @staticmethod
+    def _overlaps(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> pd.DataFrame:
+        sides = [pd.DataFrame({"unit": s["unit"], "start": s["start"], "number": np.arange(len(s["unit"]))}).sort_values("start", kind="stable") for s in (a, b)]
         return overlaps(*sides)
 
-    def _add_pairs(self, a: pd.DataFrame, b: pd.DataFrame, unit: np.ndarray, many: int) -> None:
-        """Distinct id pairs linked in each unit with the number of links: per group, distinct A ids by distinct B ids."""
-        sides = [s.groupby(["group", "id"], sort=True).size().reset_index(name="n") for s in (a, b)]
-        both = sides[0].merge(sides[1], on="group", suffixes=("_a", "_b"))
-        found = pd.DataFrame({"unit": unit[both["group"]], "pair": both["id_a"] * PAIR + both["id_b"], "n": both["n_a"] * both["n_b"]})
-        found = found.groupby(["unit", "pair"], sort=True)["n"].sum().reset_index()
-        for p in pd.unique(found["pair"]).tolist():
-            if p not in self.pair_number:
-                self.pair_number[p] = len(self.pairs)
-                self.pairs.append(p)
-        own = np.fromiter(map(self.pair_number.__getitem__, found["pair"].tolist()), np.int64, len(found))
-        count = np.bincount(found["unit"], minlength=many)
-        self.links.add(own, count)
-        self.times.add(found["n"].to_numpy(), count)
-
-    def _add_text(self, a: pd.DataFrame, b: pd.DataFrame, unit: np.ndarray, many: int) -> None:
+    def _add_pairs(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray], unit: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, many: int) -> None:
+        """Distinct id pairs linked in each unit with the number of links: all A ids by all B ids of a group, summed."""
+        width = np.int64(len(self.b_bytes))
+        # each A token beside all B tokens of its group
+        times = n_b[a["group"]]
+        first = (np.cumsum(n_b) - n_b)[a["group"]]
+        other = np.arange(int(times.sum())) + np.repeat(first - (np.cumsum(times) - times), times)
+        pair = np.repeat(a["id"], times) * width + b["id"][other]
+        of = np.repeat(unit[a["group"]], times)
+        order = np.lexsort((pair, of))
+        pair, of = pair[order], of[order]
+        at = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])][: len(pair)])
+        pair, of, links = pair[at], of[at], np.diff(np.r_[at, len(pair)])
+        distinct, back = np.unique(pair // width * PAIR + pair % width, return_inverse=True)
+        place = np.searchsorted(self._pair_keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = place < len(self._pair_keys)
+        new[inside] = self._pair_keys[place[inside]] != distinct[inside]
+        number = len(self.pairs) + np.arange(int(new.sum()))
+        self.pairs = np.r_[self.pairs, distinct[new]]
+        self._pair_keys = np.insert(self._pair_keys, place[new], distinct[new])
+        self._pair_numbers = np.insert(self._pair_numbers, place[new], number)
+        count = np.bincount(of, minlength=many)
+        self.links.add(self._pair_numbers[np.searchsorted(self._pair_keys, distinct)][back], count)
+        self.times.add(links, count)
+
+    def _add_text(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray], unit: np.ndarray, many: int) -> None:
         """``a1,a2|b1;a3|b2`` of every unit."""
-        parts = []
-        for side in (a, b):
-            ids = list(map(str, side["id"].tolist()))
-            cut = np.searchsorted(side["group"].to_numpy(), np.arange(len(unit) + 1)).tolist()
-            parts.append([",".join(ids[p:q]) for p, q in zip(cut[:-1], cut[1:])])
-        groups = [f"{x}|{y}" for x, y in zip(*parts)]
-        cut = np.searchsorted(unit, np.arange(many + 1)).tolist()
-        self.text += [";".join(groups[p:q]) for p, q in zip(cut[:-1], cut[1:])]
+        n_a, n_b = (np.bincount(s["group"], minlength=len(unit)) for s in (a, b))
+        before_b, upto_a = np.cumsum(n_b) - n_b, np.cumsum(n_a)
+        places = np.arange(len(a["id"])) + before_b[a["group"]], np.arange(len(b["id"])) + upto_a[b["group"]]
+        ids, after = (np.zeros(len(places[0]) + len(places[1]), np.int64) for _ in range(2))  # a token's id and the mark after it
+        for side, place in zip((a, b), places):
+            ids[place] = side["id"]
+        after[(upto_a + before_b - 1)] = 1
+        after[(upto_a + np.cumsum(n_b) - 1)] = np.where(np.r_[unit[1:] != unit[:-1], True][: len(unit)], 3, 2)
+        parts = np.empty(2 * len(ids), object)
+        parts[0::2], parts[1::2] = self.names[ids], np.array([",", "|", ";", "\n"], object)[after]
+        lines = [""] * many
+        for k, line in zip(np.unique(unit).tolist(), "".join(parts.tolist()).split("\n")):
+            lines[k] = line
+        self.text += lines
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit numbers of all rows, each with a space in front, and where each row's units begin."""
@@ -237,7 +261,7 @@ def _count(files: tuple[str, str]):
 
         def rows() -> pa.RecordBatch:
             some = np.flatnonzero(held)
-            pairs = np.array(model.pairs, np.int64)[some]
+            pairs = model.pairs[some]
             return pa.record_batch([pa.array(pairs), pa.array(held[some])], names=["pair", "n"])
 
         for batch in batches:
@@ -288,7 +312,7 @@ def _score(files: tuple[str, str], sent, keep_groups: bool):
                 if model.table.full():
                     n_of, best_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 units, cut = _without_bad(model, *model.units(data, offsets))
-                pairs = np.array(model.pairs[len(n_of) :], np.int64)
+                pairs = model.pairs[len(n_of) :]
                 at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
                 known = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
                 n_of = np.r_[n_of, np.where(known, counts[at], -1) if len(keys) else np.full(len(pairs), -1)]
@@ -298,7 +322,7 @@ def _score(files: tuple[str, str], sent, keep_groups: bool):
                 sums = [sums_per_row(v, of_row) for v in (times * best_of[pair], times * np.maximum(n_of[pair], 0))]
                 rare = n_of[pair] < 0
                 rare_cut = np.r_[0, np.cumsum(rare)][of_row]
-                names = np.array(model.pairs, np.int64)[pair[rare]]
+                names = model.pairs[pair[rare]]
                 whole = [sums_per_row(model.counts[units, k], cut) for k in range(5)]
                 groups = [";".join(map(model.text.__getitem__, units[p:q].tolist())) for p, q in zip(cut[:-1], cut[1:])]
                 digest = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]

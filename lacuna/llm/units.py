@@ -10,6 +10,7 @@ text is one unit.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from collections.abc import Callable
@@ -18,7 +19,7 @@ import numpy as np
 
 from .text import prefix_sums, span_hash
 
-MOST_UNITS = 1_000_000  # distinct units a Python worker remembers; beyond it the memory starts anew
+MOST_UNITS = 1 << 18  # distinct units a Python worker remembers; beyond it the memory starts anew
 
 #: Bytes that may open a white-space character (ASCII controls and space; leads of U+0085, U+00A0, U+1680, U+2000.., U+3000).
 _MAYBE_SPACE = np.zeros(256, dtype=bool)
@@ -84,10 +85,10 @@ _ONE_STRETCH = re.compile(rb" ?[A-Za-z]+| ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\x
 def unit_ids(tokenizer, new: list[bytes], cut: bool, alphabet: list[str]) -> list[list[int]]:
     """Ids of units by a byte-level tokenizer of the tokenizers library; ``alphabet`` has the character of each byte."""
     found: list[list[int]] = [[]] * len(new)
-    merges, whole = tokenizer.model, []
+    merges, whole, table = tokenizer.model, [], "".join(alphabet)
     for k, u in enumerate(new):
         if cut and _ONE_STRETCH.fullmatch(u):  # the pattern leaves it whole: its ids come from the merges alone
-            found[k] = [t.id for t in merges.tokenize("".join([alphabet[b] for b in u]))]
+            found[k] = [t.id for t in merges.tokenize(codecs.charmap_decode(u, "strict", table)[0])]
         else:
             whole.append(k)
     for at in range(0, len(whole), 1000):

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 
@@ -261,3 +262,42 @@ def test_vocabularies_without_the_conditions_are_not_cut():
     model.cut = True
     found, _ = model.units(data, np.array([0, len(data)]))
     assert len(found) == 3 and ";".join(model.text[u] for u in found) == whole
+
+
+def test_counting_makes_neither_overlaps_nor_texts(monkeypatch):
+    """Only scoring needs them; the pairs and their numbers of links are the same."""
+    text = "Some words, and sömé more wörds: 123 ab12 \U0001f600x.\nA line  of words".encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+
+    def pairs(with_text):
+        model = alignment.Aligner(BYTES, PIECES)
+        model.with_text = with_text
+        _, pair, times = alignment._row_pairs(model, *model.units(data, offsets))
+        return sorted(zip(model.pairs[pair].tolist(), times.tolist()))
+
+    want = pairs(True)
+    monkeypatch.setattr(alignment, "overlaps", None)
+    assert pairs(False) == want
+
+
+def test_images_take_small_slices(monkeypatch):
+    """A task's arrays are those of a small slice of a batch, whatever the batch; its images are the same."""
+    sizes, encode = [], addressable.Encoder.encode
+
+    def noted(self, data, offsets):
+        sizes.append(len(data))
+        return encode(self, data, offsets)
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(addressable.Encoder, "encode", noted)
+    monkeypatch.setattr(addressable, "TaskContext", Context)
+    texts = ["some words of a text " * 400] * 120
+    batch = pa.record_batch([pa.array([str(k) for k in range(120)]), pa.array(texts)], names=["_name", "_text"])
+    images = list(addressable._images(BYTES, 2, addressable.IMAGE_IDS)(iter([batch])))
+    assert max(sizes) <= 1 << 18 and sum(sizes) == sum(map(len, texts))
+    read = [addressable.Image(b.column(4)[0].as_py()) for b in images]
+    plain = addressable.Encoder(BYTES).tokenizer.encode(texts[0], add_special_tokens=False).ids + [2]
+    assert [i.document(k).tolist() for i in read for k in range(len(i.ends))] == [plain] * 120
