@@ -33,6 +33,7 @@ from .units import Runs, UnitTable, byte_level_alphabet, byte_level_cuts, unit_i
 
 END_ID = 2
 IMAGE_IDS = 1 << 18  # ids after which an image is closed (it then ends with its last document)
+SLICE = 1 << 18  # text bytes handled at once
 MAGIC = b"LACUDAC1"
 
 
@@ -187,7 +188,7 @@ def _images(path: str, end_id: int, image_ids: int):
             return pa.record_batch([pa.array([v]) for v in row], names=["part", "number", "start", "n_ids", "data"])
 
         for batch in batches:
-            for rows, data, offsets in slices(batch, "_text", 1 << 20):
+            for rows, data, offsets in slices(batch, "_text", SLICE):
                 ids, cut = model.encode(data, offsets)
                 known = rows.column(rows.schema.get_field_index("_name")).to_pylist()
                 for k, name in enumerate(known):
