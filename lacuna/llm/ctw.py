@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 
 from .columns import learns
 from .session import ship, stored
-from .text import LOWER, per_row, slices, word_hashes, words
+from .text import LOWER, mix, per_row, slices, word_hashes, words
 
 DEPTH = 6
 NODES = 1 << 22  # runs that scoring tasks hold, 16 bytes each
 FREQUENT = 1 << 16
-HELD = 1 << 19  # distinct keys that a counting task holds before it passes them on
+HELD = 1 << 21  # distinct keys that a counting task holds before it passes them on
+OFTEN = 8  # a key counted more often stays until the task ends, as long as such keys fill a quarter of that
+BUCKETS = 1 << 14  # groups of keys that are counted in one place, their keys travelling side by side in one row
 SPLIT = 3  # bytes of context by which the tree is shared out
 CHUNK = 1 << 15  # runs that a tree-building task takes at once, more only within one group
 SLICE = 1 << 18  # text bytes handled at once; numpy temporaries are about 200 bytes for each
@@ -78,8 +80,19 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return packed[keep], offsets[1:] + np.arange(1, n + 1)
 
 
+def _buckets(kind: int, keys: np.ndarray) -> np.ndarray:
+    """The bucket of each key: of a word by its hash, of a run by its last ``SPLIT`` context bytes."""
+    spread = keys if kind == 0 else mix(keys >> np.uint64(8 * (DEPTH + 1 - SPLIT)))
+    return (spread >> np.uint64(40)).astype(np.uint16) & np.uint16(BUCKETS - 1)
+
+
+def _blobs(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The bytes of ``values``, cut at ``cut``."""
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
 class _Counter:
-    """Counts keys; passes its contents on when it holds many."""
+    """Counts keys; passes most of its contents on when it holds many."""
 
     def __init__(self, kind: int):
         self.kind, self.keys, self.counts, self.size = kind, [], [], 0
@@ -92,22 +105,30 @@ class _Counter:
         if self.size > HELD:
             self.merge()
             if self.size > HELD // 2:
-                yield from self.flush()
+                often = (self.counts[0] > OFTEN) & (self.counts[0] < 1 << 31)
+                yield from self.flush(often if 4 * often.sum() <= HELD else np.zeros_like(often))
 
     def merge(self) -> None:
         if len(self.keys) > 1:
-            keys, back = np.unique(np.concatenate(self.keys), return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate(self.counts)).astype(np.int64)
+            keys, counts = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
             self.keys, self.counts, self.size = [keys], [counts], len(keys)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self, stay: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """All keys but those that ``stay``, side by side in a row of each bucket."""
         self.merge()
-        for keys, counts in zip(self.keys, self.counts):
-            for a in range(0, len(keys), 1 << 17):
-                k = keys[a : a + (1 << 17)]
-                yield pa.record_batch([pa.array(np.full(len(k), self.kind, dtype=np.int8)), pa.array(k.view(np.int64)),
-                                       pa.array(counts[a : a + (1 << 17)].astype(np.int64))], names=["kind", "key", "n"])
-        self.keys, self.counts, self.size = [], [], 0
+        if not self.size:
+            return
+        keys, counts = self.keys[0], self.counts[0]
+        if stay is None:
+            stay = np.zeros(len(keys), dtype=bool)
+        self.keys, self.counts, self.size = [keys[stay]], [counts[stay]], int(stay.sum())
+        keys, counts = keys[~stay], counts[~stay]
+        bucket = _buckets(self.kind, keys)
+        order = np.argsort(bucket, kind="stable")
+        keys, counts, bucket = keys[order], counts[order].astype(np.uint32), bucket[order]
+        cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(keys)] if len(keys) else np.zeros(1, np.int64)
+        yield pa.record_batch([pa.array(np.full(len(cut) - 1, self.kind, dtype=np.int8)), pa.array(bucket[cut[:-1]].astype(np.int32)),
+                               _blobs(keys, cut), _blobs(counts, cut)], names=["kind", "bucket", "keys", "counts"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +148,57 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from others.flush()
 
 
+def _flat(blobs: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, one row after another, and where each row's begin (one more entry than rows)."""
+    _, cut, body = blobs.buffers()
+    wide = np.dtype(dtype).itemsize
+    cut = np.frombuffer(cut, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // wide
+    values = np.frombuffer(body, dtype, int(cut[-1])) if body is not None else np.zeros(0, dtype)
+    return values[cut[0] :], cut - cut[0]
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(run, key, n, m)``, each key once, from rows ``(run, bucket, kind, keys, counts)`` that come sorted.
+
+    ``n`` counts the key in training, ``m`` in all texts.  What is held is a bucket's keys and a small slice of rows.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    last, most = -1, 0  # the last row's run and bucket, and the keys held after equal ones were added up
+
+    def out(run: int) -> Iterator[pa.RecordBatch]:
+        keys, n, m = _summed(*(np.concatenate(c) for c in zip(*held)))
+        for a in range(0, len(keys), 1 << 17):
+            k = keys[a : a + (1 << 17)]
+            yield pa.record_batch([pa.array(np.full(len(k), run, dtype=np.int8)), pa.array(k.view(np.int64)),
+                                   pa.array(n[a : a + (1 << 17)]), pa.array(m[a : a + (1 << 17)])], names=["run", "key", "n", "m"])
+
+    for batch in batches:
+        place = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+        keys, cut = _flat(batch.column(3), "u8")
+        m = _flat(batch.column(4), "u4")[0].astype(np.int64)
+        n = m * np.repeat(batch.column(2).to_numpy() < 2, np.diff(cut))
+        # slices of a run end where many keys do, or the run
+        ends = np.flatnonzero(np.r_[(place[1:] >> 32 != place[:-1] >> 32) | (cut[1:-1] // CHUNK != cut[2:] // CHUNK), True]) + 1 if len(place) else []
+        for lo, hi in zip([0, *ends], ends):
+            new = lo + int(np.searchsorted(place[lo:hi], place[hi - 1]))  # where the slice's last bucket starts
+            if held and place[lo] >> 32 != last >> 32:
+                yield from out(last >> 32)
+                held, most = [], 0
+            if new > lo or place[lo] != last:  # the buckets before are complete
+                held.append(tuple(c[cut[lo] : cut[new]] for c in (keys, n, m)))
+                if sum(len(c[0]) for c in held) > CHUNK:
+                    yield from out(int(place[lo] >> 32))
+                    held = []
+                most = 0
+            held.append(tuple(c[cut[new] : cut[hi]] for c in (keys, n, m)))
+            last = int(place[hi - 1])
+            if sum(len(c[0]) for c in held) > 2 * most + HELD:
+                held = [tuple(_summed(*(np.concatenate(c) for c in zip(*held))))]
+                most = len(held[0][0])
+    if held:
+        yield from out(last >> 32)
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """log(gamma(x)) by Stirling's series at ``x + 8``."""
     y, shift = x + 8, x.copy()
@@ -393,10 +465,10 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     ship(spark)
     learn = learns(doc_id, modulus, held)
-    counted = docs.select(learn.alias("learn"), F.col(text).cast("string").alias("text")).mapInArrow(_count, "kind tinyint, key bigint, n bigint")
-    taught = F.sum(F.when(F.col("kind") < 2, F.col("n")).otherwise(0))
-    counts = counted.groupBy(F.least("kind", F.lit(1)).alias("run"), "key").agg(taught.alias("n"), F.sum("n").alias("m"))
-    counts = stored(counts, "ctw-counts")
+    counted = docs.select(learn.alias("learn"), F.col(text).cast("string").alias("text")).mapInArrow(_count, "kind tinyint, bucket int, keys binary, counts binary")
+    # a task's keys travel a bucket at a time: single rows of them cost more than all else
+    dealt = counted.select(F.least("kind", F.lit(1)).cast("tinyint").alias("run"), "bucket", "kind", "keys", "counts").repartition("run", "bucket")
+    counts = stored(dealt.sortWithinPartitions("run", "bucket").mapInArrow(_total, "run tinyint, key bigint, n bigint, m bigint"), "ctw-counts")
     token, gram = counts.where("run = 0").select("key", "n"), counts.where("run = 1").select("key", "n", "m")
     total, kinds = token.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     size = gram.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]

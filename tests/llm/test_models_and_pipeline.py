@@ -235,3 +235,28 @@ def test_scoring_takes_small_slices(monkeypatch):
     assert max(sizes) <= 1 << 18
     monkeypatch.setattr(ctw, "SLICE", 1 << 22)
     assert np.allclose(small, scores(), rtol=1e-8)
+
+
+def test_counts_travel_a_bucket_a_row(monkeypatch):
+    """A task passes its keys on side by side, not a row each; what places add up equals plain counts."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab c"), 300)) for _ in range(40)]
+    learn = rng.random(40) < 0.7
+    monkeypatch.setattr(ctw, "HELD", 100)
+    monkeypatch.setattr(ctw, "BUCKETS", 4)
+    batch = pa.record_batch([pa.array(learn), pa.array(texts)], names=["learn", "text"])
+    rows = pa.Table.from_batches(b for k in range(0, 40, 7) for b in ctw._count(iter([batch.slice(k, 7)])))
+    assert rows.num_rows <= 6 * 12 * 20 and sum(len(k) for k in rows.column("keys").to_pylist()) // 8 > 3 * rows.num_rows
+    run = pa.array(np.minimum(rows.column("kind").to_numpy(), 1).astype(np.int8))
+    rows = rows.append_column("run", run).select(["run", "bucket", "kind", "keys", "counts"]).sort_by([("run", "ascending"), ("bucket", "ascending")])
+    monkeypatch.setattr(ctw, "CHUNK", 9)
+    got = [r for b in ctw._total(iter(rows.to_batches(max_chunksize=5))) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = {}
+    for some, t in zip(learn.tolist(), texts):
+        raw = bytes([ctw.EDGE]) * ctw.DEPTH + t.encode() + bytes([ctw.EDGE])
+        for k in range(len(t) + 1):  # the most recent context byte is the most significant one
+            key = int.from_bytes(raw[k : k + ctw.DEPTH][::-1] + raw[k + ctw.DEPTH : k + ctw.DEPTH + 1], "big")
+            n, m = want.get(key, (0, 0))
+            want[key] = n + some, m + 1
+    assert {r[1]: r[2:] for r in got if r[0] == 1} == want and len([r for r in got if r[0] == 1]) == len(want)
+    assert sum(r[2] for r in got if r[0] == 0) == sum(len(t.split()) + 1 for some, t in zip(learn, texts) if some)
