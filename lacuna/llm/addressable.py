@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ from pyspark.sql import types as T
 
 from .session import ship, stored
 from .text import slices
-from .units import Runs, UnitTable, byte_level_alphabet, byte_level_cuts, unit_ids, unit_starts
+from .units import Runs, UnitTable, byte_level_alphabet, byte_level_cuts, task_tokenizer, unit_ids, unit_starts
 
 END_ID = 2
 IMAGE_IDS = 1 << 18  # ids after which an image is closed (it then ends with its last document)
 SLICE = 1 << 18  # text bytes handled at once
+MOST_IDS = 1 << 22  # ids of remembered units; a text that holds a special token's string is one unit
 MAGIC = b"LACUDAC1"
 
 
@@ -147,9 +149,7 @@ class Encoder:
     """Ids of whole texts by a tokenizer file; each distinct unit is encoded once (see ``units``)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = task_tokenizer(path)
         self.cut = byte_level_cuts(path)
         self.alphabet = [c for _, c in sorted((b, c) for c, b in byte_level_alphabet().items())]
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -159,14 +159,16 @@ class Encoder:
     def _learn(self, new: list[bytes]) -> None:
         found = unit_ids(self.tokenizer, new, self.cut, self.alphabet)
         count = np.fromiter(map(len, found), np.int64, len(found))
-        self.runs.add(np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())), count)
+        self.runs.add(np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one row after another, and where each row's ids begin (one more entry than rows)."""
         raw = data.tobytes()
         cut = self.cut and not any(m in raw for m in self.marks)  # a special token may hold or take in a space
-        if self.table.full():
-            self.table.clear()
+        if self.table.full() or len(self.runs.values) > MOST_IDS:
+            kept = self.runs.take(self.table.trim())
+            self.runs.clear()
+            self.runs.add(*kept)
         starts = unit_starts(data, offsets, cut)
         numbers = self.table.look_up(data, starts)
         ids, many = self.runs.take(numbers)

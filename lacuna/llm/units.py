@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import os
 import re
 from collections.abc import Callable
 
@@ -19,7 +20,7 @@ import numpy as np
 
 from .text import prefix_sums, span_hash
 
-MOST_UNITS = 1 << 18  # distinct units a Python worker remembers; beyond it the memory starts anew
+MOST_UNITS = 1 << 18  # distinct units a Python worker remembers; beyond it those met once are forgotten, or all
 
 #: Bytes that may open a white-space character (ASCII controls and space; leads of U+0085, U+00A0, U+1680, U+2000.., U+3000).
 _MAYBE_SPACE = np.zeros(256, dtype=bool)
@@ -27,6 +28,14 @@ _MAYBE_SPACE[:33] = True
 _MAYBE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+def task_tokenizer(path: str):
+    """A tokenizer of the tokenizers library that works on its task's core alone: threads of its own would hold memory each."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
 def byte_level_alphabet() -> dict[str, int]:
     """Character to byte of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -85,12 +94,13 @@ _ONE_STRETCH = re.compile(rb" ?[A-Za-z]+| ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\x
 def unit_ids(tokenizer, new: list[bytes], cut: bool, alphabet: list[str]) -> list[list[int]]:
     """Ids of units by a byte-level tokenizer of the tokenizers library; ``alphabet`` has the character of each byte."""
     found: list[list[int]] = [[]] * len(new)
-    merges, whole, table = tokenizer.model, [], "".join(alphabet)
-    for k, u in enumerate(new):
-        if cut and _ONE_STRETCH.fullmatch(u):  # the pattern leaves it whole: its ids come from the merges alone
-            found[k] = [t.id for t in merges.tokenize(codecs.charmap_decode(u, "strict", table)[0])]
-        else:
-            whole.append(k)
+    one = [k for k, u in enumerate(new) if _ONE_STRETCH.fullmatch(u)] if cut else []
+    if one:  # the pattern leaves these whole: their ids come from the merges alone
+        merge = tokenizer.model.tokenize
+        letters = codecs.charmap_decode(b"\0".join([new[k] for k in one]), "strict", "".join(alphabet))[0]  # they hold no byte 0
+        for k, u in zip(one, letters.split(alphabet[0])):
+            found[k] = [t.id for t in merge(u)]
+    whole = [k for k, ids in enumerate(found) if not ids]
     for at in range(0, len(whole), 1000):
         some = whole[at : at + 1000]
         for k, e in zip(some, tokenizer.encode_batch([new[k].decode() for k in some], add_special_tokens=False)):
@@ -119,15 +129,29 @@ class UnitTable:
 
     def __init__(self, learn: Callable[[list[bytes]], None], clear: Callable[[], None], most: int = MOST_UNITS):
         self._learn, self._clear, self.most = learn, clear, most
-        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.numbers, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def full(self) -> bool:
         return len(self.keys) > self.most
 
     def clear(self) -> None:
-        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._empty()
         self._clear()
 
+    def trim(self) -> np.ndarray:
+        """Forgets units met in one look-up only, or all where others fill half of the table.
+
+        Returns the numbers of those that stay; they are numbered anew in this order.
+        """
+        kept = np.flatnonzero(self.again)
+        kept = kept if 2 * len(kept) <= self.most else kept[:0]
+        was = self.numbers[kept]
+        self.keys, self.numbers, self.again = self.keys[kept], np.arange(len(kept)), np.zeros(len(kept), bool)
+        return was
+
     def look_up(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each unit; ``starts`` ascending, a unit ends where the next starts, the last at the end."""
         if not len(starts):
@@ -138,11 +162,13 @@ class UnitTable:
         new = np.ones(len(keys), bool)
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != keys[inside]
+        self.again[at[~new]] = True
         if new.any():
             raw = data.tobytes()
             self._learn([raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
             number = len(self.numbers) + np.arange(int(new.sum()))
             self.keys, self.numbers = np.insert(self.keys, at[new], keys[new]), np.insert(self.numbers, at[new], number)
+            self.again = np.insert(self.again, at[new], False)
             at = np.searchsorted(self.keys, keys)
         return self.numbers[at][back]
 
@@ -155,7 +181,7 @@ class Runs:
         self.clear()
 
     def clear(self) -> None:
-        self._values, self._counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        self._values, self._counts, self._start = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], np.zeros(0, np.int64)
 
     def add(self, values: np.ndarray, counts: np.ndarray) -> None:
         self._values.append(np.asarray(values, self.dtype))
@@ -176,8 +202,10 @@ class Runs:
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of the given rows, one after another, and each row's number of values."""
-        many = self.counts[rows]
-        start = np.cumsum(self.counts) - self.counts
+        counts = self.counts
+        if len(self._start) < len(counts):
+            self._start = np.cumsum(counts) - counts
+        many, start = counts[rows], self._start
         to = np.cumsum(many)
         total = int(to[-1]) if len(to) else 0
         return self.values[np.repeat(start[rows] - (to - many), many) + np.arange(total)], many

@@ -301,3 +301,21 @@ def test_images_take_small_slices(monkeypatch):
     read = [addressable.Image(b.column(4)[0].as_py()) for b in images]
     plain = addressable.Encoder(BYTES).tokenizer.encode(texts[0], add_special_tokens=False).ids + [2]
     assert [i.document(k).tolist() for i in read for k in range(len(i.ends))] == [plain] * 120
+
+
+def test_full_table_keeps_units_met_again(monkeypatch):
+    """Units that come back are encoded once, however many others fill the table between; the ids stay right."""
+    learned = []
+    learn = addressable.Encoder._learn
+    monkeypatch.setattr(addressable.Encoder, "_learn", lambda self, new: (learned.extend(new), learn(self, new)))
+    model = addressable.Encoder(BYTES)
+    model.table.most = 60
+    for k in range(40):
+        texts = ["common words come back", " ".join(f"x{k * 20 + j}y" for j in range(20))]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.cumsum([0, *map(len, texts)])
+        ids, cut = model.encode(data, offsets)
+        for i, t in enumerate(texts):
+            assert ids[cut[i] : cut[i + 1]].tolist() == model.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(model.table.keys) == len(model.table.numbers) == len(model.table.again) == len(model.runs.counts) < 200
+    assert learned.count(b" words") == learned.count(b" back") == 1
