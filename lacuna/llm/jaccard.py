@@ -55,7 +55,7 @@ COUNTED = 1 << 16  # a region's size, as far as it is told apart
 CROWD = 64  # classes beyond which a region draws pivots before its points are paired
 DRAWS = 3  # how often it does, as long as that finds links
 SEEN = 1 << 18  # sets that a task remembers
-SLICE = 1 << 20
+SLICE = 1 << 18  # text bytes handled at once
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +127,15 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's set with its size and sketches; the text stands beside the first row of a set that a task meets."""
+    seen: set[int] = set()
     for batch in batches:
         for rows, data, offsets in slices(batch, "text", SLICE):
             values, start = shingle_sets(data, offsets)
-            parity = _parities(values, start)
-            yield pa.record_batch([rows.column(0), pa.array(np.diff(start)), pa.array(signed(set_ids(values, start))),
-                                   _binary(_folded(parity)), _binary(parity)],
-                                  names=["doc_id", "n", "f", "sketch", "parity"])
+            parity, f, n = _parities(values, start), set_ids(values, start), np.diff(start)
+            text = rows.column(1).take(pa.array(np.arange(len(n)), mask=~_unseen(f, n, seen)))
+            yield pa.record_batch([rows.column(0), pa.array(n), pa.array(signed(f)), _binary(_folded(parity)), _binary(parity), text],
+                                  names=["doc_id", "n", "f", "sketch", "parity", "text"])
 
 
 def _ordered(values: np.ndarray, start: np.ndarray, moved: np.ndarray | None) -> np.ndarray:
@@ -423,10 +425,10 @@ def _marked(bits: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 
 class _Comparer:
-    """Exact comparisons of candidate pairs; fetches each text that it needs once."""
+    """Exact comparisons of candidate pairs; fetches each text that it needs once, from ``held``, rows ``(f, text)``."""
 
-    def __init__(self, docs: DataFrame, points: DataFrame):
-        self.docs, self.points = docs, points
+    def __init__(self, held: DataFrame, points: DataFrame):
+        self.held, self.points = held, points
         self.texts: DataFrame | None = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -468,24 +470,12 @@ class _Comparer:
             sets = stored(sets.join(self.texts, "f", "left_anti"), "jaccard-wanted")
             if sets.isEmpty():
                 return
-        shared = self.docs.sparkSession.sparkContext.broadcast(_bit_set(sets))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            want, seen = shared.value, set()
-            for batch in batches:
-                if len(seen) > SEEN:
-                    seen.clear()
-                for rows, data, offsets in slices(batch, "text", SLICE):
-                    f = set_ids(*shingle_sets(data, offsets))
-                    take = []
-                    for k in np.flatnonzero(_marked(want, f) & (f != 0)).tolist():
-                        if int(f[k]) not in seen:
-                            seen.add(int(f[k]))
-                            take.append(k)
-                    at = pa.array(take, type=pa.int64())
-                    yield pa.record_batch([pa.array(signed(f[take])), rows.column(rows.schema.get_field_index("text")).take(at)], names=["f", "text"])
-
-        found = self.docs.select("text").mapInArrow(run, "f bigint, text string")
+        shared = self.held.sparkSession.sparkContext.broadcast(_bit_set(sets))
+
+        def wanted(f: pa.Array) -> pa.Array:
+            return pa.array(_marked(shared.value, f.to_numpy().view(np.uint64)))
+
+        found = self.held.where(F.arrow_udf(wanted, "boolean").asNondeterministic()("f"))
         found = stored(found.join(sets, "f", "left_semi").dropDuplicates(["f"]), "jaccard-texts")
         shared.destroy()
         self.texts = found if self.texts is None else self.texts.unionByName(found)
@@ -553,9 +543,9 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, links: bool = False) -> Dat
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signs = stored(rows.mapInArrow(_signatures, f"doc_id {kind}, n bigint, f bigint, sketch binary, parity binary"), "jaccard-signs")
+    signs = stored(rows.mapInArrow(_signatures, f"doc_id {kind}, n bigint, f bigint, sketch binary, parity binary, text string"), "jaccard-signs")
     points = stored(signs.where("n > 0").groupBy("f").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity")), "jaccard-sets")
-    comparer = _Comparer(rows, points)
+    comparer = _Comparer(signs.where("text IS NOT NULL").select("f", "text"), points)
 
     moved = _moved_back(rows.select("text"))
     shared = None if moved is None else docs.sparkSession.sparkContext.broadcast(moved)
@@ -613,14 +603,9 @@ def _named(signs: DataFrame, classes: DataFrame, partners: DataFrame | None = No
     return out.select("root", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("f").alias("set_id"), *(["n_links"] if extra else []))
 
 
-def set_id(text: Column | str) -> Column:
-    """The identifier of a text's set of shingles (0 for an empty one)."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [set_ids(*shingle_sets(data, offsets)) for _, data, offsets in slices(pa.record_batch([texts], names=["t"]), "t", SLICE)]
-        return pa.array(signed(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64))
-
-    return F.arrow_udf(run, "bigint").asNondeterministic()(text)
+def _set_ids(texts: pa.Array) -> np.ndarray:
+    parts = [set_ids(*shingle_sets(data, offsets)) for _, data, offsets in slices(pa.record_batch([texts], names=["t"]), "t", SLICE)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -637,11 +622,14 @@ def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     several = classes.join(groups.where("c > 1").select("root"), "root", "left_semi").select(F.col("set_id").alias("f"))
     shared = docs.sparkSession.sparkContext.broadcast(_bit_set(several))
 
-    def grouped(sets: pa.Array) -> pa.Array:
-        return pa.array(_marked(shared.value, sets.to_numpy().view(np.uint64)))
+    def marked(texts: pa.Array) -> pa.Array:
+        sets = _set_ids(texts)
+        return pa.StructArray.from_arrays([pa.array(signed(sets)), pa.array(_marked(shared.value, sets))], names=["set", "grouped"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), set_id(F.col(text)).alias("set"))
-    rows = rows.withColumn("grouped", F.arrow_udf(grouped, "boolean").asNondeterministic()("set"))
+    # set and mark by one function, so a task needs one Python worker
+    mark = F.arrow_udf(marked, "struct<set:bigint,grouped:boolean>").asNondeterministic()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), mark(F.col(text)).alias("mark"))
+    rows = rows.select("row", "id", "mark.set", "mark.grouped")
     named = rows.where("grouped AND set <> 0").join(keep, F.col("id").eqNullSafe(F.col("_k")) & (F.col("set") == F.col("_s")), "left_semi")
     once = named.unionByName(rows.where("set = 0 AND id IS NOT NULL")).dropDuplicates(["id", "set"])
     kept = once.unionByName(rows.where("set = 0 AND id IS NULL")).unionByName(rows.where("NOT grouped AND set <> 0"))

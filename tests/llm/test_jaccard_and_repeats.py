@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lacuna.llm import jaccard, repeats
@@ -196,3 +197,12 @@ def test_small_sketches_bound_the_difference():
     differ = len(set(values[: start[1]]) ^ set(values[start[1] :]))
     assert apart <= differ
     assert apart > (start[2] - 2 * -(-80 * start[2] // 180))
+
+
+def test_signatures_hold_one_text_of_a_set():
+    """Comparisons read the texts that stand beside the sets, so no later scan makes shingles of all texts again."""
+    texts = ["a b c d e f", None, "a B c d e f", "", "x y", "a b c d e f"]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(jaccard._signatures(iter([batch.slice(0, 2), batch.slice(2)])))
+    assert rows.column("text").to_pylist() == ["a b c d e f", None, None, None, "x y", None]
+    assert len(set(rows.column("f").to_pylist())) == 3
