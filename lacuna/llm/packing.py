@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 from .columns import fresh
 from .session import ship, stored
 from .text import LOWER, prefix_sums, slices, span_hash, words
+from .units import task_tokenizer
 
 CAPACITY = 4096
-SLICE = 1 << 20
+SLICE = 1 << 18  # text bytes handled at once
+ENCODED = 1000  # words encoded at once; the library's result for a word is some hundred times its length
 PLAN_ROWS = 1 << 18  # a plan of up to so many rows (48 bytes each) is sent to all tasks; a longer one is joined by length
 END_ID = 1
 CACHE_WORDS = 1_500_000  # distinct words whose ids a Python worker remembers; beyond it the memory starts anew
@@ -51,9 +53,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = task_tokenizer(path)
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -66,7 +66,9 @@ class WordIds:
     def learn(self, keys: np.ndarray, strings: list[str]) -> None:
         if len(self.keys) + len(keys) > CACHE_WORDS:
             self.clear()
-        found = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+        found = []
+        for at in range(0, len(strings), ENCODED):
+            found += [e.ids for e in self.tokenizer.encode_batch(strings[at : at + ENCODED], add_special_tokens=False)]
         count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ids = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(count.sum()))
         start = len(self.ids) + np.cumsum(count) - count

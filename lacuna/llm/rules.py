@@ -178,16 +178,13 @@ class RuleModel:
 
 def _judge(model: RuleModel | None) -> Callable[[pa.Array], pa.Array]:
     def run(texts: pa.Array) -> pa.Array:
-        parts = []
-        for _, data, offsets in slices(pa.record_batch([texts], names=["t"]), "t"):
-            c = text_counts(data, offsets)
-            score = model.forest.scores(features(c)) if model else np.zeros(len(offsets) - 1)
-            failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-            cols = [pa.array(c[k].astype(np.int64)) for k in COUNTS]
-            cols += [pa.array(failed), pa.array(score), pa.array(~failed & (score <= model.threshold if model else True))]
-            parts.append(pa.StructArray.from_arrays(cols, names=[*COUNTS, "base_failed", "score", "kept"]))
-        kind = pa.struct([*((k, pa.int64()) for k in COUNTS), ("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())])
-        return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+        parts = [text_counts(data, offsets) for _, data, offsets in slices(pa.record_batch([texts], names=["t"]), "t")]
+        c = {k: np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]).astype(np.int64) for k in COUNTS}
+        score = model.forest.scores(features(c)) if model else np.zeros(len(texts))
+        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        cols = [pa.array(c[k]) for k in COUNTS]
+        cols += [pa.array(failed), pa.array(score), pa.array(~failed & (score <= model.threshold if model else True))]
+        return pa.StructArray.from_arrays(cols, names=[*COUNTS, "base_failed", "score", "kept"])
 
     return run
 

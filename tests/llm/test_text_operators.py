@@ -452,3 +452,14 @@ def test_workers_keep_little_memory():
     for _, data, offsets in text_views.slices(long, "t"):
         rules.text_counts(data, offsets)
     assert all(len(p) <= text_views.KEPT_POWERS for p in text_views._powers.values())
+
+
+def test_rules_take_small_slices(monkeypatch):
+    """A worker's arrays are those of a small slice of a batch, whatever the batch; verdicts come for all rows."""
+    sizes, counts = [], rules.text_counts
+    monkeypatch.setattr(rules, "text_counts", lambda data, offsets: (sizes.append(len(data)), counts(data, offsets))[1])
+    texts = pa.array([None, *(f"word{k} some other words, one after another " * 300 for k in range(150)), ""])
+    got = rules._judge(None)(texts)
+    assert max(sizes) <= 1 << 18 and sum(sizes) == sum(len(t) for t in texts.to_pylist() if t)
+    assert len(got) == 152 and [r["n_words"] for r in got.to_pylist()] == [0, *[2100] * 150, 0]
+    assert len(rules._judge(None)(texts.slice(0, 0))) == 0
