@@ -54,8 +54,10 @@ ROUNDS = 2  # how often regions are counted, the later times those of the window
 COUNTED = 1 << 16  # a region's size, as far as it is told apart
 CROWD = 64  # classes beyond which a region draws pivots before its points are paired
 DRAWS = 3  # how often it does, as long as that finds links
+WORD = r"[^\x20\x09-\x0D]"  # what a text with words holds
 SEEN = 1 << 18  # sets that a task remembers
 SLICE = 1 << 18  # text bytes handled at once
+TEXTS = 2048  # rows of texts that a Python worker is sent at once; the JVM and the worker hold several copies of them
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +129,18 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's set with its size and sketches; the text stands beside the first row of a set that a task meets."""
+    """Each row's set with its size and sketches; the text stands beside the first row of a set that a task meets.
+
+    Columns after the text are passed on.
+    """
     seen: set[int] = set()
     for batch in batches:
         for rows, data, offsets in slices(batch, "text", SLICE):
             values, start = shingle_sets(data, offsets)
             parity, f, n = _parities(values, start), set_ids(values, start), np.diff(start)
             text = rows.column(1).take(pa.array(np.arange(len(n)), mask=~_unseen(f, n, seen)))
-            yield pa.record_batch([rows.column(0), pa.array(n), pa.array(signed(f)), _binary(_folded(parity)), _binary(parity), text],
-                                  names=["doc_id", "n", "f", "sketch", "parity", "text"])
+            yield pa.record_batch([rows.column(0), pa.array(n), pa.array(signed(f)), _binary(_folded(parity)), _binary(parity), text, *rows.columns[2:]],
+                                  names=["doc_id", "n", "f", "sketch", "parity", "text", *rows.schema.names[2:]])
 
 
 def _ordered(values: np.ndarray, start: np.ndarray, moved: np.ndarray | None) -> np.ndarray:
@@ -242,7 +247,7 @@ def _moved_back(texts: DataFrame) -> np.ndarray | None:
     for _ in range(ROUNDS):
         shared = None if bits is None else sc.broadcast(bits)
         cells = texts.mapInArrow(_cells(shared), "cell int").repartition("cell").sortWithinPartitions("cell")
-        sizes = stored(cells.mapInArrow(_common(COMMON), "cell int, c bigint"), "jaccard-common")
+        sizes = stored(cells.mapInArrow(_common(COMMON), "cell int, c bigint"), "jaccard-common", TEXTS)
         if shared is not None:
             shared.destroy()
         held = sizes.groupBy(F.least("c", F.lit(COUNTED)).alias("c")).agg(F.count("*").alias("cells")).toArrow()  # at most COUNTED rows
@@ -462,7 +467,7 @@ class _Comparer:
         rows = ends.select(*place, F.lit(0).alias("kind"), F.col("f").alias("a"), F.lit(0).cast("bigint").alias("b"), "text").unionByName(
             placed.select(*place, F.lit(1).alias("kind"), "a", "b", none.cast("string").alias("text")))
         rows = rows.repartition(*place).sortWithinPartitions(*place, "kind")
-        return stored(rows.mapInArrow(_linked, "a bigint, b bigint"), "jaccard-links")
+        return stored(rows.mapInArrow(_linked, "a bigint, b bigint"), "jaccard-links", TEXTS)
 
     def _fetch(self, sets: DataFrame) -> None:
         """One text of each set that is not there yet, by a scan that passes on only rows whose set may be wanted."""
@@ -476,7 +481,7 @@ class _Comparer:
             return pa.array(_marked(shared.value, f.to_numpy().view(np.uint64)))
 
         found = self.held.where(F.arrow_udf(wanted, "boolean").asNondeterministic()("f"))
-        found = stored(found.join(sets, "f", "left_semi").dropDuplicates(["f"]), "jaccard-texts")
+        found = stored(found.join(sets, "f", "left_semi").dropDuplicates(["f"]), "jaccard-texts", TEXTS)
         shared.destroy()
         self.texts = found if self.texts is None else self.texts.unionByName(found)
 
@@ -535,15 +540,20 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ``links=True`` adds ``n_links``, the number of other rows that the row links with, copies of its set included (0
     without words); the links between sets ``(a, b)`` stay in the shared folder as ``jaccard-links``.
     """
-    return _rooted(docs, doc_id, text, links).drop("root")
+    return _rooted(docs, doc_id, text, links).drop("root", "key")
+
+
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
 def _rooted(docs: DataFrame, doc_id: str, text: str, links: bool = False) -> DataFrame:
-    """The rows of ``jaccard_classes`` with ``root``, a set that names the class (null without words)."""
+    """The rows of ``jaccard_classes`` with ``root``, a set that names the class (null without words), and a ``key`` of the text."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _text(text).alias("text")).withColumn("key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signs = stored(rows.mapInArrow(_signatures, f"doc_id {kind}, n bigint, f bigint, sketch binary, parity binary, text string"), "jaccard-signs")
+    signs = rows.mapInArrow(_signatures, f"doc_id {kind}, n bigint, f bigint, sketch binary, parity binary, text string, key bigint")
+    signs = stored(signs, "jaccard-signs", TEXTS)
     points = stored(signs.where("n > 0").groupBy("f").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity")), "jaccard-sets")
     comparer = _Comparer(signs.where("text IS NOT NULL").select("f", "text"), points)
 
@@ -551,7 +561,7 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, links: bool = False) -> Dat
     shared = None if moved is None else docs.sparkSession.sparkContext.broadcast(moved)
     cells = rows.select("text").mapInArrow(_windows(shared), "cell bigint, f bigint, np bigint")
     cells = cells.repartition("cell").sortWithinPartitions("cell", "np", "f")
-    cells = stored(cells.mapInArrow(_regions, "cell bigint, f bigint, np bigint, pivot bigint, pivot_np bigint"), "jaccard-regions")
+    cells = stored(cells.mapInArrow(_regions, "cell bigint, f bigint, np bigint, pivot bigint, pivot_np bigint"), "jaccard-regions", TEXTS)
     if shared is not None:
         shared.destroy()
     if links:
@@ -596,16 +606,11 @@ def _named(signs: DataFrame, classes: DataFrame, partners: DataFrame | None = No
     of_set, extra = classes.select(F.col("node").alias("f"), "root"), []
     if partners is not None:
         of_set, extra = partners.join(of_set, "f", "left"), [F.coalesce(F.col("partners") - 1, F.lit(0)).alias("n_links")]
-    named = signs.select("doc_id", "n", "f").join(of_set, "f", "left")
-    named = stored(named.select("doc_id", "n", "f", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root"), *extra), "jaccard-named")
+    named = signs.select("doc_id", "n", "f", "key").join(of_set, "f", "left")
+    named = stored(named.select("doc_id", "n", "f", "key", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root"), *extra), "jaccard-named")
     least_id = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least_id, "root", "left")
-    return out.select("root", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("f").alias("set_id"), *(["n_links"] if extra else []))
-
-
-def _set_ids(texts: pa.Array) -> np.ndarray:
-    parts = [set_ids(*shingle_sets(data, offsets)) for _, data, offsets in slices(pa.record_batch([texts], names=["t"]), "t", SLICE)]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    return out.select("root", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("f").alias("set_id"), *(["n_links"] if extra else []), "key")
 
 
 def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -614,23 +619,24 @@ def one_of_each_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     A group without any id keeps one row too; rows that are alike in id and set stay once.  A text without words is a
     group of its own, so of these only rows with the same id go.
     """
-    classes = stored(_rooted(docs, doc_id, text).where("root IS NOT NULL").select("root", "doc_id", "set_id"), "jaccard-classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")).alias("x")
-    groups = stored(classes.groupBy("root").agg(first, F.count("*").alias("c")), "jaccard-keep")
-    keep = groups.select(F.col("x.doc_id").alias("_k"), F.col("x.set_id").alias("_s"))
-    # rows whose set is in a class of one need no join, and their texts no shuffle
-    several = classes.join(groups.where("c > 1").select("root"), "root", "left_semi").select(F.col("set_id").alias("f"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_set(several))
-
-    def marked(texts: pa.Array) -> pa.Array:
-        sets = _set_ids(texts)
-        return pa.StructArray.from_arrays([pa.array(signed(sets)), pa.array(_marked(shared.value, sets))], names=["set", "grouped"])
-
-    # set and mark by one function, so a task needs one Python worker
-    mark = F.arrow_udf(marked, "struct<set:bigint,grouped:boolean>").asNondeterministic()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), mark(F.col(text)).alias("mark"))
-    rows = rows.select("row", "id", "mark.set", "mark.grouped")
-    named = rows.where("grouped AND set <> 0").join(keep, F.col("id").eqNullSafe(F.col("_k")) & (F.col("set") == F.col("_s")), "left_semi")
-    once = named.unionByName(rows.where("set = 0 AND id IS NOT NULL")).dropDuplicates(["id", "set"])
-    kept = once.unionByName(rows.where("set = 0 AND id IS NULL")).unionByName(rows.where("NOT grouped AND set <> 0"))
-    return kept.select("row.*")
+    classes = _rooted(docs, doc_id, text).where("root IS NOT NULL OR doc_id IS NOT NULL")
+    lone = F.when(F.col("root").isNull(), F.col("doc_id")).alias("lone")  # without words, the id names the group
+    classes = stored(classes.select("root", lone, "doc_id", "set_id", "key"), "jaccard-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id", "key")).alias("x")
+    groups = stored(classes.groupBy("root", "lone").agg(first, F.count("*").alias("c")), "jaccard-keep")
+    keep = groups.select(F.col("x.doc_id").alias("_k"), F.col("x.key").alias("_t"))
+    # rows whose text is in no class of several need no join, and their texts no shuffle
+    many = groups.where("c > 1").select(F.col("root").alias("_r"), F.col("lone").alias("_l"))
+    several = classes.join(many, F.col("root").eqNullSafe(F.col("_r")) & F.col("lone").eqNullSafe(F.col("_l")), "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_set(several.select(F.col("key").alias("f"))))
+
+    def marked(keys: pa.Array) -> pa.Array:
+        return pa.array(_marked(shared.value, keys.to_numpy().view(np.uint64)))
+
+    # the texts stay in the JVM: a worker sees eight bytes of each
+    mark = F.arrow_udf(marked, "boolean").asNondeterministic()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), _text(text).alias("t"))
+    rows = rows.select("row", "id", F.xxhash64("t").alias("key"), (F.col("id").isNull() & ~F.col("t").rlike(WORD)).alias("nameless"))
+    rows = rows.withColumn("grouped", mark("key") & ~F.col("nameless"))
+    named = rows.where("grouped").join(keep, F.col("id").eqNullSafe(F.col("_k")) & (F.col("key") == F.col("_t")), "left_semi")
+    return named.dropDuplicates(["id", "key"]).unionByName(rows.where("NOT grouped")).select("row.*")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lacuna.llm import jaccard, repeats
+from lacuna.llm import jaccard, repeats, session
 from tests.llm import brute
 
 
@@ -206,3 +206,31 @@ def test_signatures_hold_one_text_of_a_set():
     rows = pa.Table.from_batches(jaccard._signatures(iter([batch.slice(0, 2), batch.slice(2)])))
     assert rows.column("text").to_pylist() == ["a b c d e f", None, None, None, "x y", None]
     assert len(set(rows.column("f").to_pylist())) == 3
+
+
+def test_one_of_each_class_leaves_texts_in_the_jvm(make):
+    """The last scans send workers eight bytes a text, and there are two of them; kept rows are those of the definition."""
+    near = [f"w{k}" for k in range(60)]
+    long, other = " ".join(near), " ".join([*near[:-1], "other"])
+    rows = [(1, long), (2, other), (2, long), (1, long.upper()), (5, ""), (5, None), (5, " \t"), (6, " "), (None, ""), (None, " "), (None, None),
+            (6, "alone"), (6, "alone"), (6, "Alone"), (8, "by itself"), (None, "x"), (None, "X")]
+    got = jaccard.one_of_each_class(make([{"doc_id": d, "text": t} for d, t in rows]))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    evals = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(evals) == 2 and all("marked(key#" in line or "marked(xxhash64(" in line for line in evals)
+    kept = [(r["doc_id"], (r["text"] or "").lower().strip()) for r in got.collect()]
+    want = [(1, long), (5, ""), (6, ""), (None, ""), (None, ""), (None, ""), (6, "alone"), (8, "by itself"), (None, "x")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
+def test_tables_are_made_in_small_batches(spark):
+    """``stored`` bounds the rows that a worker is sent at once, and leaves the session as it was."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(session.ROWS_AT_ONCE)
+    rows = spark.range(0, 6000, 1, 1).mapInArrow(sizes, "n bigint")
+    assert max(r["n"] for r in session.stored(rows, "sizes", 2000).collect()) == 2000
+    assert spark.conf.get(session.ROWS_AT_ONCE) == before
+    assert max(r["n"] for r in session.stored(rows, "sizes").collect()) == min(6000, int(before))
